@@ -44,7 +44,7 @@ UNIT = 1000
 #: Squared distance beyond which a text is rejected: about a chance of 1e-6 for a chi-squared variable with 5 degrees.
 CUTOFF = 40.0
 #: No statistic counts as tighter than this, so that a rule which nearly all texts meet exactly doesn't reject the rest.
-FLOORS = (0.10, 0.08, 0.08, 0.08, 0.80)
+FLOORS = (0.10, 0.08, 0.20, 0.12, 0.80)
 #: Groups up to which the estimates are broadcast to the rows; beyond, both sides are shuffled.
 MOST_GROUPS = 50_000
 #: Rejected rows up to which their 32-character keys are broadcast; beyond, both sides are shuffled.

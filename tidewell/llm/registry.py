@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import byte_bpe, chat, decontamination, line_dedup, near_join, quality, warc
+from tidewell.llm import byte_bpe, chat, decontamination, hmm, line_dedup, near_join, quality, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(_table(spark, sf_dir, "documents"))
+
+
 def op2_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_near_join, op4_quality_rules, op6_line_dedup, op7_chat, op8_warc, op9_byte_bpe, op10_decontamination)}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hmm_scoring, op2_near_join, op4_quality_rules, op6_line_dedup, op7_chat, op8_warc, op9_byte_bpe, op10_decontamination)}
 
 _OP2 = r"""
 WITH RECURSIVE w AS (
