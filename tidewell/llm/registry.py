@@ -8,7 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import byte_bpe, chat, decontamination, hmm, line_dedup, near_join, quality, warc
+from tidewell.llm import byte_bpe, chat, decontamination, hmm, line_dedup, near_join, pii, quality, warc
+
+
+#: Key of the pseudonyms that the query shows; a deployment passes its own.
+PII_KEY = "tidewell"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +27,10 @@ def op2_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(_table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY, counts=True)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(_table(spark, sf_dir, "documents")).drop("key", "n_lines")
 
@@ -59,7 +67,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hmm_scoring, op2_near_join, op4_quality_rules, op6_line_dedup, op7_chat, op8_warc, op9_byte_bpe, op10_decontamination)}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hmm_scoring, op2_near_join, op3_pii, op4_quality_rules, op6_line_dedup, op7_chat, op8_warc, op9_byte_bpe, op10_decontamination)}
 
 _OP2 = r"""
 WITH RECURSIVE w AS (
