@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import byte_bpe, chat, decontamination, hmm, line_dedup, near_join, pii, quality, warc
+from tidewell.llm import byte_bpe, chat, decontamination, hmm, line_dedup, near_join, pii, quality, suffix_dedup, warc
 
 
 #: Key of the pseudonyms that the query shows; a deployment passes its own.
@@ -35,6 +35,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(_table(spark, sf_dir, "documents")).drop("key", "n_lines")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), texts=False)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -67,7 +71,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hmm_scoring, op2_near_join, op3_pii, op4_quality_rules, op6_line_dedup, op7_chat, op8_warc, op9_byte_bpe, op10_decontamination)}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hmm_scoring, op2_near_join, op3_pii, op4_quality_rules, op5_suffix_dedup, op6_line_dedup, op7_chat, op8_warc, op9_byte_bpe, op10_decontamination)}
 
 _OP2 = r"""
 WITH RECURSIVE w AS (
