@@ -7,19 +7,541 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.functions import text as X
+from tidewell.functions.hashing import fnv1a64, hash_embedder
+from tidewell.operators import audit, cluster, documents, evaluate, facts, graph, knn, lexical, quality_gate, retrieval
+from tidewell.plans import sql
+from tidewell.sources import model
 from tidewell.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
+DAY = model.DAY_MS
+NOW = model.NOW_MS
+WORDS = "the licensed apache version"
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").orderBy("vec_id").limit(10).select("vec_id", F.size("embedding").alias("dim"))
+
+def query(name: str, twin: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if twin is not None:
+            SQL[name] = twin
+        return f
+
+    return keep
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return QUERIES
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL
+    return dict(SQL)
+
+
+# Vectors and retrieval
+
+
+def _query_vector(spark: SparkSession, d: str) -> list[float]:
+    return table(spark, d, "embeddings").where("vec_id = 0").select("embedding").first()[0]
+
+
+@query("v2_knn_exact", sql.V2)
+def knn_exact(spark: SparkSession, d: str) -> DataFrame:
+    return knn.nearest(table(spark, d, "embeddings"), _query_vector(spark, d), 10)
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    return knn_exact(spark, d)
+
+
+@query("v5_knn_per_row", sql.V5)
+def knn_per_row(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings")
+    return knn.nearest_each(rows, rows.where("vec_id % 50 = 0"), 3)
+
+
+@query("l3_bm25", sql.L3)
+def bm25(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.best(table(spark, d, "documents"), WORDS, "doc_id", "text", 50)
+
+
+@query("l2_bm25_stemmed")
+def bm25_stemmed(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.best(table(spark, d, "documents"), "licenses licensing versions", "doc_id", "text", 50, stemmed=True)
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Every fifth vector is a chunk's, the others are episodes'."""
+    return table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.when(F.col("vec_id") % 5 == 4, "chunk").otherwise("episode").alias("kind"), "embedding")
+
+
+@query("f1_rrf_fuse", sql.F1)
+def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
+    vector = retrieval.vector_candidates(_vectors(spark, d), _query_vector(spark, d), 40)
+    words = retrieval.lexical_candidates(table(spark, d, "documents"), WORDS, "doc_id", "text", 40)
+    return retrieval.fuse(vector, words).select("id", "vector_rank", "lexical_rank", F.round("rrf_score", 6).alias("rrf_score"))
+
+
+@query("f3_recall", sql.F3)
+def recall(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.recall(model.episodes(spark, d), _vectors(spark, d), "error k 69", _query_vector(spark, d), 20, NOW)
+
+
+@query("f4_doc_search", sql.F4)
+def doc_search(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "doc_id", F.lit(0).cast("long").alias("chunk_index"), "text")
+    return retrieval.search_chunks(chunks, _vectors(spark, d), WORDS, _query_vector(spark, d), 20)
+
+
+@query("f5_hash_embed")
+def hash_embed(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select("item_id", hash_embedder(16)("text").alias("embedding"))
+
+
+@query("f6_project_scope", sql.F6)
+def project_scope(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    source = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("project:p"), (F.col("event_id") % 3).cast("string"), F.lit(":decision:1")))
+    context = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit('{"project_id": "p'), (F.col("event_id") % 2).cast("string"), F.lit('"}'))).otherwise("{}")
+    content = F.concat(F.lit("Project decision for x (id: p"), (F.col("event_id") % 3).cast("string"), F.lit("): y"))
+    return e.select("event_id", retrieval.project_scope(source, context, content, "p0").alias("inside"))
+
+
+@query("f7_lexical_eval", sql.F7)
+def lexical_eval(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.lexical_ranks(*_eval_tables(spark, d))
+
+
+def _eval_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    c = table(spark, d, "conversations")
+    cases = c.where("turn = 0").select(F.col("conv_id").alias("case_id"), F.col("text").alias("query"))
+    memories = c.select(F.col("conv_id").alias("case_id"), F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("memory_id"), "text", F.when(F.col("role") == "assistant", "decision").otherwise("semantic").alias("tier"), (F.col("turn") / 10).alias("importance"), F.when(F.col("turn") % 5 == 4, "forgotten").otherwise("active").alias("status"))
+    return cases, memories
+
+
+@query("a14_recall_mrr", sql.A14)
+def recall_mrr(spark: SparkSession, d: str) -> DataFrame:
+    cases, memories = _eval_tables(spark, d)
+    expected = memories.where("status = 'active' and memory_id like '%:1'").select("case_id", "memory_id")
+    return evaluate.metrics(evaluate.lexical_ranks(cases, memories), expected, 2)
+
+
+# Facts and the graph
+
+
+@query("g1_themes", sql.G1)
+def themes(spark: SparkSession, d: str) -> DataFrame:
+    return facts.themes(model.clusters(spark, d), model.abstractions(spark, d), model.members(spark, d), model.episodes(spark, d), NOW, 8, 20)
+
+
+@query("g2_facts_about", sql.G2)
+def facts_about(spark: SparkSession, d: str) -> DataFrame:
+    return facts.facts_about(model.triples(spark, d), "customer-7", since=800_000_000_000, until=1_000_000_000_000)
+
+
+@query("g2_facts_both_sides", sql.G2B)
+def facts_both_sides(spark: SparkSession, d: str) -> DataFrame:
+    return facts.facts_about(model.triples(spark, d), "user", ("nation-nation_3", "nation-france", "order-3"), as_object=True, limit=50)
+
+
+@query("g3_entities", sql.G3)
+def entities(spark: SparkSession, d: str) -> DataFrame:
+    return facts.entities(model.triples(spark, d), "customer-1", 50)
+
+
+@query("o5_entity_refs", sql.O5)
+def entity_refs(spark: SparkSession, d: str) -> DataFrame:
+    return facts.entity_refs(model.triples(spark, d)).groupBy("entity_id").agg(F.sum("as_subject").alias("subjects"), F.sum("as_object").alias("objects"))
+
+
+@query("q11_contradiction_candidates", sql.Q11)
+def contradiction_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return facts.contradiction_candidates(model.triples(spark, d).where("predicate = 'has_order_priority'"))
+
+
+def _contradictions(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").where("o_orderkey % 100 = 0")
+    text = lambda c: F.concat(F.lit("p:"), c.cast("string"))
+    return o.select(text(F.col("o_orderkey")).alias("a_triple_id"), text(F.col("o_orderkey") * 7 + 1).alias("b_triple_id"), F.lit("temporal").alias("kind"), model.millis(F.col("o_orderdate")).alias("detected_at_ms"), F.lit("unresolved").alias("status"))
+
+
+@query("g4_contradictions_list", sql.G4)
+def contradictions(spark: SparkSession, d: str) -> DataFrame:
+    return facts.contradictions(_contradictions(spark, d), model.triples(spark, d).where("predicate = 'has_order_priority'"), 30)
+
+
+@query("q15_contradiction_settle", sql.Q15)
+def contradiction_settle(spark: SparkSession, d: str) -> DataFrame:
+    found = _contradictions(spark, d)
+    key = F.substring("a_triple_id", 3, 20).cast("long")
+    decisions = found.where(key % 200 == 0).select("a_triple_id", "b_triple_id", F.when(key % 400 == 0, "resolved").otherwise("reopened").alias("status"))
+    return facts.settle(found, decisions, NOW).select("a_triple_id", "b_triple_id", "status", "resolved_at_ms")
+
+
+@query("g5_inspect_cluster", sql.G5)
+def inspect_cluster(spark: SparkSession, d: str) -> DataFrame:
+    return facts.inspect_cluster("cl:2", model.clusters(spark, d), model.abstractions(spark, d), model.members(spark, d), model.episodes(spark, d))
+
+
+@query("g6_paths_direct", sql.paths("customer-1", None, 1, None))
+def paths_direct(spark: SparkSession, d: str) -> DataFrame:
+    return graph.paths(model.edges(model.triples(spark, d)), "customer-1", _nation_of_one(spark, d), hops=1)
+
+
+def _nation_of_one(spark: SparkSession, d: str) -> str:
+    c = table(spark, d, "customer").where("c_custkey = 1").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return "nation-" + (c.select(F.lower("n_name")).first() or [""])[0]
+
+
+@query("g6_paths_two_hop", sql.paths("customer-1", "region", 2, None))
+def paths_two_hop(spark: SparkSession, d: str) -> DataFrame:
+    return graph.paths(model.edges(model.triples(spark, d)), "customer-1", _region_of_one(spark, d), hops=2)
+
+
+def _region_of_one(spark: SparkSession, d: str) -> str:
+    c = table(spark, d, "customer").where("c_custkey = 1").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    r = c.join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return "region-" + (r.select(F.lower("r_name")).first() or [""])[0]
+
+
+@query("g6_paths_as_of", sql.paths("customer-1", "region", 2, 700_000_000_000))
+def paths_as_of(spark: SparkSession, d: str) -> DataFrame:
+    return graph.paths(model.edges(model.triples(spark, d)), "customer-1", _region_of_one(spark, d), hops=2, t=700_000_000_000)
+
+
+def _evidence(spark: SparkSession, d: str) -> DataFrame:
+    line = table(spark, d, "lineitem")
+    order = F.col("l_orderkey").cast("string")
+    return line.select(
+        F.concat_ws(":", F.lit("v"), order, F.col("l_linenumber").cast("string")).alias("evidence_id"), F.concat(F.lit("b:"), order).alias("edge_id"), F.concat(F.lit("ev:"), F.col("l_partkey").cast("string")).alias("memory_id"),
+        F.when(F.col("l_linenumber") % 2 == 0, F.col("l_orderkey") % 500).alias("source_episode_id"), (F.col("l_discount") * 10 % 1).alias("extraction_confidence"), model.millis(F.col("l_shipdate")).alias("created_at_ms"),
+    )
+
+
+@query("g7_best_evidence", sql.G7)
+def best_evidence(spark: SparkSession, d: str) -> DataFrame:
+    e = model.edges(model.triples(spark, d).where("predicate = 'placed'"))
+    return graph.best_evidence(e.select("edge_id", "subject_id"), _evidence(spark, d).withColumn("extraction_confidence", F.lit(0.5)))
+
+
+@query("g7_provenance", sql.G7P)
+def provenance(spark: SparkSession, d: str) -> DataFrame:
+    return graph.provenance("b:3", _evidence(spark, d).withColumn("extraction_confidence", F.lit(0.5)), model.episodes(spark, d))
+
+
+@query("g8_graph_context", sql.G8)
+def graph_context(spark: SparkSession, d: str) -> DataFrame:
+    return graph.context_paths(model.edges(model.triples(spark, d)), ["customer-1", "customer-2", "order-3"], 50)
+
+
+@query("g9_edge_score", sql.G9)
+def edge_score(spark: SparkSession, d: str) -> DataFrame:
+    e = model.edges(model.triples(spark, d).where("predicate = 'contains'")).withColumn("evidence_count", F.length("edge_id"))
+    return e.select("edge_id", F.round(graph.edge_score(), 6).alias("score"))
+
+
+@query("g14_graph_catalog", sql.G14)
+def graph_catalog(spark: SparkSession, d: str) -> DataFrame:
+    nodes = {"cluster": model.clusters(spark, d).select("cluster_id"), "document": table(spark, d, "documents").select("doc_id"), "episode": model.episodes(spark, d).select("memory_id")}
+    return graph.catalogue(nodes, ("document", "5"), 200)
+
+
+@query("g15_chunk_fold", None)
+def chunk_fold(spark: SparkSession, d: str) -> DataFrame:
+    return documents.chunks(table(spark, d, "documents")).groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.max("end_offset").alias("bytes"))
+
+
+# Audit, erasure and row changes
+
+
+def _reviews(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").where("event_id % 4 = 0").select(F.concat(F.lit("ev:"), F.col("event_id").cast("string")).alias("memory_id"), F.when(F.col("event_id") % 8 == 0, "approved").otherwise("dismissed").alias("review"))
+
+
+@query("g13_inbox", sql.G13)
+def inbox(spark: SparkSession, d: str) -> DataFrame:
+    return audit.inbox(model.episodes(spark, d), _reviews(spark, d), 60)
+
+
+@query("g16_audit_list", sql.G16)
+def audit_list(spark: SparkSession, d: str) -> DataFrame:
+    return audit.listing(model.episodes(spark, d), operation="error", since=1_704_153_600_000, limit=100)
+
+
+@query("g17_audit_purge", sql.G17)
+def audit_purge(spark: SparkSession, d: str) -> DataFrame:
+    return audit.purge(model.episodes(spark, d), 1_705_000_000_000).groupBy("source_type").agg(F.count("*").alias("n"))
+
+
+@query("g18_erase", sql.G18)
+def erase(spark: SparkSession, d: str) -> DataFrame:
+    left, kept = audit.erase("user-8", model.episodes(spark, d), model.triples(spark, d))
+    return left.agg(F.count("*").alias("n")).withColumn("what", F.lit("episodes")).unionByName(kept.groupBy("predicate").agg(F.count("*").alias("n")).withColumnRenamed("predicate", "what"))
+
+
+@query("g19_erase_estimate", sql.G19)
+def erase_estimate(spark: SparkSession, d: str) -> DataFrame:
+    return audit.erasure_estimate("user-8", model.episodes(spark, d), model.triples(spark, d))
+
+
+@query("a4_tier_status", sql.A4)
+def tier_status(spark: SparkSession, d: str) -> DataFrame:
+    return audit.tiers(model.episodes(spark, d))
+
+
+@query("s2_inspect", sql.S2)
+def inspect(spark: SparkSession, d: str) -> DataFrame:
+    return audit.inspect(model.episodes(spark, d), "ev:17").select("memory_id", "ts_ms", "content", "tier", "status")
+
+
+@query("w1_upsert_entities", sql.W1)
+def upsert_entities(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer")
+    key = F.concat(F.lit("customer-"), F.col("c_custkey").cast("string"))
+    seen = F.col("c_custkey") * DAY
+    old = c.where("c_custkey % 3 <> 0").select(key.alias("entity_id"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise(key).alias("name"), F.lit(0.5).alias("confidence"), seen.alias("first_seen_ms"), seen.alias("last_seen_ms"))
+    new = c.where("c_custkey % 4 <> 0").select(key.alias("entity_id"), F.concat(F.lit("new "), "c_name").alias("name"), (F.col("c_custkey") % 10 / 10).alias("confidence"), (seen - 5).alias("first_seen_ms"), (seen + 5).alias("last_seen_ms"))
+    return quality_gate.upsert_entities(old, new)
+
+
+@query("w2_insert_absent", sql.W2)
+def insert_absent(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation").select("n_nationkey", "n_name")
+    return audit.insert_absent(n.where("n_nationkey % 2 = 0"), n.withColumn("n_name", F.concat(F.lit("new "), "n_name")), ["n_nationkey"])
+
+
+@query("w3_source_backfill", sql.W3)
+def source_backfill(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit('{"derived_from": ["ev:'), F.col("o_orderkey").cast("string"), F.lit('"]}')).alias("provenance_json"))
+    return audit.source_backfill(rows, model.episodes(spark, d)).select("o_orderkey", "source_episode_id")
+
+
+@query("w4_delete_where", sql.W4)
+def delete_where(spark: SparkSession, d: str) -> DataFrame:
+    return audit.delete_where(model.episodes(spark, d), _reviews(spark, d).where("review = 'dismissed'"), ["memory_id"]).groupBy("tier").agg(F.count("*").alias("n"))
+
+
+@query("w7_evidence_counts", sql.W7)
+def evidence_counts(spark: SparkSession, d: str) -> DataFrame:
+    e = model.edges(model.triples(spark, d).where("predicate = 'placed'")).select("edge_id", "evidence_count")
+    return audit.evidence_counts(e, _evidence(spark, d)).select("edge_id", "evidence_count")
+
+
+@query("w8_forget", sql.W8)
+def forget(spark: SparkSession, d: str) -> DataFrame:
+    return audit.forget(model.episodes(spark, d), ["ev:1", "ev:2", "ev:17"]).groupBy("status").agg(F.count("*").alias("n"))
+
+
+# Quality
+
+
+def _extracted(spark: SparkSession, d: str) -> DataFrame:
+    """Raw facts of all shapes, by order key."""
+    o = table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    pick = lambda *v: F.element_at(F.array(*[F.lit(x) for x in v]), (k % len(v)).cast("int") + 1)
+    return o.select(
+        F.concat(F.lit("t:"), k.cast("string")).alias("triple_id"),
+        F.when(k % 7 == 0, pick(*sql.SUBJECTS)).otherwise(F.concat(F.lit("Customer "), F.col("o_custkey").cast("string"))).alias("subject_id"),
+        F.when(k % 5 == 0, pick(*sql.PREDICATES)).otherwise(F.lit("Has Priority")).alias("predicate"),
+        F.when(k % 3 == 0, pick(*sql.OBJECTS)).otherwise(F.col("o_orderpriority")).alias("object_id"),
+        F.when(k % 2 == 0, "entity").otherwise("literal").alias("object_kind"),
+        (F.lit(0.7) + k % 30 / 100).alias("confidence"),
+    )
+
+
+@query("q3_quality_gate", sql.Q3)
+def quality(spark: SparkSession, d: str) -> DataFrame:
+    return quality_gate.judge(_extracted(spark, d)).withColumn("confidence", F.round("confidence", 6))
+
+
+@query("q6_claim_scores", sql.Q6)
+def claim_scores(spark: SparkSession, d: str) -> DataFrame:
+    return quality_gate.claims(quality_gate.judge(_extracted(spark, d))).select("triple_id", "claim_status", "quality_score")
+
+
+@query("q4_rejudge", sql.Q4)
+def rejudge(spark: SparkSession, d: str) -> DataFrame:
+    return quality_gate.rejudge(_extracted(spark, d).withColumn("status", F.lit("active")))
+
+
+@query("q8_graph_backfill", sql.Q8)
+def graph_backfill(spark: SparkSession, d: str) -> DataFrame:
+    return graph.backfill_entities(model.triples(spark, d))
+
+
+@query("q8_edges_backfill", sql.Q8E)
+def edges_backfill(spark: SparkSession, d: str) -> DataFrame:
+    return graph.backfill_edges(model.triples(spark, d))
+
+
+@query("q8_evidence_backfill", sql.Q8V)
+def evidence_backfill(spark: SparkSession, d: str) -> DataFrame:
+    return graph.backfill_evidence(model.triples(spark, d), model.episodes(spark, d))
+
+
+@query("q9_claims_backfill", sql.Q9)
+def claims_backfill(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    pick = lambda *v: F.element_at(F.array(*[F.lit(x) for x in v]), (k % len(v)).cast("int") + 1)
+    reviews = o.select(F.concat(F.lit("f"), k.cast("string")).alias("fingerprint"), pick(*sql.REASONS).alias("reason_code"), pick("needs_review", "approved", "dismissed", "rewritten", "needs_review").alias("status"), (k % 100 / 100).alias("confidence"))
+    return quality_gate.backfill_claims(model.triples(spark, d), reviews)
+
+
+@query("q14_normalize_subjects", sql.Q14)
+def normalize_subjects(spark: SparkSession, d: str) -> DataFrame:
+    out = facts.rename_subjects(model.triples(spark, d), {"customer-1": "customer-2", "order-3": "order-4"})
+    return out.where("changed").select("triple_id", "new_subject_id", "new_object_id")
+
+
+@query("q17_coverage", sql.Q17)
+def coverage(spark: SparkSession, d: str) -> DataFrame:
+    return quality_gate.coverage(model.episodes(spark, d), model.clusters(spark, d), model.members(spark, d), model.abstractions(spark, d), model.triples(spark, d))
+
+
+@query("q18_quality_audit", sql.Q18)
+def quality_audit(spark: SparkSession, d: str) -> DataFrame:
+    return quality_gate.audit(model.episodes(spark, d), model.clusters(spark, d), model.members(spark, d), model.abstractions(spark, d), model.triples(spark, d))
+
+
+@query("q18_health", sql.Q18H)
+def quality_health(spark: SparkSession, d: str) -> DataFrame:
+    return quality_gate.health(quality_audit(spark, d))
+
+
+@query("a13_alias_groups", sql.A13)
+def aliases(spark: SparkSession, d: str) -> DataFrame:
+    return facts.alias_groups(table(spark, d, "part").select(F.col("p_name").alias("entity_id")).unionByName(table(spark, d, "part").select(F.upper("p_name").alias("entity_id"))))
+
+
+@query("c2_canonical_ids", sql.C2)
+def canonical_ids(spark: SparkSession, d: str) -> DataFrame:
+    raw = F.concat(F.lit(" [ent:"), F.col("p_name"), F.lit("/"), F.col("p_type"), F.lit("]"))
+    return table(spark, d, "part").select("p_partkey", X.canonical_entity_id(raw).alias("entity_id"), X.normalize_predicate(F.col("p_type")).alias("predicate"))
+
+
+@query("c11_fingerprints")
+def fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", fnv1a64("p_name").alias("fingerprint"))
+
+
+@query("c13_estimates", sql.C13)
+def estimates(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", X.token_estimate(F.col("text")).alias("tokens"), X.chunk_estimate(F.octet_length("text"), 500).alias("chunks"))
+
+
+# Clusters
+
+
+def _days(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors as episodes of ten days."""
+    return table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("id"), (F.col("vec_id") % 10 * DAY + F.col("vec_id")).cast("long").alias("ts_ms"), "embedding")
+
+
+@query("k1_pairs", sql.K1)
+def pairs(spark: SparkSession, d: str) -> DataFrame:
+    return cluster.similar_pairs(_days(spark, d).withColumn("day", X.day_bucket(F.col("ts_ms"))).select("id", "day", "embedding"), 0.3)
+
+
+@query("k2_components", sql.K2)
+def components(spark: SparkSession, d: str) -> DataFrame:
+    return cluster.cluster_days(_days(spark, d), 0.3)
+
+
+def _label_members(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("label").cast("long").alias("cluster_id"), F.col("vec_id").cast("long").alias("id"))
+
+
+@query("a10_centroid", sql.A10)
+def centroid(spark: SparkSession, d: str) -> DataFrame:
+    c = cluster.centroids(_label_members(spark, d), _days(spark, d))
+    return c.select("cluster_id", "n", F.posexplode("centroid").alias("pos", "x")).select("cluster_id", "n", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
+
+
+@query("a11_coherence", sql.A11)
+def coherence(spark: SparkSession, d: str) -> DataFrame:
+    return cluster.coherence(_label_members(spark, d), _days(spark, d))
+
+
+@query("k3_merge_plan")
+def merge_plan(spark: SparkSession, d: str) -> DataFrame:
+    members = components(spark, d)
+    return cluster.merge_plan(cluster.centroids(members, _days(spark, d)), 0.3)
+
+
+@query("k4_absorb")
+def absorb(spark: SparkSession, d: str) -> DataFrame:
+    c = cluster.centroids(components(spark, d), _days(spark, d))
+    return cluster.absorb(spark, c.where("cluster_id % 2 = 1"), c.where("cluster_id % 2 = 0"), 0.3)
+
+
+@query("k5_merge_candidates")
+def merge_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return merge_plan(spark, d).agg(F.count("*").alias("losers"), F.countDistinct("survivor").alias("groups"))
+
+
+@query("k6_unclustered")
+def unclustered(spark: SparkSession, d: str) -> DataFrame:
+    return cluster.unclustered(_days(spark, d), components(spark, d)).select("id")
+
+
+# Documents
+
+
+@query("d1_chunks")
+def chunks(spark: SparkSession, d: str) -> DataFrame:
+    return documents.chunks(table(spark, d, "documents"))
+
+
+@query("d2_dedup", sql.D2)
+def dedup(spark: SparkSession, d: str) -> DataFrame:
+    return documents.first_of_each(table(spark, d, "documents"))
+
+
+@query("d3_redact_counts", sql.D3)
+def redact_counts(spark: SparkSession, d: str) -> DataFrame:
+    done = documents.redact(table(spark, d, "documents").select("doc_id", "text"))
+    return done.select("doc_id", *[f"n_{k}" for k in documents.REDACTIONS])
+
+
+@query("d5_list_documents", sql.D5)
+def list_documents(spark: SparkSession, d: str) -> DataFrame:
+    labels = table(spark, d, "labels")
+    runs = labels.select("doc_id", F.col("doc_id").alias("extraction_id"), F.lit(1).alias("created_at_ms"), F.when(F.col("quality") == 1, "done").otherwise("failed").alias("status"))
+    return documents.listing(table(spark, d, "documents"), runs, 50, 10)
+
+
+@query("s6_csv_text")
+def csv_text(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "nation").select(F.concat_ws("", F.lit("n"), F.col("n_nationkey").cast("string"), F.lit(".csv")).alias("path"), F.encode(F.concat_ws(",", F.col("n_nationkey").cast("string"), F.concat(F.lit('" '), "n_name", F.lit('"'))), "utf-8").alias("content"))
+    return documents.extract_files(rows)
+
+
+@query("s7_html_text", sql.S7)
+def html_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", documents.html_text(F.col("html")).alias("text"))
+
+
+@query("s13_chat_import")
+def chat_import(spark: SparkSession, d: str) -> DataFrame:
+    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    told = F.to_json(F.struct(F.col("conv_id").cast("string").alias("id"), F.lit("  A  chat ").alias("title"), F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("messages")))
+    return documents.chat_exports(turns.select(told.alias("json")))
+
+
+@query("s14_transcript", sql.S14)
+def transcript(spark: SparkSession, d: str) -> DataFrame:
+    return documents.transcripts(table(spark, d, "conversations"))
+
+
+@query("s15_bookmarks_html", sql.S15)
+def bookmarks_html(spark: SparkSession, d: str) -> DataFrame:
+    return documents.bookmarks(table(spark, d, "pages"))
+
+
+@query("s22_document_text", None)
+def document_text(spark: SparkSession, d: str) -> DataFrame:
+    return documents.document_text(documents.chunks(table(spark, d, "documents").where("doc_id = 3"), overlap=0), 3)
