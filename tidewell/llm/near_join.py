@@ -6,8 +6,8 @@
 2. A node has a label in each of TREES prefix tries: LABEL MinHash values. Sorting a tree's labels lays
    its trie out in order. Matched prefixes are shortened from LABEL values until the chance that a pair
    at the threshold meets in some tree reaches the target recall; nodes that share such a prefix are
-   compared by all their MinHash values. Within a run, the first node free leads: nodes near it link to it,
-   and those very near lead no more, so links are linear in a group of copies' size. Trees are
+   compared by all their MinHash values. Within a run, the first node free leads: nodes near it join its group,
+   and those very near lead no more; a group is told by one link a node. Trees are
    dealt by ranges of (tree, label, node): a hot prefix is cut over tasks, and what leads at their edges meets
    in a second, small pass.
 3. Connected candidates make components. Their shingle sets are fetched once and compared exactly, in
@@ -39,7 +39,7 @@ TREES = 14
 LABEL = 6
 RECALL = 0.9995
 #: Shares of equal MinHash values: of a pair that links, of one seen through a leader, and of a node that leads no more.
-LINK, THROUGH, LED = 0.55, 0.45, 0.9
+LINK, THROUGH, LED = 0.55, 0.45, 0.85
 #: Nodes of a component that one task compares with as many others at a time.
 BLOCK = 256
 #: Ids up to which the candidates' ids are broadcast to the documents; beyond, both sides are shuffled.
@@ -114,21 +114,25 @@ def _fixed(column: pa.Array, width: int) -> np.ndarray:
 
 
 def leaders(values: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
-    """Links (member, leader) among rows of MinHash values, and the rows that lead."""
+    """Links (member, first) that hold together the rows of MinHash values that are near through leaders, and the rows that lead.
+
+    Only what is connected matters, so a group is told by one link a row.
+    """
     n = len(values)
     if n == 2:
         return ([(1, 0)], [0, 1]) if (values[0] == values[1]).mean() >= LINK else ([], [0, 1])
-    free, links, lead = np.ones(n, bool), [], []
+    free, group, lead = np.ones(n, bool), np.arange(n), []
     for i in range(n):
         if not free[i]:
             continue
         alike = (values == values[i]).mean(1)
-        near = np.flatnonzero(alike >= THROUGH)
-        links += [(j, i) for j in near.tolist() if j != i]
+        met = np.unique(group[alike >= THROUGH])
+        if len(met) > 1:
+            group[np.isin(group, met)] = met[0]
         free &= alike < LED
         free[i] = False
         lead.append(i)
-    return links, lead
+    return [(j, g) for j, g in enumerate(group.tolist()) if g != j], lead
 
 
 def _runs(edges_only: bool, width: int):
