@@ -11,7 +11,7 @@ from tidewell.functions import text as X
 from tidewell.functions.hashing import fnv1a64_hex, hash_embedding
 from tidewell.functions.stemmer import stem
 from tidewell.functions.vectors import cosine, unit
-from tidewell.operators import audit, cluster, context, documents, evaluate, facts, graph, knn, lexical, quality_gate, retrieval
+from tidewell.operators import assets, audit, cluster, context, documents, evaluate, extraction, facts, graph, knn, lexical, quality_gate, retrieval
 from tidewell.streaming.batches import CountOrTime, append_batches, daily_counts, episodes_stream, triggered
 
 
@@ -231,3 +231,25 @@ def test_streaming(spark, data, tmp_path):
     assert not timed.note(5)
     now[0] = 11
     assert timed.note(1) and timed.seen == 0
+
+
+def test_extraction(spark):
+    assert extraction.reply_json('x ```json\n{"a": 1}\n``` y') == {"a": 1} and extraction.reply_json("no") is None and extraction.reply_json('so {"a": {"b": 2}}') == {"a": {"b": 2}}
+    assert extraction.facts_of({"triples": [{"subject": "a", "predicate": "b", "object": "c"}, {"subject": "a"}, 3]}) == [("a", "b", "c", "literal")]
+    rows = spark.createDataFrame([("c1", ["first", "second"]), ("c2", []), ("c3", None)], "cluster_id string, texts array<string>")
+    good = {r["cluster_id"]: r for r in extraction.abstract(rows, lambda: extraction.stub_client, 5).collect()}
+    assert good["c1"]["content"] == "About: first" and good["c1"]["valid_from_ms"] == 5 and good["c1"]["error"] is None
+    bad = extraction.abstract(rows, lambda: lambda prompt: '{"content": "I am unable to provide assistance"}', 5).collect()
+    assert {r["error"] for r in bad} == {"no usable content"}
+    pairs = spark.createDataFrame([("1", "2", "x", "y"), ("3", "4", "bad", "y"), ("5", "6", "z", "y")], "a_triple_id string, b_triple_id string, a_fact string, b_fact string")
+    judge = lambda: lambda p: "oops" if "bad" in p else '{"contradiction": true, "kind": "odd"}' if "x" in p else '{"contradiction": false}'
+    assert [tuple(r) for r in extraction.judge(pairs, judge).collect()] == [("1", "2", "other", "x conflicts with y")]
+
+
+def test_bookmarks_and_logs(spark):
+    tree = {"roots": {"bar": {"name": " Bar ", "children": [{"name": "A", "url": "http://a"}, {"title": "Sub", "children": [{"title": "B", "uri": "http://b"}]}]}}}
+    df = spark.createDataFrame([(json.dumps(tree),), ("not json",), (None,)], "json string")
+    assert sorted(map(tuple, assets.bookmarks(df).collect())) == [("http://a", "A", "Bar"), ("http://b", "B", "Bar/Sub")]
+    line = "\u001b[31mERROR\u001b[0m Bearer abc.def api_key: k1, --token t2 ok"
+    assert one(spark, assets.log_line(F.col("v")), v=line) == "ERROR Bearer [redacted] api_key: [redacted], --token [redacted] ok"
+    assert one(spark, assets.log_level(F.col("v")), v=line) == "error" and one(spark, assets.log_level(F.col("v")), v="x") == "info"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import text as X
 from tidewell.functions.hashing import fnv1a64, hash_embedder
-from tidewell.operators import audit, cluster, documents, evaluate, facts, graph, knn, lexical, quality_gate, retrieval
+from tidewell.operators import assets, audit, cluster, documents, evaluate, extraction, facts, graph, knn, lexical, quality_gate, retrieval
 from tidewell.plans import sql
 from tidewell.sources import model
 from tidewell.sources.tables import table
@@ -545,3 +545,66 @@ def bookmarks_html(spark: SparkSession, d: str) -> DataFrame:
 @query("s22_document_text", None)
 def document_text(spark: SparkSession, d: str) -> DataFrame:
     return documents.document_text(documents.chunks(table(spark, d, "documents").where("doc_id = 3"), overlap=0), 3)
+
+
+# Assets, resources, logs, external models
+
+
+def _assets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """An asset for each page, linked to the document of its id."""
+    p = table(spark, d, "pages")
+    own = p.select(F.col("page_id").alias("asset_id"), F.sha2("html", 256).alias("sha256"), F.octet_length("html").cast("long").alias("byte_size"))
+    return own, p.where("page_id % 2 = 0").select(F.col("page_id").alias("doc_id"), F.col("page_id").alias("asset_id"))
+
+
+@query("d6_linked_assets", sql.D6)
+def linked_assets(spark: SparkSession, d: str) -> DataFrame:
+    own, links = _assets(spark, d)
+    return assets.linked(table(spark, d, "documents"), own, links)
+
+
+@query("j15_attachments", sql.J15)
+def attachments(spark: SparkSession, d: str) -> DataFrame:
+    own, _ = _assets(spark, d)
+    i = F.col("event_id")
+    rows = table(spark, d, "events").where("event_id % 10 = 0").select(F.concat(F.lit("at:"), i.cast("string")).alias("attachment_id"), F.concat(F.lit("ev:"), i.cast("string")).alias("memory_id"), F.when(i % 20 == 0, i).alias("doc_id"), F.when(i % 20 != 0, i).alias("asset_id"))
+    return assets.attachments(rows, model.episodes(spark, d), table(spark, d, "documents"), own)
+
+
+@query("j12_referenced_assets", sql.J12)
+def referenced_assets(spark: SparkSession, d: str) -> DataFrame:
+    return assets.referenced(*_assets(spark, d)).select("asset_id")
+
+
+@query("g22_resources", sql.G22)
+def resources(spark: SparkSession, d: str) -> DataFrame:
+    return assets.newest(model.episodes(spark, d), table(spark, d, "documents"), _assets(spark, d)[0])
+
+
+@query("c22_log_lines", sql.C22)
+def log_lines(spark: SparkSession, d: str) -> DataFrame:
+    line = F.concat(F.lit("WARN token=abc"), F.col("event_id").cast("string"), F.lit(" "), "props", F.lit(" Bearer x.y --password pw"))
+    return table(spark, d, "events").select("event_id", assets.log_line(line).alias("line"), assets.log_level(line).alias("level"))
+
+
+@query("q1_abstraction_stub")
+def abstraction_stub(spark: SparkSession, d: str) -> DataFrame:
+    told = model.members(spark, d).join(model.episodes(spark, d), "memory_id").groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts_ms", "content"))), lambda x: x["content"]).alias("texts"))
+    wanted = extraction.pending(model.clusters(spark, d), model.abstractions(spark, d), 10).select("cluster_id")
+    return extraction.abstract(told.join(wanted, "cluster_id"), lambda: extraction.stub_client, NOW)
+
+
+@query("q13_pending_clusters", sql.Q13)
+def pending_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return extraction.pending(model.clusters(spark, d), model.abstractions(spark, d), 10).select("cluster_id")
+
+
+@query("g10_context_bundle")
+def context_bundle(spark: SparkSession, d: str) -> DataFrame:
+    """Sections of a context bundle with their health and row counts."""
+    from tidewell.operators import context
+
+    t = model.triples(spark, d)
+    sections = {"facts": lambda: facts.facts_about(t, "customer-7"), "entities": lambda: facts.entities(t, "customer-7"), "themes": lambda: themes(spark, d), "graph": lambda: graph.context_paths(model.edges(t), ["customer-7"])}
+    found, health = context.bundle(sections, {"facts": t, "entities": t, "themes": model.clusters(spark, d), "graph": t})
+    return spark.createDataFrame([(k, v, found[k].count() if k in found else None) for k, v in health.items()], "section string, state string, n long")

@@ -376,3 +376,12 @@ S14 = """SELECT conv_id, count(*) AS n_messages, '# Conversation ' || conv_id ||
 S15 = f"""WITH a AS (SELECT page_id, unnest(range(len(l))) AS place, unnest(l) AS a FROM (SELECT page_id, regexp_extract_all(html, '(?is)<a\\s+[^>]*>.*?</a>') AS l FROM pages)),
   h AS (SELECT page_id, place, regexp_extract(a, '(?is)href\\s*=\\s*"([^"]*)"', 1) AS href, {_unescape("trim(regexp_replace(regexp_replace(a, '(?is)^<a" + chr(92) + "s+[^>]*>|</a>$', '', 'g'), '(?is)<[^>]+>', '', 'g'))")} AS title FROM a)
 SELECT page_id, place, {_unescape('href')} AS url, CASE WHEN title = '' THEN href ELSE title END AS title FROM h WHERE trim(href) <> ''"""
+
+D6 = "SELECT doc_id, source, page_id AS asset_id, sha256(html) AS sha256, octet_length(encode(html))::BIGINT AS byte_size FROM pages JOIN documents ON doc_id = page_id WHERE page_id % 2 = 0"
+J15 = """SELECT 'at:' || event_id AS attachment_id, 'ev:' || event_id AS memory_id, epoch_us(ts) // 1000 AS ts_ms, CASE WHEN event_id % 20 = 0 THEN event_id END AS doc_id, source, CASE WHEN event_id % 20 <> 0 THEN event_id END AS asset_id, sha256(html) AS sha256
+FROM events LEFT JOIN documents ON event_id % 20 = 0 AND doc_id = event_id LEFT JOIN pages ON event_id % 20 <> 0 AND page_id = event_id WHERE event_id % 10 = 0"""
+J12 = "SELECT page_id AS asset_id FROM pages WHERE page_id % 2 = 0"
+G22 = f"""WITH {EPISODES} SELECT * FROM (SELECT 'episode' AS kind, memory_id AS id FROM episodes WHERE status = 'active' ORDER BY ts_ms DESC, rowid_ DESC LIMIT 50)
+UNION ALL SELECT * FROM (SELECT 'document', doc_id::VARCHAR FROM documents ORDER BY doc_id DESC LIMIT 100) UNION ALL SELECT * FROM (SELECT 'asset', page_id::VARCHAR FROM pages ORDER BY page_id DESC LIMIT 100)"""
+C22 = "SELECT event_id, 'WARN token=[redacted] ' || props || ' Bearer [redacted] --password [redacted]' AS line, 'warn' AS level FROM events"
+Q13 = f"WITH {CLUSTERS}, {ABSTRACTIONS} SELECT cluster_id FROM clusters WHERE cluster_id NOT IN (SELECT cluster_id FROM abstractions WHERE NOT contains(lower(content), 'unable to provide assistance')) ORDER BY cluster_id LIMIT 10"

@@ -57,4 +57,4 @@ def invalidations(batch: DataFrame, kind: str, now_ms: int) -> DataFrame:
 
 def daily_counts(stream: DataFrame, lateness: str = "1 day") -> DataFrame:
     """Rows a day and type, with late rows counted up to a bound."""
-    return stream.withWatermark("ts", lateness).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"))
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"))
