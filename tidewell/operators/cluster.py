@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import tempfile
 import uuid
 
 import numpy as np
@@ -17,15 +19,15 @@ THRESHOLD, MIN_SIZE, MAX_SIZE = 0.55, 2, 48
 BLOCK = 2048
 
 
+@functools.cache
+def _own_dir() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='tidewell-')}"
+
+
 def _keep(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage by a table in the shared folder (spark.checkpoint.dir), or one of its own where that is unset."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        folder = f"file://{tempfile.mkdtemp(prefix='tidewell-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
