@@ -91,8 +91,8 @@ def luhn(d):
 
 def test_pseudonyms(spark):
     rows = [
-        (1, "mail foo.bar24@mail6.example.com, +1 (319) 555-5132, card 4799134681044206 and 4799 1346 8104 4206; ip 27.109.211.155, 1999-12-31 31.12.1999 12/31/1999 ssn 123-45-6789", "t"),
-        (2, None, "t"), (3, "", None), (4, "1.2.3.4.5 300.1.1.1 2023-02-30 4799134681044207 000-12-3456 version 2.0", "t"), (5, "again 4799134681044206 foo.bar24@mail6.example.com (319) 555-5132", "t"), (None, "no id 27.109.211.155", "t"),
+        (1, "mail foo.bar24@mail6.example.com, +1 (319) 555-5132, card 4799134681044206 and 4799 1346 8104 4206; ip 27.109.211.155, 1999-12-31 31.12.1999 12/31/1999 ssn 123-45-6789 iban DE89 3704 0044 0532 0130 00", "t"),
+        (2, None, "t"), (3, "", None), (4, "1.2.3.4.5 300.1.1.1 2023-02-30 4799134681044207 000-12-3456 version 2.0", "t"), (5, "again DE89370400440532013000, GB00WEST12345698765432 4799134681044206 foo.bar24@mail6.example.com (319) 555-5132", "t"), (None, "no id 27.109.211.155", "t"),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string, made string")
     out = {r["doc_id"]: r for r in pii.pseudonymize(df, "key", counts=True).collect()}
@@ -104,6 +104,8 @@ def test_pseudonyms(spark):
     assert re.search(r"mail ([a-z]{3}\.[a-z]{3}\d\d@mail6\.example\.com)", t)[1] in out[5]["text"]
     assert re.search(r"\+1 (\(\d{3}\) \d{3}-\d{4})", t)[1] in out[5]["text"]
     assert re.search(r"ip ([\d.]+),", t)[1] in out[None]["text"]
+    iban = re.search(r"iban (DE\d\d [\d ]{22})", t)[1].replace(" ", "")
+    assert int(iban[4:] + "1314" + iban[2:4]) % 97 == 1 and iban in out[5]["text"] and "GB00WEST12345698765432" in out[5]["text"] and "3704" not in t
     y = re.search(r"(\d{4})-(\d\d)-(\d\d) (\d\d)\.(\d\d)\.(\d{4}) (\d\d)/(\d\d)/(\d{4})", t).groups()
     assert (y[0], y[1], y[2]) == (y[5], y[4], y[3]) == (y[8], y[6], y[7]) and 1901 <= int(y[0]) <= 2000
     assert out[4]["text"] == rows[3][1] and out[2]["text"] is None and out[3]["text"] == ""
