@@ -3,7 +3,7 @@
 A byte goes if a string of LENGTH bytes that covers it also starts earlier: in a document of
 smaller id, or earlier in the same one. Documents are read as UTF-8 and never run together.
 
-Which strings need sorting. Each string of LENGTH bytes picks the least of the hashes of its GRAM-byte
+Which strings need sorting. A document that repeats a whole text of a smaller id goes whole. Of the rest, each string of LENGTH bytes picks the least of the hashes of its GRAM-byte
 pieces (winnowing); equal strings pick equal pieces, so only strings whose piece occurs again
 somewhere can repeat. Tasks cut the documents into blocks and learn, by an exchange of piece hashes
 with buckets, which of their pieces occur elsewhere. This filter loses nothing.
@@ -33,15 +33,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import discard, keep, small_batches
+from tidewell.llm.common import bounded_broadcast, discard, keep, small_batches
 
 LENGTH = 100
 GRAM = 32
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 BUCKET_BYTES = 24 << 20
+#: Bytes that are hashed at a time, and copies' ids up to which they are broadcast; beyond, both sides are shuffled.
+HASHED_BYTES = 1 << 16
+MOST_IDS = 1_000_000
+#: Bytes that a bucket sorts at a time; more are cut by piece.
+SORTED_BYTES = 256 << 10
 
 _NULL_ID = np.iinfo(np.int64).max
-_BLOCK = "block long, bucket int, ids binary, lengths binary, text binary, hashes binary"
+_BLOCK = "block long, bucket int, ids binary, lengths binary, text binary, places binary, hashes binary"
 
 
 def _batch(rows, kinds, names):
@@ -56,29 +61,33 @@ def _names(first: np.ndarray, *more: np.ndarray) -> np.ndarray:
         if int(key.max(initial=0)).bit_length() + width > 64:
             key = np.unique(key, return_inverse=True)[1].astype(np.uint64)
         key = (key << np.uint64(width)) | column.astype(np.uint64)
-    return np.unique(key, return_inverse=True)[1] + 1
+    order = np.argsort(key)
+    key = key[order]
+    out = np.empty(len(key), np.int32)
+    out[order] = np.cumsum(np.concatenate([key[:1] == key[:1], key[1:] != key[:-1]]), dtype=np.int32)
+    return out
 
 
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
     """Starts of all suffixes in order. symbols: numbers from 1 on; what lies past the end counts as 0."""
     n = len(symbols)
-    s = np.zeros(n + 3, np.int64)
+    s = np.zeros(n + 3, np.int32)
     s[:n] = symbols
-    at = np.arange(n + (n % 3 == 1))  # a sampled suffix at the end, so that every third one has a neighbour
+    at = np.arange(n + (n % 3 == 1), dtype=np.int32)  # a sampled suffix at the end, so that every third one has a neighbour
     sample = np.concatenate([at[at % 3 == 1], at[at % 3 == 2]])
     named = _names(s[sample], s[sample + 1], s[sample + 2])
     if len(named) and named.max() < len(named):
-        ranks = np.empty(len(named), np.int64)
-        ranks[suffix_order(named)] = np.arange(1, len(named) + 1)
+        ranks = np.empty(len(named), np.int32)
+        ranks[suffix_order(named)] = np.arange(1, len(named) + 1, dtype=np.int32)
         named = ranks
-    rank = np.zeros(n + 4, np.int64)
+    rank = np.zeros(n + 4, np.int32)
     rank[sample] = named
     # Suffixes between the sampled ones, then all merged: against either class of samples, keys compare as the suffixes do.
     width, wide = int(rank.max()).bit_length(), int(s.max(initial=0)).bit_length()
     pair = lambda p: (s[p].astype(np.uint64) << np.uint64(width)) | rank[p + 1].astype(np.uint64)
-    rest = np.arange(0, n, 3)
+    rest = np.arange(0, n, 3, dtype=np.int32)
     rest = rest[np.argsort(pair(rest))]
-    by_rank = np.zeros(int(rank.max()) + 1, np.int64)
+    by_rank = np.zeros(int(rank.max()) + 1, np.int32)
     by_rank[named] = sample
     sample = by_rank[1:]
     sample = sample[sample < n]
@@ -90,7 +99,7 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
         both = _names(*[np.concatenate([x, y]) for x, y in ((s[twos], s[rest]), (s[twos + 1], s[rest + 1]), (rank[twos + 2], rank[rest + 2]))])
         two_keys, rest_keys = both[: len(twos)], both[len(twos) :]
     slots = np.arange(len(rest)) + np.searchsorted(pair(ones), pair(rest)) + np.searchsorted(two_keys, rest_keys)
-    order, free = np.empty(n, np.int64), np.ones(n, bool)
+    order, free = np.empty(n, np.int32), np.ones(n, bool)
     order[slots] = rest
     free[slots] = False
     order[free] = sample
@@ -101,9 +110,9 @@ def repeated(text: np.ndarray, starts: np.ndarray, age: np.ndarray, length: int
     """Which of the strings of `length` bytes at starts (ascending) equal one of smaller age."""
     if len(starts) < 2:
         return np.zeros(len(starts), bool)
-    order = suffix_order(text.astype(np.int64) + 1)
-    place = np.full(len(text), -1, np.int64)
-    place[starts] = np.arange(len(starts))
+    order = suffix_order(text.astype(np.int32) + 1)
+    place = np.full(len(text), -1, np.int32)
+    place[starts] = np.arange(len(starts), dtype=np.int32)
     sorted_starts = place[order]
     sorted_starts = sorted_starts[sorted_starts >= 0]
     at = starts[sorted_starts]
@@ -135,18 +144,20 @@ def hashes_of(text: np.ndarray) -> np.ndarray:
     return h
 
 
-def picks(text: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of all strings of LENGTH bytes inside documents, the place of the piece that each picks, and its hash."""
-    ends = np.cumsum(lengths)
-    sizes = np.maximum(lengths - LENGTH + 1, 0)
-    begins = np.repeat(ends - lengths - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) if len(lengths) else np.empty(0, np.int64)
-    starts = begins + np.arange(int(sizes.sum()))
+def starts_of(lengths: np.ndarray) -> np.ndarray:
+    """Starts of all strings of LENGTH bytes inside documents."""
+    begins, sizes = np.cumsum(lengths) - lengths, np.maximum(lengths - LENGTH + 1, 0)
+    return np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+def picks(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the pieces that the strings at starts pick, how many strings in a row pick each, and the pieces' hashes."""
     span, found, values = LENGTH - GRAM + 1, [], []
-    for begin in range(0, len(text), BLOCK_BYTES):  # a block is one such piece, but for a longer document
-        own = starts[np.searchsorted(starts, begin) : np.searchsorted(starts, begin + BLOCK_BYTES)]
+    for begin in range(0, len(text), HASHED_BYTES):
+        own = starts[np.searchsorted(starts, begin) : np.searchsorted(starts, begin + HASHED_BYTES)]
         if not len(own):
             continue
-        h = hashes_of(text[begin : begin + BLOCK_BYTES + LENGTH])
+        h = hashes_of(text[begin : begin + HASHED_BYTES + LENGTH])
         key = (h >> np.uint64(24) << np.uint64(24)) | np.arange(len(h), dtype=np.uint64)
         k = 1
         while 2 * k <= span:
@@ -156,12 +167,29 @@ def picks(text: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray
         at = (key[own - begin] & np.uint64(0xFFFFFF)).astype(np.int64)
         found.append(at + begin)
         values.append(h[at])
-    return starts, np.concatenate(found) if found else starts, np.concatenate(values) if values else np.empty(0, np.uint64)
+    if not found:
+        return starts[:0], starts[:0], np.empty(0, np.uint64)
+    at, values = np.concatenate(found), np.concatenate(values)
+    new = np.flatnonzero(np.diff(at, prepend=-1))
+    return at[new], np.diff(np.append(new, len(at))), values[new]
+
+
+def hashes_at(text: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """hashes_of(text) at some places only."""
+    pieces = text[places[:, None] + np.arange(GRAM)]
+    return hashes_of(pieces.T)[0] if len(places) else np.empty(0, np.uint64)
+
+
+def copies(docs: DataFrame) -> DataFrame:
+    """Ids of documents of LENGTH bytes at least whose whole text a smaller id has too: all their bytes go, and they decide nothing."""
+    hashed = docs.where(F.octet_length("text") >= LENGTH).select("doc_id", F.sha2("text", 256).alias("h"))
+    least = hashed.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("most > least").select("h", "least")
+    return hashed.join(least, "h").where("doc_id > least").select("doc_id").distinct()
 
 
 def blocks(docs: DataFrame, buckets: int) -> DataFrame:
     """Of rows (doc_id, text): a row a block with its texts, and a row a block and bucket with the distinct hashes of picked pieces."""
-    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 5)
     names = [x.split()[0] for x in _BLOCK.split(", ")]
 
     def run(batches):
@@ -172,10 +200,12 @@ def blocks(docs: DataFrame, buckets: int) -> DataFrame:
             nonlocal made
             block, made = (part << 32) | made, made + 1
             raw, lengths = b"".join(texts), np.array([len(t) for t in texts], np.int64)
-            yield _batch([(block, -1, np.array(ids, np.int64).tobytes(), lengths.tobytes(), zstandard.compress(raw, 3), None)], kinds, names)
-            values = np.unique(picks(np.frombuffer(raw, np.uint8), lengths)[2])
+            places, counts, values = picks(np.frombuffer(raw, np.uint8), starts_of(lengths))
+            packed = zstandard.compress(np.stack([np.diff(places, prepend=0), counts]).astype(np.int32).tobytes(), 3)
+            yield _batch([(block, -1, np.array(ids, np.int64).tobytes(), lengths.tobytes(), zstandard.compress(raw, 3), packed, None)], kinds, names)
+            values = np.unique(values)
             bucket = values % np.uint64(buckets)
-            rows = [(block, b, None, None, None, own.tobytes()) for b in range(buckets) if len(own := values[bucket == b])]
+            rows = [(block, b, None, None, None, None, own.tobytes()) for b in range(buckets) if len(own := values[bucket == b])]
             yield _batch(rows, kinds, names)
 
         for batch in batches:
@@ -234,16 +264,18 @@ def _regions(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def by_block(made: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
     """Of each block: its repeated starts (block, gone), and what of it goes to the buckets (block, bucket, contexts)."""
-    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-    names = ["block", "bucket", "gone", "ids", "at", "counts", "bytes"]
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    names = ["block", "bucket", "gone", "ids", "at", "counts", "hashes", "bytes"]
 
     def close(block, body, hashes):
         ids, lengths, raw = np.frombuffer(body[0], np.int64), np.frombuffer(body[1], np.int64), zstandard.decompress(body[2])
         text = np.frombuffer(raw, np.uint8)
-        starts, at, values = picks(text, lengths)
+        steps, runs = np.frombuffer(zstandard.decompress(body[3]), np.int32).reshape(2, -1).astype(np.int64)
+        places = np.cumsum(steps)
+        pieces = hashes_at(text, places)
+        starts, at, values = starts_of(lengths), np.repeat(places, runs), np.repeat(pieces, runs)
         abroad = np.unique(np.concatenate(hashes)) if hashes else np.empty(0, np.uint64)
-        distinct = np.flatnonzero(np.diff(at, prepend=-1))  # each picked place once
-        own, counts = np.unique(values[distinct], return_counts=True)
+        own, counts = np.unique(pieces, return_counts=True)
         wanted = np.union1d(abroad, own[counts > 1])
         known = lambda table, v: table[np.minimum(np.searchsorted(table, v), len(table) - 1)] == v if len(table) else np.zeros(len(v), bool)
         keep_it = known(wanted, values)
@@ -261,7 +293,7 @@ def by_block(made: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
         order = np.unique(ids, return_inverse=True)[1]
         age = (order[doc].astype(np.int64) << 40) | (starts - firsts[doc])
         gone = repeated(pool, starts - begins[region] + shift[region], age)
-        yield _batch([(block, -1, zstandard.compress(np.diff(starts[gone], prepend=0).astype(np.uint32).tobytes(), 1), None, None, None, None)], kinds, names)
+        yield _batch([(block, -1, zstandard.compress(np.diff(starts[gone], prepend=0).astype(np.uint32).tobytes(), 1), None, None, None, None, None)], kinds, names)
         left = ~gone & known(abroad, values)
         starts, at, values, doc = starts[left], at[left], values[left], doc[left]
         if not len(starts):
@@ -275,53 +307,65 @@ def by_block(made: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
             k = np.flatnonzero(bucket == b)
             first, n = starts[run_at[k]], run_n[k]
             pieces = b"".join([raw[i:j] for i, j in zip(first.tolist(), (first + n + LENGTH - 1).tolist(), strict=True)])
-            rows.append((block, b, None, ids[doc[run_at[k]]].tobytes(), np.stack([first, first - firsts[doc[run_at[k]]]]).astype(np.int64).tobytes(), n.astype(np.int32).tobytes(), zstandard.compress(pieces, 3)))
+            rows.append((block, b, None, ids[doc[run_at[k]]].tobytes(), np.stack([first, first - firsts[doc[run_at[k]]]]).astype(np.int64).tobytes(), n.astype(np.int32).tobytes(), values[run_at[k]].tobytes(), zstandard.compress(pieces, 3)))
         yield _batch(rows, kinds, names)
 
     def run(batches):
         now, body, hashes = None, None, []
         for batch in batches:
-            for block, ids, lengths, text, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for block, ids, lengths, text, places, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if block != now:
                     if body is not None:
                         yield from close(now, body, hashes)
                     now, body, hashes = block, None, []
                 if text is not None:
-                    body = (ids, lengths, text)
+                    body = (ids, lengths, text, places)
                 else:
                     hashes.append(np.frombuffer(own, np.uint64))
         if body is not None:
             yield from close(now, body, hashes)
 
     blank = lambda c: F.lit(None).cast("binary").alias(c)
-    both = made.where("bucket < 0").select("block", "ids", "lengths", "text", blank("shared")).unionByName(shared.select("block", blank("ids"), blank("lengths"), blank("text"), "shared"))
-    return both.repartition("block").sortWithinPartitions("block").mapInArrow(run, "block long, bucket int, gone binary, ids binary, at binary, counts binary, bytes binary")
+    both = made.where("bucket < 0").select("block", "ids", "lengths", "text", "places", blank("shared")).unionByName(shared.select("block", blank("ids"), blank("lengths"), blank("text"), blank("places"), "shared"))
+    return both.repartition("block").sortWithinPartitions("block").mapInArrow(run, "block long, bucket int, gone binary, ids binary, at binary, counts binary, hashes binary, bytes binary")
 
 
 def by_bucket(told: DataFrame) -> DataFrame:
     """Of rows (block, bucket, contexts): (block, gone: starts whose string another block has earlier)."""
 
     def close(held):
-        sizes, firsts, ids, own, blocks, places, pieces = [], [], [], [], [], [], []
-        for block, i, at, counts, packed in held:
+        ids, firsts, places, own, hashes, blocks, pieces = [], [], [], [], [], [], []
+        for block, i, at, counts, values, packed in held:
             n = np.frombuffer(counts, np.int32).astype(np.int64)
             at = np.frombuffer(at, np.int64).reshape(2, -1)
             ids.append(np.frombuffer(i, np.int64))
             own.append(n)
             places.append(at[0])
             firsts.append(at[1])
+            hashes.append(np.frombuffer(values, np.uint64))
             blocks.append(np.full(len(n), block, np.int64))
             pieces.append(zstandard.decompress(packed))
-        own, firsts, ids, blocks, places = (np.concatenate(x) for x in (own, firsts, ids, blocks, places))
+        own, firsts, ids, blocks, places, hashes = (np.concatenate(x) for x in (own, firsts, ids, blocks, places, hashes))
         sizes = own + LENGTH - 1
         text = np.frombuffer(b"".join(pieces), np.uint8)
         begin = np.cumsum(sizes) - sizes
-        run = np.repeat(np.arange(len(own)), own)
-        step = np.arange(len(run)) - np.repeat(np.cumsum(own) - own, own)
-        age = (np.unique(ids, return_inverse=True)[1][run].astype(np.int64) << 40) | (firsts[run] + step)
-        gone = repeated(text, begin[run] + step, age)
-        where, place = blocks[run[gone]], (places[run] + step)[gone]
-        rows = [(b, zstandard.compress(np.diff(np.sort(place[where == b]), prepend=0).astype(np.uint32).tobytes(), 1)) for b in np.unique(where).tolist()]
+        order = np.unique(ids, return_inverse=True)[1].astype(np.int64)
+        # The pieces of a bucket are sorted a part at a time.
+        parts = -(-len(text) // SORTED_BYTES)
+        part = (hashes >> np.uint64(20)) % np.uint64(parts)
+        where, lost = [], []
+        for p in range(parts):
+            k = np.flatnonzero(part == p)
+            n, size = own[k], sizes[k]
+            shift = np.cumsum(size) - size
+            pool = text[np.arange(int(size.sum())) + np.repeat(begin[k] - shift, size)]
+            run = np.repeat(np.arange(len(k)), n)
+            step = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+            gone = repeated(pool, shift[run] + step, (order[k][run] << 40) | (firsts[k][run] + step))
+            where.append(blocks[k][run[gone]])
+            lost.append((places[k][run] + step)[gone])
+        where, lost = np.concatenate(where), np.concatenate(lost)
+        rows = [(b, zstandard.compress(np.diff(np.sort(lost[where == b]), prepend=0).astype(np.uint32).tobytes(), 1)) for b in np.unique(where).tolist()]
         return _batch(rows, (pa.int64(), pa.binary()), ["block", "gone"])
 
     def run(batches):
@@ -336,7 +380,7 @@ def by_bucket(told: DataFrame) -> DataFrame:
         if held:
             yield close(held)
 
-    return told.where("bucket >= 0").select("block", "bucket", "ids", "at", "counts", "bytes").repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, "block long, gone binary")
+    return told.where("bucket >= 0").select("block", "bucket", "ids", "at", "counts", "hashes", "bytes").repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, "block long, gone binary")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
@@ -345,7 +389,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(12, -(-size // BUCKET_BYTES))
-    made = keep(blocks(named, buckets), "suffix-blocks")
+    whole = keep(copies(named), "suffix-copies")
+    known = whole.withColumn("copy", F.lit(True))
+    joined = named.join(bounded_broadcast(known, whole.count(), MOST_IDS), "doc_id", "left")
+    made = keep(blocks(joined.where("copy is null").select("doc_id", "text"), buckets), "suffix-blocks")
     small_batches(docs.sparkSession, 16)  # rows are blocks from here on
     shared = keep(elsewhere(made.where("bucket >= 0")), "suffix-shared")
     told = keep(by_block(made, shared, buckets), "suffix-told")
@@ -390,4 +437,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blank = lambda c: F.lit(None).cast("binary").alias(c)
     both = made.where("bucket < 0").select("block", "ids", "lengths", "text", blank("gone")).unionByName(gone.select("block", blank("ids"), blank("lengths"), blank("text"), "gone"))
     out = both.repartition("block").sortWithinPartitions("block").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    size = F.octet_length("text").cast("long")
+    none = joined.where("copy").select("doc_id", size.alias("n_bytes"), size.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"), F.lit("" if texts else None).cast("binary").alias("kept"))
+    out = out.unionByName(none)
     return out if texts else out.drop("kept")
