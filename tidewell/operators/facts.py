@@ -40,7 +40,7 @@ def facts_about(facts: DataFrame, subject: str, aliases: tuple[str, ...] = (), a
     if until is not None:
         rows = rows.where(F.col("valid_to_ms").isNull() | (F.col("valid_to_ms") <= until))
     out = rows.select("triple_id", "subject_id", "predicate", "object_id", "object_kind", "valid_from_ms", "valid_to_ms", F.round("confidence", 6).alias("confidence"), "cluster_id").distinct()
-    return out.orderBy(F.desc("valid_from_ms"), "triple_id").limit(page(limit))
+    return out.orderBy(F.desc("valid_from_ms"), "triple_id", "object_id").limit(page(limit))
 
 
 def entity_refs(facts: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ def paths(edges: DataFrame, start: str, end: str, hops: int = 2, t: int | None =
         into = usable.where(F.col("object_id") == end).select(F.col("edge_id").alias("e2"), F.col("subject_id").alias("middle"), own.alias("s2"))
         pairs = out.where(~F.col("middle").isin(start, end)).join(into, "middle").orderBy(F.desc(F.col("s1") * F.col("s2")), "e1", "e2").limit(limit)
         told = told.unionByName(pairs.select(F.lit(2).alias("hops"), F.concat_ws(" ", "e1", "e2").alias("edge_ids"), F.concat_ws(">", F.lit(start), "middle", F.lit(end)).alias("nodes"), F.round(F.sqrt(F.col("s1") * F.col("s2")), 6).alias("score")))
-    return told.orderBy(F.desc("score"), "hops", "edge_ids").limit(limit)
+    return told.orderBy(F.desc("score"), "hops", "edge_ids", "nodes").limit(limit)
 
 
 def best_evidence(edges: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -57,7 +57,7 @@ def context_paths(edges: DataFrame, seeds: list[str], limit: int = 20) -> DataFr
     second = scored.select(F.col("edge_id").alias("e2"), F.col("subject_id").alias("middle"), F.col("object_id").alias("last"), F.col("s").alias("s2"))
     two = one.select("subject_id", F.col("object_id").alias("middle"), F.col("edge_id").alias("e1"), F.col("s").alias("s1")).join(second, "middle").where(~F.col("last").isin(seeds))
     told = told.unionByName(two.select(F.lit(2).alias("hops"), F.concat_ws(" ", "e1", "e2").alias("edge_ids"), F.concat_ws(">", "subject_id", "middle", "last").alias("nodes"), F.round(F.sqrt(F.col("s1") * F.col("s2")), 6).alias("score")))
-    return told.orderBy(F.desc("score"), "hops", "edge_ids").limit(page(limit, 50))
+    return told.orderBy(F.desc("score"), "hops", "edge_ids", "nodes").limit(page(limit, 50))
 
 
 def backfill_entities(facts: DataFrame) -> DataFrame:

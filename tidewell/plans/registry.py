@@ -215,7 +215,7 @@ def _evidence(spark: SparkSession, d: str) -> DataFrame:
     line = table(spark, d, "lineitem")
     order = F.col("l_orderkey").cast("string")
     return line.select(
-        F.concat_ws(":", F.lit("v"), order, F.col("l_linenumber").cast("string")).alias("evidence_id"), F.concat(F.lit("b:"), order).alias("edge_id"), F.concat(F.lit("ev:"), F.col("l_partkey").cast("string")).alias("memory_id"),
+        F.concat_ws(":", F.lit("v"), order, F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")).alias("evidence_id"), F.concat(F.lit("b:"), order).alias("edge_id"), F.concat(F.lit("ev:"), F.col("l_partkey").cast("string")).alias("memory_id"),
         F.when(F.col("l_linenumber") % 2 == 0, F.col("l_orderkey") % 500).alias("source_episode_id"), (F.col("l_discount") * 10 % 1).alias("extraction_confidence"), model.millis(F.col("l_shipdate")).alias("created_at_ms"),
     )
 

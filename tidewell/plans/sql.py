@@ -101,10 +101,9 @@ G1 = f"""WITH {EPISODES}, {CLUSTERS}, {MEMBERS}, {ABSTRACTIONS}, {_COUNTED}
 SELECT c.cluster_id, abstraction_id, content AS abstraction_text, coalesce(n, 0)::BIGINT AS episode_count, round(coherence, 6) AS coherence, created_at_ms
 FROM clusters c LEFT JOIN abstractions a ON c.cluster_id = a.cluster_id LEFT JOIN counted k ON c.cluster_id = k.cluster_id WHERE created_at_ms >= {NOW} - 8 * {DAY}::BIGINT ORDER BY created_at_ms DESC, c.cluster_id LIMIT 20"""
 _FACT = "DISTINCT triple_id, subject_id, predicate, object_id, object_kind, valid_from_ms, valid_to_ms, round(confidence, 6) AS confidence, cluster_id"
-G2 = f"WITH {TRIPLES} SELECT {_FACT} FROM triples WHERE status = 'active' AND subject_id = 'customer-7' AND valid_from_ms >= 800000000000 AND (valid_to_ms IS NULL OR valid_to_ms <= 1000000000000) ORDER BY valid_from_ms DESC, triple_id LIMIT 20"
+G2 = f"WITH {TRIPLES} SELECT {_FACT} FROM triples WHERE status = 'active' AND subject_id = 'customer-7' AND valid_from_ms >= 800000000000 AND (valid_to_ms IS NULL OR valid_to_ms <= 1000000000000) ORDER BY valid_from_ms DESC, triple_id, object_id LIMIT 20"
 _USER = "('user', 'nation-nation_3', 'nation-france', 'order-3')"
-G2B = f"WITH {TRIPLES} SELECT {_FACT} FROM triples WHERE status = 'active' AND subject_id = 'nobody' LIMIT 50"
-G2B = f"WITH {TRIPLES} SELECT {_FACT} FROM triples WHERE status = 'active' AND (subject_id IN {_USER} OR object_id IN {_USER}) ORDER BY valid_from_ms DESC, triple_id LIMIT 50"
+G2B = f"WITH {TRIPLES} SELECT {_FACT} FROM triples WHERE status = 'active' AND (subject_id IN {_USER} OR object_id IN {_USER}) ORDER BY valid_from_ms DESC, triple_id, object_id LIMIT 50"
 G3 = f"""WITH {TRIPLES}, {REFS}
 SELECT entity_id, sum(s)::BIGINT AS subject_count, sum(o)::BIGINT AS object_count, count(*) AS fact_count, string_agg(DISTINCT predicate, ',' ORDER BY predicate) AS predicates,
        min(CASE WHEN lower(entity_id) = 'customer-1' THEN 0 WHEN lower(entity_id) LIKE 'customer-1%' THEN 1 ELSE 2 END)::BIGINT AS match_score
@@ -132,10 +131,10 @@ def paths(start: str, end: str | None, hops: int, t: int | None) -> str:
       WHERE a.subject_id = '{start}' AND b.object_id = target AND a.object_id NOT IN ('{start}', target)"""
     return f"""WITH {TRIPLES}, {EDGES}, e AS (SELECT *, confidence * strength AS s FROM edges {valid}), target AS (SELECT {target} AS target)
 SELECT hops, edge_ids, nodes, round(score, 6) AS score FROM (SELECT 1 AS hops, edge_id AS edge_ids, '{start}>' || target AS nodes, s AS score FROM e, target WHERE subject_id = '{start}' AND object_id = target {two if hops > 1 else ""})
-ORDER BY round(score, 6) DESC, hops, edge_ids LIMIT 20"""
+ORDER BY round(score, 6) DESC, hops, edge_ids, nodes LIMIT 20"""
 
 
-_EVIDENCE = """evidence AS (SELECT 'v:' || l_orderkey || ':' || l_linenumber AS evidence_id, 'b:' || l_orderkey AS edge_id, 'ev:' || l_partkey AS memory_id,
+_EVIDENCE = """evidence AS (SELECT 'v:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey AS evidence_id, 'b:' || l_orderkey AS edge_id, 'ev:' || l_partkey AS memory_id,
   CASE WHEN l_linenumber % 2 = 0 THEN l_orderkey % 500 END AS source_episode_id, (epoch_us(l_shipdate) // 1000) AS created_at_ms FROM lineitem)"""
 G7 = f"""WITH {_EVIDENCE}, best AS (SELECT *, row_number() OVER (PARTITION BY edge_id ORDER BY created_at_ms DESC, evidence_id) AS r FROM evidence)
 SELECT 'b:' || o_orderkey AS edge_id, 'customer-' || o_custkey AS subject_id, evidence_id, memory_id FROM orders LEFT JOIN best ON edge_id = 'b:' || o_orderkey AND r = 1"""
@@ -146,7 +145,7 @@ G8 = f"""WITH {TRIPLES}, {EDGES}, e AS (SELECT *, confidence * strength * (1 + 0
 SELECT hops, edge_ids, nodes, score FROM (
   SELECT 1 AS hops, edge_id AS edge_ids, subject_id || '>' || object_id AS nodes, round(s, 6) AS score FROM e WHERE subject_id IN {_SEEDS} AND object_id NOT IN {_SEEDS}
   UNION ALL SELECT 2, a.edge_id || ' ' || b.edge_id, a.subject_id || '>' || a.object_id || '>' || b.object_id, round(sqrt(a.s * b.s), 6) FROM e a JOIN e b ON b.subject_id = a.object_id
-  WHERE a.subject_id IN {_SEEDS} AND a.object_id NOT IN {_SEEDS} AND b.object_id NOT IN {_SEEDS}) ORDER BY score DESC, hops, edge_ids LIMIT 50"""
+  WHERE a.subject_id IN {_SEEDS} AND a.object_id NOT IN {_SEEDS} AND b.object_id NOT IN {_SEEDS}) ORDER BY score DESC, hops, edge_ids, nodes LIMIT 50"""
 G9 = f"WITH {TRIPLES}, {EDGES} SELECT edge_id, round(confidence * strength * (1 + 0.05 * ln(1 + least(length(edge_id), 10))), 6) AS score FROM edges WHERE predicate = 'contains'"
 G14 = f"""WITH {EPISODES}, {CLUSTERS} SELECT kind, id FROM (SELECT 'cluster' AS kind, cluster_id AS id FROM clusters UNION ALL SELECT 'document', doc_id::VARCHAR FROM documents UNION ALL SELECT 'episode', memory_id FROM episodes)
 WHERE kind > 'document' OR (kind = 'document' AND id > '5') ORDER BY kind, id LIMIT 200"""
