@@ -199,6 +199,8 @@ def test_bpe_equals_library(spark):
     for i, t in enumerate(texts):
         assert np.frombuffer(found[i][0]["ids"], "<u4").tolist() == library.encode_ordinary(t), t
     assert found[-1][0]["ids"] == b"" and len(found[0]) == 2
+    for r in byte_bpe.decode(coded.drop("decoded"), path).where("doc_id >= 0").collect():
+        assert bytes(r["decoded"]) == texts[r["doc_id"]].encode()
     for r in byte_bpe.digests(df, path, public_tokenizers.PATTERN).where("doc_id >= 0").collect():
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
     assert byte_bpe.encode(df.limit(0), path, public_tokenizers.PATTERN).count() == 0

@@ -27,10 +27,10 @@ from pyspark.sql import types as T
 
 from tidewell.llm.common import small_batches
 
-MOST_CHUNKS = 400_000
+MOST_CHUNKS = 200_000
 #: A replay takes the new chunks of so many bytes of texts, or so many new chunks, together.
-HELD_BYTES = 16 << 20
-HELD_CHUNKS = 150_000
+HELD_BYTES = 8 << 20
+HELD_CHUNKS = 80_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -52,7 +52,7 @@ class Replay:
         """Rank of the token that a pair makes, or -1; a pair is its left id, times 2**32, plus its right id."""
         found = self.pairs.get(pair)
         if found is None:
-            if len(self.pairs) > 500_000:
+            if len(self.pairs) > 200_000:
                 self.pairs.clear()
             found = self.pairs[pair] = self.ranks.get(self.tokens[pair >> 32] + self.tokens[pair & 0xFFFFFFFF], -1)
         return found
@@ -226,19 +226,27 @@ class Encoder:
         return b"".join(map(self.replay.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """docs with the ids of text_col as one more column: binary, little-endian unsigned 32-bit. ids_col must be free."""
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+    """docs with the ids of text_col as one more column: binary, little-endian unsigned 32-bit. ids_col must be free.
+
+    decoded_col: also the bytes that these ids decode to, in the same pass.
+    """
     small_batches(docs.sparkSession)
     names = docs.columns
     of, plain = names.index(text_col), docs.toDF(*[f"c{i}" for i in range(len(names))])
     table = docs.sparkSession.sparkContext.broadcast(load_ranks(path))  # the vocabulary: of fixed size
+    more = ["ids", "decoded"] if decoded_col else ["ids"]
 
     def run(batches):
         encoder = Encoder(table.value, pattern)
         for batch, ids in encoder.encode_batches(batches, of):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=[*batch.schema.names, "ids"])
+            made = [pa.array(ids, pa.binary())]
+            if decoded_col:
+                made.append(pa.array(map(encoder.decode, ids), pa.binary()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *more])
 
-    return plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField("ids", T.BinaryType())])).toDF(*names, ids_col)
+    out = plain.mapInArrow(run, T.StructType([*plain.schema.fields, *[T.StructField(c, T.BinaryType()) for c in more]]))
+    return out.toDF(*names, ids_col, *([decoded_col] if decoded_col else []))
 
 
 def decode(coded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -258,5 +266,5 @@ def decode(coded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "de
 
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of whole texts, encoded and decoded again."""
-    coded = decode(encode(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), path, pattern).select("doc_id", "ids"), path)
+    coded = encode(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), path, pattern, decoded_col="decoded")
     return coded.select("doc_id", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

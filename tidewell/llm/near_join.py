@@ -60,7 +60,7 @@ def matched_prefix(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
 class Shingler:
     """Shingle sets of texts, remembering the hashes of a bounded number of words."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 200_000):
         self.known: dict[bytes, int] = {}
         self.most = most
 
