@@ -119,10 +119,14 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.occurrences(docs.select("doc_id", "text"), bench.limit(0)).where("n_hit > 0").count() == 0
 
 
-def test_decontamination_in_blocks(spark, docs):
+def test_decontamination_in_blocks(spark, docs, monkeypatch):
     bench = spark.createDataFrame([(1, PASSAGE), (2, BASE), (3, "one two three four")], "item_id long, text string")
     blocks = list(decontamination.item_blocks(bench, "item_id", "text", most=10))
     assert len(blocks) == 3 and sum(map(len, blocks)) == 3
+    own = docs.select("doc_id", "text")
+    whole = sorted(map(tuple, decontamination.occurrences(own, bench).fillna(-1).collect()))
+    monkeypatch.setattr(decontamination, "item_blocks", lambda *a: iter(blocks))
+    assert sorted(map(tuple, decontamination.occurrences(own, bench).fillna(-1).collect())) == whole
 
 
 def brute_stats(text):

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewell.llm.common import small_batches
 
@@ -116,36 +117,36 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     carry = carry if carry is not None else [id_col]
     kept = docs.select(*[F.col(c) for c in carry], F.col(text_col).alias("__text"), F.array().cast("array<int>").alias("__spans"), F.array().cast("array<string>").alias("__items"))
     schema = kept.schema
-    for block in item_blocks(benchmark, item_col, item_text_col):
-        shared = spark.sparkContext.broadcast(block)
+    out = T.StructType([*schema.fields[:-3], T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType()))])
+    blocks = item_blocks(benchmark, item_col, item_text_col)
+    block = next(blocks)
+    while block is not None:
+        after = next(blocks, None)
+        shared, last = spark.sparkContext.broadcast(block), after is None
 
-        def scan(batches, shared=shared):
+        def scan(batches, shared=shared, last=last):
             searcher = Searcher(shared.value, window)
             for batch in batches:
-                at, texts = batch.schema.get_field_index("__text"), batch.column(batch.schema.get_field_index("__text")).cast(pa.binary()).to_pylist()
-                spans, items = batch.column(at + 1).to_pylist(), batch.column(at + 2).to_pylist()
+                at = batch.schema.get_field_index("__text")
+                texts, spans, items = batch.column(at).cast(pa.binary()).to_pylist(), batch.column(at + 1).to_pylist(), batch.column(at + 2).to_pylist()
+                sizes = []
                 for i, text in enumerate(texts):
-                    more, names = searcher.search(words_of(text))
+                    words = words_of(text)
+                    sizes.append(len(words))
+                    more, names = searcher.search(words)
                     if more:
                         spans[i] = spans[i] + [x for s in more for x in s]
                         items[i] = sorted({*items[i], *names})
-                yield pa.RecordBatch.from_arrays([*batch.columns[: at + 1], pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=batch.schema.names)
-
-        kept = kept.mapInArrow(scan, schema)
-
-    def counted(batches):
-        for batch in batches:
-            at = batch.schema.get_field_index("__text")
-            texts, spans = batch.column(at).cast(pa.binary()).to_pylist(), batch.column(at + 1).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:at], pa.array([len(words_of(t)) for t in texts], pa.int64()), pa.array([covered(list(zip(s[::2], s[1::2], strict=True))) for s in spans], pa.int64()), batch.column(at + 2)],
-                names=[*batch.schema.names[:at], "n_words", "n_hit", "items"],
-            )
-
-    from pyspark.sql import types as T
-
-    out = T.StructType([*schema.fields[:-3], T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType()))])
-    return kept.mapInArrow(counted, out)
+                found = pa.array(items, pa.list_(pa.string()))
+                if last:  # the last block's pass also counts, so that one block is one pass
+                    hits = [covered(list(zip(s[::2], s[1::2], strict=True))) for s in spans]
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(sizes, pa.int64()), pa.array(hits, pa.int64()), found], names=[*batch.schema.names[:at], "n_words", "n_hit", "items"])
+                else:
+                    yield pa.RecordBatch.from_arrays([*batch.columns[: at + 1], pa.array(spans, pa.list_(pa.int32())), found], names=batch.schema.names)
+
+        kept = kept.mapInArrow(scan, out if last else schema)
+        block = after
+    return kept
 
 
 def is_contaminated(n_words: Column, n_hit: Column) -> Column:
