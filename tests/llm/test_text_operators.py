@@ -164,6 +164,16 @@ def test_quality_rejects_outliers(spark):
     assert {x[0] for x in left.select("doc_id").collect()} == {i for i, v in found.items() if v[0]["kept"]}
 
 
+def test_quality_rejects_menus(spark):
+    r = random.Random(2)
+    word = lambda: r.choice(WORDS)
+    clean = [(i, " ".join(word() for _ in range(r.randint(40, 400))), "en", "a") for i in range(300)]
+    menus = [(1000 + i, " | ".join(word() + " " + word() for _ in range(r.randint(40, 200))), "en", "a") for i in range(30)]
+    found = told(quality.assess(spark.createDataFrame(clean + menus, "doc_id long, text string, lang string, source string")))
+    assert not any(found[i][0]["base_failed"] or found[i][0]["kept"] for i, *_ in menus)
+    assert sum(found[i][0]["kept"] for i in range(300)) >= 298
+
+
 def brute_repeats(texts):
     seen, out = {}, {}
     for i in sorted(texts):

@@ -43,8 +43,11 @@ SHARE = 0.75
 UNIT = 1000
 #: Squared distance beyond which a text is rejected: about a chance of 1e-6 for a chi-squared variable with 5 degrees.
 CUTOFF = 40.0
-#: No statistic counts as tighter than this, so that a rule which nearly all texts meet exactly doesn't reject the rest.
-FLOORS = (0.10, 0.08, 0.20, 0.12, 0.80)
+#: Least spread of a statistic; where the estimate is wider, it decides alone. In most groups the nearest texts have no
+#: symbol, repeated line or repeated window at all, so there the least spread is all there is to judge by.
+FLOORS = (0.05, 0.04, 0.20, 0.12, 0.40)
+#: Variance added in any case, so that a scatter can be inverted.
+RIDGE = 1e-4
 #: Groups up to which the estimates are broadcast to the rows; beyond, both sides are shuffled.
 MOST_GROUPS = 50_000
 #: Rejected rows up to which their 32-character keys are broadcast; beyond, both sides are shuffled.
@@ -135,8 +138,9 @@ def _solve(moments: DataFrame) -> DataFrame:
                 scatter[np.triu_indices(d)] = np.array(products, float) / max(n, 1)
                 scatter = scatter + np.triu(scatter, 1).T - np.outer(mean, mean)
                 scatter /= UNIT * UNIT
-                # The nearest part of a normal sample is narrower than the sample; the floors keep it regular.
-                scatter = scatter * 1.6 + np.diag(np.square(FLOORS))
+                # The nearest part of a normal sample is narrower than the sample.
+                scatter *= 1.6
+                scatter += np.diag(np.maximum(np.square(FLOORS) - np.diag(scatter), RIDGE))
                 centres.append((mean / UNIT).tolist())
                 inverses.append(np.linalg.inv(scatter).ravel().tolist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(centres, pa.list_(pa.float64())), pa.array(inverses, pa.list_(pa.float64()))], names=_ESTIMATE.names)
@@ -183,7 +187,7 @@ def _start(levels: DataFrame) -> DataFrame:
     d = len(DIMS)
     both = spread.join(medians.drop("n"), [*_GROUP, "dim"]).groupBy(*_GROUP).agg(F.max("rows").alias("rows"), F.array_sort(F.collect_list(F.struct("dim", "median", "mad"))).alias("s"))
     floor = F.array(*[F.lit(f) for f in FLOORS])
-    one = lambda i: 1 / (F.pow(1.4826 * F.col("s")[i]["mad"] / UNIT, F.lit(2)) + F.pow(floor[i], F.lit(2)))
+    one = lambda i: 1 / F.pow(F.greatest(1.4826 * F.col("s")[i]["mad"] / UNIT, floor[i]), F.lit(2))
     return both.select(*_GROUP, "rows", F.transform("s", lambda x: x["median"] / F.lit(float(UNIT))).alias("centre"), F.array(*[one(i) if i == j else F.lit(0.0) for i in range(d) for j in range(d)]).alias("inverse"))
 
 
