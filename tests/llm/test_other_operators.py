@@ -113,6 +113,21 @@ def test_pseudonyms(spark):
     assert pii.pseudonymize(df.limit(0), "key").count() == 0
 
 
+def test_ibans(spark):
+    rows = [
+        (1, "iban DE89 3704 0044 0532 0130 00 is mine, DE89370400440532013000."), (2, "again DE89370400440532013000, GB00WEST12345698765432"),
+        (3, "BE68 5390 0754 7034 2024 WAS paid; NO93 8601 1117 947 THEN GB82 WEST 1234 5698 7654 32 CODE"), (4, "AB12 CDEF GHIJ KLMN and QQ77 text"),
+    ]
+    out = {r["doc_id"]: r for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), "key", counts=True).collect()}
+    fits = lambda s: int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+    t = out[1]["text"]
+    iban = re.search(r"iban (DE\d\d [\d ]{22}) is mine", t)[1].replace(" ", "")
+    assert int(iban[4:] + "1314" + iban[2:4]) % 97 == 1 and iban in out[2]["text"] and iban in t and "GB00WEST12345698765432" in out[2]["text"] and "3704" not in t
+    found = re.fullmatch(r"(BE\d\d \d{4} \d{4} \d{4}) 2024 WAS paid; (NO\d\d \d{4} \d{4} \d{3}) THEN (GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d) CODE", out[3]["text"]).groups()
+    assert all(fits(s.replace(" ", "")) for s in found) and not any(s in rows[2][1] for s in found)
+    assert [out[i]["n_iban"] for i in (1, 2, 3, 4)] == [2, 1, 3, 0] and out[4]["text"] == rows[3][1]
+
+
 def test_permutations_are_bijective(spark):
     n = spark.range(92 * 11)
     moved = [r[0] for r in n.select(pii.permute_number(F.col("id"), 92, 11, "k", "t")).collect()]

@@ -1,7 +1,7 @@
 """Format-preserving pseudonyms for personal numbers, dates and addresses, in DataFrame functions only.
 
-One pattern finds candidates; each is checked by its kind's own rule (Luhn sum, octets, calendar,
-number ranges) and, if it holds, put through a keyed Feistel permutation of its kind's values.
+One pattern finds candidates; each is checked by its kind's own rule (Luhn sum, remainder by 97,
+octets, calendar, number ranges) and, if it holds, put through a keyed Feistel permutation of its kind's values.
 Separators, lengths and letter case stay. The permutation sees the value without separators, so
 equal values get equal pseudonyms in every document and spelling, and different values of a
 kind different ones.
@@ -9,7 +9,7 @@ kind different ones.
 Kinds: email (letters and digits of the local part; the domain stays), ip (all 32 bits), date (day
 within its century; year-month-day, day.month.year, month/day/year), ssn (within its valid numbers),
 phone (national digits; area and exchange keep their range), card (all digits but the first; the
-last is made to fit the Luhn sum again).
+last is made to fit the Luhn sum again), iban (all but the country; check digits are made to fit).
 
 A text without candidates passes a single cheap test. All work is per row: nothing is shuffled,
 and very long texts and many repeats need no special case. Nulls: a null text stays null. Empty
@@ -25,6 +25,19 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 
+#: Lengths of IBANs by country; where one is known it ends the candidate, so that words and numbers behind aren't taken in.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_form(countries: str, n: int) -> str:
+    fours, rest = divmod(n - 4, 4)
+    return f"(?:{countries.replace(' ', '|')})\\d{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
 #: Candidates by kind (fixed values).
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
@@ -36,10 +49,18 @@ PATTERNS = {
     "phone_us": r"(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}",
     "phone_other": r"\+[2-9]\d{1,2}(?:[ .-]?\d{2,4}){2,5}",
     "card": r"\d(?:[ -]?\d){12,18}",
+    "iban": "|".join([*(_iban_form(c, n) for n, c in _IBAN_LENGTHS.items()), r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"]),
 }
-#: No letter, digit or number part may touch a candidate.
-CANDIDATE = r"(?<![\w.+@/-])(?:" + "|".join(PATTERNS.values()) + r")(?![\w@/]|[.-]\d)"
-KINDS = ("email", "ip", "date", "ssn", "phone", "card")
+
+
+def _candidate(names: list[str]) -> str:
+    """No letter, digit or number part may touch a candidate."""
+    return r"(?<![\w.+@/-])(?:" + "|".join(PATTERNS[k] for k in names) + r")(?![\w@/]|[.-]\d)"
+
+
+#: Candidates of texts that can hold an IBAN at all, and of the others.
+CANDIDATE, PLAIN = _candidate([*PATTERNS]), _candidate([k for k in PATTERNS if k != "iban"])
+KINDS = ("email", "ip", "date", "ssn", "phone", "card", "iban")
 _FORMATS = {"date_ymd": "yyyy-MM-dd", "date_dmy": "dd.MM.yyyy", "date_mdy": "MM/dd/yyyy"}
 
 
@@ -153,6 +174,24 @@ def _card(m: Column, key: str) -> Column:
     return F.when(luhn_sum(digits) % 10 == 0, _respell(m, F.split(full, ""), "0-9"))
 
 
+def _mod97(symbols: Column) -> Column:
+    """The remainder by 97 of letters and digits, a letter counting as two digits."""
+    value = lambda c: F.when(c.rlike("[0-9]"), c.try_cast("int")).otherwise(F.ascii(c) - 55)
+    return F.aggregate(F.split(symbols, ""), F.lit(0), lambda a, c: ((a * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c)) % 97).cast("int"))
+
+
+def _iban(m: Column, key: str) -> Column:
+    flat = F.replace(m, F.lit(" "), F.lit(""))
+    country, body = F.substring(flat, 1, 2), F.substr(flat, F.lit(5), F.lit(40))
+    chars = F.split(body, "")
+    radix = lambda c: F.when(c.rlike("[0-9]"), 10).otherwise(26)
+    base = lambda c: F.when(c.rlike("[0-9]"), 48).otherwise(65)
+    made = permute_symbols(F.transform(chars, lambda c: F.ascii(c) - base(c)), F.transform(chars, radix), key, F.concat(F.lit("iban "), country))
+    new = F.array_join(F.zip_with(made, chars, lambda x, c: F.chr(x + base(c))), "")
+    check = F.lpad((98 - _mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
+    return F.when(_mod97(F.concat(body, F.substring(flat, 1, 4))) == 1, _respell(m, F.split(F.concat(country, check, new), ""), "A-Z0-9"))
+
+
 def pseudonym(m: Column, key: str) -> Column:
     """(kind, value) of a candidate; kind null and the candidate itself if its rule rejects it."""
     octets = F.forall(F.split(m, r"\."), lambda p: p.cast("int") < 256)
@@ -164,6 +203,7 @@ def pseudonym(m: Column, key: str) -> Column:
         "phone_us": ("phone", _phone(m, key, True)),
         "phone_other": ("phone", _phone(m, key, False)),
         "card": ("card", _card(m, key)),
+        "iban": ("iban", _iban(m, key)),
     }
     value = None
     for name, (kind, new) in made.items():
@@ -179,11 +219,13 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", counts: bool
     names = docs.columns
     at, plain = names.index(text_col), docs.toDF(*[f"c{i}" for i in range(len(names))])
     text = F.col(f"c{at}")
-    # Possible at all: an @, or four digits with at most separators between them.
-    hit = text.rlike(r"@|\d[().-]?\d[(). -]?\d") & text.rlike(CANDIDATE)
-    found = plain.withColumn("found", F.when(hit, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))))
+    # Possible at all: two capitals and two digits for an IBAN; an @, or three digits with at most separators between them, for the rest.
+    iban = text.rlike(r"[A-Z]{2}\d{2}")
+    some = text.rlike(r"@|\d[().-]?\d[(). -]?\d")
+    listed = lambda pattern: F.when(text.rlike(pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    found = plain.withColumn("found", F.when(iban, listed(CANDIDATE)).when(some, listed(PLAIN)))
     made = found.withColumn("made", F.transform("found", lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("new"))))
-    gaps = F.split(text, CANDIDATE, -1)
+    gaps = F.when(iban, F.split(text, CANDIDATE, -1)).otherwise(F.split(text, PLAIN, -1))
     told = F.concat(F.transform("made", lambda x: F.coalesce(x["new"]["value"], x["old"])), F.array(F.lit("")))
     joined = F.when(F.col("made").isNull(), text).otherwise(F.array_join(F.zip_with(gaps, told, lambda g, v: F.concat(g, v)), ""))
     n = lambda kind: F.coalesce(F.size(F.filter("made", lambda x: (x["new"]["kind"] == kind) & x["new"]["value"].isNotNull())), F.lit(0)).cast("long")
