@@ -85,6 +85,20 @@ def test_training_raises_likelihood(spark):
     assert many > few
 
 
+def test_hmm_rare_words_have_their_own_emissions(spark):
+    r = random.Random(4)
+    # Rare words of two kinds with one ending, each at far less than one in 8192 of the tokens.
+    rows = [(i, " ".join([*(r.choice(LANGS[i % 2]) for _ in range(40)), "ab"[i % 2] + f"{i // 2 % 150}end"])) for i in range(1200)]
+    held = [i for i in range(5000, 6000) if zlib.crc32(str(i).encode()) % 10 == 0][:60]
+    pairs = []
+    for k, i in enumerate(held):
+        words = " ".join(r.choice(LANGS[0]) for _ in range(10))
+        pairs += [(i, f"{words} {'ab'[k % 2]}{k // 2}end")]
+    found = told(hmm.score(spark.createDataFrame(rows + pairs, "doc_id long, text string").repartition(3), states=2, steps=6), "doc_id")
+    right, wrong = ([found[i][0]["score"] - found[i][0]["base_score"] for i in held[k::2]] for k in (0, 1))
+    assert sum(right) / len(right) > sum(wrong) / len(wrong) + 0.3
+
+
 def luhn(d):
     return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
 

@@ -1,17 +1,17 @@
 """Language-model scoring with a hidden Markov model over words.
 
-Tokens are words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased, and one end token a text. A state emits a
-word class and the class emits the word: a word that makes up at least one in HEAD of the training
-tokens is a class of its own (so there are at most HEAD of these), the others fall into TAIL
-classes by their last bytes, and inside a class a word has its share of training counts plus 0.1,
-with one more share for all words never seen. So what a state holds is bounded, while the counts
-of all words of the corpus are exact.
+Tokens are words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased, and one end token a text. Every training
+word has its own emission in every state; one more share of each state is for all words never
+seen. Counts are smoothed by 0.1 a word, and a word's split over the states is drawn towards the
+states' shares of all tokens by SHRINK occurrences.
 
 1. Tasks turn documents into blocks of local word numbers and send each block's distinct words to
    buckets; a bucket adds up the counts of its words over all blocks and answers each block.
-2. Blocks become sequences of classes, with the parts of the scores that need no states.
-3. Baum-Welch: tasks run the scaled forward-backward recursion over windows of WINDOW tokens of
-   the training texts and add up expected counts; these are summed by state over partitions.
+2. Blocks become sequences of local numbers, with the parts of the scores that need no states.
+3. Baum-Welch: a block runs the scaled forward-backward recursion over windows of WINDOW tokens of
+   its training texts and sends its words' expected counts by state to their buckets; a bucket adds
+   them up and answers each block with its words' new split. So no task holds the whole table, and
+   the driver only holds sums by state. Splits travel as half-precision numbers.
 4. Scoring runs the scaled forward recursion over whole texts: their exact likelihood.
 
 Training texts are those whose crc32 of the id as text, mod 10, isn't 0. Nulls: a null text is
@@ -31,18 +31,18 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.common import LOWER, discard, keep, small_batches
 
-HEAD = 8192
-TAIL = 512
 STATES = 8
 STEPS = 4
 WINDOW = 32
 #: Text bytes of a block, and of texts that share a bucket of words.
 BLOCK_BYTES = 16 << 20
 BUCKET_BYTES = 32 << 20
-LANES = 16
+#: Occurrences by which a word's split over the states is drawn towards that of all tokens.
+SHRINK = 1.0
 
 _BLOCK = "block long, bucket int, ids binary, lengths binary, tokens binary, words binary, counts binary, held binary, train long"
-_CODED = "block long, ids binary, lengths binary, held binary, classes binary, base binary, inner binary, known binary"
+_CODED = "block long, bucket int, ids binary, lengths binary, held binary, tokens binary, base binary, known binary, totals binary, split binary"
+_SENT = "block long, bucket int, split binary, counts binary, sums binary"
 
 
 def is_held_out(doc_id: int | None) -> bool:
@@ -56,6 +56,8 @@ def _batch(rows, kinds, names):
 _BLOCK_KINDS = (pa.int64(), pa.int32(), *[pa.binary()] * 6, pa.int64())
 _BLOCK_NAMES = [x.split()[0] for x in _BLOCK.split(", ")]
 _CODED_NAMES = [x.split()[0] for x in _CODED.split(", ")]
+_CODED_KINDS = (pa.int64(), pa.int32(), *[pa.binary()] * 8)
+_SENT_KINDS, _SENT_NAMES = (pa.int64(), pa.int32(), *[pa.binary()] * 3), [x.split()[0] for x in _SENT.split(", ")]
 _NULL_ID = np.iinfo(np.int64).min
 
 
@@ -104,36 +106,29 @@ def blocks(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, _BLOCK)
 
 
-def answers(sent: DataFrame, least: int) -> DataFrame:
-    """Of the rows (block, bucket, words, counts): rows (block, bucket, counts, classes) for each, and a row a bucket that sums it up.
-
-    Words counted at least `least` times are heads: class -1 - k for the k-th of the bucket; the others' classes are 0 to TAIL - 1.
-    """
-    names = ["block", "bucket", "counts", "classes", "distinct", "heads", "mass", "kinds"]
-    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+def answers(sent: DataFrame, states: int) -> DataFrame:
+    """Of the rows (block, bucket, words, counts): for each its words' total counts, places in the bucket and first split, and a row a bucket with its number of training words."""
+    names = ["block", "bucket", "counts", "places", "split", "distinct"]
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
 
     def run(batches):
         bucket, held = None, []
 
         def close():
-            number, totals = {}, []
-            places = []
-            for _, packed, counts in held:
+            number, places = {}, []
+            for _, packed, _ in held:
                 words = zlib.decompress(packed).split(b"\n")
                 for w in words:
                     if w not in number:
                         number[w] = len(number)
-                places.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
+                places.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
             totals = np.zeros(len(number), np.int64)
             for place, (_, _, counts) in zip(places, held, strict=True):
                 totals[place] += np.frombuffer(counts, np.int32)
-            classes = np.fromiter((zlib.crc32(w[-3:]) % TAIL for w in number), np.int32, len(number))
-            top = sorted(np.flatnonzero(totals >= least).tolist(), key=list(number).__getitem__)
-            mass = np.bincount(classes, weights=np.where(totals >= least, 0, totals), minlength=TAIL).astype(np.int64)
-            kinds_seen = np.bincount(classes[(totals > 0) & (totals < least)], minlength=TAIL).astype(np.int64)
-            classes[top] = -1 - np.arange(len(top))
-            rows = [(None, bucket, None, None, int((totals > 0).sum()), totals[top].tobytes(), mass.tobytes(), kinds_seen.tobytes())]
-            rows += [(block, bucket, zlib.compress(totals[place].tobytes(), 1), zlib.compress(classes[place].tobytes(), 1), None, None, None, None) for place, (block, _, _) in zip(places, held, strict=True)]
+            split = np.exp(0.7 * np.random.default_rng((7, bucket)).standard_normal((len(number), states)))
+            split = (split / split.sum(1, keepdims=True)).astype(np.float16)
+            rows = [(None, bucket, None, None, None, int((totals > 0).sum()))]
+            rows += [(block, bucket, zlib.compress(totals[place].tobytes(), 1), zlib.compress(place.tobytes(), 1), split[place].tobytes(), None) for place, (block, _, _) in zip(places, held, strict=True)]
             return _batch(rows, kinds, names)
 
         for batch in batches:
@@ -147,15 +142,11 @@ def answers(sent: DataFrame, least: int) -> DataFrame:
             yield close()
 
     dealt = sent.select("block", "bucket", "words", "counts").repartition("bucket").sortWithinPartitions("bucket", "block")
-    return dealt.mapInArrow(run, "block long, bucket int, counts binary, classes binary, distinct long, heads binary, mass binary, kinds binary")
-
+    return dealt.mapInArrow(run, "block long, bucket int, counts binary, places binary, split binary, distinct long")
 
-def coded(made: DataFrame, answered: DataFrame, offsets: dict[int, int], shares: np.ndarray, end_count: int, n: int, v: int) -> DataFrame:
-    """Blocks as sequences of classes. Classes: TAIL of the tail, then heads, then the end.
 
-    shares: log10 of the denominator of each tail class; offsets: the first head class of each bucket.
-    """
-    last = offsets["end"]
+def coded(made: DataFrame, answered: DataFrame, end_count: int, n: int, v: int) -> DataFrame:
+    """Blocks as sequences of local word numbers, with their words' total counts; the end has the number behind the last word's."""
     denominator = n + 0.1 * (v + 1)
 
     def run(batches):
@@ -164,23 +155,20 @@ def coded(made: DataFrame, answered: DataFrame, offsets: dict[int, int], shares:
         def close():
             ids, lengths, tokens, held = body
             lengths = np.frombuffer(lengths, np.int32)
-            counts = np.concatenate([np.frombuffer(zlib.decompress(c), np.int64) for _, c, _ in parts]) if parts else np.empty(0, np.int64)
-            classes = np.concatenate([np.where((k := np.frombuffer(zlib.decompress(c), np.int32)) < 0, offsets.get(b, 0) - 1 - k, k) for b, _, c in parts]) if parts else np.empty(0, np.int64)
+            counts = np.concatenate([np.frombuffer(zlib.decompress(c), np.int64) for c in parts]) if parts else np.empty(0, np.int64)
             tokens = np.frombuffer(zlib.decompress(tokens), np.int32)
             base = np.log10((counts + 0.1) / denominator)
-            inner = np.where(classes < TAIL, np.log10(counts + 0.1) - shares[np.minimum(classes, TAIL - 1)], 0.0)
             starts = np.concatenate([[0], np.cumsum(lengths)])
             by_text = lambda x: np.add.reduceat(np.append(x, 0.0), starts[:-1]) * (lengths > 0)
-            full = np.full(len(tokens) + len(lengths), last, np.uint16)
-            at = np.arange(len(tokens)) + np.repeat(np.arange(len(lengths)), lengths)
-            full[at] = classes[tokens]
+            full = np.full(len(tokens) + len(lengths), len(counts), np.int32)
+            full[np.arange(len(tokens)) + np.repeat(np.arange(len(lengths)), lengths)] = tokens
             known = np.rint(by_text((counts[tokens] > 0).astype(float))).astype(np.int64) + (end_count > 0)
             end = np.log10((end_count + 0.1) / denominator)
-            return (now, ids, (lengths + 1).astype(np.int32).tobytes(), held, zlib.compress(full.tobytes(), 1), (by_text(base[tokens]) + end).tobytes(), by_text(inner[tokens]).tobytes(), known.tobytes())
+            return (now, -1, ids, (lengths + 1).astype(np.int32).tobytes(), held, zlib.compress(full.tobytes(), 1), (by_text(base[tokens]) + end).tobytes(), known.tobytes(), zlib.compress(counts.tobytes(), 1), None)
 
         for batch in batches:
             rows = []
-            for block, bucket, ids, lengths, tokens, held, counts, classes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for block, bucket, ids, lengths, tokens, held, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if block != now:
                     if body is not None:
                         rows.append(close())
@@ -188,19 +176,51 @@ def coded(made: DataFrame, answered: DataFrame, offsets: dict[int, int], shares:
                 if bucket < 0:
                     body = (ids, lengths, tokens, held)
                 else:
-                    parts.append((bucket, counts, classes))
-            yield _batch(rows, (pa.int64(), *[pa.binary()] * 7), _CODED_NAMES)
+                    parts.append(counts)
+            yield _batch(rows, _CODED_KINDS, _CODED_NAMES)
         if body is not None:
-            yield _batch([close()], (pa.int64(), *[pa.binary()] * 7), _CODED_NAMES)
+            yield _batch([close()], _CODED_KINDS, _CODED_NAMES)
 
     blank = lambda c: F.lit(None).cast("binary").alias(c)
-    left = made.where("bucket < 0").select("block", "bucket", "ids", "lengths", "tokens", "held", blank("counts"), blank("classes"))
-    right = answered.where("block is not null").select("block", "bucket", blank("ids"), blank("lengths"), blank("tokens"), blank("held"), "counts", "classes")
+    left = made.where("bucket < 0").select("block", "bucket", "ids", "lengths", "tokens", "held", blank("counts"))
+    right = answered.where("block is not null").select("block", "bucket", blank("ids"), blank("lengths"), blank("tokens"), blank("held"), "counts")
     return left.unionByName(right).repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(run, _CODED)
 
 
+def _with_splits(table: DataFrame, splits: DataFrame) -> DataFrame:
+    """Coded blocks, each followed by its words' splits by bucket."""
+    more = splits.where("block is not null").select("block", "bucket", *[F.lit(None).cast("binary").alias(c) for c in _CODED_NAMES[2:-1]], "split")
+    return table.unionByName(more).repartition("block").sortWithinPartitions("block", "bucket")
+
+
+def _read_blocks(batches, states: int):
+    """Of batches of _with_splits: (coded row, buckets with their numbers of words, splits of all words) a block."""
+    body, parts = None, []
+
+    def close():
+        found = [np.frombuffer(x, np.float16).reshape(-1, states) for _, x in parts]
+        split = np.concatenate(found).astype(np.float32) if found else np.empty((0, states), np.float32)
+        return body, [(b, len(x)) for (b, _), x in zip(parts, found, strict=True)], split / split.sum(1, keepdims=True)
+
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[1] < 0:
+                if body is not None:
+                    yield close()
+                body, parts = row, []
+            else:
+                parts.append((row[1], row[-1]))
+    if body is not None:
+        yield close()
+
+
+def emissions_of(split: np.ndarray, totals: np.ndarray, end: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    """A block's emissions by word and state, the end's last. end: its smoothed counts by state; mass: all smoothed counts by state."""
+    return np.vstack([split.astype(np.float64) * (totals + 0.1)[:, None], end[None, :]]) / mass
+
+
 def expected(classes: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts (starts, moves, emissions by class and state) of windows of classes (rows; len(emit) - 1 pads the ends)."""
+    """Expected counts (starts, moves, emissions by class and state) of windows of classes (word numbers; rows; len(emit) - 1 pads the ends)."""
     m, w = classes.shape
     pad = len(emit) - 1
     alpha, seen = np.empty((w, m, len(start)), np.float32), emit[classes.T]
@@ -253,55 +273,81 @@ def likelihoods(classes: np.ndarray, lengths: np.ndarray, start: np.ndarray, mov
     return back
 
 
-def train(table: DataFrame, prior: np.ndarray, states: int = STATES, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, moves, emissions by class and state) after so many Baum-Welch steps over coded blocks. prior: the classes' shares of tokens."""
-    spark = table.sparkSession
-    rng = np.random.default_rng(7)
+def train(table: DataFrame, answered: DataFrame, n: int, v: int, ends: int, states: int = STATES, steps: int = STEPS) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """After so many Baum-Welch steps over coded blocks: splits by block and bucket, and (starts, moves, the end's smoothed counts, all smoothed counts) by state."""
     start, move = np.full(states, 1 / states), np.full((states, states), 0.1 / (states - 1)) + np.eye(states) * (0.9 - 0.1 / (states - 1))
-    emit = prior[:, None] * np.exp(0.7 * rng.standard_normal((len(prior), states)))
-    emit /= emit.sum(0)
+    end, mass = np.full(states, (ends + 0.1) / states), np.full(states, (n + 0.1 * (v + 1)) / states)
+    splits = answered
     for _ in range(steps):
-        shared = spark.sparkContext.broadcast((start, move, emit))  # bounded: states by HEAD + TAIL + 1 classes
 
-        def run(batches, shared=shared):
-            start, move, emit = (x.astype(np.float32) for x in shared.value)
-            emit = np.vstack([emit, np.ones((1, states), np.float32)])
-            starts, moves, emissions = np.zeros(states), np.zeros((states, states)), np.zeros((len(emit), states))
-            for batch in batches:
-                for lengths, held, classes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    lengths, own = np.frombuffer(lengths, np.int32).astype(np.int64), ~np.frombuffer(held, bool)
-                    all_classes = np.frombuffer(zlib.decompress(classes), np.uint16)
-                    cut = windows(all_classes[np.repeat(own, lengths)], lengths[own], len(emit) - 1)
-                    for i in range(0, len(cut), 4096):
-                        for into, more in zip((starts, moves, emissions), expected(cut[i : i + 4096], start, move, emit), strict=True):
-                            into += more
-            part = TaskContext.get().partitionId()
-            yield _batch([(k, part % LANES, part, np.concatenate([[starts[k]], moves[k], emissions[:-1, k]]).tobytes()) for k in range(states)], (pa.int32(), pa.int32(), pa.int32(), pa.binary()), ["k", "lane", "part", "sums"])
-
-        def summed(batches):
-            key, total = None, None
-            for batch in batches:
-                for k, lane, _, sums in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if (k, lane) != key:
-                        if key is not None:
-                            yield _batch([(*key, total.tobytes())], (pa.int32(), pa.int32(), pa.binary()), ["k", "lane", "sums"])
-                        key, total = (k, lane), 0
-                    total = total + np.frombuffer(sums, np.float64)
-            if key is not None:
-                yield _batch([(*key, total.tobytes())], (pa.int32(), pa.int32(), pa.binary()), ["k", "lane", "sums"])
-
-        parts = table.select("lengths", "held", "classes").mapInArrow(run, "k int, lane int, part int, sums binary")
-        rows = parts.repartition("k", "lane").sortWithinPartitions("k", "lane", "part").mapInArrow(summed, "k int, lane int, sums binary").collect()  # at most STATES * LANES rows
-        totals = np.zeros((states, 1 + states + len(prior)))
-        for k, _, sums in sorted(rows):
-            totals[k] += np.frombuffer(sums, np.float64)
-        start = (totals[:, 0] + 0.1) / (totals[:, 0].sum() + 0.1 * states)
-        move = totals[:, 1 : 1 + states] + 0.1
+        def run(batches, model=(start, move, end, mass)):
+            start, move = (x.astype(np.float32) for x in model[:2])
+            for (block, _, _, lengths, held, tokens, _, _, totals, _), buckets, split in _read_blocks(batches, states):
+                emit = emissions_of(split, np.frombuffer(zlib.decompress(totals), np.int64), *model[2:])
+                emit = np.vstack([emit, np.ones((1, states))]).astype(np.float32)
+                starts, moves, emissions = np.zeros(states), np.zeros((states, states)), np.zeros((len(emit), states))
+                lengths, own = np.frombuffer(lengths, np.int32).astype(np.int64), ~np.frombuffer(held, bool)
+                cut = windows(np.frombuffer(zlib.decompress(tokens), np.int32)[np.repeat(own, lengths)], lengths[own], len(emit) - 1)
+                for i in range(0, len(cut), 8192):
+                    for into, more in zip((starts, moves, emissions), expected(cut[i : i + 8192], start, move, emit), strict=True):
+                        into += more
+                rows = [(block, -1, None, None, np.concatenate([starts, moves.ravel(), emissions[-2], emissions[:-1].sum(0)]).tobytes())]
+                counts = np.rint(emissions[:-2].sum(1)).astype(np.int32)
+                shares = (emissions[:-2] / np.maximum(counts, 1)[:, None]).astype(np.float16)
+                at = 0
+                for bucket, k in buckets:
+                    rows.append((block, bucket, shares[at : at + k].tobytes(), counts[at : at + k].tobytes(), None))
+                    at += k
+                yield _batch(rows, _SENT_KINDS, _SENT_NAMES)
+
+        sent = keep(_with_splits(table, splits).mapInArrow(run, _SENT), "hmm-expected")
+        if splits is not answered:
+            discard(splits)
+        totals = sum(np.frombuffer(r["sums"], np.float64) for r in sorted(sent.where("bucket < 0").select("block", "sums").collect()))  # a short row a block
+        if not isinstance(totals, np.ndarray):
+            totals = np.zeros(states * (states + 3))
+        starts, moves, end_counts, all_counts = np.split(totals, np.cumsum([states, states * states, states]))
+        start = (starts + 0.1) / (starts.sum() + 0.1 * states)
+        move = moves.reshape(states, states) + 0.1
         move /= move.sum(1, keepdims=True)
-        emit = totals[:, 1 + states :].T + 20 * prior[:, None]
-        emit /= emit.sum(0)
-        shared.unpersist()
-    return start, move, emit
+        share = (all_counts + 0.1) / (all_counts.sum() + 0.1 * states)
+
+        def summed(batches, share=share):
+            bucket, places, parts = None, {}, []
+
+            def close():
+                size = max(int(x.max()) + 1 for x in places.values())
+                sums, counts = np.zeros((size, states)), np.zeros(size, np.int64)
+                for block, split, own in parts:
+                    own = np.frombuffer(own, np.int32)
+                    sums[places[block]] += np.frombuffer(split, np.float16).reshape(-1, states) * own[:, None].astype(np.float64)
+                    counts[places[block]] += own
+                split = ((sums + SHRINK * share) / (counts + SHRINK)[:, None]).astype(np.float16)
+                exact = split.astype(np.float32)
+                exact /= exact.sum(1, keepdims=True)
+                mass = ((counts + 0.1) * (counts > 0)) @ exact.astype(np.float64)
+                return _batch([(None, bucket, None, None, mass.tobytes()), *((block, bucket, split[x].tobytes(), None, None) for block, x in places.items())], _SENT_KINDS, _SENT_NAMES)
+
+            for batch in batches:
+                for block, b, place, split, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if b != bucket:
+                        if places:
+                            yield close()
+                        bucket, places, parts = b, {}, []
+                    if place is not None:
+                        places[block] = np.frombuffer(zlib.decompress(place), np.int32)
+                    else:
+                        parts.append((block, split, counts))
+            if places:
+                yield close()
+
+        blank = lambda c: F.lit(None).cast("binary").alias(c)
+        both = answered.where("block is not null").select("block", "bucket", "places", blank("split"), blank("counts")).unionByName(sent.where("bucket >= 0").select("block", "bucket", blank("places"), "split", "counts"))
+        splits = keep(both.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(summed, _SENT), "hmm-splits")
+        discard(sent)
+        end = (ends + 0.1) * (end_counts + SHRINK * share) / (ends + SHRINK)
+        mass = sum((np.frombuffer(r["sums"], np.float64) for r in sorted(splits.where("block is null").select("bucket", "sums").collect())), np.zeros(states)) + end + 0.1 * share  # a short row a bucket
+    return splits, (start, move, end, mass)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, steps: int = STEPS) -> DataFrame:
@@ -314,41 +360,23 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state
     small_batches(spark, 16)  # rows are blocks from here on
     told = made.where("bucket < 0").agg(F.sum("train").alias("n"), F.sum(F.expr("octet_length(replace(hex(held), '01', ''))") / 2).alias("ends")).first()
     n, ends = int(told["n"] or 0), int(told["ends"] or 0)
-    answered = keep(answers(made.where("bucket >= 0"), max(1, -(-n // HEAD))), "hmm-answers")
-    sums = answered.where("block is null")
-    v = int(sums.agg(F.sum("distinct")).first()[0] or 0) + (ends > 0)
-    tops = sums.where("octet_length(heads) > 0").select("bucket", "heads").collect()  # at most HEAD words in all
-    offsets, counts = {}, []
-    for bucket, heads in sorted(tops):
-        offsets[bucket] = TAIL + len(counts)
-        counts += np.frombuffer(heads, np.int64).tolist()
-    offsets["end"] = TAIL + len(counts)
-
-    def added(batches):
-        mass, kinds = np.zeros(TAIL, np.int64), np.zeros(TAIL, np.int64)
-        for batch in batches:
-            for m, k in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                mass, kinds = mass + np.frombuffer(m, np.int64), kinds + np.frombuffer(k, np.int64)
-        yield _batch([(i, int(mass[i]), int(kinds[i])) for i in range(TAIL)], (pa.int32(), pa.int64(), pa.int64()), ["c", "mass", "kinds"])
-
-    tail = sorted(sums.select("mass", "kinds").mapInArrow(added, "c int, mass long, kinds long").groupBy("c").agg(F.sum("mass"), F.sum("kinds")).collect())  # TAIL rows
-    mass, kinds = (np.array([r[i] for r in tail], float) if tail else np.zeros(TAIL) for i in (1, 2))
-    shares = np.log10(mass + 0.1 * (kinds + 1))
-    prior = np.concatenate([mass, counts, [ends]]) + 0.5
-    table = keep(coded(made, answered, offsets, shares, ends, n, v), "hmm-coded")
+    answered = keep(answers(made.where("bucket >= 0"), states), "hmm-answers")
+    v = int(answered.agg(F.sum("distinct")).first()[0] or 0) + (ends > 0)
+    table = keep(coded(made, answered, ends, n, v), "hmm-coded")
     discard(made)
-    discard(answered)
-    model = spark.sparkContext.broadcast(train(table, prior / prior.sum(), states, steps))
+    splits, model = train(table, answered, n, v, ends, states, steps)
+    if splits is not answered:
+        discard(answered)
 
     def run(batches):
-        start, move, emit = model.value
-        for batch in batches:
-            for _, ids, lengths, held, classes, base, inner, known in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids, lengths = np.frombuffer(ids, np.int64), np.frombuffer(lengths, np.int32).astype(np.int64)
-                found = likelihoods(np.frombuffer(zlib.decompress(classes), np.uint16), lengths, start, move, emit) + np.frombuffer(inner, np.float64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, mask=ids == _NULL_ID), pa.array(np.frombuffer(held, bool)), pa.array(lengths), pa.array(np.frombuffer(known, np.int64)), pa.array(np.full(len(ids), n, np.int64)), pa.array(np.frombuffer(base, np.float64)), pa.array(found)],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
-
-    return table.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        start, move, end, mass = model
+        for (_, _, ids, lengths, held, tokens, base, known, totals, _), _, split in _read_blocks(batches, states):
+            ids, lengths = np.frombuffer(ids, np.int64), np.frombuffer(lengths, np.int32).astype(np.int64)
+            emit = emissions_of(split, np.frombuffer(zlib.decompress(totals), np.int64), end, mass)
+            found = likelihoods(np.frombuffer(zlib.decompress(tokens), np.int32), lengths, start, move, emit)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, mask=ids == _NULL_ID), pa.array(np.frombuffer(held, bool)), pa.array(lengths), pa.array(np.frombuffer(known, np.int64)), pa.array(np.full(len(ids), n, np.int64)), pa.array(np.frombuffer(base, np.float64)), pa.array(found)],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
+
+    return _with_splits(table, splits).mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
