@@ -4,8 +4,8 @@
    fewer words than five are one shingle), held as 64-bit hashes. Texts of equal sets are one node,
    so copies, however many, cost one row.
 2. A node has a label in each of TREES prefix tries: LABEL MinHash values. Sorting a tree's labels lays
-   its trie out in order. Matched prefixes are shortened from LABEL values until the chance that a pair
-   at the threshold meets in some tree reaches the target recall; nodes that share such a prefix are
+   its trie out in order. Matched prefixes have one fixed depth, the longest of at most LABEL values at which
+   the chance that a pair at the threshold meets in some tree reaches the target recall; nodes that share such a prefix are
    compared by all their MinHash values. Within a run, the first node free leads: nodes near it join its group,
    and those very near lead no more; a group is told by one link a node. Trees are
    dealt by ranges of (tree, label, node): a hot prefix is cut over tasks, and what leads at their edges meets
