@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import small_batches
+from tidewell.llm.common import sliced
 
 MOST_CHUNKS = 200_000
 #: A replay takes the new chunks of so many bytes of texts, or so many new chunks, together.
@@ -213,7 +213,7 @@ class Encoder:
             if len(self.known) > self.most:
                 self.known.clear()
 
-        for batch in batches:
+        for batch in sliced(batches):
             held.append(batch)
             size += batch.nbytes
             self.unknown(batch.column(of).to_pylist(), new)
@@ -231,7 +231,6 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
 
     decoded_col: also the bytes that these ids decode to, in the same pass.
     """
-    small_batches(docs.sparkSession)
     names = docs.columns
     of, plain = names.index(text_col), docs.toDF(*[f"c{i}" for i in range(len(names))])
     table = docs.sparkSession.sparkContext.broadcast(load_ranks(path))  # the vocabulary: of fixed size
@@ -257,7 +256,7 @@ def decode(coded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "de
 
     def run(batches):
         tokens = {i: t for t, i in table.value.items()}
-        for batch in batches:
+        for batch in sliced(batches):
             found = [b"".join(map(tokens.__getitem__, np.frombuffer(ids or b"", "<u4").tolist())) for ids in batch.column(of).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, "decoded"])
 

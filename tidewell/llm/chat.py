@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import small_batches
+from tidewell.llm.common import sliced
 
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "[SYS]", "[/SYS]", "[ROLE]", "[/ROLE]", "[/TURN]")
 BOS, EOS, INST, INST_END, SYS, SYS_END, ROLE, ROLE_END, TURN_END = range(len(CONTROLS))
@@ -87,7 +87,6 @@ def assemble(parts: list[tuple[int | None, str, bool]], coded: list[list[int]])
 
 def format_conversations(rows: DataFrame, path: str, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv_id, formatted string, ids binary, loss_mask binary): ids little-endian unsigned 32-bit, a byte of mask each."""
-    small_batches(rows.sparkSession)
     named = rows.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = named.schema["conv_id"].dataType
     dealt = named.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
@@ -101,7 +100,7 @@ def format_conversations(rows: DataFrame, path: str, conv_col: str = "conv_id",
             ids, mask = assemble(parts, coded)
             return conv, "".join(x[1] for x in parts), ids.tobytes(), mask.tobytes()
 
-        for batch in batches:
+        for batch in sliced(batches):
             turns = [segments(r, t) for r, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             contents = iter([e.ids for e in tokenizer.encode_batch([x[1] for turn in turns for x in turn if x[0] is None], add_special_tokens=False)])
             done = []
@@ -158,7 +157,7 @@ def read_back(formatted: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         tokenizer = load_tokenizer(path)
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for ids, mask in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 turns, loss = parse(tokenizer, np.frombuffer(ids, "<u4"), np.frombuffer(mask, np.uint8))

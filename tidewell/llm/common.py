@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that one Arrow batch may hold; texts may be long.
 BATCH_ROWS = 256
+#: Nodes up to which components() broadcasts their labels (16 bytes each).
+MOST_NODES = 1_000_000
 #: Upper-case ASCII letters to lower case, on UTF-8 bytes.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -21,8 +26,18 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where that is unset, as in tests on one machine."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
+    """The folder named in spark.checkpoint.dir; one of our own only where that is unset and Spark runs in one process, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (found or _own_dir()).rstrip("/")
+
+
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows, as documents may be very long. Spark bounds what it sends at a time in bytes; the session's settings stay as they are."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -54,12 +69,28 @@ def bounded_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, rows: int, limit: int, salts: int = 16) -> DataFrame:
+    """left with the columns of right (distinct keys, none null), or nulls. Beyond `limit` rows of right both sides are shuffled.
+
+    Then right goes to `salts` places a key and rows of left are dealt over them, so no key stays in one task; rows of a null key meet nothing and stay where they are.
+    """
+    if rows <= limit:
+        return left.join(F.broadcast(right), key, "left")
+    others = [c for c in left.columns if c != key]
+    dealt = left.withColumn("salt", F.pmod(F.xxhash64(*(others or [key])), F.lit(salts)).cast("int"))
+    copies = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    met = dealt.where(F.col(key).isNotNull()).join(copies, [key, "salt"], "left").drop("salt")
+    blank = dealt.where(F.col(key).isNull()).drop("salt").select(*left.columns, *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in right.columns if c != key])
+    return met.unionByName(blank)
+
+
 def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a long, b long) as (node, component), the smallest node naming each.
 
     Every round a node takes the smallest label among its neighbours' and then its
     label's label (pointer jumping), so a chain of n nodes needs about log n rounds.
-    Each round is written to the shared folder. Rows per round are linear in the edges.
+    Each round is written to the shared folder. Rows per round are linear in the edges; a label or
+    node of very many rows is spread over tasks.
     """
     both = keep(
         edges.where("a is not null and b is not null and a <> b")
@@ -68,13 +99,14 @@ def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
         .distinct(),
         f"{name}-edges",
     )
+    n = both.select("a").distinct().count()
     labels = keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("label")), f"{name}-labels")
     for _ in range(rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        near = spread_join(both, labels.select(F.col("node").alias("b"), "label"), "b", n, MOST_NODES).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         stepped = labels.join(near, "node", "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
         stepped = keep(stepped, f"{name}-step")
         up = stepped.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        jumped = keep(stepped.join(up, "label", "left").select("node", "old", F.least("label", F.coalesce("up", "label")).alias("label")), f"{name}-labels")
+        jumped = keep(spread_join(stepped, up, "label", n, MOST_NODES).select("node", "old", F.least("label", F.coalesce("up", "label")).alias("label")), f"{name}-labels")
         discard(stepped)
         discard(labels)
         moved = jumped.where("old <> label").limit(1).count()

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import small_batches
+from tidewell.llm.common import sliced
 
 WINDOW = 13
 #: Words of a block of the shift table.
@@ -113,7 +113,6 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     carry: the columns to keep (default: id_col only); names n_words, n_hit and items must be free.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     carry = carry if carry is not None else [id_col]
     kept = docs.select(*[F.col(c) for c in carry], F.col(text_col).alias("__text"), F.array().cast("array<int>").alias("__spans"), F.array().cast("array<string>").alias("__items"))
     schema = kept.schema
@@ -126,7 +125,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
 
         def scan(batches, shared=shared, last=last):
             searcher = Searcher(shared.value, window)
-            for batch in batches:
+            for batch in sliced(batches):
                 at = batch.schema.get_field_index("__text")
                 texts, spans, items = batch.column(at).cast(pa.binary()).to_pylist(), batch.column(at + 1).to_pylist(), batch.column(at + 2).to_pylist()
                 sizes = []

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import LOWER, bounded_broadcast, discard, keep, small_batches
+from tidewell.llm.common import LOWER, bounded_broadcast, discard, keep, sliced
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -85,7 +85,7 @@ def twice_filter(docs: DataFrame, id_col: str, text_col: str, bits: int, min_cha
 
     def seen(batches):
         found: list[np.ndarray] = []
-        for batch in batches:
+        for batch in sliced(batches):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
             hashes = [xxhash.xxh3_64_intdigest(k) for i, t in zip(ids, texts, strict=True) if i is not None for k in _keys(t, min_chars)]
             found.append(_places(np.array(hashes, np.uint64), bits).ravel())
@@ -103,7 +103,7 @@ def twice_filter(docs: DataFrame, id_col: str, text_col: str, bits: int, min_cha
         def done():
             return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([zlib.compress(np.packbits(twice, bitorder="little").tobytes(), 1)], pa.binary())], names=["segment", "bitmap"])
 
-        for batch in batches:
+        for batch in sliced(batches):
             for segment, o, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if segment != now:
                     if now is not None:
@@ -123,7 +123,6 @@ def twice_filter(docs: DataFrame, id_col: str, text_col: str, bits: int, min_cha
 def dropped_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> tuple[DataFrame, int]:
     """(id, keys: digests of the line keys that the document loses), and the number of such pairs."""
     spark = docs.sparkSession
-    small_batches(spark)
     lines = docs.agg(F.sum(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
     bits = filter_bits(lines)
     bitmap = bytearray(bits // 8)
@@ -134,7 +133,7 @@ def dropped_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def suspects(batches):
         bitmap = np.frombuffer(shared.value, np.uint8)
-        for batch in batches:
+        for batch in sliced(batches):
             ids, keys = [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 if i is None or not (own := list(_keys(text, min_chars))):
@@ -168,7 +167,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fields = [*plain.columns, "n_lines", "n_dropped"]
 
     def cut(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             texts, n_lines, n_dropped = batch.column(of).cast(pa.binary()).to_pylist(), [], []
             for i, (text, keys) in enumerate(zip(texts, batch.column(width).to_pylist(), strict=True)):
                 lines = [b""] if text is None else text.split(b"\n")

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import bounded_broadcast, discard, keep, small_batches
+from tidewell.llm.common import bounded_broadcast, discard, keep, sliced
 
 MIN_WORDS = 10
 MOST_REPEATED = 20
@@ -80,12 +80,11 @@ def text_stats(text: bytes | None) -> tuple[int, ...]:
 
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs without its text, with STATS (long) as more columns; their names must be free."""
-    small_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c != text_col]
     source = docs.select(*rest, text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             found = [text_stats(t) for t in batch.column(len(rest)).cast(pa.binary()).to_pylist()]
             columns = zip(*found, strict=True) if found else [()] * len(STATS)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], *(pa.array(c, pa.int64()) for c in columns)], names=[*rest, *STATS])
