@@ -18,8 +18,8 @@ piece meet in the piece's bucket. A passage that a third of all documents share
 its bucket once a block.
 
 Nulls: a null text is empty; rows with a null id come after all others, as one document. Rows of
-one id are one document: of equal strings at the same start in both, neither is earlier. Empty tables
-give an empty result. Other columns are ignored.
+one id are one document: of equal strings at the same start in both, neither is earlier; each row
+is judged by its own text. Empty tables give an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,23 +30,23 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import bounded_broadcast, discard, keep, small_batches
+from tidewell.llm.common import discard, keep, sliced, spread_join
 
 LENGTH = 100
 GRAM = 32
 BLOCK_BYTES = 1 << 20
-BUCKET_BYTES = 24 << 20
-#: Bytes that are hashed at a time, and copies' ids up to which they are broadcast; beyond, both sides are shuffled.
+BUCKET_BYTES = 4 << 20
+#: Bytes that are hashed at a time, and copied texts' digests up to which they are broadcast; beyond, both sides are shuffled.
 HASHED_BYTES = 1 << 16
-MOST_IDS = 1_000_000
+MOST_COPIES = 1_000_000
 #: Bytes that a bucket sorts at a time; more are cut by piece.
 SORTED_BYTES = 256 << 10
 
 _NULL_ID = np.iinfo(np.int64).max
-_BLOCK = "block long, bucket int, ids binary, lengths binary, text binary, places binary, hashes binary"
+_BLOCK = "block long, ids binary, lengths binary, text binary, places binary, hashes array<long>"
 
 
 def _batch(rows, kinds, names):
@@ -180,16 +180,18 @@ def hashes_at(text: np.ndarray, places: np.ndarray) -> np.ndarray:
     return hashes_of(pieces.T)[0] if len(places) else np.empty(0, np.uint64)
 
 
-def copies(docs: DataFrame) -> DataFrame:
-    """Ids of documents of LENGTH bytes at least whose whole text a smaller id has too: all their bytes go, and they decide nothing."""
-    hashed = docs.where(F.octet_length("text") >= LENGTH).select("doc_id", F.sha2("text", 256).alias("h"))
-    least = hashed.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("most > least").select("h", "least")
-    return hashed.join(least, "h").where("doc_id > least").select("doc_id").distinct()
+def with_copies(docs: DataFrame) -> DataFrame:
+    """Of rows (doc_id, text): with `copy`, true for rows of LENGTH bytes at least whose whole text a smaller id has too: all their bytes go, and they decide nothing."""
+    own = docs.withColumn("h", F.when(F.octet_length("text") >= LENGTH, F.unhex(F.sha2("text", 256))))
+    age = F.coalesce("doc_id", F.lit(_NULL_ID))
+    least = keep(own.where("h is not null").groupBy("h").agg(F.min(age).alias("least"), F.max(age).alias("most")).where("most > least").select("h", "least"), "suffix-copies")
+    joined = spread_join(own, least, "h", least.count(), MOST_COPIES)
+    return joined.select("doc_id", "text", F.coalesce(age > F.col("least"), F.lit(False)).alias("copy"))
 
 
-def blocks(docs: DataFrame, buckets: int) -> DataFrame:
-    """Of rows (doc_id, text): a row a block with its texts, and a row a block and bucket with the distinct hashes of picked pieces."""
-    kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 5)
+def blocks(docs: DataFrame) -> DataFrame:
+    """Of rows (doc_id, text): a row a block with its texts, what its strings pick, and the distinct hashes of the picked pieces."""
+    kinds = (pa.int64(), *[pa.binary()] * 4, pa.list_(pa.int64()))
     names = [x.split()[0] for x in _BLOCK.split(", ")]
 
     def run(batches):
@@ -202,56 +204,35 @@ def blocks(docs: DataFrame, buckets: int) -> DataFrame:
             raw, lengths = b"".join(texts), np.array([len(t) for t in texts], np.int64)
             places, counts, values = picks(np.frombuffer(raw, np.uint8), starts_of(lengths))
             packed = zstandard.compress(np.stack([np.diff(places, prepend=0), counts]).astype(np.int32).tobytes(), 3)
-            yield _batch([(block, -1, np.array(ids, np.int64).tobytes(), lengths.tobytes(), zstandard.compress(raw, 3), packed, None)], kinds, names)
-            values = np.unique(values)
-            bucket = values % np.uint64(buckets)
-            rows = [(block, b, None, None, None, None, own.tobytes()) for b in range(buckets) if len(own := values[bucket == b])]
-            yield _batch(rows, kinds, names)
+            return _batch([(block, np.array(ids, np.int64).tobytes(), lengths.tobytes(), zstandard.compress(raw, 3), packed, np.unique(values).view(np.int64))], kinds, names)
 
-        for batch in batches:
+        for batch in sliced(batches):
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 text = text or b""
                 if texts and size + len(text) > BLOCK_BYTES:
-                    yield from close()
+                    yield close()
                     ids, texts, size = [], [], 0
                 ids.append(_NULL_ID if i is None else i)
                 texts.append(text)
                 size += len(text)
         if texts:
-            yield from close()
+            yield close()
 
     return docs.mapInArrow(run, _BLOCK)
 
 
-def elsewhere(sent: DataFrame) -> DataFrame:
-    """Of rows (block, bucket, hashes): (block, shared: those hashes that another block has too)."""
-
-    def run(batches):
-        bucket, held = None, []
+def elsewhere(made: DataFrame) -> DataFrame:
+    """(block, shared: those of its hashes that another block has too). A hash comes once a block, so none holds more rows than there are blocks."""
+    held = Window.partitionBy("h")
+    pieces = made.select("block", F.explode("hashes").alias("h"))
+    spread = pieces.withColumn("least", F.min("block").over(held)).withColumn("most", F.max("block").over(held)).where("least < most")
+    return spread.groupBy("block").agg(F.collect_list("h").alias("shared"))
 
-        def close():
-            values, counts = np.unique(np.concatenate([np.frombuffer(h, np.uint64) for _, h in held]), return_counts=True)
-            values = values[counts > 1]
-            rows = []
-            for block, h in held:
-                own = np.frombuffer(h, np.uint64)
-                i = np.minimum(np.searchsorted(values, own), max(len(values) - 1, 0))
-                own = own[values[i] == own] if len(values) else own[:0]
-                if len(own):
-                    rows.append((block, own.tobytes()))
-            return _batch(rows, (pa.int64(), pa.binary()), ["block", "shared"])
-
-        for batch in batches:
-            for block, b, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if b != bucket:
-                    if held:
-                        yield close()
-                    bucket, held = b, []
-                held.append((block, h))
-        if held:
-            yield close()
 
-    return sent.select("block", "bucket", "hashes").repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, "block long, shared binary")
+def _groups(values: np.ndarray) -> list[np.ndarray]:
+    """Places of each distinct value, sorted once."""
+    order = np.argsort(values, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(values[order])) + 1) if len(values) else []
 
 
 def _regions(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -267,14 +248,13 @@ def by_block(made: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
     kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
     names = ["block", "bucket", "gone", "ids", "at", "counts", "hashes", "bytes"]
 
-    def close(block, body, hashes):
+    def close(block, body, abroad):
         ids, lengths, raw = np.frombuffer(body[0], np.int64), np.frombuffer(body[1], np.int64), zstandard.decompress(body[2])
         text = np.frombuffer(raw, np.uint8)
         steps, runs = np.frombuffer(zstandard.decompress(body[3]), np.int32).reshape(2, -1).astype(np.int64)
         places = np.cumsum(steps)
         pieces = hashes_at(text, places)
         starts, at, values = starts_of(lengths), np.repeat(places, runs), np.repeat(pieces, runs)
-        abroad = np.unique(np.concatenate(hashes)) if hashes else np.empty(0, np.uint64)
         own, counts = np.unique(pieces, return_counts=True)
         wanted = np.union1d(abroad, own[counts > 1])
         known = lambda table, v: table[np.minimum(np.searchsorted(table, v), len(table) - 1)] == v if len(table) else np.zeros(len(v), bool)
@@ -303,31 +283,22 @@ def by_block(made: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
         run_n = np.diff(np.append(run_at, len(starts)))
         bucket = (values[run_at] % np.uint64(buckets)).astype(np.int64)
         rows = []
-        for b in np.unique(bucket).tolist():
-            k = np.flatnonzero(bucket == b)
+        for k in _groups(bucket):
+            b = int(bucket[k[0]])
             first, n = starts[run_at[k]], run_n[k]
             pieces = b"".join([raw[i:j] for i, j in zip(first.tolist(), (first + n + LENGTH - 1).tolist(), strict=True)])
             rows.append((block, b, None, ids[doc[run_at[k]]].tobytes(), np.stack([first, first - firsts[doc[run_at[k]]]]).astype(np.int64).tobytes(), n.astype(np.int32).tobytes(), values[run_at[k]].tobytes(), zstandard.compress(pieces, 3)))
         yield _batch(rows, kinds, names)
 
     def run(batches):
-        now, body, hashes = None, None, []
-        for batch in batches:
-            for block, ids, lengths, text, places, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if block != now:
-                    if body is not None:
-                        yield from close(now, body, hashes)
-                    now, body, hashes = block, None, []
-                if text is not None:
-                    body = (ids, lengths, text, places)
-                else:
-                    hashes.append(np.frombuffer(own, np.uint64))
-        if body is not None:
-            yield from close(now, body, hashes)
+        for batch in sliced(batches, 16):
+            block, *body = (c.to_pylist() for c in batch.columns[:5])
+            for i, (now, *own) in enumerate(zip(block, *body, strict=True)):
+                abroad = batch.column(5)[i].values  # None if no other block has any of them
+                yield from close(now, own, np.empty(0, np.uint64) if abroad is None else np.sort(abroad.to_numpy().view(np.uint64)))
 
-    blank = lambda c: F.lit(None).cast("binary").alias(c)
-    both = made.where("bucket < 0").select("block", "ids", "lengths", "text", "places", blank("shared")).unionByName(shared.select("block", blank("ids"), blank("lengths"), blank("text"), blank("places"), "shared"))
-    return both.repartition("block").sortWithinPartitions("block").mapInArrow(run, "block long, bucket int, gone binary, ids binary, at binary, counts binary, hashes binary, bytes binary")
+    both = made.select("block", "ids", "lengths", "text", "places").join(shared, "block", "left")
+    return both.mapInArrow(run, "block long, bucket int, gone binary, ids binary, at binary, counts binary, hashes binary, bytes binary")
 
 
 def by_bucket(told: DataFrame) -> DataFrame:
@@ -354,8 +325,7 @@ def by_bucket(told: DataFrame) -> DataFrame:
         parts = -(-len(text) // SORTED_BYTES)
         part = (hashes >> np.uint64(20)) % np.uint64(parts)
         where, lost = [], []
-        for p in range(parts):
-            k = np.flatnonzero(part == p)
+        for k in _groups(part):
             n, size = own[k], sizes[k]
             shift = np.cumsum(size) - size
             pool = text[np.arange(int(size.sum())) + np.repeat(begin[k] - shift, size)]
@@ -365,12 +335,12 @@ def by_bucket(told: DataFrame) -> DataFrame:
             where.append(blocks[k][run[gone]])
             lost.append((places[k][run] + step)[gone])
         where, lost = np.concatenate(where), np.concatenate(lost)
-        rows = [(b, zstandard.compress(np.diff(np.sort(lost[where == b]), prepend=0).astype(np.uint32).tobytes(), 1)) for b in np.unique(where).tolist()]
+        rows = [(int(where[k[0]]), zstandard.compress(np.diff(np.sort(lost[k]), prepend=0).astype(np.uint32).tobytes(), 1)) for k in _groups(where)]
         return _batch(rows, (pa.int64(), pa.binary()), ["block", "gone"])
 
     def run(batches):
         bucket, held = None, []
-        for batch in batches:
+        for batch in sliced(batches):
             for block, b, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if b != bucket:
                     if held:
@@ -385,18 +355,11 @@ def by_bucket(told: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with texts, kept (binary: what is left)."""
-    small_batches(docs.sparkSession)
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(12, -(-size // BUCKET_BYTES))
-    whole = keep(copies(named), "suffix-copies")
-    known = whole.withColumn("copy", F.lit(True))
-    joined = named.join(bounded_broadcast(known, whole.count(), MOST_IDS), "doc_id", "left")
-    made = keep(blocks(joined.where("copy is null").select("doc_id", "text"), buckets), "suffix-blocks")
-    small_batches(docs.sparkSession, 16)  # rows are blocks from here on
-    shared = keep(elsewhere(made.where("bucket >= 0")), "suffix-shared")
-    told = keep(by_block(made, shared, buckets), "suffix-told")
-    discard(shared)
+    joined = with_copies(named)
+    made = keep(blocks(joined.where("not copy").select("doc_id", "text")), "suffix-blocks")
+    told = keep(by_block(made, elsewhere(made), max(12, -(-size // BUCKET_BYTES))), "suffix-told")
     gone = told.where("bucket < 0").select("block", "gone").unionByName(by_bucket(told))
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
@@ -421,7 +384,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches):
         now, body, found = None, None, []
-        for batch in batches:
+        for batch in sliced(batches, 16):
             for block, ids, lengths, text, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if block != now:
                     if body is not None:
@@ -435,7 +398,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield from close(body, found)
 
     blank = lambda c: F.lit(None).cast("binary").alias(c)
-    both = made.where("bucket < 0").select("block", "ids", "lengths", "text", blank("gone")).unionByName(gone.select("block", blank("ids"), blank("lengths"), blank("text"), "gone"))
+    both = made.select("block", "ids", "lengths", "text", blank("gone")).unionByName(gone.select("block", blank("ids"), blank("lengths"), blank("text"), "gone"))
     out = both.repartition("block").sortWithinPartitions("block").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     size = F.octet_length("text").cast("long")
     none = joined.where("copy").select("doc_id", size.alias("n_bytes"), size.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"), F.lit("" if texts else None).cast("binary").alias("kept"))
