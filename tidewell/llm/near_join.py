@@ -4,12 +4,13 @@
    fewer words than five are one shingle), held as 64-bit hashes. Texts of equal sets are one node,
    so copies, however many, cost one row.
 2. A node has a label in each of TREES prefix tries: LABEL MinHash values. Sorting a tree's labels lays
-   its trie out in order. Matched prefixes have one fixed depth, the longest of at most LABEL values at which
-   the chance that a pair at the threshold meets in some tree reaches the target recall; nodes that share such a prefix are
-   compared by all their MinHash values. Within a run, the first node free leads: nodes near it join its group,
-   and those very near lead no more; a group is told by one link a node. Trees are
-   dealt by ranges of (tree, label, node): a hot prefix is cut over tasks, and what leads at their edges meets
-   in a second, small pass.
+   its trie out in order. Nodes that share a prefix are compared by all their MinHash values, from the full
+   label on: of those that share it, the first one free leads, nodes near it join its group, and those very
+   near need no shorter prefix, as their leader goes on for them. The prefix of whatever still leads is
+   shortened by one value, and so on, until the chance that a pair at the threshold has met in some tree
+   reaches the target recall. A hot prefix is so thinned out from its leaves. A group is told by one link a
+   node. Trees are dealt by ranges of (tree, label, node): a hot prefix is cut over tasks, and what leads at
+   their edges meets in a second, small pass, block by block where it is many.
 3. Connected candidates make components. Their shingle sets are fetched once and compared exactly, in
    blocks of BLOCK nodes; a component of more nodes is compared block by block. Links are counted,
    never listed, and classes are the connected components of the exact links.
@@ -23,6 +24,7 @@ id names a class. Other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import math
 from hashlib import blake2b
 
 import numpy as np
@@ -31,17 +33,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import LOWER, bounded_broadcast, components, discard, keep, small_batches
+from tidewell.llm.common import LOWER, bounded_broadcast, components, discard, keep, sliced
 
 SHINGLE = 5
 THRESHOLD = 0.8
 TREES = 14
 LABEL = 6
 RECALL = 0.9995
-#: Shares of equal MinHash values: of a pair that links, of one seen through a leader, and of a node that leads no more.
-LINK, THROUGH, LED = 0.55, 0.45, 0.85
-#: Nodes of a component that one task compares with as many others at a time.
+#: Share of equal MinHash values with its leader from which on a node leads no more.
+LED = 0.85
+#: Nodes of a component that one task compares with as many others at a time, and leaders of one prefix that do so.
 BLOCK = 256
+EDGE_BLOCK = 512
 #: Ids up to which the candidates' ids are broadcast to the documents; beyond, both sides are shuffled.
 MOST_IDS = 1_000_000
 
@@ -57,6 +60,15 @@ def matched_prefix(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
     return next((d for d in range(LABEL, 0, -1) if 1 - (1 - threshold**d) ** TREES >= recall), 1)
 
 
+def near_shares(threshold: float) -> tuple[float, float]:
+    """Least shares of equal MinHash values: of a pair at the threshold, and of one partner of it with the other's leader.
+
+    Both lie some standard deviations of a share below what is expected, so nearly no pair falls short.
+    """
+    below = lambda p, times: max(0.0, p - times * math.sqrt(p * (1 - p) / _K))
+    return below(threshold, 5.7), below(max(0.0, threshold - (1 - LED)), 3.9)
+
+
 class Shingler:
     """Shingle sets of texts, remembering the hashes of a bounded number of words."""
 
@@ -96,7 +108,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         shingler = Shingler()
-        for batch in batches:
+        for batch in sliced(batches):
             nodes, sigs = [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 s = shingler.shingles(text)
@@ -113,20 +125,21 @@ def _fixed(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(len(column), width)
 
 
-def leaders(values: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
+def leaders(values: np.ndarray, link: float, through: float) -> tuple[list[tuple[int, int]], list[int]]:
     """Links (member, first) that hold together the rows of MinHash values that are near through leaders, and the rows that lead.
 
     Only what is connected matters, so a group is told by one link a row.
     """
     n = len(values)
     if n == 2:
-        return ([(1, 0)], [0, 1]) if (values[0] == values[1]).mean() >= LINK else ([], [0, 1])
+        alike = (values[0] == values[1]).mean()
+        return [(1, 0)] if alike >= link else [], [0] if alike >= LED else [0, 1]
     free, group, lead = np.ones(n, bool), np.arange(n), []
     for i in range(n):
         if not free[i]:
             continue
         alike = (values == values[i]).mean(1)
-        met = np.unique(group[alike >= THROUGH])
+        met = np.unique(group[alike >= through])
         if len(met) > 1:
             group[np.isin(group, met)] = met[0]
         free &= alike < LED
@@ -135,15 +148,38 @@ def leaders(values: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
     return [(j, g) for j, g in enumerate(group.tolist()) if g != j], lead
 
 
-def _runs(edges_only: bool, width: int):
-    """A function over batches (tree, label, node, sig) in order: links of nodes that share a tree and width bytes of label."""
+def climb(labels: np.ndarray, values: np.ndarray, depth: int, link: float, through: float) -> tuple[list[tuple[int, int]], list[int]]:
+    """leaders() of rows in the order of their labels, from the full label up to a prefix of depth values: at each, only what leads still meets."""
+    links, lead = [], np.arange(len(labels))
+    for d in range(labels.shape[1] // 2, depth - 1, -1):
+        own = labels[lead, : 2 * d]
+        cuts = [0, *(np.flatnonzero((own[1:] != own[:-1]).any(1)) + 1).tolist(), len(lead)]
+        left = []
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            if j - i == 1:
+                left.append(lead[i : i + 1])
+                continue
+            at = lead[i:j]
+            found, kept = leaders(values[at], link, through)
+            links += [(int(at[a]), int(at[b])) for a, b in found]
+            left.append(at[kept])
+        lead = np.concatenate(left)
+    return links, lead.tolist()
+
+
+def _runs(edges_only: bool, depth: int, threshold: float):
+    """A function over batches (tree, label, node, sig) in order: links of nodes that share a tree and depth values of label.
+
+    edges_only: the label, as a whole, names a group of leaders.
+    """
+    link, through = near_shares(threshold)
 
     def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # key, node, values: the run that may go on
+        held: list[tuple[np.ndarray, ...]] = []  # key, label, node, values: the run that may go on
         first = True
 
-        def close(keys, nodes, values, edge):
-            links, lead = leaders(values)
+        def close(keys, labels, nodes, values, edge):
+            links, lead = leaders(values, link, through) if edges_only else climb(labels, values, depth, link, through)
             rows = [(int(nodes[a]), int(nodes[b]), None, None, None) for a, b in links]
             if edge and not edges_only:
                 rows += [(None, int(nodes[i]), int.from_bytes(keys[0, :4].tobytes(), "big"), keys[0, 4:].tobytes(), values[i].tobytes()) for i in lead]
@@ -161,7 +197,7 @@ def _runs(edges_only: bool, width: int):
                 continue
             tree = batch.column(0).to_numpy().astype(">i4").view(np.uint8).reshape(-1, 4)
             label = _fixed(batch.column(1), len(batch.column(1)[0].as_py()))
-            keys = np.concatenate([tree, label[:, :width]], 1)
+            keys = np.concatenate([tree, label if edges_only else label[:, : 2 * depth]], 1)
             nodes, values = batch.column(2).to_numpy(), _fixed(batch.column(3), _K)
             cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
             starts = np.concatenate([[0], cuts, [len(keys)]])
@@ -169,7 +205,7 @@ def _runs(edges_only: bool, width: int):
             if held:
                 if (held[0][0][0] == keys[0]).all():
                     end = int(starts[1])
-                    held.append((keys[:end], nodes[:end], values[:end].copy()))
+                    held.append((keys[:end], label[:end].copy(), nodes[:end], values[:end].copy()))
                     begin = 1
                 if begin == 0 or len(starts) > 2:
                     rows += close(*joined(), first)
@@ -180,10 +216,10 @@ def _runs(edges_only: bool, width: int):
                 for k in range(begin, last):
                     if sizes[k] > 1 or first:
                         i, j = int(starts[k]), int(starts[k + 1])
-                        rows += close(keys[i:j], nodes[i:j], values[i:j], first)
+                        rows += close(keys[i:j], label[i:j], nodes[i:j], values[i:j], first)
                     first = False
                 i = int(starts[last])
-                held = [(keys[i:], nodes[i:], values[i:].copy())]
+                held = [(keys[i:], label[i:].copy(), nodes[i:], values[i:].copy())]
             yield out(rows)
         if held:
             yield out(close(*joined(), True))
@@ -191,21 +227,25 @@ def _runs(edges_only: bool, width: int):
     return run
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
+def candidates(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Candidate links (a, b) of nodes (node, sig)."""
-    spark, depth = nodes.sparkSession, matched_prefix()
+    depth = matched_prefix(threshold)
     schema = "a long, b long, tree int, label binary, sig binary"
     trees = F.array(*[F.struct(F.lit(t).alias("tree"), F.substring("sig", 2 * LABEL * t + 1, 2 * LABEL).alias("label")) for t in range(TREES)])
     # The low byte of each value is enough to compare by.
     low = F.unhex(F.regexp_replace(F.hex("sig"), "..(..)", "$1"))
     rows = nodes.select("node", low.alias("sig"), F.explode(trees).alias("t")).select("t.tree", "t.label", "node", "sig")
-    small_batches(spark, 4096)
-    met = keep(rows.repartitionByRange("tree", "label", "node").sortWithinPartitions("tree", "label", "node").mapInArrow(_runs(False, 2 * depth), schema), "near-met")
+    met = keep(rows.repartitionByRange("tree", "label", "node").sortWithinPartitions("tree", "label", "node").mapInArrow(_runs(False, depth, threshold), schema), "near-met")
+    # Leaders of a prefix that lies in several tasks: each two of their blocks meet once.
     edge = met.where("tree is not null").select("tree", "label", F.col("b").alias("node"), "sig")
-    more = edge.repartition("tree", "label").sortWithinPartitions("tree", "label", "node").mapInArrow(_runs(True, 2 * depth), schema)
+    counts = edge.groupBy("tree", "label").agg(F.ceil(F.count("*") / EDGE_BLOCK).cast("int").alias("blocks"))
+    block = edge.join(counts, ["tree", "label"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = block.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    four = lambda c: F.unhex(F.lpad(F.hex(c), 8, "0"))
+    dealt = other.select("tree", F.concat("label", four(F.least("block", "other")), four(F.greatest("block", "other"))).alias("label"), "node", "sig")
+    more = dealt.repartition("tree", "label").sortWithinPartitions("tree", "label", "node").mapInArrow(_runs(True, depth, threshold), schema)
     links = keep(met.where("tree is null").unionByName(more).select("a", "b").where("a <> b").distinct(), "near-links")
     discard(met)
-    small_batches(spark)
     return links
 
 
@@ -251,7 +291,7 @@ def _verify(threshold: float):
             hit = counts > 0
             return pa.RecordBatch.from_arrays([pa.array(nodes[hit]), pa.array(counts[hit], pa.int64()), pa.array(roots[hit])], names=["node", "links", "root"])
 
-        for batch in batches:
+        for batch in sliced(batches):
             for c, b1, b2, node, weight, block, shingles in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if key != (c, b1, b2):
                     if (found := done()) is not None:
@@ -267,19 +307,17 @@ def _verify(threshold: float):
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """A row per row of docs: doc_id, class_id (the class's smallest id) and n_links (other rows at or over the threshold)."""
-    spark = docs.sparkSession
-    small_batches(spark)
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     whole = keep(signatures(named.where("doc_id is not null")), "near-signatures")
     nodes = keep(whole.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.count("*").alias("weight"), F.max("sig").alias("sig")), "near-nodes")
-    links = candidates(nodes.select("node", "sig"))
+    links = candidates(nodes.select("node", "sig"), threshold)
     labels = components(links, "near-candidates")
     sizes = labels.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     active = keep(labels.join(sizes, "component").join(nodes.select("node", "doc", "weight"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "near-active")
 
     def fetched(batches):
         shingler = Shingler()
-        for batch in batches:
+        for batch in sliced(batches):
             found, keep_rows = [], []
             for i, (node, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True)):
                 raw = shingler.shingles(text).tobytes()
