@@ -8,8 +8,8 @@ states' shares of all tokens by SHRINK occurrences.
 1. Tasks turn documents into blocks of local word numbers and send each block's distinct words to
    buckets; a bucket adds up the counts of its words over all blocks and answers each block.
 2. Blocks become sequences of local numbers, with the parts of the scores that need no states.
-3. Baum-Welch: a block runs the scaled forward-backward recursion over windows of WINDOW tokens of
-   its training texts and sends its words' expected counts by state to their buckets; a bucket adds
+3. Baum-Welch: a block runs the scaled forward-backward recursion over its whole training texts,
+   CHUNK tokens at a time or a single longer text, and sends its words' expected counts by state to their buckets; a bucket adds
    them up and answers each block with its words' new split. So no task holds the whole table, and
    the driver only holds sums by state. Splits travel as half-precision numbers.
 4. Scoring runs the scaled forward recursion over whole texts: their exact likelihood.
@@ -22,6 +22,7 @@ as often as they occur. An empty table gives an empty result. Other columns are
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import LOWER, discard, keep, small_batches
+from tidewell.llm.common import LOWER, discard, keep, sliced
 
 STATES = 8
 STEPS = 4
-WINDOW = 32
+#: Tokens of the texts that go through a recursion side by side.
+CHUNK = 1 << 19
 #: Text bytes of a block, and of texts that share a bucket of words.
 BLOCK_BYTES = 16 << 20
 BUCKET_BYTES = 32 << 20
@@ -80,16 +82,14 @@ def blocks(docs: DataFrame, buckets: int) -> DataFrame:
             counts = np.bincount(tokens[~np.repeat(held, lengths)], minlength=len(words))[order].astype(np.int32)
             block, made = (part << 32) | made, made + 1
             yield _batch([(block, -1, np.array([_NULL_ID if i is None else i for i in ids], np.int64).tobytes(), lengths.tobytes(), zlib.compress(renamed[tokens].tobytes() if len(words) else b"", 1), None, None, held.tobytes(), int(counts.sum()) + int((~held).sum()))], _BLOCK_KINDS, _BLOCK_NAMES)
-            cuts = np.searchsorted(place[order], np.arange(buckets + 1))
+            cuts = np.append(np.flatnonzero(np.diff(place[order], prepend=-1)), len(words))
             rows = []
-            for b in range(buckets):
-                i, j = int(cuts[b]), int(cuts[b + 1])
-                if i < j:
-                    rows.append((block, b, None, None, None, zlib.compress(b"\n".join([words[k] for k in order[i:j].tolist()]), 1), counts[i:j].tobytes(), None, None))
+            for b, i, j in zip(place[order][cuts[:-1]].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                rows.append((block, b, None, None, None, zlib.compress(b"\n".join([words[k] for k in order[i:j].tolist()]), 1), counts[i:j].tobytes(), None, None))
             yield _batch(rows, _BLOCK_KINDS, _BLOCK_NAMES)
 
         ids, seqs, vocab, size = [], [], {}, 0
-        for batch in batches:
+        for batch in sliced(batches):
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 words = text.translate(LOWER).split() if text else []
                 for w in set(words).difference(vocab):
@@ -131,7 +131,7 @@ def answers(sent: DataFrame, states: int) -> DataFrame:
             rows += [(block, bucket, zlib.compress(totals[place].tobytes(), 1), zlib.compress(place.tobytes(), 1), split[place].tobytes(), None) for place, (block, _, _) in zip(places, held, strict=True)]
             return _batch(rows, kinds, names)
 
-        for batch in batches:
+        for batch in sliced(batches):
             for block, b, words, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if b != bucket:
                     if held:
@@ -166,7 +166,7 @@ def coded(made: DataFrame, answered: DataFrame, end_count: int, n: int, v: int)
             end = np.log10((end_count + 0.1) / denominator)
             return (now, -1, ids, (lengths + 1).astype(np.int32).tobytes(), held, zlib.compress(full.tobytes(), 1), (by_text(base[tokens]) + end).tobytes(), known.tobytes(), zlib.compress(counts.tobytes(), 1), None)
 
-        for batch in batches:
+        for batch in sliced(batches, 16):
             rows = []
             for block, bucket, ids, lengths, tokens, held, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if block != now:
@@ -202,7 +202,7 @@ def _read_blocks(batches, states: int):
         split = np.concatenate(found).astype(np.float32) if found else np.empty((0, states), np.float32)
         return body, [(b, len(x)) for (b, _), x in zip(parts, found, strict=True)], split / split.sum(1, keepdims=True)
 
-    for batch in batches:
+    for batch in sliced(batches, 16):
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if row[1] < 0:
                 if body is not None:
@@ -219,58 +219,74 @@ def emissions_of(split: np.ndarray, totals: np.ndarray, end: np.ndarray, mass: n
     return np.vstack([split.astype(np.float64) * (totals + 0.1)[:, None], end[None, :]]) / mass
 
 
-def expected(classes: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts (starts, moves, emissions by class and state) of windows of classes (word numbers; rows; len(emit) - 1 pads the ends)."""
-    m, w = classes.shape
-    pad = len(emit) - 1
-    alpha, seen = np.empty((w, m, len(start)), np.float32), emit[classes.T]
-    for t in range(w):
-        now = (start if t == 0 else alpha[t - 1] @ move) * seen[t]
-        alpha[t] = now / now.sum(1, keepdims=True)
-    gamma, moves = np.empty_like(alpha), np.zeros_like(move)
-    beta = np.ones((m, len(start)), np.float32)
-    for t in range(w - 1, -1, -1):
-        both = alpha[t] * beta
-        gamma[t] = both / both.sum(1, keepdims=True)
-        if t:
-            ahead = seen[t] * beta
-            back = ahead @ move.T
-            live = classes[:, t] != pad
-            scale = np.where(live, 1 / (alpha[t - 1] * back).sum(1), 0)[:, None]
-            moves += move * ((alpha[t - 1] * scale).T @ ahead)
-            beta = np.where(live[:, None], back / back.sum(1, keepdims=True), 1)
-    flat, weights = classes.T.ravel(), gamma.reshape(-1, len(start))
-    emissions = np.stack([np.bincount(flat, weights=weights[:, k], minlength=len(emit)) for k in range(len(start))], 1)
-    return gamma[0].sum(0, dtype=np.float64), moves.astype(np.float64), emissions
-
-
-def windows(classes: np.ndarray, lengths: np.ndarray, pad: int) -> np.ndarray:
-    """Texts' sequences, one after another, cut into rows of WINDOW classes."""
-    pieces = -(-lengths // WINDOW)
-    out = np.full((int(pieces.sum()), WINDOW), pad, np.int64)
-    if len(out):
-        first = np.concatenate([[0], np.cumsum(pieces)])[:-1] * WINDOW
-        starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
-        out.ravel()[np.arange(len(classes)) + np.repeat(first - starts, lengths)] = classes
-    return out
+class Layout:
+    """Texts of the given lengths, longest first, laid out step by step, so that a recursion takes one step of all of them at once."""
+
+    def __init__(self, lengths: np.ndarray, starts: np.ndarray):
+        #: How many texts reach each step, and where its tokens begin.
+        self.live = np.searchsorted(-lengths, -np.arange(int(lengths[0]) if len(lengths) else 0), side="left")
+        self.begin = np.cumsum(self.live) - self.live
+        self.step = np.repeat(np.arange(len(self.live)), self.live)
+        self.text = np.arange(len(self.step)) - self.begin[self.step]
+        #: Each token's place in the sequences.
+        self.token = starts[self.text] + self.step
+        self.slices = list(zip(self.begin.tolist(), self.live.tolist(), strict=True))
+
+
+def layouts(lengths: np.ndarray) -> Iterator[tuple[np.ndarray, Layout]]:
+    """(texts, their layout), CHUNK tokens at a time; a longer text has one of its own."""
+    starts = np.cumsum(lengths) - lengths
+    order = np.argsort(-lengths, kind="stable")
+    part = np.cumsum(lengths[order]) // CHUNK
+    for own in np.split(order, np.flatnonzero(np.diff(part)) + 1) if len(order) else ():
+        yield own, Layout(lengths[own], starts[own])
+
+
+def forward(seen: np.ndarray, at: Layout, start: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled forward recursion over emissions by token and state: shares of the states, and the scale, of each token."""
+    alpha, scale, ones = np.empty_like(seen), np.empty(len(seen), seen.dtype), np.ones(len(start), seen.dtype)
+    ahead = np.broadcast_to(start, (int(at.live[0]) if len(at.live) else 0, len(start))).astype(seen.dtype)
+    for b, k in at.slices:
+        now, total = alpha[b : b + k], scale[b : b + k]
+        np.multiply(ahead[:k], seen[b : b + k], out=now)
+        np.matmul(now, ones, out=total)
+        now /= total[:, None]
+        np.matmul(now, move, out=ahead[:k])
+    return alpha, scale
+
+
+def expected(classes: np.ndarray, lengths: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected counts (starts, moves, emissions by class and state) of texts' sequences, one after another, by the scaled forward-backward recursion over each as a whole."""
+    states = len(start)
+    starts, moves, emissions = np.zeros(states), np.zeros((states, states)), np.zeros((len(emit), states))
+    back = np.ascontiguousarray(move.T)
+    for _, at in layouts(lengths):
+        own = classes[at.token]
+        seen = emit[own]
+        alpha, scale = forward(seen, at, start, move)
+        seen /= scale[:, None]
+        beta = np.ones_like(alpha)  # a text's last token keeps it
+        for (b, k), (before, _) in zip(at.slices[:0:-1], at.slices[-2::-1], strict=True):
+            ahead = seen[b : b + k]
+            ahead *= beta[b : b + k]
+            np.matmul(ahead, back, out=beta[before : before + k])
+        first = int(at.live[0]) if len(at.live) else 0
+        previous = at.begin[at.step[first:] - 1] + at.text[first:]
+        moves += move * (alpha[previous].T @ seen[first:])
+        alpha *= beta
+        starts += alpha[:first].sum(0, dtype=np.float64)
+        for k in range(states):
+            emissions[:, k] += np.bincount(own, weights=alpha[:, k], minlength=len(emit))
+    return starts, moves, emissions
 
 
 def likelihoods(classes: np.ndarray, lengths: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> np.ndarray:
     """log10 likelihood of each sequence by the scaled forward recursion over its whole length."""
-    order = np.argsort(-lengths, kind="stable")
-    starts = (np.concatenate([[0], np.cumsum(lengths)])[:-1])[order]
-    sizes = lengths[order]
-    live = np.searchsorted(-sizes, -np.arange(int(sizes[0]) if len(sizes) else 0), side="left")
-    out, alpha = np.zeros(len(lengths)), None
-    for t, k in enumerate(live.tolist()):
-        seen = emit[classes[starts[:k] + t]]
-        alpha = (np.broadcast_to(start, seen.shape) if t == 0 else alpha[:k] @ move) * seen
-        scale = alpha.sum(1)
-        alpha /= scale[:, None]
-        out[:k] += np.log10(scale)
-    back = np.empty(len(lengths))
-    back[order] = out
-    return back
+    out = np.zeros(len(lengths))
+    for texts, at in layouts(lengths):
+        _, scale = forward(emit[classes[at.token]], at, start, move)
+        out[texts] = np.bincount(at.text, weights=np.log10(scale), minlength=len(texts))
+    return out
 
 
 def train(table: DataFrame, answered: DataFrame, n: int, v: int, ends: int, states: int = STATES, steps: int = STEPS) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -283,17 +299,12 @@ def train(table: DataFrame, answered: DataFrame, n: int, v: int, ends: int, stat
         def run(batches, model=(start, move, end, mass)):
             start, move = (x.astype(np.float32) for x in model[:2])
             for (block, _, _, lengths, held, tokens, _, _, totals, _), buckets, split in _read_blocks(batches, states):
-                emit = emissions_of(split, np.frombuffer(zlib.decompress(totals), np.int64), *model[2:])
-                emit = np.vstack([emit, np.ones((1, states))]).astype(np.float32)
-                starts, moves, emissions = np.zeros(states), np.zeros((states, states)), np.zeros((len(emit), states))
+                emit = emissions_of(split, np.frombuffer(zlib.decompress(totals), np.int64), *model[2:]).astype(np.float32)
                 lengths, own = np.frombuffer(lengths, np.int32).astype(np.int64), ~np.frombuffer(held, bool)
-                cut = windows(np.frombuffer(zlib.decompress(tokens), np.int32)[np.repeat(own, lengths)], lengths[own], len(emit) - 1)
-                for i in range(0, len(cut), 8192):
-                    for into, more in zip((starts, moves, emissions), expected(cut[i : i + 8192], start, move, emit), strict=True):
-                        into += more
-                rows = [(block, -1, None, None, np.concatenate([starts, moves.ravel(), emissions[-2], emissions[:-1].sum(0)]).tobytes())]
-                counts = np.rint(emissions[:-2].sum(1)).astype(np.int32)
-                shares = (emissions[:-2] / np.maximum(counts, 1)[:, None]).astype(np.float16)
+                starts, moves, emissions = expected(np.frombuffer(zlib.decompress(tokens), np.int32)[np.repeat(own, lengths)], lengths[own], start, move, emit)
+                rows = [(block, -1, None, None, np.concatenate([starts, moves.ravel(), emissions[-1], emissions.sum(0)]).tobytes())]
+                counts = np.rint(emissions[:-1].sum(1)).astype(np.int32)
+                shares = (emissions[:-1] / np.maximum(counts, 1)[:, None]).astype(np.float16)
                 at = 0
                 for bucket, k in buckets:
                     rows.append((block, bucket, shares[at : at + k].tobytes(), counts[at : at + k].tobytes(), None))
@@ -328,7 +339,7 @@ def train(table: DataFrame, answered: DataFrame, n: int, v: int, ends: int, stat
                 mass = ((counts + 0.1) * (counts > 0)) @ exact.astype(np.float64)
                 return _batch([(None, bucket, None, None, mass.tobytes()), *((block, bucket, split[x].tobytes(), None, None) for block, x in places.items())], _SENT_KINDS, _SENT_NAMES)
 
-            for batch in batches:
+            for batch in sliced(batches):
                 for block, b, place, split, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if b != bucket:
                         if places:
@@ -352,12 +363,9 @@ def train(table: DataFrame, answered: DataFrame, n: int, v: int, ends: int, stat
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, steps: int = STEPS) -> DataFrame:
     """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
-    small_batches(spark)
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     made = keep(blocks(named, max(12, -(-size // BUCKET_BYTES))), "hmm-blocks")
-    small_batches(spark, 16)  # rows are blocks from here on
     told = made.where("bucket < 0").agg(F.sum("train").alias("n"), F.sum(F.expr("octet_length(replace(hex(held), '01', ''))") / 2).alias("ends")).first()
     n, ends = int(told["n"] or 0), int(told["ends"] or 0)
     answered = keep(answers(made.where("bucket >= 0"), states), "hmm-answers")
