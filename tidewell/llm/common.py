@@ -40,11 +40,6 @@ def sliced(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterato
             yield batch.slice(i, rows)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds the Arrow batches of later stages, as documents may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes df to the shared folder and reads it back, so a lost executor costs no recomputation."""
     spark = df.sparkSession

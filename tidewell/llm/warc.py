@@ -8,7 +8,9 @@ goes on. So any cut of a file into ranges gives each record once.
 
 Writing: equal payloads of at least MIN_REVISIT bytes are found by their SHA-1 (an
 aggregation with map-side combine on small rows); the largest page id is the response and
-the others become revisit records without payload. Tasks write their part of the rows under a
+the others become revisit records without payload. Only the digests that occur twice or more go
+to the writing tasks, by broadcast while they are at most MOST_DIGESTS; payloads are shuffled
+beyond that alone. Tasks write their part of the rows under a
 name of their own attempt and report it, so only files of successful attempts are read.
 Archives are read and written through pyarrow's file systems at the shared folder.
 
@@ -30,13 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import keep, shared_dir, small_batches
+from tidewell.llm.common import keep, shared_dir, sliced, spread_join
 
 MIN_REVISIT = 1000
 #: A task starts another archive once one holds so many bytes.
 ARCHIVE_BYTES = 64 << 20
 #: Bytes of a reading task's range.
 RANGE_BYTES = 8 << 20
+MOST_RANGES = 64
+#: Repeated payloads' digests up to which they are broadcast; beyond, both sides are shuffled.
+MOST_DIGESTS = 1_000_000
 
 MAGIC = b"\x1f\x8b\x08"
 _CHUNK = 1 << 16
@@ -84,20 +89,20 @@ def parse_record(raw: bytes) -> dict | None:
 
 def members(file, start: int, end: int, size: int):
     """(offset, decoded bytes) of the WARC members that start in [start, end) of an open file."""
-    at, buffer, base = start, b"", start  # buffer: the bytes from base on
+    at, buffer, base = start, bytearray(), start  # buffer: the bytes from base on
 
     def upto(offset: int) -> None:
-        nonlocal buffer
         while base + len(buffer) < min(offset, size):
             file.seek(base + len(buffer))
             more = file.read(min(_CHUNK * 4, size - base - len(buffer)))
             if not more:
                 return
-            buffer += more
+            buffer.extend(more)
 
     while at < end:
         if at - base > _CHUNK * 4:
-            buffer, base = buffer[at - base :], at
+            del buffer[: at - base]
+            base = at
         upto(at + _CHUNK)
         found = buffer.find(MAGIC, at - base)
         if found < 0:
@@ -110,7 +115,7 @@ def members(file, start: int, end: int, size: int):
         try:
             while not inflate.eof:
                 upto(used + 1)
-                piece = buffer[used - base : used - base + _CHUNK]
+                piece = bytes(buffer[used - base : used - base + _CHUNK])
                 if not piece:
                     break
                 used += len(piece)
@@ -127,28 +132,28 @@ def members(file, start: int, end: int, size: int):
             at += 1
 
 
-def revisits(pages: DataFrame) -> DataFrame:
-    """(page_id, refers_to) of the pages (page_id, html) that repeat the payload of a larger page id."""
-    sized = pages.select("page_id", F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload")).where(F.octet_length("payload") >= MIN_REVISIT).select("page_id", F.sha1("payload").alias("digest"))
-    digests = keep(sized, "warc-digests")
-    largest = digests.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null").select("digest", "refers_to")
-    return digests.join(largest, "digest").where("page_id <> refers_to").select("page_id", "refers_to").distinct()
+def with_targets(pages: DataFrame) -> DataFrame:
+    """pages (page_id, url, html) with refers_to: the largest page id of the same payload, where that is another page's."""
+    payload = F.encode(F.coalesce("html", F.lit("")), "utf-8")
+    own = pages.withColumn("digest", F.when(F.octet_length(payload) >= MIN_REVISIT, F.unhex(F.sha1(payload))))
+    counted = own.where("digest is not null").groupBy("digest").agg(F.max("page_id").alias("largest"), F.count("*").alias("n"))
+    largest = keep(counted.where("n > 1 and largest is not null").select("digest", "largest"), "warc-repeated")
+    met = spread_join(own, largest, "digest", largest.count(), MOST_DIGESTS)
+    return met.select("page_id", "url", "html", F.when(F.col("page_id") != F.col("largest"), F.col("largest")).alias("refers_to"))
 
 
 def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Writes archives; returns (path, bytes, records) of the files."""
-    spark = pages.sparkSession
-    small_batches(spark)
-    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     named = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
-    full = named.join(revisits(named), "page_id", "left").select("page_id", "url", "html", "refers_to")
+    full = with_targets(named)
 
     def run(batches):
         system, where = open_fs(folder)
         system.create_dir(where, recursive=True)
         done, out, name, size, n = [], None, "", 0, 0
         try:
-            for batch in batches:
+            for batch in sliced(batches):
                 for page_id, url, html, refers_to in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True):
                     if out is None:
                         name, size, n = f"{uuid.uuid4().hex}.warc.gz", 0, 0
@@ -172,10 +177,12 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
 
 
 def ranges(files: DataFrame, size: int = RANGE_BYTES) -> DataFrame:
-    """files (path, bytes) cut into (path, start, end, bytes), dealt evenly."""
+    """files (path, bytes) cut into (path, start, end, bytes): a task each while they are few, and at most MOST_RANGES a task."""
+    n = files.agg(F.sum(F.ceil(F.col("bytes") / size))).first()[0] or 1
+    tasks = min(n, max(MOST_RANGES, 4 * files.sparkSession.sparkContext.defaultParallelism, -(-n // MOST_RANGES)))
     cut = files.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(size).cast("long"))).alias("start"))
     spread = cut.select("path", "start", F.least(F.col("start") + size, "bytes").alias("end"), "bytes")
-    return spread.repartition(F.col("path"), F.col("start"))
+    return spread.repartition(int(tasks))
 
 
 def read(files: DataFrame, size: int = RANGE_BYTES) -> DataFrame:
