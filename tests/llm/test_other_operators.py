@@ -30,7 +30,7 @@ def test_hmm_scores(spark):
     texts = {i: " ".join(rng.choice(LANGS[i % 3]) for _ in range(rng.randint(0, 80))) for i in range(400)}
     texts[400], texts[401], texts[402] = None, "", "NEVER seen BEFORE words"
     rows = [(i, t, "x", "y") for i, t in texts.items()] + [(None, "a1 a2", "x", "y"), (7, texts[7], "x", "y")]
-    found = told(hmm.score(spark.createDataFrame(rows, "doc_id long, text string, base string, n int").repartition(3) if False else spark.createDataFrame(rows, "doc_id long, text string, base string, score string").repartition(3), steps=6), "doc_id")
+    found = told(hmm.score(spark.createDataFrame(rows, "doc_id long, text string, base string, score string").repartition(3), steps=6), "doc_id")
     seen = Counter()
     tokens = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")), None]
     for i, t, *_ in rows:
@@ -64,18 +64,46 @@ def test_hmm_recursions_agree_with_enumeration():
     for s, g in zip(seqs, got, strict=True):
         total = sum(start[p[0]] * emit[s[0], p[0]] * math.prod(move[p[i - 1], p[i]] * emit[s[i], p[i]] for i in range(1, len(s))) for p in itertools.product(range(3), repeat=len(s)))
         assert math.isclose(g, math.log10(total), rel_tol=1e-9)
-    # Expected counts of one window: against enumeration of paths.
-    s = np.append(seqs[1], [5, 5])
-    begins, moves, emissions = hmm.expected(s[None, :], start.astype(np.float32), move.astype(np.float32), np.vstack([emit, np.ones((1, 3))]).astype(np.float32))
-    weights, want_moves, want_emit = 0, np.zeros((3, 3)), np.zeros((6, 3))
-    for p in itertools.product(range(3), repeat=4):
-        q = start[p[0]] * emit[s[0], p[0]] * math.prod(move[p[i - 1], p[i]] * emit[s[i], p[i]] for i in range(1, 4))
-        weights += q
-        for i in range(4):
-            want_emit[s[i], p[i]] += q
-            if i:
-                want_moves[p[i - 1], p[i]] += q
-    assert np.allclose(moves, want_moves / weights, atol=1e-4) and np.allclose(emissions[:5], want_emit[:5] / weights, atol=1e-4)
+    # Expected counts of whole texts: against enumeration of paths.
+    got = hmm.expected(np.concatenate(seqs), lengths, *(x.astype(np.float32) for x in (start, move, emit)))
+    want = [np.zeros(3), np.zeros((3, 3)), np.zeros((5, 3))]
+    for s in seqs:
+        paths = [(p, start[p[0]] * emit[s[0], p[0]] * math.prod(move[p[i - 1], p[i]] * emit[s[i], p[i]] for i in range(1, len(s)))) for p in itertools.product(range(3), repeat=len(s))]
+        total = sum(q for _, q in paths)
+        for p, q in paths:
+            want[0][p[0]] += q / total
+            for i in range(len(s)):
+                want[2][s[i], p[i]] += q / total
+                if i:
+                    want[1][p[i - 1], p[i]] += q / total
+    assert all(np.allclose(a, b, atol=1e-4) for a, b in zip(got, want, strict=True))
+    # Scores are a distribution: those of all sequences of one length add up to one.
+    every = np.array(list(itertools.product(range(5), repeat=4)))
+    assert math.isclose(sum(10 ** hmm.likelihoods(every.ravel(), np.full(len(every), 4), start, move, emit)), 1, rel_tol=1e-9)
+
+
+def test_hmm_emissions_add_up():
+    r = np.random.default_rng(5)
+    split = r.dirichlet(np.ones(3), 6).astype(np.float32)
+    totals, ends, unseen = np.array([5, 0, 2, 9, 1, 1]), r.random(3) * 4, r.random(3) * 0.1
+    seen = split.astype(float) * (totals + 0.1)[:, None]
+    mass = seen.sum(0) + ends + unseen
+    emit = hmm.emissions_of(split, totals, ends, mass)
+    assert np.allclose(emit.sum(0) + unseen / mass, 1) and emit.shape == (7, 3)
+
+
+def test_hmm_very_long_text_and_many_chunks(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    start, move, emit = r.dirichlet(np.ones(4)), r.dirichlet(np.ones(4), 4), r.dirichlet(np.ones(30), 4).T
+    lengths = np.array([3, 700, 1, 2, 0, 90, 90])
+    classes = r.integers(0, 30, int(lengths.sum()))
+    whole = hmm.likelihoods(classes, lengths, start, move, emit), *hmm.expected(classes, lengths, start, move, emit)
+    monkeypatch.setattr(hmm, "CHUNK", 50)
+    cut = hmm.likelihoods(classes, lengths, start, move, emit), *hmm.expected(classes, lengths, start, move, emit)
+    assert all(np.allclose(a, b) for a, b in zip(whole, cut, strict=True)) and whole[1].sum() == pytest.approx(6)
+    text = " ".join(f"w{i % 997}" for i in range(200_000))
+    found = told(hmm.score(spark.createDataFrame([(1, text), (2, "w1 w2"), (3, None)], "doc_id long, text string")), "doc_id")
+    assert found[1][0]["n_tokens"] == 200_001 and math.isfinite(found[1][0]["score"]) and found[3][0]["n_tokens"] == 1
 
 
 def test_training_raises_likelihood(spark):
@@ -199,6 +227,26 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_rows_of_one_page_and_the_shuffled_way(spark, monkeypatch):
+    a, b = "a" * 1500, "b" * 1500
+    df = spark.createDataFrame([(1, "u", a), (1, "u", b), (2, "u", a), (3, "u", b), (None, "u", a)], "page_id long, url string, html string")
+    want = sorted([(1, a, 2), (1, b, 3), (2, a, None), (3, b, None), (None, a, None)], key=repr)
+    for most in (1000, 0):
+        monkeypatch.setattr(warc, "MOST_DIGESTS", most)
+        digest = lambda x: hashlib.sha1(x.encode()).hexdigest()
+        got = sorted(((r["page_id"], r["payload_digest"], r["refers_to"]) for r in warc.round_trip(df).collect()), key=repr)
+        assert got == sorted([(i, digest(x), to) for i, x, to in want], key=repr)
+
+
+def test_warc_reads_in_parallel(spark):
+    df = spark.range(40).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("x"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 40)).alias("html"))
+    files = warc.write(df.repartition(2))
+    total, size = files.agg(F.sum("bytes")).first()[0], 500
+    assert warc.ranges(files, size).rdd.getNumPartitions() >= total // size > 10
+    parts = warc.read(files, size).select("page_id", F.spark_partition_id().alias("p")).collect()
+    assert len(parts) == 40 and len({r["p"] for r in parts}) > 8
+
+
 def test_warc_skips_false_magic(tmp_path):
     body = b"".join([warc.record(1, "u", b"a" * 50, "d", None), b"junk \x1f\x8b\x08 more \x1f\x8b", gzip.compress(b"not warc"), warc.record(2, "u", b"b" * 50, "d", None)])
     path = tmp_path / "x.warc.gz"

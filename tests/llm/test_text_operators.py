@@ -216,12 +216,37 @@ def test_suffix_dedup_repeated_rows_and_null_ids(docs):
     assert len(found[None]) == 2 and max(r["n_removed"] for r in found[None]) == len(BASE.encode())
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_suffix_dedup_rows_of_one_id(spark, parts):
+    a, b, c = prose(60), prose(60), prose(60)
+    rows = [(1, a), (2, a), (2, b), (2, None), (3, None), (3, b), (3, c), (3, c), (4, f"{c} {prose(5)}"), (None, a), (None, None), (5, "")]
+    found = {}
+    for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect():
+        found.setdefault((r["doc_id"], r["n_bytes"]), []).append((r["n_removed"], r["n_spans"], r["kept_sha256"], bytes(r["kept"])))
+    n = {x: len(x.encode()) for x in (a, b, c)}
+    whole = lambda x: (0, 0, hashlib.sha256(x.encode()).hexdigest(), x.encode())
+    none = lambda x: (n[x], 1, hashlib.sha256(b"").hexdigest(), b"")
+    assert found[1, n[a]] == [whole(a)] and found[2, n[a]] == [none(a)] and found[2, n[b]] == [whole(b)]
+    assert found[3, n[b]] == [none(b)] and found[3, n[c]] == [whole(c)] * 2 and found[None, n[a]] == [none(a)]
+    assert found[2, 0] == found[3, 0] == found[None, 0] == found[5, 0] == [whole("")]
+    assert sum(map(len, found.values())) == len(rows)
+    (lost, spans, *_) = next(v[0] for (i, _), v in found.items() if i == 4)
+    assert (lost, spans) == (n[c], 1)
+
+
+def test_suffix_dedup_beyond_the_broadcast(docs, monkeypatch):
+    told_by = lambda: sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(docs, texts=False).collect())
+    few = told_by()
+    monkeypatch.setattr(suffix_dedup, "MOST_COPIES", 0)
+    assert told_by() == few
+
+
 def shingles(text):
     words = re.findall(f"[^{SPACE[1:-1]}]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-def brute_near(texts):
+def brute_near(texts, threshold=0.8):
     sets = {i: shingles(t) for i, t in texts}
     ids = [i for i, _ in texts]
     links, up = Counter(), {i: i for i in ids}
@@ -234,7 +259,7 @@ def brute_near(texts):
     for x, a in enumerate(ids):
         for b in ids[x + 1 :]:
             both = len(sets[a] & sets[b])
-            if both and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+            if both and both >= threshold * (len(sets[a]) + len(sets[b]) - both):
                 links[a] += 1
                 links[b] += 1
                 p, q = sorted((top(a), top(b)))
@@ -272,6 +297,63 @@ def test_near_join_large_group(spark):
     assert missed == 0
 
 
+@pytest.mark.parametrize("threshold", [0.4, 0.6, 0.8, 0.95])
+def test_near_join_thresholds(spark, threshold):
+    r = random.Random(8)
+    texts = []
+    for i in range(120):
+        words = [f"w{r.randrange(4000)}" for _ in range(60)]
+        texts += [(4 * i, " ".join(words))]
+        for k in range(1, 4):
+            changed = list(words)
+            for _ in range(r.randint(0, 6)):
+                changed[r.randrange(60)] = f"n{r.random()}"
+            texts.append((4 * i + k, " ".join(changed)))
+    found = told(near_join.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string").repartition(5), threshold=threshold))
+    expected = brute_near(texts, threshold)
+    links = sum(n for _, n in expected.values())
+    assert links > 100
+    assert all(found[i][0]["n_links"] <= n for i, (_, n) in expected.items())
+    assert sum(found[i][0]["n_links"] for i in expected) >= 0.98 * links
+
+
+def test_near_join_hot_prefix_over_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(near_join, "EDGE_BLOCK", 3)
+    monkeypatch.setattr(near_join, "BLOCK", 16)
+    r = random.Random(9)
+    base = [f"b{i}" for i in range(80)]
+    texts = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(r.randint(0, 5)):
+            words[r.randrange(80)] = f"n{r.random()}"
+        texts.append((i, " ".join(words)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        found = told(near_join.near_duplicates(docs))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert {i: (v[0]["class_id"], v[0]["n_links"]) for i, v in found.items()} == brute_near(texts)
+
+
+def test_near_shares_follow_the_threshold():
+    assert near_join.near_shares(0.8) == pytest.approx((0.55, 0.45), abs=0.01)
+    shares = [near_join.near_shares(t) for t in (0.3, 0.4, 0.6, 0.8, 1.0)]
+    assert shares == sorted(shares) and near_join.matched_prefix(0.4) < near_join.matched_prefix(0.8) < near_join.matched_prefix(0.99)
+
+
+def test_components_of_a_star(spark, monkeypatch):
+    from tidewell.llm import common
+
+    edges = spark.createDataFrame([(0, i) for i in range(1, 200)] + [(500, 501), (501, 502), (None, 3), (7, 7)], "a long, b long")
+    few = sorted(map(tuple, common.components(edges, "t").collect()))
+    monkeypatch.setattr(common, "MOST_NODES", 0)
+    assert sorted(map(tuple, common.components(edges, "t").collect())) == few == [(i, 0) for i in range(200)] + [(i, 500) for i in (500, 501, 502)]
+
+
 def test_prefix_meets_recall():
     d = near_join.matched_prefix()
     assert 1 - (1 - 0.8**d) ** near_join.TREES >= near_join.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** near_join.TREES
