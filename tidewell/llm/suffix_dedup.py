@@ -25,6 +25,7 @@ is judged by its own text. Empty tables give an empty result. Other columns are
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -229,6 +230,11 @@ def elsewhere(made: DataFrame) -> DataFrame:
     return spread.groupBy("block").agg(F.collect_list("h").alias("shared"))
 
 
+def by_group(df: DataFrame, key: str, work: Callable[[list[dict]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What work makes of the rows of each key. A group goes to Python on its own, so a batch never holds more than one block or bucket."""
+    return df.groupBy(key).applyInArrow(lambda table: pa.Table.from_batches(list(work(table.to_pylist()))), schema)
+
+
 def _groups(values: np.ndarray) -> list[np.ndarray]:
     """Places of each distinct value, sorted once."""
     order = np.argsort(values, kind="stable")
@@ -290,15 +296,14 @@ def by_block(made: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
             rows.append((block, b, None, ids[doc[run_at[k]]].tobytes(), np.stack([first, first - firsts[doc[run_at[k]]]]).astype(np.int64).tobytes(), n.astype(np.int32).tobytes(), values[run_at[k]].tobytes(), zstandard.compress(pieces, 3)))
         yield _batch(rows, kinds, names)
 
-    def run(batches):
-        for batch in sliced(batches, 16):
-            block, *body = (c.to_pylist() for c in batch.columns[:5])
-            for i, (now, *own) in enumerate(zip(block, *body, strict=True)):
-                abroad = batch.column(5)[i].values  # None if no other block has any of them
-                yield from close(now, own, np.empty(0, np.uint64) if abroad is None else np.sort(abroad.to_numpy().view(np.uint64)))
+    def work(rows):
+        body = next(([r[c] for c in ("ids", "lengths", "text", "places")] for r in rows if r["text"] is not None))
+        shared = next((r["shared"] for r in rows if r["text"] is None), [])
+        yield from close(rows[0]["block"], body, np.sort(np.array(shared, np.int64).view(np.uint64)))
 
-    both = made.select("block", "ids", "lengths", "text", "places").join(shared, "block", "left")
-    return both.mapInArrow(run, "block long, bucket int, gone binary, ids binary, at binary, counts binary, hashes binary, bytes binary")
+    blank = lambda c: F.lit(None).cast("binary").alias(c)
+    both = made.select("block", "ids", "lengths", "text", "places", F.lit(None).cast("array<long>").alias("shared")).unionByName(shared.select("block", blank("ids"), blank("lengths"), blank("text"), blank("places"), "shared"))
+    return by_group(both, "block", work, "block long, bucket int, gone binary, ids binary, at binary, counts binary, hashes binary, bytes binary")
 
 
 def by_bucket(told: DataFrame) -> DataFrame:
@@ -338,19 +343,8 @@ def by_bucket(told: DataFrame) -> DataFrame:
         rows = [(int(where[k[0]]), zstandard.compress(np.diff(np.sort(lost[k]), prepend=0).astype(np.uint32).tobytes(), 1)) for k in _groups(where)]
         return _batch(rows, (pa.int64(), pa.binary()), ["block", "gone"])
 
-    def run(batches):
-        bucket, held = None, []
-        for batch in sliced(batches):
-            for block, b, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if b != bucket:
-                    if held:
-                        yield close(held)
-                    bucket, held = b, []
-                held.append((block, *rest))
-        if held:
-            yield close(held)
-
-    return told.where("bucket >= 0").select("block", "bucket", "ids", "at", "counts", "hashes", "bytes").repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, "block long, gone binary")
+    names = ("block", "ids", "at", "counts", "hashes", "bytes")
+    return by_group(told.where("bucket >= 0").select("bucket", *names), "bucket", lambda rows: iter([close([tuple(r[c] for c in names) for r in rows])]), "block long, gone binary")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
@@ -382,24 +376,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for i in range(0, len(rows), 256):
             yield _batch(rows[i : i + 256], kinds, names)
 
-    def run(batches):
-        now, body, found = None, None, []
-        for batch in sliced(batches, 16):
-            for block, ids, lengths, text, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if block != now:
-                    if body is not None:
-                        yield from close(body, found)
-                    now, body, found = block, None, []
-                if text is not None:
-                    body = (ids, lengths, text)
-                else:
-                    found.append(own)
-        if body is not None:
-            yield from close(body, found)
+    def work(rows):
+        body = next((r["ids"], r["lengths"], r["text"]) for r in rows if r["text"] is not None)
+        yield from close(body, [r["gone"] for r in rows if r["text"] is None])
 
     blank = lambda c: F.lit(None).cast("binary").alias(c)
     both = made.select("block", "ids", "lengths", "text", blank("gone")).unionByName(gone.select("block", blank("ids"), blank("lengths"), blank("text"), "gone"))
-    out = both.repartition("block").sortWithinPartitions("block").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = by_group(both, "block", work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     size = F.octet_length("text").cast("long")
     none = joined.where("copy").select("doc_id", size.alias("n_bytes"), size.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"), F.lit("" if texts else None).cast("binary").alias("kept"))
     out = out.unionByName(none)
