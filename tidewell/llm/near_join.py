@@ -167,6 +167,23 @@ def climb(labels: np.ndarray, values: np.ndarray, depth: int, link: float, throu
     return links, lead.tolist()
 
 
+def joined(links: list[tuple[int, int]], nodes: np.ndarray) -> list[tuple[int, int]]:
+    """What links of rows connect, told by one link a node, to the smallest node, so that trees that find the same group say the same."""
+    up: dict[int, int] = {}
+
+    def top(i: int) -> int:
+        while (above := up.setdefault(i, i)) != i:
+            up[i] = i = up[above]
+        return i
+
+    for a, b in links:
+        p, q = top(a), top(b)
+        if p != q:
+            low, high = (p, q) if nodes[p] < nodes[q] else (q, p)
+            up[high] = low
+    return [(int(nodes[i]), int(nodes[r])) for i in list(up) if (r := top(i)) != i]
+
+
 def _runs(edges_only: bool, depth: int, threshold: float):
     """A function over batches (tree, label, node, sig) in order: links of nodes that share a tree and depth values of label.
 
@@ -180,7 +197,7 @@ def _runs(edges_only: bool, depth: int, threshold: float):
 
         def close(keys, labels, nodes, values, edge):
             links, lead = leaders(values, link, through) if edges_only else climb(labels, values, depth, link, through)
-            rows = [(int(nodes[a]), int(nodes[b]), None, None, None) for a, b in links]
+            rows = [(a, b, None, None, None) for a, b in joined(links, nodes)]
             if edge and not edges_only:
                 rows += [(None, int(nodes[i]), int.from_bytes(keys[0, :4].tobytes(), "big"), keys[0, 4:].tobytes(), values[i].tobytes()) for i in lead]
             return rows
@@ -189,7 +206,7 @@ def _runs(edges_only: bool, depth: int, threshold: float):
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 5, kinds, strict=True)], names=["a", "b", "tree", "label", "sig"])
 
-        def joined():
+        def whole():
             return tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
         for batch in batches:
@@ -208,7 +225,7 @@ def _runs(edges_only: bool, depth: int, threshold: float):
                     held.append((keys[:end], label[:end].copy(), nodes[:end], values[:end].copy()))
                     begin = 1
                 if begin == 0 or len(starts) > 2:
-                    rows += close(*joined(), first)
+                    rows += close(*whole(), first)
                     held, first = [], False
             if not held:
                 last = len(starts) - 2
@@ -222,7 +239,7 @@ def _runs(edges_only: bool, depth: int, threshold: float):
                 held = [(keys[i:], label[i:].copy(), nodes[i:], values[i:].copy())]
             yield out(rows)
         if held:
-            yield out(close(*joined(), True))
+            yield out(close(*whole(), True))
 
     return run
 
