@@ -8,7 +8,8 @@ kind different ones.
 
 Kinds: email (letters and digits of the local part; the domain stays), ip (all 32 bits), date (day
 within its century; year-month-day, day.month.year, month/day/year), ssn (within its valid numbers),
-phone (national digits; area and exchange keep their range), card (all digits but the first; the
+phone (national digits; a US exchange starts with 2 to 9, and area and exchange keep their range; areas are not
+checked further, as a number with a mistyped area still tells who is meant), card (all digits but the first; the
 last is made to fit the Luhn sum again), iban (all but the country; check digits are made to fit).
 
 A text without candidates passes a single cheap test. All work is per row: nothing is shuffled,
@@ -38,7 +39,7 @@ def _iban_form(countries: str, n: int) -> str:
     return f"(?:{countries.replace(' ', '|')})\\d{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else "")
 
 
-#: Candidates by kind (fixed values).
+#: Candidates by kind.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
     "ip": r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}",
@@ -60,6 +61,8 @@ def _candidate(names: list[str]) -> str:
 
 #: Candidates of texts that can hold an IBAN at all, and of the others.
 CANDIDATE, PLAIN = _candidate([*PATTERNS]), _candidate([k for k in PATTERNS if k != "iban"])
+#: What every IBAN holds, and every other candidate: an @, or three digits with at most one separator between two of them.
+MAY_IBAN, MAY = r"[A-Z]{2}\d{2}", r"@|\d[ .-]?\d[ .-]?\d"
 KINDS = ("email", "ip", "date", "ssn", "phone", "card", "iban")
 _FORMATS = {"date_ymd": "yyyy-MM-dd", "date_dmy": "dd.MM.yyyy", "date_mdy": "MM/dd/yyyy"}
 
@@ -161,7 +164,7 @@ def _phone(m: Column, key: str, us: bool) -> Column:
     else:
         made = permute_symbols(values, F.transform(values, lambda d: F.lit(10)), key, F.lit("phone"))
     spelt = F.concat(F.slice(_as_ints(digits), F.lit(1), kept), made)
-    fits = F.lit(True) if us else F.length(digits).between(8, 15)
+    fits = F.element_at(values, 4) > 1 if us else F.length(digits).between(8, 15)
     return F.when(fits, _respell(m, F.transform(spelt, lambda d: d.cast("string")), "0-9"))
 
 
@@ -215,13 +218,13 @@ def pseudonym(m: Column, key: str) -> Column:
 
 
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", counts: bool = False) -> DataFrame:
-    """docs with pseudonyms in text_col; with counts also n_<kind> for each of KINDS, whose names must be free then."""
+    """docs with pseudonyms in text_col; with counts also n_<kind> for each of KINDS. Names that are taken then are an error."""
     names = docs.columns
+    if counts and (taken := sorted({f"n_{k}" for k in KINDS} & set(names))):
+        raise ValueError(f"columns {taken} exist already")
     at, plain = names.index(text_col), docs.toDF(*[f"c{i}" for i in range(len(names))])
     text = F.col(f"c{at}")
-    # Possible at all: two capitals and two digits for an IBAN; an @, or three digits with at most separators between them, for the rest.
-    iban = text.rlike(r"[A-Z]{2}\d{2}")
-    some = text.rlike(r"@|\d[().-]?\d[(). -]?\d")
+    iban, some = text.rlike(MAY_IBAN), text.rlike(MAY)
     listed = lambda pattern: F.when(text.rlike(pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
     found = plain.withColumn("found", F.when(iban, listed(CANDIDATE)).when(some, listed(PLAIN)))
     made = found.withColumn("made", F.transform("found", lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("new"))))
