@@ -40,6 +40,12 @@ def sliced(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterato
             yield batch.slice(i, rows)
 
 
+def need_free(df: DataFrame, names: Iterable[str]) -> None:
+    """An error if df has columns of names that an operator adds."""
+    if taken := sorted(set(names) & set(df.columns)):
+        raise ValueError(f"columns {taken} exist already")
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes df to the shared folder and reads it back, so a lost executor costs no recomputation."""
     spark = df.sparkSession

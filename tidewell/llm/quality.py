@@ -6,15 +6,20 @@ transformed statistics, and a minimum-covariance-determinant (MCD) estimate of l
 and scatter per language and source gives its robust Mahalanobis distance; texts beyond
 the cut-off are rejected.
 
-The MCD estimate is a sequence of concentration steps over all rows of all groups: the
-distances under the present estimate are counted in fine bins by group, the bins that
-hold the nearest half of the group's rows are found, and the moments of exactly those
-rows make the next estimate. A step is two aggregations with map-side combine, so a
-group may hold any share of the rows. It starts from the group's medians and median
-absolute deviations, read off bin counts as well. Statistics are held as whole numbers,
-so sums don't depend on the order of tasks. A group of fewer than MIN_GROUP rows takes the
-estimate of its language, and a small language that of all rows; with fewer rows than
-that in all, nothing is rejected but by the base rules.
+The MCD estimate is the subset of SHARE of a group's rows whose scatter has the least
+determinant, found by concentration steps over all rows of all groups: the distances under
+the present estimate are counted in fine bins by group, the bins that hold the nearest SHARE
+of the group's rows are found, and the moments of exactly those rows make the next estimate.
+A step is one aggregation with map-side combine, so a group may hold any share of the rows.
+Steps go on until no determinant falls any more (STEPS at most), from several STARTS: the
+medians and median absolute deviations, read off bin counts; mean and scatter of all rows;
+and those of the half of the rows that lie nearest the medians. The start that ends in the
+least determinant stands. Its scatter is widened by the factor that makes it right for
+normal data. Statistics are held as whole numbers, so sums don't depend on the order of tasks.
+
+Groups of any size have their own estimate: it is drawn towards that of the language, and
+the language's towards that of all rows, as if PRIOR rows of the wider group had been seen
+as well; all rows are drawn towards the least spreads in the same way.
 
 Nulls: a null text has no words; a null language or source is a group of its own. Ties
 share a bin and are kept or left out together. An empty table gives an empty result.
@@ -23,6 +28,7 @@ Repeated rows count as often as they occur. Other columns pass through.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import numpy as np
@@ -31,17 +37,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import bounded_broadcast, discard, keep, sliced
+from tidewell.llm.common import bounded_broadcast, discard, keep, need_free, sliced
 
 MIN_WORDS = 10
 MOST_REPEATED = 20
-MIN_GROUP = 100
-STEPS = 3
+#: Rows of the wider group that count towards a group's estimate.
+PRIOR = 50
+STEPS = 20
+STARTS = 3
 #: Share of a group's rows that a concentration step keeps.
 SHARE = 0.75
+#: A step counts as a gain if it lowers the logarithm of the determinant by so much.
+GAIN = 1e-3
 #: Fixed-point units of a statistic.
 UNIT = 1000
-#: Squared distance beyond which a text is rejected: about a chance of 1e-6 for a chi-squared variable with 5 degrees.
+#: Squared distance beyond which a text is rejected: a chance of 1.5e-7 for a chi-squared variable with 5 degrees.
 CUTOFF = 40.0
 #: Least spread of a statistic; where the estimate is wider, it decides alone. In most groups the nearest texts have no
 #: symbol, repeated line or repeated window at all, so there the least spread is all there is to judge by.
@@ -79,7 +89,8 @@ def text_stats(text: bytes | None) -> tuple[int, ...]:
 
 
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs without its text, with STATS (long) as more columns; their names must be free."""
+    """docs without its text, with STATS (long) as more columns. Names that are taken are an error."""
+    need_free(docs, STATS)
     rest = [c for c in docs.columns if c != text_col]
     source = docs.select(*rest, text_col)
 
@@ -106,10 +117,33 @@ def vectors(stats: DataFrame) -> DataFrame:
     )
 
 
+def chi_squared(x: float, degrees: int) -> float:
+    """Chance that a chi-squared variable is at most x, by the series of the incomplete gamma function."""
+    if x <= 0:
+        return 0.0
+    a, y = degrees / 2, x / 2
+    term = total = 1 / a
+    for k in range(1, 500):
+        term *= y / (a + k)
+        total += term
+        if term < total * 1e-16:
+            break
+    return total * math.exp(a * math.log(y) - y - math.lgamma(a))
+
+
+def consistency(share: float, degrees: int) -> float:
+    """What the scatter of the nearest share of normal rows is to be multiplied by (Croux and Haesbroeck 1999)."""
+    low, high = 0.0, 1000.0
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_squared(middle, degrees) < share else (low, middle)
+    return share / chi_squared(low, degrees + 2)
+
+
 _GROUP = ("level", "g1", "g2")
 _ESTIMATE = T.StructType(
-    [T.StructField("level", T.IntegerType()), T.StructField("g1", T.StringType()), T.StructField("g2", T.StringType()), T.StructField("rows", T.LongType())]
-    + [T.StructField("centre", T.ArrayType(T.DoubleType())), T.StructField("inverse", T.ArrayType(T.DoubleType()))]
+    [T.StructField("level", T.IntegerType()), T.StructField("g1", T.StringType()), T.StructField("g2", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("rows", T.LongType())]
+    + [T.StructField("n", T.LongType()), T.StructField("logdet", T.DoubleType()), T.StructField("centre", T.ArrayType(T.DoubleType())), T.StructField("scatter", T.ArrayType(T.DoubleType())), T.StructField("inverse", T.ArrayType(T.DoubleType()))]
 )
 
 
@@ -123,30 +157,71 @@ def _levels(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(levels).alias("g"), *DIMS).select("g.*", *DIMS)
 
 
+def _floored(scatter: np.ndarray) -> np.ndarray:
+    """scatter with at least the least spreads and the ridge on its diagonal."""
+    return scatter + np.diag(np.maximum(np.square(FLOORS) - np.diag(scatter), RIDGE))
+
+
 def _solve(moments: DataFrame) -> DataFrame:
-    """Estimates from rows of (group, rows, n, sums, products): centre and inverse scatter, in units of 1."""
-    d = len(DIMS)
+    """Estimates from rows (group, start, rows, n, sums, products), in units of 1; scatter is that of the n rows, inverse that of the widened and floored one."""
+    d, factor = len(DIMS), consistency(SHARE, len(DIMS))
 
     def run(batches):
         for batch in batches:
             cols = [c.to_pylist() for c in batch.columns]
-            centres, inverses = [], []
-            for n, sums, products in zip(cols[4], cols[5], cols[6], strict=True):
+            found = []
+            for n, sums, products in zip(*cols[5:], strict=True):
                 mean = np.array(sums, float) / max(n, 1)
                 scatter = np.zeros((d, d))
                 scatter[np.triu_indices(d)] = np.array(products, float) / max(n, 1)
-                scatter = scatter + np.triu(scatter, 1).T - np.outer(mean, mean)
-                scatter /= UNIT * UNIT
-                # The nearest part of a normal sample is narrower than the sample.
-                scatter *= 1.6
-                scatter += np.diag(np.maximum(np.square(FLOORS) - np.diag(scatter), RIDGE))
-                centres.append((mean / UNIT).tolist())
-                inverses.append(np.linalg.inv(scatter).ravel().tolist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(centres, pa.list_(pa.float64())), pa.array(inverses, pa.list_(pa.float64()))], names=_ESTIMATE.names)
+                scatter = (scatter + np.triu(scatter, 1).T - np.outer(mean, mean)) / (UNIT * UNIT)
+                whole = _floored(scatter * factor)
+                found.append((float(np.linalg.slogdet(whole)[1]), (mean / UNIT).tolist(), scatter.ravel().tolist(), np.linalg.inv(whole).ravel().tolist()))
+            logdet, centre, scatter, inverse = zip(*found, strict=True) if found else ((), (), (), ())
+            listed = lambda x: pa.array(x, pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(logdet, pa.float64()), listed(centre), listed(scatter), listed(inverse)], names=_ESTIMATE.names)
 
     return moments.mapInArrow(run, _ESTIMATE)
 
 
+def drawn(own: tuple[int, np.ndarray, np.ndarray], wider: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Centre and scatter of a group of so many rows, with PRIOR rows of the wider group counted in."""
+    n, centre, scatter = own
+    w = n / (n + PRIOR)
+    off = centre - wider[0]
+    return w * centre + (1 - w) * wider[0], w * scatter + (1 - w) * wider[1] + w * (1 - w) * np.outer(off, off)
+
+
+def _drawn(best: DataFrame) -> DataFrame:
+    """(level, g1, g2, centre, inverse) of the best estimates, each drawn towards the wider one: a row a group, joined level by level."""
+    d, factor = len(DIMS), consistency(SHARE, len(DIMS))
+    kind = "level int, g1 string, g2 string, centre array<double>, scatter array<double>, inverse array<double>"
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for level, g1, g2, n, centre, scatter, wide_centre, wide_scatter in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                centre, scatter = np.array(centre), np.array(scatter).reshape(d, d) * factor
+                wider = (centre, np.diag(np.square(FLOORS))) if wide_centre is None else (np.array(wide_centre), np.array(wide_scatter).reshape(d, d))
+                centre, scatter = drawn((n, centre, scatter), wider)
+                rows.append((level, g1, g2, centre.tolist(), scatter.ravel().tolist(), np.linalg.inv(_floored(scatter)).ravel().tolist()))
+            kinds = (pa.int32(), pa.string(), pa.string(), *[pa.list_(pa.float64())] * 3)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)], names=["level", "g1", "g2", "centre", "scatter", "inverse"])
+
+    blank = F.lit(None).cast("array<double>")
+    out = wider = None
+    for level in (2, 1, 0):
+        own = best.where(F.col("level") == level).select("level", "g1", "g2", "rows", "centre", "scatter")
+        if wider is None:
+            both = own.select("*", blank.alias("wc"), blank.alias("ws"))
+        else:
+            above = wider.select(F.col("g1").alias("up"), F.col("centre").alias("wc"), F.col("scatter").alias("ws"))
+            both = own.join(above, (F.col("up") == F.lit("")) if level == 1 else (F.col("up") == F.col("g1")), "left").drop("up")
+        wider = keep(both.mapInArrow(run, kind), "quality-drawn")
+        out = wider if out is None else out.unionByName(wider)
+    return out
+
+
 def _distance() -> Column:
     """Squared Mahalanobis distance of DIMS under columns centre and inverse."""
     d, total = len(DIMS), F.lit(0.0)
@@ -157,8 +232,8 @@ def _distance() -> Column:
     return total
 
 
-def _salted(rows: DataFrame, estimates: DataFrame, n: int) -> DataFrame:
-    """rows with their group's estimate: by broadcast if there are few groups, else by a join on group and salt."""
+def _met(rows: DataFrame, estimates: DataFrame, n: int) -> DataFrame:
+    """rows with their group's estimates: by broadcast if there are few groups, else by a join on group and salt."""
     if n <= MOST_GROUPS:
         return rows.join(F.broadcast(estimates), [*_GROUP])
     salts = 16
@@ -167,7 +242,7 @@ def _salted(rows: DataFrame, estimates: DataFrame, n: int) -> DataFrame:
 
 
 def _start(levels: DataFrame) -> DataFrame:
-    """First estimates: medians and median absolute deviations of each statistic by group, from exact counts of values."""
+    """(group, rows, centre, inverse): medians and median absolute deviations of each statistic by group, from exact counts of values."""
     long = levels.select(*_GROUP, F.explode(F.array(*[F.struct(F.lit(i).alias("dim"), F.col(x).alias("v")) for i, x in enumerate(DIMS)])).alias("s")).select(*_GROUP, "s.*")
 
     def middle(counted: DataFrame, out: str) -> DataFrame:
@@ -190,29 +265,56 @@ def _start(levels: DataFrame) -> DataFrame:
     return both.select(*_GROUP, "rows", F.transform("s", lambda x: x["median"] / F.lit(float(UNIT))).alias("centre"), F.array(*[one(i) if i == j else F.lit(0.0) for i in range(d) for j in range(d)]).alias("inverse"))
 
 
+_PAIRS = [(i, j) for i in range(len(DIMS)) for j in range(i, len(DIMS))]
+
+
+def _binned(met: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, rows, bins): counts and moments by bin of distance, a bin 1/32 of a doubling wide, in order."""
+    far = met.withColumn("bin", F.floor(F.log2(_distance() + F.lit(2.0**-10)) * 32).cast("int"))
+    bins = far.groupBy(*keys, "bin").agg(F.count("*").alias("n"), F.max("rows").alias("rows"), *[F.sum(x).alias(x) for x in DIMS], *[F.sum(F.col(DIMS[i]) * F.col(DIMS[j])).alias(f"p{i}{j}") for i, j in _PAIRS])
+    # The bins of a group are bounded in number; running counts find those of the nearest rows.
+    return bins.groupBy(*keys).agg(F.max("rows").alias("rows"), F.array_sort(F.collect_list(F.struct("bin", "n", F.array(*DIMS).alias("s"), F.array(*[f"p{i}{j}" for i, j in _PAIRS]).alias("p")))).alias("bins"))
+
+
+def _nearest(share: float) -> Column:
+    """Number and moments of the rows in the nearest bins, whole, until they hold the share."""
+    zero = lambda k: F.array_repeat(F.lit(0).cast("long"), k)
+    add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    return F.aggregate(
+        "bins",
+        F.struct(F.lit(0).cast("long").alias("n"), zero(len(DIMS)).alias("s"), zero(len(_PAIRS)).alias("p")),
+        lambda a, b: F.when(a["n"] >= F.col("rows") * share, a).otherwise(F.struct((a["n"] + b["n"]).alias("n"), add(a["s"], b["s"]).alias("s"), add(a["p"], b["p"]).alias("p"))),
+    )
+
+
 def estimates(rows: DataFrame) -> tuple[DataFrame, int]:
-    """MCD estimates (group, rows, centre, inverse) of rows (lang, source, DIMS), and their number."""
+    """MCD estimates (level, g1, g2, centre, inverse) of rows (lang, source, DIMS), and the number of groups."""
     levels = _levels(rows)
-    now = keep(_start(levels), "quality-start")
-    n = now.count()
-    pairs = [(i, j) for i in range(len(DIMS)) for j in range(i, len(DIMS))]
-    for _ in range(STEPS):
-        # A bin is 1/32 of a doubling of the distance wide.
-        far = _salted(levels, now, n).withColumn("bin", F.floor(F.log2(_distance() + F.lit(2.0**-10)) * 32).cast("int"))
-        bins = far.groupBy(*_GROUP, "bin").agg(F.count("*").alias("n"), F.max("rows").alias("rows"), *[F.sum(x).alias(x) for x in DIMS], *[F.sum(F.col(DIMS[i]) * F.col(DIMS[j])).alias(f"p{i}{j}") for i, j in pairs])
-        # The bins of a group are bounded in number; running counts find those of the nearest rows.
-        held = bins.groupBy(*_GROUP).agg(F.max("rows").alias("rows"), F.array_sort(F.collect_list(F.struct("bin", "n", F.array(*DIMS).alias("s"), F.array(*[f"p{i}{j}" for i, j in pairs]).alias("p")))).alias("bins"))
-        zero = lambda k: F.array_repeat(F.lit(0).cast("long"), k)
-        add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-        nearest = F.aggregate(
-            "bins",
-            F.struct(F.lit(0).cast("long").alias("n"), zero(len(DIMS)).alias("s"), zero(len(pairs)).alias("p")),
-            lambda a, b: F.when(a["n"] >= F.col("rows") * SHARE, a).otherwise(F.struct((a["n"] + b["n"]).alias("n"), add(a["s"], b["s"]).alias("s"), add(a["p"], b["p"]).alias("p"))),
-        )
-        moments = held.select(*_GROUP, "rows", nearest.alias("m")).select(*_GROUP, "rows", "m.n", "m.s", "m.p")
-        past, now = now, keep(_solve(moments), "quality-step")
-        discard(past)
-    return now, n
+    medians = keep(_start(levels), "quality-medians")
+    n = medians.count()
+    # Starts: the medians' own estimate, the half of the rows nearest them, and all rows.
+    held = keep(_binned(_met(levels, medians, n), [*_GROUP]), "quality-held")
+    told = [held.select(*_GROUP, F.lit(k).alias("start"), "rows", _nearest(share).alias("m")) for k, share in enumerate((SHARE, 0.5, 1.0))][:STARTS]
+    moments = told[0]
+    for more in told[1:]:
+        moments = moments.unionByName(more)
+    now = keep(_solve(moments.select(*_GROUP, "start", "rows", "m.n", "m.s", "m.p")), "quality-step")
+    for step in range(STEPS):
+        stepped = _binned(_met(levels, now.select(*_GROUP, "start", "rows", "centre", "inverse"), n), [*_GROUP, "start"]).select(*_GROUP, "start", "rows", _nearest(SHARE).alias("m"))
+        new = _solve(stepped.select(*_GROUP, "start", "rows", "m.n", "m.s", "m.p"))
+        before = now.select(*_GROUP, "start", F.col("logdet").alias("before"), F.struct("rows", "n", "logdet", "centre", "scatter", "inverse").alias("old"))
+        # A step that does not lower the determinant ends that start's search. The first one is taken in any case, as not all starts hold SHARE.
+        fell = F.col("logdet") < F.col("before") - GAIN if step else F.lit(True)
+        took = keep(new.join(before, [*_GROUP, "start"]).select(*_GROUP, "start", fell.alias("moved"), F.struct("rows", "n", "logdet", "centre", "scatter", "inverse").alias("new"), "old"), "quality-step")
+        past, now = now, took.select(*_GROUP, "start", F.when(F.col("moved"), F.col("new")).otherwise(F.col("old")).alias("e")).select(*_GROUP, "start", "e.*")
+        if hasattr(past, "kept_path"):
+            discard(past)
+        now.kept_path = took.kept_path
+        if not took.where("moved").limit(1).count():
+            break
+    best = now.groupBy(*_GROUP).agg(F.min_by(F.struct("rows", "centre", "scatter"), F.struct("logdet", "start")).alias("e")).select(*_GROUP, "e.*")
+    out = _drawn(keep(best, "quality-best"))
+    return out, n
 
 
 def _text(name: str) -> Column:
@@ -226,11 +328,13 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     named = named.withColumn("key", row_key("doc_id", "text", "lang", "source"))
     stats = keep(vectors(statistics(named)), "quality-stats")
     now, n = estimates(stats.where("not base_failed").select("lang", "source", *DIMS))
-    big = now.where(F.col("rows") >= MIN_GROUP)
-    for level, (g1, g2) in enumerate(((_text("lang"), _text("source")), (_text("lang"), F.lit("")), (F.lit(""), F.lit("")))):
-        side = big.where(F.col("level") == level).select("g1", "g2", F.struct("centre", "inverse").alias(f"e{level}"))
-        stats = stats.withColumn("g1", g1).withColumn("g2", g2).join(bounded_broadcast(side, n, MOST_GROUPS), ["g1", "g2"], "left").drop("g1", "g2")
-    best = stats.withColumn("e", F.coalesce("e0", "e1", "e2")).withColumn("centre", F.col("e.centre")).withColumn("inverse", F.col("e.inverse"))
+    # A group without an estimate has no row that passes the base rules.
+    side = now.where("level = 0").select("g1", "g2", "centre", "inverse")
+    if n <= MOST_GROUPS:
+        best = stats.withColumn("g1", _text("lang")).withColumn("g2", _text("source")).join(F.broadcast(side), ["g1", "g2"], "left").drop("g1", "g2")
+    else:
+        spread = side.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+        best = stats.withColumn("g1", _text("lang")).withColumn("g2", _text("source")).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(16)).cast("int")).join(spread, ["g1", "g2", "salt"], "left").drop("g1", "g2", "salt")
     judged = best.withColumn("distance", F.when(F.col("centre").isNotNull(), _distance()))
     return judged.select("doc_id", "key", *STATS, "base_failed", "distance", (~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))).alias("kept"))
 
