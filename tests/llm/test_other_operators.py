@@ -281,6 +281,13 @@ def test_bpe_equals_library(spark):
     assert byte_bpe.encode(df.limit(0), path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_refuses_patterns_that_chunks_would_cut():
+    byte_bpe.check_pattern(public_tokenizers.PATTERN)
+    for bad in (r"\w+\s?\w*|\W", r"[a-z]+\s*|.|\n", r"\w+"):
+        with pytest.raises(ValueError, match="pattern"):
+            byte_bpe.check_pattern(bad)
+
+
 def test_bpe_forgets_and_still_agrees():
     ranks = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     big, small = byte_bpe.Encoder(ranks, public_tokenizers.PATTERN), byte_bpe.Encoder(ranks, public_tokenizers.PATTERN, most=3)

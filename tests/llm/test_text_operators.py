@@ -164,6 +164,112 @@ def test_quality_rejects_outliers(spark):
     assert {x[0] for x in left.select("doc_id").collect()} == {i for i, v in found.items() if v[0]["kept"]}
 
 
+def brute_verdicts(rows):
+    """(kept, distance) by row of (text, lang, source): the estimates in plain numpy, group by group."""
+    import math
+
+    import numpy as np
+
+    def fixed(x):
+        return math.floor(abs(x) * 1000 + 0.5) * (1 if x >= 0 else -1)
+
+    def vector(text):
+        n, chars, symbols, lines, repeated = brute_stats(text)
+        total = len([x for x in (text or "").split("\n") if re.search(f"[^{SPACE[1:-1]}]", x)])
+        share = lambda a, b: math.asin(math.sqrt(min(1.0, a / max(b, 1))))
+        failed = n < 10 or 100 * repeated > 20 * n
+        return failed, [fixed(math.log(max(chars, 1) / max(n, 1))), fixed(share(symbols, chars)), fixed(share(lines, total)), fixed(share(repeated, n)), fixed(math.log1p(n))]
+
+    told = [(*vector(t), lang, source) for t, lang, source in rows]
+    floors = np.square(quality.FLOORS)
+    factor = quality.consistency(quality.SHARE, 5)
+    floored = lambda s: s + np.diag(np.maximum(floors - np.diag(s), quality.RIDGE))
+
+    def distance(x, centre, inverse):
+        off = x / 1000 - centre
+        return np.einsum("ni,ij,nj->n", off, inverse, off)
+
+    def nearest(x, centre, inverse, share):
+        bins = np.floor(np.log2(distance(x, centre, inverse) + 2.0**-10) * 32).astype(int)
+        last = next(b for b in np.unique(bins) if (bins <= b).sum() >= len(x) * share)
+        return x[bins <= last]
+
+    def moments(x):
+        x = x / 1000
+        return x.mean(0), (x.T @ x) / len(x) - np.outer(x.mean(0), x.mean(0))
+
+    def middle(values):
+        return np.sort(values, 0)[math.ceil(len(values) / 2) - 1]
+
+    def mcd(x):
+        coarse = x // 10 * 10
+        median = middle(coarse)
+        mad = middle(np.abs(coarse - median))
+        inverse = np.diag(1 / np.square(np.maximum(1.4826 * mad / 1000, quality.FLOORS)))
+        found = []
+        for k, share in enumerate((quality.SHARE, 0.5, 1.0)):
+            centre, scatter = moments(nearest(x, median / 1000, inverse, share))
+            for step in range(quality.STEPS):
+                before = np.linalg.slogdet(floored(scatter * factor))[1]
+                new = moments(nearest(x, centre, np.linalg.inv(floored(scatter * factor)), quality.SHARE))
+                if step and np.linalg.slogdet(floored(new[1] * factor))[1] >= before - quality.GAIN:
+                    break
+                centre, scatter = new
+            found.append((np.linalg.slogdet(floored(scatter * factor))[1], k, centre, scatter * factor))
+        return min(found, key=lambda f: f[:2])[2:]
+
+    good = [(np.array(v), lang, source) for failed, v, lang, source in told if not failed]
+    every = np.array([v for v, *_ in good])
+    top = quality.drawn((len(every), *mcd(every)), (mcd(every)[0], np.diag(floors)))
+    by_lang = {g: np.array([v for v, a, _ in good if a == g]) for g in {a for _, a, _ in good}}
+    by_lang = {g: quality.drawn((len(x), *mcd(x)), top) for g, x in by_lang.items()}
+    groups = {g: np.array([v for v, a, b in good if (a, b) == g]) for g in {(a, b) for _, a, b in good}}
+    groups = {g: quality.drawn((len(x), *mcd(x)), by_lang[g[0]]) for g, x in groups.items()}
+    out = []
+    for failed, v, lang, source in told:
+        if (lang, source) not in groups:
+            out.append((not failed, None))
+            continue
+        centre, scatter = groups[lang, source]
+        d = float(distance(np.array([v]), centre, np.linalg.inv(floored(scatter)))[0])
+        out.append((not failed and d <= quality.CUTOFF, d))
+    return out
+
+
+def test_quality_verdicts_against_numpy(spark):
+    r = random.Random(12)
+    rows = []
+    for i in range(500):
+        text = " ".join(r.choice(WORDS) for _ in range(r.randint(5, 300)))
+        if i % 11 == 0:
+            text = " | ".join(r.choice(WORDS) for _ in range(60))
+        if i % 13 == 0:
+            text = "\n".join([prose(8)] * 2 + [prose(30), prose(30)])
+        rows.append((i, text, ["en", "de", None][min(i % 10, 2)] if i < 400 else f"l{i % 40}", "null" if i % 4 == 0 else None if i % 4 == 1 else "a"))
+    rows += [(500, None, "en", "a"), (501, "", None, None), (502, "one two", "zz", "alone"), rows[3], rows[3]]
+    found = told(quality.assess(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)))
+    expected = brute_verdicts([x[1:] for x in rows])
+    assert len(found[3]) == 3 and 20 < sum(not k for k, _ in expected) < 250
+    for (i, *_), (kept, d) in zip(rows, expected, strict=True):
+        got = found[i][0]
+        assert (got["distance"] is None) == (d is None) and (d is None or got["distance"] == pytest.approx(d, rel=1e-6, abs=1e-6)), i
+        assert got["kept"] == kept, i
+
+
+def test_quality_start_from_all_rows_alone_would_be_fooled(spark):
+    # A third of the group is junk of one kind: the mean and scatter of all rows take it in, the least determinant doesn't.
+    r = random.Random(13)
+    clean = [(i, " ".join(r.choice(WORDS) for _ in range(r.randint(40, 400))), "en", "a") for i in range(160)]
+    junk = [(1000 + i, " ".join(r.choice(WORDS) + "%%%" for _ in range(r.randint(60, 100))), "en", "a") for i in range(36)]
+    found = told(quality.assess(spark.createDataFrame(clean + junk, "doc_id long, text string, lang string, source string")))
+    assert not any(found[i][0]["kept"] for i, *_ in junk) and sum(found[i][0]["kept"] for i, *_ in clean) >= 158
+
+
+def test_consistency_factor():
+    assert quality.chi_squared(11.0705, 5) == pytest.approx(0.95, abs=1e-5) and quality.chi_squared(0, 5) == 0
+    assert quality.consistency(0.75, 5) == pytest.approx(1.412, abs=1e-3) and 1 - quality.chi_squared(quality.CUTOFF, 5) == pytest.approx(1.5e-7, rel=0.01)
+
+
 def test_quality_rejects_menus(spark):
     r = random.Random(2)
     word = lambda: r.choice(WORDS)
@@ -354,6 +460,42 @@ def test_components_of_a_star(spark, monkeypatch):
     assert sorted(map(tuple, common.components(edges, "t").collect())) == few == [(i, 0) for i in range(200)] + [(i, 500) for i in (500, 501, 502)]
 
 
+def test_taken_names_are_errors(spark, docs):
+    from tidewell.llm import byte_bpe
+
+    clash = docs.select("doc_id", "text", F.lit(1).alias("n_words"), F.lit(1).alias("n_lines"), F.lit(1).alias("ids"))
+    for run in (lambda: quality.statistics(clash), lambda: line_dedup.dedup_lines(clash, counts=True), lambda: decontamination.occurrences(clash, docs, carry=["n_words"]), lambda: byte_bpe.encode(clash, "x", "y")):
+        with pytest.raises(ValueError, match="exist already"):
+            run()
+    assert line_dedup.dedup_lines(clash).columns == clash.columns
+
+
+def test_session_settings_stay(spark, docs, empty):
+    """Operators leave the session as it was, and frames give the same whichever runs first."""
+    before = dict(spark.conf.getAll)
+    bench = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
+    makers = [lambda: suffix_dedup.remove_repeats(docs, texts=False), lambda: line_dedup.dedup_lines(docs), lambda: decontamination.decontaminate(docs, bench), lambda: near_join.near_duplicates(docs), lambda: quality.assess(docs)]
+    frames = [make() for make in makers]
+    assert dict(spark.conf.getAll) == before
+    rows = lambda df: sorted(map(repr, df.collect()))
+    late = [rows(df) for df in reversed(frames)][::-1]
+    assert late == [rows(make()) for make in makers] and dict(spark.conf.getAll) == before
+
+
+def test_shared_folder_is_needed_on_a_cluster():
+    from tidewell.llm import common
+
+    class Fake:
+        def __init__(self, master, folder):
+            self.conf = type("C", (), {"get": staticmethod(lambda *a: folder)})
+            self.sparkContext = type("S", (), {"master": master})
+
+    assert common.shared_dir(Fake("yarn", "s3a://x/y/")) == "s3a://x/y" and common.shared_dir(Fake("local[4]", None)).startswith("file:")
+    for master in ("yarn", "spark://a:7077", "local-cluster[2,1,1024]", "k8s://a"):
+        with pytest.raises(RuntimeError):
+            common.shared_dir(Fake(master, None))
+
+
 def test_prefix_meets_recall():
     d = near_join.matched_prefix()
     assert 1 - (1 - 0.8**d) ** near_join.TREES >= near_join.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** near_join.TREES

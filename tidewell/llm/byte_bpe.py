@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import sliced
+from tidewell.llm.common import need_free, sliced
 
 MOST_CHUNKS = 200_000
 #: A replay takes the new chunks of so many bytes of texts, or so many new chunks, together.
@@ -161,6 +161,20 @@ _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\
 _CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 
 
+def check_pattern(pattern: str) -> None:
+    """Refuses patterns with a match that holds white space behind anything else: chunks would cut it. Tried on texts that mix all sorts of characters."""
+    import regex
+
+    found = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+    kinds = ["a", "Z", "é", "中", "1", "234", ".", "'s", "'", "\u0301", "_", "😀", "\x1c", "!?"]
+    spaces = [" ", "  ", "\n", "\r\n", "\t", "\u3000", " \n ", "\u0085"]
+    tries = "".join(a + s + b for a in kinds for s in spaces for b in kinds)
+    for text in (tries, "".join(s + a for a in kinds for s in spaces)):
+        pieces = found.findall(text)
+        if "".join(pieces) != text or any(_CHUNK.match(p).end() != len(p) for p in pieces):
+            raise ValueError("the pattern matches white space behind other characters, or leaves characters out")
+
+
 class Encoder:
     """Texts to ids and back, remembering a bounded number of chunks."""
 
@@ -227,10 +241,13 @@ class Encoder:
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
-    """docs with the ids of text_col as one more column: binary, little-endian unsigned 32-bit. ids_col must be free.
+    """docs with the ids of text_col as one more column: binary, little-endian unsigned 32-bit.
 
-    decoded_col: also the bytes that these ids decode to, in the same pass.
+    decoded_col: also the bytes that these ids decode to, in the same pass. Names that are taken are an error,
+    and so is a pattern that could match across the chunks that texts are cut into.
     """
+    need_free(docs, [ids_col, *([decoded_col] if decoded_col else [])])
+    check_pattern(pattern)
     names = docs.columns
     of, plain = names.index(text_col), docs.toDF(*[f"c{i}" for i in range(len(names))])
     table = docs.sparkSession.sparkContext.broadcast(load_ranks(path))  # the vocabulary: of fixed size
@@ -250,6 +267,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
 
 def decode(coded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """coded with the bytes that its ids stand for as one more column."""
+    need_free(coded, [out_col])
     names = coded.columns
     of, plain = names.index(ids_col), coded.toDF(*[f"c{i}" for i in range(len(names))])
     table = coded.sparkSession.sparkContext.broadcast(load_ranks(path))

@@ -69,6 +69,8 @@ def load_tokenizer(path: str):
 
     found = Tokenizer.from_file(path)
     found.encode_special_tokens = True
+    if found.get_vocab_size(with_added_tokens=True) > RESERVED:
+        raise ValueError(f"{path} has ids from {RESERVED} on, which the controls use")
     return found
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import sliced
+from tidewell.llm.common import need_free, sliced
 
 WINDOW = 13
 #: Words of a block of the shift table.
@@ -110,10 +110,12 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int =
 def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: list[str] | None = None, window: int = WINDOW) -> DataFrame:
     """Per row of docs: its carried columns, n_words, n_hit and items (sorted array of item ids).
 
-    carry: the columns to keep (default: id_col only); names n_words, n_hit and items must be free.
+    carry: the columns to keep (default: id_col only); n_words, n_hit, items and names with two underscores in
+    front that the scan uses are an error among them.
     """
     spark = docs.sparkSession
     carry = carry if carry is not None else [id_col]
+    need_free(docs.select(*carry), ["n_words", "n_hit", "items", "__text", "__spans", "__items"])
     kept = docs.select(*[F.col(c) for c in carry], F.col(text_col).alias("__text"), F.array().cast("array<int>").alias("__spans"), F.array().cast("array<string>").alias("__items"))
     schema = kept.schema
     out = T.StructType([*schema.fields[:-3], T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType()))])

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import LOWER, bounded_broadcast, discard, keep, sliced
+from tidewell.llm.common import LOWER, bounded_broadcast, discard, keep, need_free, sliced
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -156,7 +156,9 @@ def dropped_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, counts: bool = False) -> DataFrame:
-    """docs with the text that is left; with counts also n_lines and n_dropped, whose names must be free then."""
+    """docs with the text that is left; with counts also n_lines and n_dropped. Names that are taken then are an error."""
+    if counts:
+        need_free(docs, ["n_lines", "n_dropped"])
     names = docs.columns
     width = len(names)
     plain = docs.toDF(*[f"c{i}" for i in range(width)])

@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.common import need_free
+
 ROUNDS = 8
 
 #: Lengths of IBANs by country; where one is known it ends the candidate, so that words and numbers behind aren't taken in.
@@ -220,8 +222,8 @@ def pseudonym(m: Column, key: str) -> Column:
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", counts: bool = False) -> DataFrame:
     """docs with pseudonyms in text_col; with counts also n_<kind> for each of KINDS. Names that are taken then are an error."""
     names = docs.columns
-    if counts and (taken := sorted({f"n_{k}" for k in KINDS} & set(names))):
-        raise ValueError(f"columns {taken} exist already")
+    if counts:
+        need_free(docs, [f"n_{k}" for k in KINDS])
     at, plain = names.index(text_col), docs.toDF(*[f"c{i}" for i in range(len(names))])
     text = F.col(f"c{at}")
     iban, some = text.rlike(MAY_IBAN), text.rlike(MAY)
