@@ -12,6 +12,7 @@ from tidewell.functions.hashing import fnv1a64_hex, hash_embedding
 from tidewell.functions.stemmer import stem
 from tidewell.functions.vectors import cosine, unit
 from tidewell.operators import assets, audit, cluster, context, documents, evaluate, extraction, facts, graph, knn, lexical, quality_gate, retrieval
+from tidewell.streaming import batches
 from tidewell.streaming.batches import CountOrTime, append_batches, daily_counts, episodes_stream, triggered
 
 
@@ -195,27 +196,234 @@ def test_audit_changes(spark):
         audit.inspect(ids, "none", "id")
 
 
-def test_eval_golden(spark):
-    cases = spark.createDataFrame([("c", "Where should invoice archives be stored?")], "case_id string, query string")
-    memories = spark.createDataFrame([("c", "old", "Invoice archives should be stored in a bucket.", "decision", 0.9, "superseded"), ("c", "new", "Invoice archives should be stored in local storage.", "decision", 1.0, "active"), ("c", "other", "Receipts are kept.", "episodic", 0.4, "active")], "case_id string, memory_id string, text string, tier string, importance double, status string")
+def test_eval_ranks_and_metrics(spark):
+    cases = spark.createDataFrame([("tide", "When does the harbour ferry leave on Sundays?"), ("none", "???")], "case_id string, query string")
+    memories = spark.createDataFrame([
+        ("tide", "late", "On Sundays the harbour ferry leaves at nine.", "semantic", 0.5, "active"), ("tide", "gone", "The harbour ferry leaves on Sundays at seven.", "semantic", 1.0, "forgotten"),
+        ("tide", "bread", "Bread is baked at four.", "decision", 0.0, "active"), ("none", "any", "Nothing to see.", "semantic", 0.0, "active"),
+    ], "case_id string, memory_id string, text string, tier string, importance double, status string")
     ranks = evaluate.lexical_ranks(cases, memories)
-    assert [(r["memory_id"], r["score"]) for r in ranks.orderBy("rank").collect()] == [("new", 1.24), ("other", 0.016)]
-    expected = spark.createDataFrame([("c", "new")], "case_id string, memory_id string")
-    assert tuple(evaluate.metrics(ranks, expected, 1).first()) == (1.0, 1.0, 1.0)
+    got = {(r["case_id"], r["memory_id"]): r["rank"] for r in ranks.collect()}
+    assert got["tide", "late"] == 1 and got["tide", "bread"] == 2 and ("tide", "gone") not in got
+    expected = spark.createDataFrame([("tide", "bread"), ("none", "any")], "case_id string, memory_id string")
+    assert tuple(evaluate.metrics(ranks, expected, 1).first()) == (0.5, 0.75, 0.5) and tuple(evaluate.metrics(ranks, expected, 2).first()) == (1.0, 0.75, 0.5)
 
 
 def test_context(spark):
-    df = spark.createDataFrame([(1,)], "a int")
+    df = spark.createDataFrame([("Ada",), ("bo",)], "entity_id string")
 
     def broken():
         raise ValueError("no")
 
-    found, health = context.bundle({"good": lambda: df, "empty": lambda: df.limit(0), "bad": broken, "waiting": lambda: df.limit(0)}, {"waiting": df})
-    assert set(found) == {"good", "empty", "waiting"} and health == {"good": "ready", "empty": "empty", "bad": "failed", "waiting": "pending"}
+    found = context.bundle({"good": lambda: df, "empty": lambda: df.limit(0), "bad": broken})
+    assert found["good"].count() == 2 and found["empty"].count() == 0 and found["bad"] is None
+    assert context.resolved_subject("ADA", df) == "Ada" and context.resolved_subject("x", df) == "Ada" and context.resolved_subject("x", None) == "x" and context.resolved_subject(None, df) is None
+    assert context.seeds("bo", df, 5) == ["bo", "Ada"] and context.seeds(None, df, 1) == ["Ada"] and context.seeds(None, None, 5) == []
+    none, some = {"active_episodes": 0, "clusters": 0, "pending_clusters": 0}, {"active_episodes": 3, "clusters": 2, "pending_clusters": 1, "triples": 4}
+    counts = {"recall": 1, "themes": 0, "entities": 0, "facts": 2, "contradictions": None, "graph": 1}
+    assert context.section_states(counts, none, False, True) == {"recall": "ready", "themes": "empty", "entities": "disabled", "facts": "ready", "contradictions": "failed", "graph": "ready"}
+    assert context.section_states(counts, some, True, False) == {"recall": "ready", "themes": "empty", "entities": "pending", "facts": "empty", "contradictions": "failed", "graph": "pending"}
+    assert context.section_states(counts, some | {"clusters": 0}, False, True)["themes"] == "pending" and context.section_states(counts, some, False, True)["entities"] == "empty"
+    recall = spark.createDataFrame([("m1", None), ("m2", -1.0)], "memory_id string, score double")
+    paths = spark.createDataFrame([("e1 e2",), ("e2",)], "edge_ids string")
+    full = {"recall": recall, "facts": df, "themes": None, "graph": None, "paths": paths, "contradictions": df.limit(0), "warnings": df}
+    assert context.reason_codes(full) == ["memory_context", "semantic_match", "lexical_match", "graph_neighbor", "subject_fact", "contradiction_warning"]
+    assert context.recalled_ids(full) == ["m1", "m2", "e1", "e2"]
     assert context.retrieval_log(spark, "q", 1, ["a", "b", "a"], ["x", "x"]).first()["memory_ids"] == ["a", "b"]
     assert context.section_health(1, 1, enabled=False) == "disabled"
 
 
+def test_erasure_spares_rows_without_a_principal(spark):
+    e = spark.createDataFrame([(1, "m1", "u"), (2, "m2", "v"), (3, "m3", None)], "rowid long, memory_id string, principal string")
+    f = spark.createDataFrame([("a", 1, "c1"), ("b", None, "c1"), ("c", 2, None), ("d", None, "c2")], "triple_id string, source_episode_id long, cluster_id string")
+    m = spark.createDataFrame([("c1", "m1"), ("c2", "m3")], "cluster_id string, memory_id string")
+    c = spark.createDataFrame([(1, "u"), (2, None), (3, "v")], "chunk_id long, ingested_by string")
+    left = audit.erase("u", e, f, m, c)
+    ids = {k: sorted(r[0] for r in left[k].select(left[k].columns[i]).collect()) for k, i in (("episodes", 0), ("facts", 1), ("members", 0), ("chunks", 0))}
+    assert ids == {"episodes": [2, 3], "facts": ["b", "c", "d"], "members": ["m3"], "chunks": [2, 3]}
+    assert tuple(audit.erasure_estimate("u", e, f, m, c).first()) == (1, 1, 1, 1)
+    assert tuple(audit.erasure_estimate("nobody", e, f, m, c).first()) == (0, 0, 0, 0)
+    kept = {r["triple_id"]: r["source_episode_id"] for r in audit.clear_source(f, e.where("rowid = 1").select(F.col("rowid").alias("source_episode_id"))).collect()}
+    assert kept == {"a": None, "b": None, "c": 2, "d": None}
+    assert {k: (v.count(), v.columns) for k, v in audit.reset_derived({"m": m}).items()} == {"m": (0, m.columns)}
+
+
+def test_settle_keeps_earlier_times(spark):
+    found = spark.createDataFrame([("a", "b", "resolved", 777), ("c", "d", "resolved", 5), ("e", "f", "unresolved", None)], "a_triple_id string, b_triple_id string, status string, resolved_at_ms long")
+    decided = spark.createDataFrame([("c", "d", "reopened"), ("e", "f", "resolved")], "a_triple_id string, b_triple_id string, status string")
+    got = {r["a_triple_id"]: (r["status"], r["resolved_at_ms"]) for r in facts.settle(found, decided, 9).collect()}
+    assert got == {"a": ("resolved", 777), "c": ("reopened", None), "e": ("resolved", 9)}
+    assert {r["resolved_at_ms"] for r in facts.settle(found, decided.limit(0), 9).collect()} == {777, 5, None}
+
+
+def test_cutoff():
+    assert facts.cutoff(10, None) is None and facts.cutoff(86_400_000, 1) == 0 and facts.cutoff(0, 1 << 60) is None and facts.cutoff(0, -(1 << 60)) is None
+
+
+def test_upserts(spark):
+    kind = "fingerprint string, claim_id string, review_id string, status string, user_approved boolean, evidence_count long, created_at_ms long, activated_at_ms long"
+    old = spark.createDataFrame([("1", "o1", "r1", "rejected", True, 5, 1, None), ("2", "o2", "r2", "quarantined", False, 5, 1, None), ("3", "o3", None, "rejected", True, 5, 1, None), ("4", "o4", None, "active", False, 5, 1, 1)], kind)
+    new = spark.createDataFrame([("1", "n1", "s1", "needs_review", False, 1, 2, None), ("2", "n2", "s2", "active", False, 1, 2, 2), ("3", "n3", "s3", "active", False, 1, 2, 2), ("5", "n5", "s5", "needs_review", False, 1, 2, None)], kind)
+    got = {r["fingerprint"]: tuple(r)[1:] for r in quality_gate.upsert_claims(old, new).collect()}
+    assert got == {"1": ("o1", "s1", "rejected", True, 5, 1, None), "2": ("o2", None, "active", False, 1, 1, 2), "3": ("o3", None, "active", True, 1, 1, 2), "4": ("o4", None, "active", False, 5, 1, 1), "5": ("n5", "s5", "needs_review", False, 1, 2, None)}
+    kind = "alias string, canonical_id string, display_label string, source string, confidence double, created_at_ms long, updated_at_ms long"
+    a = quality_gate.upsert_aliases(spark.createDataFrame([("Ada", "a", "A", "old", 0.9, 1, 1)], kind), spark.createDataFrame([(" [Ada] ", "b", "B", "gate", 0.5, 2, 2), ("", "x", "X", "gate", 1.0, 2, 2), ("Bo", "", "X", "gate", 1.0, 2, 2), ("Cy", "c", "C", "gate", 0.1, 2, 2)], kind))
+    assert {tuple(r) for r in a.collect()} == {("Ada", "b", "B", "old", 0.9, 1, 2), ("Cy", "c", "C", "gate", 0.1, 2, 2)}
+    op, revision = quality_gate.split_request(spark, "o1", "ada", ["x", "y"], 5)
+    assert op.first()["op_kind"] == "split" and (revision.first()["previous_id"], "o1" in revision.first()["metadata_json"]) == ("ada", True)
+    ops = spark.createDataFrame([("m", "o1", "approve", 1), ("m", "o2", "dismiss", 2), ("m", "o0", "approve", 2), ("n", "o4", "approve", 1)], "memory_id string, op_id string, state string, created_at_ms long")
+    assert {r["memory_id"]: r["state"] for r in audit.latest(ops, ["memory_id"]).collect()} == {"m": "dismiss", "n": "approve"}
+
+
+def test_audit_samples_are_bounded_and_in_order(spark, data):
+    from tidewell.plans import registry
+    from tidewell.sources import model
+
+    issues = quality_gate.audit(*registry._audited(spark, data)).collect()
+    assert all(len(r["samples"]) <= quality_gate.SAMPLES for r in issues) and {r["code"] for r in issues} >= {"triple_review_queue", "low_confidence_facts", "low_signal_abstractions"}
+    empty = quality_gate.audit(*[x.limit(0) for x in registry._audited(spark, data)]).collect()
+    assert [(r["severity"], r["code"], r["n"]) for r in empty] == [("info", "no_active_triples", 0)]
+    none = model.clusters(spark, data).limit(0)
+    args = list(registry._audited(spark, data))
+    args[1], args[2] = none, args[2].limit(0)
+    codes = {r["code"]: r["n"] for r in quality_gate.audit(*args).collect()}
+    assert codes["no_clusters"] == codes["unclustered_episodes"] > 0
+
+
+def test_weak_facts_and_small_checks(spark):
+    rows = spark.createDataFrame([("The Assistant", "likes", "x", "entity"), ("assistant", "Can Help!", "x", "entity"), ("LLM", "is", "TRUE", "literal"), ("LLM", "is", "true", "entity"), ("model", "said", "I'm unable", "literal"), (" ", "p", "o", "entity"), ("s", None, "o", "entity"), ("s", "p", "", "entity")], "s string, p string, o string, k string")
+    got = [r[0] for r in rows.select(X.extraction_reason(F.col("s"), F.col("p"), F.col("o"), F.col("k"))).collect()]
+    assert got == [None, "runtime metadata", "refusal or capability literal", None, "refusal or capability literal", "empty subject_id", "empty predicate", "empty object_id"]
+    made = spark.createDataFrame([("c1", "x", "assistant", "can_help", "y", "entity", 1, 0.9, None), ("c1", "x", "a", "b", "c", "entity", 1, 0.9, None), ("c2", "x", "system", "model", "z", "entity", 1, 0.9, None), ("c3", None, None, None, None, None, None, None, "bad")], "cluster_id string, content string, subject_id string, predicate string, object_id string, object_kind string, valid_from_ms long, confidence double, error string")
+    assert sorted(tuple(r)[:3] for r in extraction.without_weak_facts(made).collect()) == [("c1", "x", "a"), ("c2", "x", None), ("c3", None, None)]
+    for text, ms in (("1970-01-01T00:00:00Z", 0), ("1969-12-31T23:59:59.999Z", -1), ("2024-02-29t12:00:00.5+01:00", 1709204400500), ("2024-02-30T00:00:00Z", None), ("2024-01-01", None), ("x", None)):
+        assert one(spark, X.millis_of_rfc3339(F.col("v")), v=text) == ms
+    assert one(spark, X.rfc3339_of_millis(F.col("v")), v=-1) == "1969-12-31T23:59:59.999Z"
+    assert [one(spark, X.seconds_of_duration(F.col("v")), v=x) for x in ("90s", "2h", "7d", "h", "1.5h")] == [90, 7200, 604800, None, None]
+    assert one(spark, X.checked_salience(F.col("v")), v=0.5) == 0.5
+    for bad in (1.5, -0.1, float("nan"), float("inf")):
+        with pytest.raises(Exception, match="salience"):
+            one(spark, X.checked_salience(F.col("v")), v=bad)
+
+
+def test_words_lose_diacritics(spark):
+    assert one(spark, X.words(F.col("v")), v="Émile ÖL naïve Straße 中文") == ["emile", "ol", "naive", "straße", "中文"] and X.query_terms("Ölé") == ["ole"]
+
+
+def test_saved_index(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "Cats and dogs"), (2, "cat cat CAT"), (3, None), (4, "nothing"), (5, "dogs dogs cat")], "id long, text string")
+    path = f"file://{tmp_path}/plain"
+    lexical.save_index(docs, path, "id", "text", buckets=3)
+    for query in ("cat", "cat dogs", "cat cat", "zebra", "???"):
+        assert [tuple(r) for r in lexical.search_index(spark, path, query, 5).collect()] == [tuple(r) for r in lexical.best(docs, query, "id", "text", 5).collect()]
+    plan = lexical.search_index(spark, path, "cat", 5)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "In(term" in plan or "EqualTo(term" in plan
+    lexical.save_index(docs, f"{path}2", "id", "text", stemmed=True)
+    assert [r["id"] for r in lexical.search_index(spark, f"{path}2", "cats", 5).collect()] == [r["id"] for r in lexical.best(docs, "cats", "id", "text", 5, stemmed=True).collect()]
+    assert tuple(lexical.drift(docs, path, "id").first()) == (1, 0) and tuple(lexical.drift(docs.where("id > 1"), path, "id").first()) == (1, 1)
+
+
+def test_approximate_neighbours_recall(spark, data):
+    rows = spark.read.parquet(f"{data}/embeddings.parquet")
+    index = knn.sign_index(rows, 64).cache()
+    assert index.count() == 12 * rows.count()
+    hit = 0
+    for r in rows.where("vec_id % 50 = 0").collect():
+        want = {x[0] for x in knn.nearest(rows, r["embedding"], 5).collect()}
+        hit += len(want & {x[0] for x in knn.nearest_indexed(index, r["embedding"], 5, flips=5).collect()})
+    assert hit >= 0.9 * 50
+
+
+def test_lifecycle(spark):
+    day = 86_400_000
+    v = {1: [1, 0], 2: [0.9, 0.3], 3: [0.6, 0.7], 4: [0, 1], 5: [1, 0.1], 6: [1, 0.2]}
+    rows = spark.createDataFrame([(i, (day if i > 4 else 0) + i, [float(x) for x in v[i]]) for i in v], "id long, ts_ms long, embedding array<float>")
+    none = spark.createDataFrame([], "cluster_id long, id long")
+    first = cluster.consolidate(spark, rows.where("id <= 4"), none, 0.7)
+    assert sorted(map(tuple, first.collect())) == [(1, i) for i in range(1, 5)]
+    assert cluster.consolidate(spark, rows.where("id <= 4"), first, 0.7) is first  # nothing new
+    second = sorted(map(tuple, cluster.consolidate(spark, rows, first, 0.7).collect()))
+    assert second == [(1, i) for i in range(1, 7)]
+    episodes = spark.createDataFrame([(1, "hot", "active", 9 * day, "a"), (2, "hot", "active", 0, "b"), (3, "warm", "active", 9 * day, "c"), (4, "hot", "forgotten", 9 * day, "d"), (5, "hot", "active", 9 * day, "e")], "rowid long, tier string, status string, ts_ms long, content string")
+    vectors = spark.createDataFrame([(1, "now", [1.0]), (2, "now", [1.0]), (3, "now", [1.0]), (4, "now", [1.0]), (5, "old", [1.0]), (2, "old", [1.0]), (9, "now", [1.0])], "rowid long, embedder string, embedding array<float>")
+    assert sorted(r["id"] for r in cluster.in_scope(episodes, vectors, "now", 10 * day).collect()) == [1, 2] and [r["id"] for r in cluster.in_scope(episodes, vectors, "now", 10 * day, 5).collect()] == [1]
+    assert sorted(map(tuple, cluster.stale_vectors(vectors, episodes, "now").collect())) == [(2, "old"), (4, "now"), (9, "now")]
+    embed = lambda c: F.array(F.length(c).cast("float"))
+    assert [r["rowid"] for r in cluster.re_embed(vectors, episodes, "now", embed, dry_run=True).collect()] == [5]
+    again = cluster.re_embed(vectors, episodes, "now", embed)
+    assert again.count() == 8 and cluster.re_embed(again, episodes, "now", embed).count() == 8
+    c = spark.createDataFrame([(1, 3, 0.5, [1.0, 0.0]), (2, 1, 0.9, [0.0, 1.0]), (3, 2, 1.0, [1.0, 0.0])], "cluster_id long, n long, coherence double, centroid array<double>")
+    merged = {r["cluster_id"]: r for r in cluster.merge_summary(c, spark.createDataFrame([(1, 2)], "survivor long, loser long")).collect()}
+    assert set(merged) == {1, 3} and merged[1]["n"] == 4 and merged[1]["coherence"] == 0.6 and merged[1]["centroid"] == pytest.approx([3 / 10**0.5, 1 / 10**0.5])
+
+
+def test_documents_come_back_whole(spark):
+    texts = {1: "wörter. " * 900, 2: "a" * 9000, 3: "\n\n".join("pära graph. " * 40 for _ in range(20)), 4: "short", 5: "x" * 2990 + "\n\n" + "é" * 9000}
+    docs = spark.createDataFrame([*texts.items(), (6, ""), (7, None)], "doc_id long, text string")
+    for overlap in (0, 50, 400):
+        parts = documents.chunks(docs, overlap=overlap)
+        assert {r["doc_id"]: r["text"] for r in documents.document_texts(parts).collect()} == texts
+    assert documents.chunk_of(parts, 4, 0).first()["content"] == "short"
+    known = docs.where("doc_id = 4").select(F.sha2("text", 256).alias("content_hash"))
+    again = docs.unionByName(docs.where("doc_id = 2").withColumn("doc_id", F.lit(20).cast("long")))
+    new, parts = documents.ingest(again, known, lambda c: F.array(F.length(c)))
+    got = {r["doc_id"]: r["chunk_count"] for r in new.collect()}
+    assert set(got) == {1, 2, 3, 5, 6} and got[6] == 0 and got[2] == parts.where("doc_id = 2").count() and "embedding" in parts.columns
+
+
+def test_more_formats(spark, tmp_path):
+    import struct
+
+    def packed(files):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, body in files.items():
+                z.writestr(name, body)
+        return out.getvalue()
+
+    ns = 'xmlns="u"'
+    book = packed({"xl/sharedStrings.xml": f"<sst {ns}><si><t>first</t></si><si><r><t>se</t></r><r><t>cond</t></r></si></sst>", "xl/worksheets/sheet1.xml": f'<w {ns}><row r="2"><c t="s"><v>1</v></c><c><v>5</v></c><c t="inlineStr"><is><t>in</t></is></c></row></w>', "xl/worksheets/sheet2.xml": f"<w {ns}/>"})
+    gltf = json.dumps({"asset": {"version": "2.0"}, "meshes": [1, 2], "nodes": [1]}).encode()
+    glb = b"glTF" + struct.pack("<II", 2, 20 + len(gltf)) + struct.pack("<I4s", len(gltf), b"JSON") + gltf
+    tiff = b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", 2) + struct.pack("<HHII", 256, 3, 1, 7) + struct.pack("<HHII", 257, 4, 1, 9)
+    webp = b"RIFF\0\0\0\0WEBPVP8X" + struct.pack("<I", 10) + b"\0" * 4 + (99).to_bytes(3, "little") + (49).to_bytes(3, "little")
+    want = {"a.xlsx": (book, "sheet 1\nrow 2: second | 5 | in\nsheet 2"), "b.gltf": (gltf, "glTF 2.0 model, 0 scenes, 1 nodes, 2 meshes, 0 materials, 0 textures, 0 animations"), "d.tiff": (tiff, "TIFF image, 7 x 9"), "e.webp": (webp, "WebP image, 100 x 50"), "f.blend": (b"BLENDER-v293rest", "Blender file, version 293, 64 bit, little endian")}
+    for name, (content, text) in want.items():
+        assert documents.extract(name, content) == text
+    assert documents.extract("c.glb", glb) == want["b.gltf"][1]
+    with pytest.raises(ValueError, match="no reader"):
+        documents.extract("x.pdf", b"%PDF-1.4")
+    documents.READERS["pdf"] = lambda b: f"{len(b)} bytes"
+    try:
+        assert documents.extract("x.pdf", b"%PDF-1.4") == "8 bytes"
+    finally:
+        documents.READERS.clear()
+    with pytest.raises(ValueError, match="rows"):
+        documents.csv_text("a\n" * (documents.MOST_ROWS + 1))
+    for name, body in (("one.txt", b"1"), ("sub/two.md", b"2"), ("sub/.hidden.txt", b"3"), (".git/four.txt", b"4"), ("five.exe", b"5"), ("bad.png", b"6")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(body)
+    found = {r["path"].removeprefix(f"file:{tmp_path}/"): (r["text"], r["error"] is None) for r in documents.import_folder(spark, f"file:{tmp_path}").collect()}
+    assert found == {"one.txt": ("1", True), "sub/two.md": ("2", True), "bad.png": (None, False)}
+    assert documents.import_folder(spark, f"file:{tmp_path}", most=1).count() == 1 and documents.import_folder(spark, f"file:{tmp_path}", ("md",)).count() == 1
+
+
+def test_audit_export(spark, tmp_path):
+    rows = spark.createDataFrame([(i, i // 2, "u") for i in range(50)], "rowid long, ts_ms long, principal string").repartition(5)
+    assert audit.export(rows, f"file:{tmp_path}/out") == 50
+    told = [json.loads(x)["rowid"] for p in sorted((tmp_path / "out").glob("part-*")) for x in p.read_text().splitlines()]
+    assert told == list(range(49, -1, -1))
+    assert audit.retention(rows, 86_400_000, 1).count() == 50 and audit.retention(rows, 86_400_000 + 10, 1).count() == 30 and audit.retention(rows, 5, None).count() == 50
+
+
+def test_graph_facts_and_nodes(spark):
+    e = spark.createDataFrame([("e1", "a", "p", "b", "entity", 0.5, 0.9, 2), ("e2", "b", "p", "a", "entity", 0.5, 0.8, 0), ("e3", "a", "p", "a", "entity", 0.5, 0.1, 1), ("e4", "a", "p", "lit", "literal", 0.5, 1.0, 1), ("e5", "c", "p", "a", "literal", 0.5, 1.0, 1), ("e6", "a", "p", "z", "entity", 0.5, 0.7, 1), ("e7", "z", "p", "b", "entity", 0.5, 0.6, 1)], "edge_id string, subject_id string, predicate string, object_id string, object_kind string, confidence double, strength double, evidence_count long")
+    got = graph.context_facts(e, ["a", "b"]).collect()
+    assert [(r["edge_id"], r["direction"]) for r in got] == [("e1", "between_seed_entities"), ("e2", "between_seed_entities"), ("e6", "outgoing"), ("e7", "incoming"), ("e3", "self"), ("e4", "outgoing")]
+    assert got[0]["reason_codes"] == ["query_entity", "between_seed_entities", "graph_neighbor", "evidence_backed"] and "evidence_backed" not in got[1]["reason_codes"] and "literal_fact" in got[5]["reason_codes"]
+    assert spark.range(1).select(graph.path_reasons(F.lit(2), F.lit(False))).first()[0] == ["query_entity", "two_hop_relationship_path", "graph_neighbor"]
+
+
 def test_streaming(spark, data, tmp_path):
     schema = spark.read.parquet(f"{data}/events.parquet").schema
     spark.read.parquet(f"{data}/events.parquet").repartition(3).write.parquet(str(tmp_path / "in"))
@@ -230,7 +438,52 @@ def test_streaming(spark, data, tmp_path):
     timed = CountOrTime(runs.append, rows=0, seconds=10, clock=lambda: now[0])
     assert not timed.note(5)
     now[0] = 11
-    assert timed.note(1) and timed.seen == 0
+    assert timed.tick() and timed.seen == 0 and not timed.tick()
+
+
+def test_stream_state_survives_a_restart(spark, data, tmp_path):
+    runs, folder = [], f"file:{tmp_path}/state"
+    first = CountOrTime(runs.append, rows=10, clock=lambda: 5.0, folder=folder, spark=spark)
+    first(spark.range(7), 0)
+    second = CountOrTime(runs.append, rows=10, clock=lambda: 6.0, folder=folder, spark=spark)
+    assert (second.seen, second.last) == (7, 5.0)
+    second(spark.range(7), 0)  # a replay of what was counted
+    assert second.seen == 7 and not runs
+    second(spark.range(4), 1)
+    assert runs == [11] and CountOrTime(runs.append, folder=folder, spark=spark).seen == 0
+
+
+def test_stream_appends_each_key_once(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "x") for i in range(30)], "entry_id long, kind string")
+    for k in range(3):  # every file brings rows of the one before again
+        rows.where(f"entry_id between {k * 10 - 5} and {k * 10 + 9}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = lambda: episodes_stream(spark, str(tmp_path / "in"), rows.schema)
+    batches.replay(source(), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(120)
+    got = [r[0] for r in spark.read.parquet(str(tmp_path / "out")).select("entry_id").collect()]
+    assert sorted(got) == list(range(30))
+    batches.broadcast_invalidations(source().withColumn("tenant_id", F.col("kind")), str(tmp_path / "sig"), str(tmp_path / "c3"), "episode", clock=lambda: 2.0).awaitTermination(120)
+    assert [(r["tenant_id"], r["ts_ms"]) for r in spark.read.parquet(str(tmp_path / "sig")).collect()] == [("x", 2000)] * 3
+    q = batches.periodic(source(), str(tmp_path / "c4"), lambda b, i: b.write.mode("overwrite").parquet(f"{tmp_path}/p/batch_id={i}"), "100 milliseconds")
+    q.processAllAvailable()
+    q.stop()
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 40
+    q = batches.audit_writer(source().withColumn("event_id", F.col("entry_id")), str(tmp_path / "aud"), str(tmp_path / "c5"))
+    q.processAllAvailable()
+    q.stop()
+    assert spark.read.parquet(str(tmp_path / "aud")).count() == 30
+
+
+def test_incremental_clusters(spark, tmp_path):
+    day = 86_400_000
+    files = [[(1, 1, [1.0, 0.0]), (2, 2, [0.0, 1.0])], [(3, 3, [0.9, 0.1]), (4, day, [0.0, 1.0])], [(5, 5, [1.0, 0.1]), (6, day + 1, [0.1, 1.0])]]
+    kind = "id long, ts_ms long, embedding array<float>"
+    for k, rows in enumerate(files):
+        spark.createDataFrame(rows, kind).coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
+    source = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    batches.incremental_clusters(source, str(tmp_path / "state"), str(tmp_path / "c"), 0.7).awaitTermination(120)
+    members = spark.read.parquet(str(tmp_path / "state" / "members"))
+    got = sorted((r["cluster_id"], r["id"]) for r in members.collect())
+    assert len(got) == len({i for _, i in got}) and {(1, 1), (1, 3), (4, 4), (4, 6)} <= set(got) and 2 not in {i for _, i in got}
 
 
 def test_extraction(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 from operator import or_
 
@@ -25,6 +26,11 @@ RUNTIME_PREDICATES = (
     "can_assist", "can_help", "cannot_assist", "unable_to_assist", "has_access", "has_direct_access", "can_access", "cannot_access",
     "can_run_commands", "can_execute_commands", "can_use_tools", "tool_access", "model", "provider", "based_on", "is_based_on",
 )
+#: Phrases of abstractions that say nothing.
+LOW_SIGNAL = (
+    "assistant was unable to provide assistance", "unable to provide assistance", "cannot provide assistance", "can't provide assistance",
+    "could not provide assistance", "no assistance was provided",
+)
 REFUSALS = ("cannot", "cant", "unable", "no_access", "sorry", "refusal")
 
 
@@ -126,10 +132,60 @@ def useful_literal(value: Column) -> Column:
     return F.char_length(value).between(1, 240) & ~underscore_blob(value)
 
 
-def weak_runtime_fact(subject: Column, predicate: Column, obj: Column, kind: Column) -> Column:
-    """Facts of a runtime role about itself: capabilities, refusals, truth values."""
-    s, p, o = (normalize_predicate(x) for x in (subject, predicate, obj))
-    return s.isin(*RUNTIME_ROLES) & (p.isin(*RUNTIME_PREDICATES) | ((kind == "literal") & (o.isin("true", "false") | contains_any(o, REFUSALS))))
+def low_signal(content: Column) -> Column:
+    """Abstractions that read like a refusal; null counts as none."""
+    return F.coalesce(contains_any(F.lower(content), LOW_SIGNAL), F.lit(False))
+
+
+def compact_identifier(text: Column, most: int = 120) -> Column:
+    """Lower ASCII letters and digits, with one underscore for each run of anything else; none at the ends, cut at most characters."""
+    made = F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_")
+    return F.regexp_replace(F.substring(F.regexp_replace(made, "^_", ""), 1, most), "_$", "")
+
+
+def extraction_reason(subject: Column, predicate: Column, obj: Column, kind: Column) -> Column:
+    """Why an extracted fact is dropped at once, or null: an empty part, or a runtime role's talk about itself."""
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    s, p, o = (compact_identifier(x) for x in (subject, predicate, obj))
+    role = s.isin(*RUNTIME_ROLES)
+    return (
+        F.when(blank(obj), "empty object_id")
+        .when(blank(subject), "empty subject_id")
+        .when(blank(predicate), "empty predicate")
+        .when(role & p.isin(*RUNTIME_PREDICATES), "runtime metadata")
+        .when(role & (kind == "literal") & (o.isin("true", "false") | contains_any(o, REFUSALS)), "refusal or capability literal")
+    )
+
+
+def millis_of_rfc3339(text: Column) -> Column:
+    """Milliseconds since 1970 of an RFC 3339 time with its offset; null if it is none."""
+    form = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d{1,9})?([Zz]|[+-]\d{2}:\d{2})$"
+    moment = F.try_to_timestamp(F.regexp_replace(F.upper(text), "T", " "))
+    return F.when(text.rlike(form), F.floor(F.unix_micros(moment) / 1000).cast("long"))
+
+
+def rfc3339_of_millis(ms: Column) -> Column:
+    """An RFC 3339 time in UTC, to the millisecond."""
+    day, rest = F.floor(ms / 86_400_000).cast("int"), F.pmod(ms, F.lit(86_400_000))
+    clock = F.format_string("%02d:%02d:%02d.%03dZ", F.floor(rest / 3_600_000).cast("int"), F.floor(rest / 60_000).cast("int") % 60, F.floor(rest / 1000).cast("int") % 60, (rest % 1000).cast("int"))
+    return F.concat(F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), day), "yyyy-MM-dd"), F.lit("T"), clock)
+
+
+def seconds_of_duration(text: Column) -> Column:
+    """Seconds of a duration such as 90s, 15m, 2h or 7d; null if it is none."""
+    parts = F.regexp_extract(text, r"^(\d{1,12})([smhd])$", 1)
+    unit = F.regexp_extract(text, r"^(\d{1,12})([smhd])$", 2)
+    return F.when(parts != "", parts.try_cast("long") * F.when(unit == "s", 1).when(unit == "m", 60).when(unit == "h", 3600).otherwise(86_400))
+
+
+def valid_salience(value: Column) -> Column:
+    """Whether a salience may be stored: null, or finite within 0 and 1."""
+    return value.isNull() | F.coalesce(~F.isnan(value) & value.between(0.0, 1.0), F.lit(False))
+
+
+def checked_salience(value: Column) -> Column:
+    """The salience; a value that may not be stored is an error of the query."""
+    return F.when(valid_salience(value), value).otherwise(F.raise_error(F.concat(F.lit("salience must be in [0.0, 1.0]; got "), value.cast("string"))).cast("double"))
 
 
 def token_estimate(text: Column) -> Column:
@@ -170,6 +226,21 @@ def role_name(role: Column) -> Column:
     return F.when(role == "human", F.lit("user")).when(role.isin("assistant", "system", "tool"), role).otherwise(clean_title(role))
 
 
+def _accents() -> tuple[str, str]:
+    """Latin letters with one diacritic or more, in lower case, and what they are without."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, 0x250) if chr(c) == chr(c).lower()]
+    pairs = [(a, b) for a, b in pairs if a != b]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+_ACCENTED, _BARE = _accents()
+
+
+def folded(text: Column) -> Column:
+    """Lower case, Latin letters without diacritics."""
+    return F.translate(F.lower(text), _ACCENTED, _BARE)
+
+
 def query_terms(query: str, most: int = 8) -> list[str]:
     """Terms of a query: split at what is no letter or digit, distinct as written, the first `most`, then lower case."""
     seen: list[str] = []
@@ -178,12 +249,12 @@ def query_terms(query: str, most: int = 8) -> list[str]:
             seen.append(term)
         if len(seen) == most:
             break
-    return [t.lower() for t in seen]
+    return [t.lower().translate(str.maketrans(_ACCENTED, _BARE)) for t in seen]
 
 
 def words(text: Column) -> Column:
-    """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    """Folded runs of letters and digits."""
+    return F.filter(F.split(folded(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
 def day_bucket(ms: Column) -> Column:

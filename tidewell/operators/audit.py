@@ -32,19 +32,65 @@ def tiers(episodes: DataFrame) -> DataFrame:
     return episodes.groupBy("tier", "status").agg(F.count("*").alias("n"))
 
 
-def erase(principal: str, episodes: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Episodes and facts left after a principal's erasure: facts go with their source episode."""
+def erase(principal: str, episodes: DataFrame, facts: DataFrame, members: DataFrame, chunks: DataFrame) -> dict[str, DataFrame]:
+    """What is left after a principal's erasure: facts go with their source episode, memberships with their memory, chunks with who ingested them.
+
+    Rows without a principal or a source stay. Documents stay as well, as others may have ingested chunks of them.
+    """
+    mine = lambda c: F.col(c).eqNullSafe(principal)
+    gone = episodes.where(mine("principal"))
+    return {
+        "episodes": episodes.where(~mine("principal")),
+        "facts": facts.join(gone.select(F.col("rowid").alias("source_episode_id")), "source_episode_id", "left_anti"),
+        "members": members.join(gone.select("memory_id"), "memory_id", "left_anti"),
+        "chunks": chunks.where(~mine("ingested_by")),
+    }
+
+
+def erasure_estimate(principal: str, episodes: DataFrame, facts: DataFrame, members: DataFrame, chunks: DataFrame) -> DataFrame:
+    """How many episodes, facts and chunks would go, and how many facts without a source the clusters of those episodes hold."""
     gone = episodes.where(F.col("principal") == principal).select(F.col("rowid").alias("source_episode_id"), "memory_id")
-    return episodes.where(F.col("principal") != principal), facts.join(gone.select("source_episode_id"), "source_episode_id", "left_anti")
-
-
-def erasure_estimate(principal: str, episodes: DataFrame, facts: DataFrame) -> DataFrame:
-    """How many episodes and facts would go, and how many facts of touched clusters have no source."""
-    gone = episodes.where(F.col("principal") == principal).select(F.col("rowid").alias("source_episode_id"))
     lost = facts.join(gone, "source_episode_id", "left_semi")
-    touched = lost.where("cluster_id is not null").select("cluster_id").distinct()
+    touched = members.join(gone, "memory_id", "left_semi").select("cluster_id").distinct()
     orphans = facts.where("source_episode_id is null").join(touched, "cluster_id", "left_semi")
-    return gone.agg(F.count("*").alias("episodes")).crossJoin(lost.agg(F.count("*").alias("facts"))).crossJoin(orphans.agg(F.count("*").alias("orphans")))  # one row each
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    return count(gone, "episodes").crossJoin(count(lost, "facts")).crossJoin(count(chunks.where(F.col("ingested_by") == principal), "chunks")).crossJoin(count(orphans, "orphans"))  # one row each
+
+
+def clear_source(rows: DataFrame, gone: DataFrame, key: str = "source_episode_id") -> DataFrame:
+    """rows with a key that is gone set to null: what a deletion does to rows that outlive their source."""
+    marked = rows.join(gone.select(F.col(key), F.lit(True).alias("lost")).distinct(), key, "left")
+    return marked.select(*[F.when(F.col("lost").isNull(), F.col(c)).alias(c) if c == key else F.col(c) for c in rows.columns])
+
+
+def reset_derived(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The derived layer emptied: the same columns, no rows. Episodes, documents and reviews aren't part of it."""
+    return {name: df.limit(0) for name, df in tables.items()}
+
+
+def purge_outbox(outbox: DataFrame, done: DataFrame, episodes: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Entries (entry_id, kind, target_id) still to replay: without those done, and without those whose episode or chunk is gone."""
+    left = outbox.join(done.select("entry_id"), "entry_id", "left_anti")
+    alive = episodes.where("status = 'active'").select(F.lit("episode").alias("kind"), F.col("rowid").alias("target_id")).unionByName(chunks.select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("target_id")))
+    return left.join(alive, ["kind", "target_id"], "left_semi").select(*outbox.columns)
+
+
+def latest(rows: DataFrame, keys: list[str], time_col: str = "created_at_ms", id_col: str = "op_id") -> DataFrame:
+    """The newest row of each key, the largest id among those of one time."""
+    others = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct(time_col, id_col)).alias("v")).select(*keys, *[F.col(f"v.{c}").alias(c) for c in others])
+
+
+def export(events: DataFrame, path: str, form: str = "json") -> int:
+    """Writes all audit rows, newest first, and returns their number: the range sort keeps parts and rows in order."""
+    rows = events.orderBy(F.desc("ts_ms"), F.desc("rowid"))
+    rows.write.mode("errorifexists").format(form).save(path)
+    return events.sparkSession.read.schema(rows.schema).format(form).load(path).count()
+
+
+def retention(events: DataFrame, now_ms: int, days: int | None) -> DataFrame:
+    """What a sweep leaves: rows of the last `days` days; none is no limit."""
+    return events if days is None else purge(events, now_ms - days * 86_400_000)
 
 
 def insert_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,37 +2,23 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
-import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.text import day_bucket
-from tidewell.functions.vectors import cosine, unit
+from tidewell.functions.vectors import unit
+from tidewell.operators.facts import cutoff
+from tidewell.sources.storage import keep
 
 THRESHOLD, MIN_SIZE, MAX_SIZE = 0.55, 2, 48
 #: Vectors of a day that are compared with as many others at a time.
 BLOCK = 2048
 
 
-@functools.cache
-def _own_dir() -> str:
-    return f"file://{tempfile.mkdtemp(prefix='tidewell-')}"
-
-
-def _keep(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage by a table in the shared folder (spark.checkpoint.dir), or one of its own where that is unset."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def similar_pairs(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, day, sim) of pairs of one day at or over the threshold; rows: id, day, embedding.
 
@@ -74,13 +60,13 @@ def similar_pairs(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component) of the nodes of pairs (a, b): smallest id of the connected component, by label passing with pointer jumping."""
-    both = _keep(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "pairs")
-    labels = _keep(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    both = keep(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "pairs")
+    labels = keep(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
     for _ in range(rounds):
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         stepped = labels.join(near, "id", "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("component"))
         up = stepped.select(F.col("id").alias("component"), F.col("component").alias("up"))
-        jumped = _keep(stepped.join(up, "component", "left").select("id", "old", F.least("component", F.coalesce("up", "component")).alias("component")), "labels")
+        jumped = keep(stepped.join(up, "component", "left").select("id", "old", F.least("component", F.coalesce("up", "component")).alias("component")), "labels")
         labels = jumped.select("id", "component")
         if not jumped.where("old <> component").limit(1).count():
             return labels
@@ -94,8 +80,6 @@ def cluster_days(rows: DataFrame, threshold: float = THRESHOLD, min_size: int =
     A cluster is named by its first member.
     """
     days = rows.withColumn("day", day_bucket(F.col("ts_ms")))
-    from pyspark.sql import Window
-
     labels = components(similar_pairs(days.select("id", "day", "embedding"), threshold))
     order = Window.partitionBy("component").orderBy("ts_ms", "id")
     cut = labels.join(rows.select("id", "ts_ms"), "id").withColumn("part", F.floor((F.row_number().over(order) - 1) / max(max_size, min_size)))
@@ -139,11 +123,61 @@ def merge(members: DataFrame, plan: DataFrame) -> DataFrame:
     return members.join(plan.withColumnRenamed("loser", "cluster_id"), "cluster_id", "left").select(F.coalesce("survivor", "cluster_id").alias("cluster_id"), "id").distinct()
 
 
+def merge_summary(clusters: DataFrame, plan: DataFrame) -> DataFrame:
+    """(cluster_id, n, coherence, centroid) after a merge plan, of rows of these columns: centroids and coherences weighted by size."""
+    placed = clusters.join(plan.withColumnRenamed("loser", "cluster_id"), "cluster_id", "left").withColumn("cluster_id", F.coalesce("survivor", "cluster_id"))
+    summed = placed.select("cluster_id", "n", "coherence", F.posexplode(unit(F.col("centroid"))).alias("pos", "x")).groupBy("cluster_id", "pos").agg(F.sum(F.col("x") * F.col("n")).alias("x"), F.sum("n").alias("n"), F.sum(F.col("coherence") * F.col("n")).alias("c"))
+    listed = summed.groupBy("cluster_id").agg(F.max("n").alias("n"), F.max(F.col("c") / F.col("n")).alias("coherence"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("v"))
+    return listed.select("cluster_id", "n", F.round("coherence", 6).alias("coherence"), unit(F.col("v")).alias("centroid"))
+
+
+def in_scope(episodes: DataFrame, vectors: DataFrame, embedder: str, now_ms: int, window_days: int | None = None) -> DataFrame:
+    """(id, ts_ms, embedding) of what a run may cluster: hot and active episodes with a vector of the present embedder, of the last days only where a window is given."""
+    own = episodes.where("tier = 'hot' and status = 'active'")
+    since = cutoff(now_ms, window_days)
+    if since is not None:
+        own = own.where(F.col("ts_ms") >= since)
+    return own.join(vectors.where(F.col("embedder") == embedder), "rowid").select(F.col("rowid").alias("id"), "ts_ms", "embedding")
+
+
 def unclustered(rows: DataFrame, members: DataFrame) -> DataFrame:
     """Rows that no cluster holds yet."""
     return rows.join(members.select("id").distinct(), "id", "left_anti")
 
 
+def consolidate(spark: SparkSession, rows: DataFrame, members: DataFrame, threshold: float = THRESHOLD, max_size: int = MAX_SIZE, force_merge: bool = False) -> DataFrame:
+    """members (cluster_id, id) after a run over rows (id, ts_ms, embedding): new rows are clustered by day, taken in by old clusters that are similar, and what is similar then merges.
+
+    Without new rows nothing changes, unless force_merge is set; so a second run over the same rows leaves the first one's result.
+    """
+    new = keep(unclustered(rows, members), "consolidate-new")
+    if not new.limit(1).count() and not force_merge:
+        return members
+    made = keep(cluster_days(new, threshold, max_size=max_size), "consolidate-made")
+    taken = keep(absorb(spark, centroids(made, rows), centroids(members, rows), threshold, max_size), "consolidate-taken")
+    moved = made.join(taken.select(F.col("new_id").alias("cluster_id"), "existing_id"), "cluster_id", "left").select(F.coalesce("existing_id", "cluster_id").alias("cluster_id"), "id")
+    whole = keep(members.select("cluster_id", "id").unionByName(moved), "consolidate-members")
+    return merge(whole, merge_plan(centroids(whole, rows), threshold, max_size))
+
+
+def stale_vectors(vectors: DataFrame, episodes: DataFrame, embedder: str) -> DataFrame:
+    """(rowid, embedder) of vectors to collect: of episodes that are gone or forgotten, or of another embedder while the present one has theirs."""
+    live = episodes.where("status = 'active'").select("rowid")
+    dead = vectors.join(live, "rowid", "left_anti").select("rowid", "embedder")
+    current = vectors.where(F.col("embedder") == embedder).select("rowid")
+    old = vectors.where(F.col("embedder") != embedder).join(live, "rowid", "left_semi").join(current, "rowid", "left_semi").select("rowid", "embedder")
+    return dead.unionByName(old)
+
+
+def re_embed(vectors: DataFrame, episodes: DataFrame, embedder: str, embed: Callable[[Column], Column], dry_run: bool = False) -> DataFrame:
+    """vectors (rowid, embedder, embedding) with those that active episodes lack of an embedder; a second run adds nothing. dry_run: only the row ids that it would add."""
+    have = vectors.where(F.col("embedder") == embedder).select("rowid")
+    missing = episodes.where("status = 'active'").join(have, "rowid", "left_anti")
+    if dry_run:
+        return missing.select("rowid")
+    return vectors.select("rowid", "embedder", "embedding").unionByName(missing.select("rowid", F.lit(embedder).alias("embedder"), embed(F.col("content")).alias("embedding")))
+
+
 def absorb(spark: SparkSession, new: DataFrame, existing: DataFrame, threshold: float = THRESHOLD, max_size: int = MAX_SIZE) -> DataFrame:
     """(new_id, existing_id, sim) of new clusters that existing ones take in; both: cluster_id, n, centroid.
 
@@ -174,9 +208,3 @@ def absorb(spark: SparkSession, new: DataFrame, existing: DataFrame, threshold:
 
     both = existing.select(F.lit(0).alias("side"), "cluster_id", "n", "centroid").unionByName(new.select(F.lit(1).alias("side"), "cluster_id", "n", "centroid"))
     return both.coalesce(1).mapInArrow(run, "new_id long, existing_id long, sim double")
-
-
-def pair_similarity(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs (a, b) with the cosine of their rows' vectors."""
-    one, two = (rows.select(F.col("id").alias(c), F.col("embedding").alias(f"v{c}")) for c in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", F.round(cosine(F.col("va"), F.col("vb")), 6).alias("sim"))

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import csv
 import io
+import json
 import re
 import struct
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions.text import clean_title, html_unescape, luhn_valid, role_name
@@ -82,8 +83,9 @@ def chunks(docs: DataFrame, target: int = 500, overlap: int = 50, id_col: str =
         for batch in batches:
             rows = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at = done = 0  # bytes before the code point `done`: starts only grow, so no byte is counted twice
                 for k, (a, b) in enumerate(chunk(text or "", target, overlap)):
-                    at = len(text[:a].encode())
+                    at, done = at + len(text[done:a].encode()), a
                     rows.append((i, k, at, at + len(text[a:b].encode()), (b - a) // 4, text[a:b]))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)], names=["doc_id", "chunk_index", "start_offset", "end_offset", "token_count", "content"])
@@ -137,10 +139,40 @@ def listing(docs: DataFrame, extractions: DataFrame, limit: int = 20, offset: in
     return rows.join(newest, "doc_id", "left").select("doc_id", "source", title.alias("title"), F.substring("text", 1, 200).alias("preview"), "extraction_status")
 
 
-def document_text(parts: DataFrame, doc_id: int) -> DataFrame:
-    """A document's chunks joined in order."""
-    own = parts.where(F.col("doc_id") == doc_id).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))).alias("c"))
-    return own.select("doc_id", F.array_join(F.transform("c", lambda x: x["content"]), "\n").alias("text"))
+def document_texts(parts: DataFrame) -> DataFrame:
+    """(doc_id, text) of chunks: joined in order, without what a chunk repeats of the one before."""
+    own = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "start_offset", "end_offset", "content"))).alias("c"))
+    before = lambda i: F.when(i > 0, F.get("c", i - 1)["end_offset"]).otherwise(0)
+    fresh = F.transform("c", lambda x, i: F.decode(F.substr(F.encode(x["content"], "utf-8"), (F.greatest(before(i) - x["start_offset"], F.lit(0)) + 1).cast("int")), "utf-8"))
+    return own.select("doc_id", F.array_join(fresh, "").alias("text"))
+
+
+def chunk_of(parts: DataFrame, doc_id: int, chunk_index: int) -> DataFrame:
+    """One chunk by its document and place."""
+    return parts.where((F.col("doc_id") == doc_id) & (F.col("chunk_index") == chunk_index)).select("doc_id", "chunk_index", "content")
+
+
+def ingest(docs: DataFrame, known: DataFrame, embed: Callable[[Column], Column] | None = None, target: int = 500, overlap: int = 50) -> tuple[DataFrame, DataFrame]:
+    """New documents (doc_id, content_hash, byte_size, chunk_count) and their chunks, of rows (doc_id, text).
+
+    A text whose hash is known, or comes again under a larger id, is no new document. embed makes a column `embedding` of the chunks' content.
+    """
+    own = first_of_each(docs).select("content_hash", "doc_id").join(known.select("content_hash"), "content_hash", "left_anti")
+    new = docs.join(own, "doc_id").where(F.sha2("text", 256) == F.col("content_hash"))
+    parts = chunks(new, target, overlap)
+    counts = parts.groupBy("doc_id").agg(F.count("*").alias("chunk_count"))
+    told = new.select("doc_id", "content_hash", F.octet_length("text").cast("long").alias("byte_size")).join(counts, "doc_id", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
+    return told, parts if embed is None else parts.withColumn("embedding", embed(F.col("content")))
+
+
+def inspect_document(doc_id: int, docs: DataFrame, parts: DataFrame, extractions: DataFrame, assets: DataFrame) -> DataFrame:
+    """One row: a document with previews of its chunks, its newest extraction's status and error, and its assets (doc_id, asset_id)."""
+    one = lambda df: df.where(F.col("doc_id") == doc_id)
+    listed = one(parts).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", F.substring("content", 1, 200).alias("preview")))), lambda x: x["preview"]).alias("previews"))
+    newest = one(extractions).groupBy("doc_id").agg(F.max_by(F.struct("status", "error"), F.struct("created_at_ms", "extraction_id")).alias("x"))
+    held = one(assets).groupBy("doc_id").agg(F.sort_array(F.collect_set("asset_id")).alias("asset_ids"))
+    rows = one(docs).select("doc_id", "source").join(listed, "doc_id", "left").join(newest, "doc_id", "left").join(held, "doc_id", "left")
+    return rows.select("doc_id", "source", F.coalesce("previews", F.array().cast("array<string>")).alias("previews"), F.col("x.status").alias("extraction_status"), F.col("x.error").alias("extraction_error"), "asset_ids")
 
 
 def html_text(html: Column) -> Column:
@@ -191,10 +223,17 @@ def chat_exports(exports: DataFrame, json_col: str = "json", filters: tuple[str,
     return named.select("conv_id", "title", F.posexplode(said).alias("place", "m")).select("conv_id", "title", F.col("place").cast("long").alias("place"), role_name(F.coalesce("m.role", F.lit("unknown"))).alias("role"), "m.text")
 
 
+# What a table's or a workbook's text may hold.
+MOST_ROWS, MOST_CELLS, MOST_CHARS, MOST_SHEETS = 100_000, 1_000_000, 2_000_000, 64
+
+
 def csv_text(raw: str, tabs: bool = False) -> str:
-    """Delimited text as lines `row N: a | b`: ragged rows are fine, blank ones are skipped but counted."""
-    lines = []
+    """Delimited text as lines `row N: a | b`: ragged rows are fine, blank ones are skipped but counted. A table beyond the bounds is an error."""
+    lines, held, size = [], 0, 0
     for n, row in enumerate(csv.reader(io.StringIO(raw), delimiter="\t" if tabs else ","), 1):
+        held, size = held + len(row), size + sum(map(len, row))
+        if n > MOST_ROWS or held > MOST_CELLS or size > MOST_CHARS:
+            raise ValueError(f"a table of over {MOST_ROWS} rows, {MOST_CELLS} cells or {MOST_CHARS} characters")
         cells = [c.strip() for c in row]
         if any(cells):
             lines.append(f"row {n}: {' | '.join(cells)}")
@@ -214,6 +253,79 @@ def file_kind(path: str) -> str | None:
     return next((k for k, extensions in KINDS.items() if extension in extensions), None)
 
 
+#: Readers of kinds that need a library of the caller's choice, such as pdf: from bytes to text.
+READERS: dict[str, Callable[[bytes], str]] = {}
+
+
+def local(element: ElementTree.Element) -> str:
+    """A tag without its namespace."""
+    return element.tag.rsplit("}", 1)[-1]
+
+
+def in_order(z: zipfile.ZipFile, pattern: str) -> list[str]:
+    """Names of a zip file's entries that match, numbers in them by value."""
+    return sorted((n for n in z.namelist() if re.fullmatch(pattern, n)), key=lambda n: [int(x) if x.isdigit() else x for x in re.split(r"(\d+)", n)])
+
+
+def workbook_text(z: zipfile.ZipFile) -> str:
+    """Rows of a workbook's sheets, a heading a sheet; cells that name a shared string are resolved."""
+    strings = []
+    if "xl/sharedStrings.xml" in z.namelist():
+        strings = ["".join(t.text or "" for t in si.iter() if local(t) == "t") for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")) if local(si) == "si"]
+    sheets = in_order(z, r"xl/worksheets/sheet\d+\.xml")
+    if len(sheets) > MOST_SHEETS:
+        raise ValueError(f"a workbook of over {MOST_SHEETS} sheets")
+    lines = []
+    for k, name in enumerate(sheets, 1):
+        lines.append(f"sheet {k}")
+        for n, row in enumerate((r for r in ElementTree.fromstring(z.read(name)).iter() if local(r) == "row"), 1):
+            cells = []
+            for c in (c for c in row if local(c) == "c"):
+                value = next((v.text for v in c if local(v) == "v"), None) or "".join(t.text or "" for t in c.iter() if local(t) == "t")
+                cells.append(strings[int(value)] if c.get("t") == "s" and value else value)
+            if any(cells):
+                lines.append(f"row {row.get('r', n)}: {' | '.join(cells)}")
+    return "\n".join(lines)
+
+
+def webp_size(content: bytes) -> tuple[int, int]:
+    """Width and height of a WebP file, by the form of its first chunk."""
+    form, body = content[12:16], content[20:]
+    if content[8:12] != b"WEBP" or len(body) < 10:
+        raise ValueError("no WebP file")
+    if form == b"VP8X":
+        return int.from_bytes(body[4:7], "little") + 1, int.from_bytes(body[7:10], "little") + 1
+    if form == b"VP8L":
+        bits = int.from_bytes(body[1:5], "little")
+        return (bits & 0x3FFF) + 1, (bits >> 14 & 0x3FFF) + 1
+    return int.from_bytes(body[6:8], "little") & 0x3FFF, int.from_bytes(body[8:10], "little") & 0x3FFF
+
+
+def tiff_size(content: bytes) -> tuple[int, int]:
+    """Width and height of a TIFF file's first image: tags 256 and 257."""
+    order = "<" if content[:2] == b"II" else ">"
+    at = struct.unpack(order + "I", content[4:8])[0]
+    found = {}
+    for k in range(struct.unpack(order + "H", content[at : at + 2])[0]):
+        entry = content[at + 2 + 12 * k : at + 14 + 12 * k]
+        tag, form = struct.unpack(order + "HH", entry[:4])
+        found[tag] = struct.unpack(order + ("H" if form == 3 else "I"), entry[8:10] if form == 3 else entry[8:12])[0]
+    return found[256], found[257]
+
+
+def gltf_text(content: bytes, binary: bool) -> str:
+    """Numbers of a glTF scene's parts, from its JSON: the whole file, or a binary file's first chunk."""
+    if binary:
+        size, form = struct.unpack("<I4s", content[12:20])
+        if form != b"JSON":
+            raise ValueError("no JSON chunk")
+        content = content[20 : 20 + size]
+    scene = json.loads(content)
+    if not isinstance(scene, dict) or "asset" not in scene:
+        raise ValueError("no glTF scene")
+    return f"glTF {scene['asset'].get('version', '?')} model, " + ", ".join(f"{len(scene.get(k) or [])} {k}" for k in ("scenes", "nodes", "meshes", "materials", "textures", "animations"))
+
+
 def extract(path: str, content: bytes) -> str:
     """Text of a file, or a line about it; a file that isn't what its name says is an error."""
     kind = file_kind(path)
@@ -245,19 +357,29 @@ def extract(path: str, content: bytes) -> str:
                 raise ValueError(f"{path} unpacks to too much")
             if kind == "zip":
                 return "\n".join(f"{e.filename} ({e.file_size} bytes)" for e in entries)
-            inner = {"docx": r"word/document\.xml", "pptx": r"ppt/slides/slide\d+\.xml", "xlsx": r"xl/(sharedStrings|worksheets/sheet\d+)\.xml"}[kind]
-            found = []
-            for e in sorted((e for e in entries if re.fullmatch(inner, e.filename)), key=lambda e: [int(x) if x.isdigit() else x for x in re.split(r"(\d+)", e.filename)]):
-                root = ElementTree.fromstring(z.read(e))
-                found += [t.text for t in root.iter() if t.tag.rsplit("}", 1)[-1] in ("t", "is") and t.text]
-            return "\n".join(found)
+            if kind == "xlsx":
+                return workbook_text(z)
+            inner = {"docx": r"word/document\.xml", "pptx": r"ppt/slides/slide\d+\.xml"}[kind]
+            return "\n".join(t.text for name in in_order(z, inner) for t in ElementTree.fromstring(z.read(name)).iter() if local(t) == "t" and t.text)
+    if kind == "webp":
+        return "WebP image, %d x %d" % webp_size(content)
+    if kind == "tiff":
+        return "TIFF image, %d x %d" % tiff_size(content)
+    if kind == "blend":
+        if len(content) < 12:
+            raise ValueError(f"{path} is cut off")
+        return f"Blender file, version {content[9:12].decode('ascii', 'replace')}, {'64' if content[7:8] == b'-' else '32'} bit, {'little' if content[8:9] == b'v' else 'big'} endian"
+    if kind in ("gltf", "glb"):
+        return gltf_text(content, kind == "glb")
     if kind == "obj":
         lines = content.decode("utf-8", "replace").splitlines()
         return f"OBJ model, {sum(x.startswith('v ') for x in lines)} vertices, {sum(x.startswith('f ') for x in lines)} faces"
     if kind == "stl":
         n = content.decode("utf-8", "replace").count("facet normal") if content.lstrip().startswith(b"solid") else int.from_bytes(content[80:84], "little")
         return f"STL model, {n} triangles"
-    return f"{kind} file, {len(content)} bytes"
+    if kind in READERS:
+        return READERS[kind](content)
+    raise ValueError(f"no reader for {kind} files is set")
 
 
 def extract_files(files: DataFrame) -> DataFrame:
@@ -276,3 +398,16 @@ def extract_files(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(errors, pa.string())], names=["path", "text", "error"])
 
     return files.select("path", "content").mapInArrow(run, "path string, text string, error string")
+
+
+def import_folder(spark: SparkSession, path: str, extensions: tuple[str, ...] = (), most: int = 10_000) -> DataFrame:
+    """(path, text, error) of the files below a folder, whatever store it is in: known or given extensions, no hidden files or folders, the first `most` by path.
+
+    The bound is the operator's own: an import of more files is cut, as its caller asked.
+    """
+    allowed = extensions or tuple(x for kind in KINDS.values() for x in kind)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    inside = F.substr(F.col("path"), F.length(F.lit(path.rstrip("/"))) + F.instr("path", path.rstrip("/")))
+    visible = files.withColumn("inside", inside).where(~F.col("inside").rlike(r"(^|/)\.") & F.lower(F.element_at(F.split("path", r"\."), -1)).isin(*[x.lower() for x in allowed]))
+    first = visible.select("path").orderBy("path").limit(most)
+    return extract_files(visible.join(F.broadcast(first), "path", "left_semi"))  # at most `most` paths

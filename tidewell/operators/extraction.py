@@ -7,15 +7,13 @@ import re
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.functions.text import contains_any
+from tidewell.functions.text import LOW_SIGNAL, extraction_reason, low_signal
 
 #: Kinds that a verdict may have (fixed values); any other is "other".
 KINDS = ("direct", "temporal", "partial", "other")
-#: Phrases of replies that are no memory (fixed values).
-LOW_SIGNAL = ("unable to provide assistance", "cannot provide assistance", "can't provide assistance", "unable to assist", "no assistance", "refusal")
 
 Client = Callable[[str], str]
 
@@ -55,7 +53,7 @@ def stub_client(prompt: str) -> str:
 
 def pending(clusters: DataFrame, abstractions: DataFrame, limit: int) -> DataFrame:
     """Clusters without an abstraction, or with one that says nothing; oldest id first."""
-    good = abstractions.where(~contains_any(F.lower(F.coalesce("content", F.lit(""))), LOW_SIGNAL))
+    good = abstractions.where(F.col("content").isNotNull() & ~low_signal(F.col("content")))
     return clusters.join(good.select("cluster_id").distinct(), "cluster_id", "left_anti").orderBy("cluster_id").limit(limit)
 
 
@@ -83,7 +81,20 @@ def abstract(clusters: DataFrame, client: Callable[[], Client], now_ms: int, con
             names = ["cluster_id", "content", "subject_id", "predicate", "object_id", "object_kind", "valid_from_ms", "confidence", "error"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 9, kinds, strict=True)], names=names)
 
-    return clusters.select(F.col("cluster_id").cast("string"), "texts").mapInArrow(run, "cluster_id string, content string, subject_id string, predicate string, object_id string, object_kind string, valid_from_ms long, confidence double, error string")
+    made = clusters.select(F.col("cluster_id").cast("string"), "texts").mapInArrow(run, "cluster_id string, content string, subject_id string, predicate string, object_id string, object_kind string, valid_from_ms long, confidence double, error string")
+    return without_weak_facts(made)
+
+
+def without_weak_facts(made: DataFrame) -> DataFrame:
+    """Rows of abstract() without the facts that are dropped at once; a cluster that loses all its facts keeps its content."""
+    fact = F.col("subject_id").isNotNull()
+    weak = fact & extraction_reason(F.col("subject_id"), F.col("predicate"), F.col("object_id"), F.col("object_kind")).isNotNull()
+    parts = ("subject_id", "predicate", "object_id", "object_kind", "valid_from_ms", "confidence")
+    bare = made.select("cluster_id", "content", *[F.when(~weak, F.col(c)).alias(c) for c in parts], "error", (fact & ~weak).alias("good"), weak.alias("weak"))
+    whole = Window.partitionBy("cluster_id")
+    first = F.row_number().over(whole.orderBy("content", "subject_id", "predicate", "object_id"))
+    placed = bare.withColumn("any", F.max("good").over(whole)).withColumn("place", first)
+    return placed.where(~F.col("weak") | (~F.col("any") & (F.col("place") == 1))).drop("good", "weak", "any", "place")
 
 
 def judge(pairs: DataFrame, client: Callable[[], Client]) -> DataFrame:

@@ -17,6 +17,14 @@ def page(limit: int, most: int = 100) -> int:
     return max(1, min(limit, most))
 
 
+def cutoff(now_ms: int, days: int | None) -> int | None:
+    """The moment so many days ago; none where there is no window or it reaches past what 64 bits hold."""
+    if days is None:
+        return None
+    at = now_ms - days * DAY_MS
+    return at if -(1 << 63) <= days * DAY_MS < 1 << 63 and -(1 << 63) <= at < 1 << 63 else None
+
+
 def as_of(t: int, prefix: str = "") -> Column:
     """Valid at t: the window holds its begin, not its end; no end is open."""
     begin, end = F.col(f"{prefix}valid_from_ms"), F.col(f"{prefix}valid_to_ms")
@@ -66,8 +74,9 @@ def entities(facts: DataFrame, query: str, limit: int = 20) -> DataFrame:
 
 def themes(clusters: DataFrame, abstractions: DataFrame, members: DataFrame, episodes: DataFrame, now_ms: int, window_days: int | None = None, limit: int = 20) -> DataFrame:
     """Newest clusters with their abstraction and number of active episodes."""
-    if window_days is not None:
-        clusters = clusters.where(F.col("created_at_ms") >= now_ms - window_days * DAY_MS)
+    since = cutoff(now_ms, window_days)
+    if since is not None:
+        clusters = clusters.where(F.col("created_at_ms") >= since)
     counted = members.join(active(episodes).select("memory_id"), "memory_id").groupBy("cluster_id").agg(F.count("*").alias("episode_count"))
     rows = clusters.join(abstractions, "cluster_id", "left").join(counted, "cluster_id", "left")
     out = rows.select("cluster_id", "abstraction_id", F.col("content").alias("abstraction_text"), F.coalesce("episode_count", F.lit(0)).alias("episode_count"), F.round("coherence", 6).alias("coherence"), "created_at_ms")
@@ -96,9 +105,10 @@ def contradictions(found: DataFrame, facts: DataFrame, limit: int = 20) -> DataF
 
 
 def settle(found: DataFrame, decisions: DataFrame, now_ms: int) -> DataFrame:
-    """Contradictions after decisions (a_triple_id, b_triple_id, status); only resolved ones get a time."""
+    """Contradictions after decisions (a_triple_id, b_triple_id, status): one that is resolved gets a time, one decided otherwise loses it, others keep theirs."""
     rows = found.join(decisions.withColumnRenamed("status", "decided"), ["a_triple_id", "b_triple_id"], "left")
-    return rows.withColumn("status", F.coalesce("decided", "status")).withColumn("resolved_at_ms", F.when(F.col("decided") == "resolved", F.lit(now_ms))).drop("decided")
+    time = F.when(F.col("decided").isNull(), F.col("resolved_at_ms")).when(F.col("decided") == "resolved", F.lit(now_ms))
+    return rows.withColumn("status", F.coalesce("decided", "status")).withColumn("resolved_at_ms", time).drop("decided")
 
 
 def inspect_cluster(cluster_id: str, clusters: DataFrame, abstractions: DataFrame, members: DataFrame, episodes: DataFrame, full: bool = False) -> DataFrame:

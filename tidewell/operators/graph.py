@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.operators.facts import active, as_of, page
@@ -32,10 +32,10 @@ def paths(edges: DataFrame, start: str, end: str, hops: int = 2, t: int | None =
 
 
 def best_evidence(edges: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Each edge with its most confident evidence (then newest, then smallest id), if it has any."""
-    order = F.struct("extraction_confidence", "created_at_ms")
-    ranked = evidence.withColumn("place", F.row_number().over(Window.partitionBy("edge_id").orderBy(F.desc(order), "evidence_id"))).where("place = 1")
-    return edges.join(ranked.select("edge_id", "evidence_id", "memory_id"), "edge_id", "left")
+    """Each edge with its most confident evidence (then newest, then smallest id), if it has any: an aggregation with map-side combine."""
+    least = lambda c: F.coalesce(-F.col(c), F.lit(float("inf")))
+    best = evidence.groupBy("edge_id").agg(F.min_by(F.struct("evidence_id", "memory_id"), F.struct(least("extraction_confidence"), least("created_at_ms"), "evidence_id", "memory_id")).alias("v"))
+    return edges.join(best.select("edge_id", "v.*"), "edge_id", "left")
 
 
 def provenance(edge_id: str, evidence: DataFrame, episodes: DataFrame, limit: int = 100) -> DataFrame:
@@ -60,6 +60,77 @@ def context_paths(edges: DataFrame, seeds: list[str], limit: int = 20) -> DataFr
     return told.orderBy(F.desc("score"), "hops", "edge_ids", "nodes").limit(page(limit, 50))
 
 
+def direction(subject: Column, obj: Column, kind: Column, seeds: list[str]) -> Column:
+    """How a fact stands to the seeds."""
+    own, other = subject.isin(seeds), (kind == "entity") & obj.isin(seeds)
+    return F.when(own & other & (subject == obj), "self").when(own & other, "between_seed_entities").when(own, "outgoing").when(other, "incoming").otherwise("related")
+
+
+def fact_reasons(kind: Column, way: Column, evidence_count: Column) -> Column:
+    return F.array_compact(F.array(F.lit("query_entity"), way, F.when(kind == "entity", "graph_neighbor").otherwise("literal_fact"), F.when(evidence_count > 0, "evidence_backed")))
+
+
+def path_reasons(hops: Column, backed: Column) -> Column:
+    return F.array_compact(F.array(F.lit("query_entity"), F.when(hops == 1, "direct_relationship").otherwise("two_hop_relationship_path"), F.lit("graph_neighbor"), F.when(backed, "evidence_backed")))
+
+
+def context_facts(edges: DataFrame, seeds: list[str], limit: int = 20) -> DataFrame:
+    """Facts that start or end in a seed, links between entities first, then the strongest, with direction, score and reasons.
+
+    edges: edge_id, subject_id, predicate, object_id, object_kind, confidence, strength, evidence_count.
+    """
+    seeds = list(dict.fromkeys(seeds))[:8]
+    own = edges.where(F.col("subject_id").isin(seeds) | ((F.col("object_kind") == "entity") & F.col("object_id").isin(seeds)))
+    best = own.orderBy(F.desc(F.col("object_kind") == "entity"), F.desc("strength"), "edge_id").limit(page(limit, 50))
+    way = direction(F.col("subject_id"), F.col("object_id"), F.col("object_kind"), seeds)
+    return best.select("edge_id", "subject_id", "predicate", "object_id", "object_kind", way.alias("direction"), F.round(edge_score(), 6).alias("score"), fact_reasons(F.col("object_kind"), way, F.col("evidence_count")).alias("reason_codes"))
+
+
+def context_aliases(aliases: DataFrame, seeds: list[str], limit: int = 20) -> DataFrame:
+    """Aliases (alias, canonical_id, display_label, confidence, updated_at_ms) of or named like a seed, most confident first."""
+    seeds = list(dict.fromkeys(seeds))[:8]
+    own = aliases.where(F.col("canonical_id").isin(seeds) | F.col("alias").isin(seeds))
+    return own.orderBy(F.desc("confidence"), F.desc("updated_at_ms"), "alias").limit(page(limit, 50)).select("alias", "canonical_id", "display_label", "confidence")
+
+
+def review_warnings(reviews: DataFrame, seeds: list[str], limit: int = 20) -> DataFrame:
+    """Open reviews of facts about a seed, newest first."""
+    seeds = list(dict.fromkeys(seeds))[:8]
+    own = reviews.where((F.col("status") == "needs_review") & (F.col("subject_id").isin(seeds) | ((F.col("object_kind") == "entity") & F.col("object_id").isin(seeds))))
+    return own.orderBy(F.desc("created_at_ms"), "review_id").limit(page(limit, 50)).select("review_id", "reason_code", "subject_id", "predicate", "object_id", "object_kind", "confidence")
+
+
+def graph_edges(facts: DataFrame, members: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Edges (kind, edge_id, source, target) of the explicit graph: facts between entities, chunks of documents, members of clusters."""
+    text = lambda *parts: F.concat_ws(":", *[F.col(p).cast("string") for p in parts])
+    one = active(facts).where("object_kind = 'entity'").select(F.lit("triple").alias("kind"), F.col("triple_id").alias("edge_id"), F.col("subject_id").alias("source"), F.col("object_id").alias("target"))
+    two = chunks.select(F.lit("document_chunk").alias("kind"), text("doc_id", "chunk_index").alias("edge_id"), F.col("doc_id").cast("string").alias("source"), text("doc_id", "chunk_index").alias("target"))
+    three = members.select(F.lit("cluster_member").alias("kind"), text("cluster_id", "memory_id").alias("edge_id"), F.col("cluster_id").alias("source"), F.col("memory_id").alias("target"))
+    return one.unionByName(two).unionByName(three)
+
+
+def edge_page(edges: DataFrame, after: tuple[str, str] | None = None, limit: int = 50) -> DataFrame:
+    """Edges in order of (kind, edge_id), from after a cursor on."""
+    if after is not None:
+        edges = edges.where((F.col("kind") > after[0]) | ((F.col("kind") == after[0]) & (F.col("edge_id") > after[1])))
+    return edges.orderBy("kind", "edge_id").limit(limit)
+
+
+def neighbours(edges: DataFrame, node: str, limit: int = 50) -> DataFrame:
+    """(direction, kind, edge_id, node): what an edge leads to from a node, or comes from."""
+    out = edges.where(F.col("source") == node).select(F.lit("out").alias("direction"), "kind", "edge_id", F.col("target").alias("node"))
+    into = edges.where((F.col("target") == node) & (F.col("source") != node)).select(F.lit("in").alias("direction"), "kind", "edge_id", F.col("source").alias("node"))
+    return out.unionByName(into).orderBy("direction", "kind", "edge_id", "node").limit(limit)
+
+
+def inspect_node(edges: DataFrame, node: str) -> DataFrame:
+    """One row: a node's edges in and out, by number and kind."""
+    own = edges.where((F.col("source") == node) | (F.col("target") == node))
+    kinds = lambda test: F.array_join(F.sort_array(F.collect_set(F.when(test, F.col("kind")))), ",")
+    out, into = F.col("source") == node, F.col("target") == node
+    return own.agg(F.count_if(out).alias("n_out"), F.count_if(into).alias("n_in"), kinds(out).alias("out_kinds"), kinds(into).alias("in_kinds")).select(F.lit(node).alias("node"), "*")
+
+
 def backfill_entities(facts: DataFrame) -> DataFrame:
     """An entity for every subject and entity object of active facts; where both name it, the subject's figures stand."""
     live = active(facts)

@@ -2,45 +2,88 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions.stemmer import stem, stem_udf
 from tidewell.functions.text import query_terms, words
+from tidewell.sources.storage import keep
 
 K1, B = 1.2, 0.75
 
 
-def _count(words_col: str, term: str) -> Column:
-    return F.size(F.filter(words_col, lambda x: x == term))
+def postings(docs: DataFrame, id_col: str, text_col: str, stemmed: bool = False) -> DataFrame:
+    """(term, id, tf, size): how often each document holds each term, and its number of words. Stemming works on distinct words."""
+    said = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
+    counts = said.select("id", F.size("w").alias("size"), F.explode("w").alias("term")).groupBy("id", "size", "term").agg(F.count("*").alias("tf"))
+    if not stemmed:
+        return counts.select("term", "id", "tf", "size")
+    stems = counts.select("term").distinct().withColumn("stem", stem_udf("term"))
+    return counts.join(stems, "term").groupBy("id", "size", "stem").agg(F.sum("tf").alias("tf")).select(F.col("stem").alias("term"), "id", "tf", "size")
+
+
+def save_index(docs: DataFrame, path: str, id_col: str, text_col: str, stemmed: bool = False, buckets: int = 64) -> None:
+    """Writes postings in files by bucket of terms, sorted by term, and the totals: a query then reads few row groups of few folders."""
+    found = postings(docs, id_col, text_col, stemmed).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    found.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    size = F.coalesce(F.size(words(F.col(text_col))), F.lit(0))  # a null text is an empty one
+    docs.agg(F.count("*").alias("n"), F.avg(size).alias("average"), F.lit(stemmed).alias("stemmed"), F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/totals")
+
+
+def search_index(spark: SparkSession, path: str, query: str, limit: int) -> DataFrame:
+    """(id, score) of the best documents of a saved index; only the query's terms are read."""
+    totals = spark.read.parquet(f"{path}/totals").first()
+    terms = query_terms(query)
+    terms = list(dict.fromkeys(stem(t) for t in terms)) if totals["stemmed"] else list(dict.fromkeys(terms))
+    places = [r[0] for r in spark.createDataFrame([(t,) for t in terms] or [("",)], "term string").select(F.pmod(F.xxhash64("term"), F.lit(totals["buckets"])).cast("int")).distinct().collect()]  # at most eight terms
+    held = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(places) & F.col("term").isin(terms))
+    return _scored(held, terms, totals["n"], totals["average"]).orderBy("score", "id").limit(limit)
+
+
+def drift(docs: DataFrame, path: str, id_col: str) -> DataFrame:
+    """One row: documents that the index lacks, and indexed ones that are gone. Documents without words are in no index."""
+    held = docs.sparkSession.read.parquet(f"{path}/postings").select("id").distinct()
+    own = docs.select(F.col(id_col).alias("id"))
+    return own.join(held, "id", "left_anti").agg(F.count("*").alias("missing")).crossJoin(held.join(own, "id", "left_anti").agg(F.count("*").alias("stale")))  # one row each
+
+
+def _scored(held: DataFrame, terms: list[str], n: float, average: float | None) -> DataFrame:
+    """(id, score) of postings of the terms: negated BM25, by term in the query's order, so that sums agree."""
+    if not terms:
+        return held.select("id", F.lit(0.0).alias("score")).limit(0)
+    by_doc = held.groupBy("id", "size").agg(*[F.coalesce(F.max(F.when(F.col("term") == t, F.col("tf"))), F.lit(0)).alias(f"t{i}") for i, t in enumerate(terms)])
+    totals = by_doc.agg(*[F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for i in range(len(terms))])
+    return _bm25(by_doc.join(F.broadcast(totals)).withColumn("n", F.lit(float(n))).withColumn("average", F.lit(average)), len(terms))  # totals: one row
+
+
+def _bm25(held: DataFrame, n_terms: int) -> DataFrame:
+    """(id, score) of rows (id, size, t0.., d0.., n, average)."""
+    score = F.lit(0.0)
+    for i in range(n_terms):
+        weight = F.ln(1 + (F.col("n") - F.col(f"d{i}") + 0.5) / (F.col(f"d{i}") + 0.5))
+        score = score + weight * F.col(f"t{i}") * (K1 + 1) / (F.col(f"t{i}") + K1 * (1 - B + B * F.col("size") / F.col("average")))
+    return held.select("id", F.round(-score, 6).alias("score"))
 
 
 def matches(docs: DataFrame, query: str, id_col: str, text_col: str, stemmed: bool = False) -> DataFrame:
     """(id, score): the negated BM25 of docs that hold any of the query's terms; lower is better.
 
-    Only counts of the query's terms leave a document, so nothing but the totals is shuffled.
+    For queries without a saved index. Texts are cut into words once; only counts of the query's terms leave a
+    document, and they are kept for the totals and the scores.
     """
     terms = query_terms(query)
-    if stemmed:
-        terms = list(dict.fromkeys(stem(t) for t in terms))
-        spoken = docs.select(F.col(id_col).alias("id"), F.explode(words(F.col(text_col))).alias("word"))
-        distinct = spoken.select("word").distinct().withColumn("term", stem_udf("word")).where(F.col("term").isin(terms))
-        sizes = docs.select(F.col(id_col).alias("id"), F.size(words(F.col(text_col))).alias("size"))
-        counts = spoken.join(distinct, "word").groupBy("id").pivot("term", terms).count()
-        tf = sizes.join(counts, "id", "left").select("id", "size", *[F.coalesce(F.col(f"`{t}`"), F.lit(0)).alias(f"t{i}") for i, t in enumerate(terms)])
-    else:
-        said = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
-        tf = said.select("id", F.size("w").alias("size"), *[_count("w", t).alias(f"t{i}") for i, t in enumerate(terms)])
+    terms = list(dict.fromkeys(stem(t) for t in terms)) if stemmed else terms
     if not terms:
-        return tf.select("id", F.lit(0.0).alias("score")).limit(0)
+        return docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).limit(0)
+    said = docs.select(F.col(id_col).alias("id"), F.explode_outer(words(F.col(text_col))).alias("word"))
+    if stemmed:
+        distinct = said.select("word").distinct().withColumn("term", stem_udf("word")).where(F.col("term").isin(terms))
+        said = said.join(distinct, "word", "left").withColumn("word", F.when(F.col("word").isNotNull(), F.coalesce("term", F.lit(""))))
+    tf = keep(said.groupBy("id").agg(F.count("word").alias("size"), *[F.count_if(F.col("word") == t).alias(f"t{i}") for i, t in enumerate(terms)]), "lexical-counts")
     n = range(len(terms))
-    totals = tf.agg(F.count("*").alias("n"), F.avg("size").alias("average"), *[F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for i in n])
+    totals = tf.agg(F.count("*").cast("double").alias("n"), F.avg("size").alias("average"), *[F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for i in n])
     held = tf.where(F.greatest(*[F.col(f"t{i}") for i in n], F.lit(0)) > 0).join(F.broadcast(totals))  # totals: one row
-    score = F.lit(0.0)
-    for i in n:
-        weight = F.ln(1 + (F.col("n") - F.col(f"d{i}") + 0.5) / (F.col(f"d{i}") + 0.5))
-        score = score + weight * F.col(f"t{i}") * (K1 + 1) / (F.col(f"t{i}") + K1 * (1 - B + B * F.col("size") / F.col("average")))
-    return held.select("id", F.round(-score, 6).alias("score"))
+    return _bm25(held, len(terms))
 
 
 def best(docs: DataFrame, query: str, id_col: str, text_col: str, limit: int, stemmed: bool = False) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import text as X
-from tidewell.operators.facts import active, alias_groups, entity_refs
+from tidewell.operators.facts import active, alias_groups
+from tidewell.sources.storage import keep
 
 MIN_CONFIDENCE = 0.85
 # Penalties by reason, at run time and in the backfill of old reviews.
@@ -114,6 +118,29 @@ def backfill_claims(facts: DataFrame, reviews: DataFrame) -> DataFrame:
     return one.unionByName(two)
 
 
+def _merged(old: DataFrame, new: DataFrame, keys: list[str], rules: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:
+    """old with new rows by key: a row of both follows the rules by column (of the old and the new value); without a rule the new value stands.
+
+    New rows come one a key. Both sides are aggregated by key, so there is one shuffle and no join.
+    """
+    columns = [c for c in old.columns if c not in keys]
+    side = lambda df, name: df.select(*keys, F.lit(name).alias("side"), F.struct(*columns).alias("v"))
+    both = side(old, "old").unionByName(side(new, "new")).groupBy(*keys).agg(*[F.max(F.when(F.col("side") == name, F.col("v"))).alias(name) for name in ("old", "new")])
+    value = lambda c: rules[c](F.col(f"old.{c}"), F.col(f"new.{c}")) if c in rules else F.col(f"new.{c}")
+    made = [F.when(F.col("old").isNull(), F.col(f"new.{c}")).when(F.col("new").isNull(), F.col(f"old.{c}")).otherwise(value(c)).alias(c) for c in columns]
+    return both.select(*keys, *made).select(*old.columns)
+
+
+_OLD, _MAX, _MIN = (lambda a, b: a), (lambda a, b: F.greatest(a, b)), (lambda a, b: F.least(a, b))
+
+
+def upsert_aliases(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Aliases by alias: id and label follow the new row, the best confidence and the first source and time of creation stay. Rows without alias or id are left out."""
+    good = new.withColumn("alias", X.clean_label(F.col("alias"))).where((F.col("alias") != "") & (F.col("canonical_id") != ""))
+    last = good.groupBy("alias").agg(F.max_by(F.struct(*[c for c in good.columns if c != "alias"]), F.struct("confidence", "canonical_id")).alias("v")).select("alias", "v.*")
+    return _merged(old, last.select(*old.columns), ["alias"], {"confidence": _MAX, "source": _OLD, "created_at_ms": _OLD})
+
+
 def upsert_entities(old: DataFrame, new: DataFrame) -> DataFrame:
     """Entities after an upsert: best confidence, widest time span; a name stays unless it was only the id."""
     both = old.withColumn("age", F.lit(0)).unionByName(new.withColumn("age", F.lit(1)))
@@ -121,6 +148,47 @@ def upsert_entities(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.groupBy("entity_id").agg(F.max("confidence").alias("confidence"), F.min("first_seen_ms").alias("first_seen_ms"), F.max("last_seen_ms").alias("last_seen_ms"), F.coalesce(F.min(named)["name"], F.first("entity_id")).alias("name"))
 
 
+def entity_states(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(entity_id, status) after an upsert: a candidate becomes active, any other status stays."""
+    return _merged(old.select("entity_id", "status"), new.select("entity_id", F.lit("active").alias("status")).distinct(), ["entity_id"], {"status": lambda a, b: F.when(a == "candidate", "active").otherwise(a)})
+
+
+def upsert_edges(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Edges by id: all follows the new row, which is active; the number of evidence rows and the time of creation stay."""
+    return _merged(old, new, ["edge_id"], {"evidence_count": _OLD, "created_at_ms": _OLD, "status": lambda a, b: F.lit("active")})
+
+
+def upsert_evidence(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Evidence by fact: all but the id follows the new row."""
+    return _merged(old, new, ["triple_id"], {"evidence_id": _OLD})
+
+
+def upsert_claims(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Claims by fingerprint. An active new claim takes over and ends its review; another keeps the status that a user approved.
+
+    claim_id, user_approved, evidence_count, created_at_ms and, of claims that stay inactive, activated_at_ms are the old row's.
+    """
+    activates = "new.status"
+    takes = lambda a, b: F.when(F.col(activates) == "active", b).otherwise(a)
+    return _merged(old, new, ["fingerprint"], {
+        "claim_id": _OLD, "user_approved": _OLD, "created_at_ms": _OLD, "activated_at_ms": takes, "evidence_count": takes, "review_id": lambda a, b: F.when(F.col(activates) != "active", b),
+        "status": lambda a, b: F.when(b == "active", b).when(F.col("old.user_approved"), a).otherwise(b),
+    })
+
+
+def upsert_reviews(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Reviews by fingerprint: all follows the new row but the id, the cluster, the time of creation and the status, which a decision keeps for good."""
+    return _merged(old, new, ["fingerprint"], {"review_id": _OLD, "cluster_id": _OLD, "created_at_ms": _OLD, "status": _OLD})
+
+
+def split_request(spark: SparkSession, op_id: str, entity_id: str, parts: list[str], now_ms: int) -> tuple[DataFrame, DataFrame]:
+    """The operation and the revision row that a request to split an entity writes."""
+    told = json.dumps({"op_id": op_id, "parts": parts})
+    op = spark.createDataFrame([(op_id, "split", entity_id, told, now_ms)], "op_id string, op_kind string, entity_id string, payload_json string, created_at_ms long")
+    revision = spark.createDataFrame([(f"rev-{op_id}", "entity_split_requested", "entity", entity_id, told, now_ms)], "revision_id string, revision_kind string, target_kind string, previous_id string, metadata_json string, created_at_ms long")
+    return op, revision
+
+
 def percent(part: Column, whole: Column) -> Column:
     return F.when(whole == 0, F.lit(100)).otherwise(F.least(F.lit(100), F.floor(100 * part / whole))).cast("long")
 
@@ -143,42 +211,83 @@ def needs_catch_up(row: dict, least: int) -> bool:
     return row["active_episodes"] >= least and row["triples"] == 0 and (row["clusters"] == 0 or row["abstractions"] < row["clusters"])
 
 
-def low_signal(content: Column) -> Column:
-    """Abstractions that read like a refusal (fixed phrases)."""
-    return X.contains_any(F.lower(content), ("unable to provide assistance", "cannot provide assistance", "can't provide assistance", "unable to assist", "no assistance", "refusal"))
+SAMPLES = 8
+
+
+def totals(episodes: DataFrame, clusters: DataFrame, members: DataFrame, abstractions: DataFrame, facts: DataFrame, contradictions: DataFrame, reviews: DataFrame) -> DataFrame:
+    """One row: the ten counters of the quality audit; each table is aggregated once."""
+    live = active(episodes)
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    kind = lambda k, name: F.count_if(F.col("object_kind") == k).alias(name)
+    mentioned = F.explode(F.array_compact(F.array("subject_id", F.when(F.col("object_kind") == "entity", F.col("object_id")))))
+    f = active(facts).agg(F.count("*").alias("active_triples"), kind("entity", "entity_triples"), kind("literal", "literal_triples"))
+    row = count(live, "active_episodes").crossJoin(members.join(live.select("memory_id"), "memory_id").agg(F.countDistinct("memory_id").alias("clustered_episodes")))
+    row = row.crossJoin(count(clusters, "clusters")).crossJoin(count(abstractions, "abstractions")).crossJoin(f).crossJoin(count(reviews.where("status = 'needs_review'"), "triple_reviews_needs_review"))
+    return row.crossJoin(count(active(facts).select(mentioned.alias("e")).distinct(), "distinct_entities")).crossJoin(count(contradictions, "contradictions"))  # one row each
+
+
+def _fact_sample() -> Column:
+    return F.concat(F.col("subject_id"), F.lit(" --"), F.col("predicate"), F.lit("--> "), X.ellipsis(F.col("object_id"), 120, "...", False), F.format_string(" [%s %.2f] (%s)", "object_kind", "confidence", "triple_id"))
+
 
+def _found(rows: DataFrame, codes: list[tuple[str, Column]], sample: Column, order: list[Column]) -> DataFrame:
+    """(code, sample, order) of rows, once for each code whose test holds."""
+    hit = F.explode(F.array_compact(F.array(*[F.when(test, F.lit(code)) for code, test in codes])))
+    return rows.select(hit.alias("code"), sample.alias("sample"), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]).alias("o"))
 
-def audit(episodes: DataFrame, clusters: DataFrame, members: DataFrame, abstractions: DataFrame, facts: DataFrame, low_confidence: float = 0.85, low_coherence: float = 0.72, long_literal: int = 160) -> DataFrame:
-    """Issues (severity, code, n) that the stored memory has; codes without findings are left out."""
+
+def _counted(hits: DataFrame) -> DataFrame:
+    """(code, n, samples): the first SAMPLES in order. Ranks are limited before the shuffle, so a code of very many rows sends a few."""
+    first = F.row_number().over(Window.partitionBy("code").orderBy("o", "sample"))
+    few = hits.withColumn("place", first).where(F.col("place") <= SAMPLES).groupBy("code").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "sample"))), lambda x: x["sample"]).alias("samples"))
+    return hits.groupBy("code").agg(F.count("*").alias("n")).join(few, "code")
+
+
+# Severities of the issue codes.
+SEVERITIES = {
+    "no_clusters": "warning", "triple_review_queue": "warning", "no_active_triples": "info", "unclustered_episodes": "info", "literal_fact_dominance": "warning", "long_literal_objects": "warning",
+    "low_confidence_facts": "warning", "entity_triples_without_source_episode": "warning", "literal_only_entities": "warning", "possible_entity_aliases": "warning", "path_like_entities": "warning",
+    "commit_like_entities": "warning", "machine_identifier_entities": "info", "low_coherence_clusters": "warning", "clusters_missing_abstractions": "warning", "low_signal_abstractions": "critical",
+}
+
+
+def audit(episodes: DataFrame, clusters: DataFrame, members: DataFrame, abstractions: DataFrame, facts: DataFrame, contradictions: DataFrame, reviews: DataFrame, low_confidence: float = 0.85, low_coherence: float = 0.72, long_literal: int = 160) -> DataFrame:
+    """Issues (severity, code, n, samples) that the stored memory has; codes without findings are left out.
+
+    Facts are read once for their own codes and once for the entities they name, which are kept as a table.
+    """
+    long_literal = max(20, min(long_literal, 500))
     live = active(facts)
-    seen = active(episodes).agg(F.count("*").alias("episodes")).crossJoin(clusters.agg(F.count("*").alias("clusters")))  # one row each
-    clustered = members.join(active(episodes).select("memory_id"), "memory_id").agg(F.countDistinct("memory_id").alias("clustered"))
-    f = live.agg(
-        F.count("*").alias("facts"), F.count_if(F.col("object_kind") == "literal").alias("literals"), F.count_if((F.col("object_kind") == "literal") & (F.char_length("object_id") > long_literal)).alias("long"),
-        F.count_if(F.col("confidence") < low_confidence).alias("low"), F.count_if((F.col("object_kind") == "entity") & F.col("source_episode_id").isNull()).alias("orphans"),
-    )
-    labels = entity_refs(facts).groupBy("entity_id").agg(F.count("*").alias("refs"))
-    linked = live.where("object_kind = 'entity'").select(F.explode(F.array("subject_id", "object_id")).alias("entity_id")).distinct()
-    e = labels.agg(*[F.count_if(rule(F.col("entity_id"))).alias(c) for c, rule in (("paths", X.audit_path_or_url), ("commits", X.audit_commit), ("machines", X.machine_identifier))])
-    alone = labels.join(linked, "entity_id", "left_anti").agg(F.count("*").alias("alone"))
-    aliases = alias_groups(labels).agg(F.count("*").alias("aliases"))
+    literal, entity = F.col("object_kind") == "literal", F.col("object_kind") == "entity"
+    by_fact = _found(
+        live,
+        [("literal_fact_dominance", literal), ("long_literal_objects", literal & (F.char_length("object_id") > long_literal)), ("low_confidence_facts", F.col("confidence") < low_confidence), ("entity_triples_without_source_episode", entity & F.col("source_episode_id").isNull())],
+        _fact_sample(),
+        [-F.col("valid_from_ms"), F.col("triple_id")],
+    )
+    named = F.explode(F.array_compact(F.array(F.struct(F.col("subject_id").alias("id"), entity.alias("edge")), F.when(entity, F.struct(F.col("object_id").alias("id"), F.lit(True).alias("edge"))))))
+    labels = keep(live.select(named.alias("x")).groupBy(F.col("x.id").alias("entity_id")).agg(F.count("*").alias("refs"), F.max("x.edge").alias("linked")), "audit-labels")
+    e = F.col("entity_id")
+    by_label = _found(labels, [("path_like_entities", X.audit_path_or_url(e)), ("commit_like_entities", X.audit_commit(e)), ("machine_identifier_entities", X.machine_identifier(e))], e, [e])
+    alone = _found(labels, [("literal_only_entities", ~F.col("linked"))], F.format_string("%s (%d fact refs)", e, F.col("refs")), [e])
+    aliases = _found(alias_groups(labels), [("possible_entity_aliases", F.lit(True))], F.replace("labels", F.lit("|"), F.lit(" | ")), [F.col("canonical_key")])
     counted = members.join(active(episodes).select("memory_id"), "memory_id").groupBy("cluster_id").agg(F.count("*").alias("n"))
-    c = clusters.join(counted, "cluster_id", "left").join(abstractions.select("cluster_id", "content"), "cluster_id", "left")
-    k = c.agg(F.count_if(F.col("coherence") < low_coherence).alias("loose"), F.count_if((F.col("n") > 0) & F.col("content").isNull()).alias("missing"), F.count_if(low_signal(F.col("content"))).alias("chatter"))
-    row = seen.crossJoin(clustered).crossJoin(f).crossJoin(e).crossJoin(alone).crossJoin(aliases).crossJoin(k)  # one row each
-    issue = lambda severity, code, n, test: F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"), n.cast("long").alias("n"), test.alias("found"))
-    plain = lambda severity, code, name: issue(severity, code, F.col(name), F.col(name) > 0)
-    rest = F.col("episodes") - F.col("clustered")
-    issues = F.array(
-        issue("warning", "no_clusters", F.col("episodes"), (F.col("episodes") > 0) & (F.col("clusters") == 0)),
-        issue("info", "no_active_triples", F.lit(0), F.col("facts") == 0),
-        issue("info", "unclustered_episodes", rest, rest > 0),
-        issue("warning", "literal_fact_dominance", F.col("literals"), (F.col("facts") >= 10) & (F.col("literals") >= 0.7 * F.col("facts"))),
-        plain("warning", "long_literal_objects", "long"), plain("warning", "low_confidence_facts", "low"), plain("warning", "entity_triples_without_source_episode", "orphans"),
-        plain("warning", "literal_only_entities", "alone"), plain("warning", "possible_entity_aliases", "aliases"), plain("warning", "path_like_entities", "paths"), plain("warning", "commit_like_entities", "commits"),
-        plain("info", "machine_identifier_entities", "machines"), plain("warning", "low_coherence_clusters", "loose"), plain("warning", "clusters_missing_abstractions", "missing"), plain("critical", "low_signal_abstractions", "chatter"),
-    )
-    return row.select(F.explode(issues).alias("i")).where("i.found").select("i.severity", "i.code", "i.n")
+    c = clusters.join(counted, "cluster_id", "left").join(abstractions.select("cluster_id", "content"), "cluster_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    told = F.concat(F.format_string("%s coherence=%.3f episodes=%d ", "cluster_id", "coherence", "n"), F.coalesce(X.ellipsis(F.col("content"), 140, "...", False), F.lit("no abstraction")))
+    by_cluster = _found(c, [("low_coherence_clusters", F.col("coherence") < low_coherence), ("clusters_missing_abstractions", (F.col("n") > 0) & F.col("content").isNull()), ("low_signal_abstractions", X.low_signal(F.col("content")))], told, [-F.col("created_at_ms"), F.col("cluster_id")])
+    queue = _found(reviews.where("status = 'needs_review'"), [("triple_review_queue", F.lit(True))], F.concat(F.col("reason_code"), F.lit(": "), F.concat_ws(" ", "subject_id", "predicate", "object_id")), [-F.col("created_at_ms"), F.col("review_id")])
+    parts = [_counted(x) for x in (by_fact, by_label, alone, aliases, by_cluster, queue)]
+    row = totals(episodes, clusters, members, abstractions, facts, contradictions, reviews)
+    issue = lambda code, n, test: F.when(test, F.struct(F.lit(code).alias("code"), n.cast("long").alias("n"), F.array().cast("array<string>").alias("samples")))
+    rest = F.col("active_episodes") - F.col("clustered_episodes")
+    summary = F.array_compact(F.array(issue("no_clusters", F.col("active_episodes"), (F.col("active_episodes") > 0) & (F.col("clusters") == 0)), issue("no_active_triples", F.lit(0), F.col("active_triples") == 0), issue("unclustered_episodes", rest, rest > 0)))
+    out = row.select(F.explode(summary).alias("i")).select("i.*")
+    for p in parts:
+        out = out.unionByName(p)
+    dominant = (F.col("active_triples") >= 10) & (F.col("literal_triples") >= 0.7 * F.col("active_triples"))
+    judged = out.join(F.broadcast(row.select(dominant.alias("dominant"))))  # one row
+    severity = F.element_at(F.create_map(*[F.lit(x) for pair in SEVERITIES.items() for x in pair]), F.col("code"))
+    return judged.where((F.col("code") != "literal_fact_dominance") | F.col("dominant")).select(severity.alias("severity"), "code", "n", "samples")
 
 
 def health(issues: DataFrame) -> DataFrame:

@@ -88,6 +88,13 @@ def search_chunks(chunks: DataFrame, vectors: DataFrame, query: str, query_vecto
     return scored.orderBy(F.desc("fused_score"), "distance", "chunk_index", "id").limit(limit)
 
 
+def project_search(episodes: DataFrame, vectors: DataFrame, query: str, query_vector: list[float], project: str, limit: int, now_ms: int) -> DataFrame:
+    """Recall among a project's decisions: a larger recall, then the scope, then the limit."""
+    wide = recall(episodes, vectors, query, query_vector, max(4 * limit, 50), now_ms)
+    own = episodes.select("rowid", project_scope(F.col("source_id"), F.col("context_json"), F.col("content"), project).alias("inside"))
+    return wide.join(own.where("inside"), "rowid").drop("inside").orderBy(F.desc("fused_score"), "distance", "rowid").limit(limit)
+
+
 def project_scope(source_id: Column, context_json: Column, content: Column, project: str) -> Column:
     """Whether a decision belongs to a project: by its source id, else its context, else its own words."""
     source = F.coalesce(source_id, F.lit(""))

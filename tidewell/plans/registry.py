@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,9 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import text as X
 from tidewell.functions.hashing import fnv1a64, hash_embedder
-from tidewell.operators import assets, audit, cluster, documents, evaluate, extraction, facts, graph, knn, lexical, quality_gate, retrieval
+from tidewell.operators import assets, audit, cluster, context, documents, evaluate, extraction, facts, graph, knn, lexical, quality_gate, retrieval
 from tidewell.plans import sql
-from tidewell.sources import model
+from tidewell.sources import model, storage
 from tidewell.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,8 +92,58 @@ def recall(spark: SparkSession, d: str) -> DataFrame:
 
 @query("f4_doc_search", sql.F4)
 def doc_search(spark: SparkSession, d: str) -> DataFrame:
-    chunks = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "doc_id", F.lit(0).cast("long").alias("chunk_index"), "text")
-    return retrieval.search_chunks(chunks, _vectors(spark, d), WORDS, _query_vector(spark, d), 20)
+    """Over a stored chunk table, of active documents; the vectors' ids stand for chunks in order of their ids."""
+    return retrieval.search_chunks(_live_chunks(spark, d), _chunk_vectors(spark, d), "report on market history", _query_vector(spark, d), 20)
+
+
+def _live_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of active documents."""
+    live = model.turn_documents(spark, d).where("status = 'active'").select("doc_id")
+    return model.turns_as_chunks(spark, d).join(live, "doc_id").select(F.col("chunk_id").alias("id"), "doc_id", "chunk_index", "text")
+
+
+def _chunk_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """A vector for each first turn whose conversation's number is a vector's."""
+    return table(spark, d, "embeddings").select((F.col("vec_id").cast("long") * 1000).alias("id"), F.when(F.col("vec_id") % 5 == 4, "episode").otherwise("chunk").alias("kind"), "embedding")
+
+
+@query("f4_chunk_search")
+def chunk_search(spark: SparkSession, d: str) -> DataFrame:
+    """Over the chunks that chunking makes of whole documents, without stored vectors."""
+    cut = documents.chunks(table(spark, d, "documents")).select((F.col("doc_id") * 100_000 + F.col("chunk_index")).alias("id"), "doc_id", "chunk_index", F.col("content").alias("text"))
+    return retrieval.search_chunks(cut, _vectors(spark, d).limit(0), WORDS, _query_vector(spark, d), 20)
+
+
+@query("j1_chunk_documents", sql.J1)
+def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
+    live = model.turn_documents(spark, d).where("status = 'active'")
+    return model.turns_as_chunks(spark, d).join(live, "doc_id").select("chunk_id", "doc_id", "chunk_index", "source")
+
+
+@query("s20_saved_index", sql.L3)
+def saved_index(spark: SparkSession, d: str) -> DataFrame:
+    """The same answer as l3_bm25, from postings on disk."""
+    return lexical.search_index(spark, _index(spark, d), WORDS, 50)
+
+
+def _index(spark: SparkSession, d: str) -> str:
+    path = f"{storage.shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    lexical.save_index(table(spark, d, "documents"), path, "doc_id", "text")
+    return path
+
+
+@query("v4_index_drift", sql.V4)
+def index_drift(spark: SparkSession, d: str) -> DataFrame:
+    """An index of documents, against a table in which some ids have changed."""
+    now = table(spark, d, "documents").select(F.when(F.col("doc_id") % 10 == 3, -F.col("doc_id")).otherwise(F.col("doc_id")).alias("doc_id"))
+    return lexical.drift(now, _index(spark, d), "doc_id")
+
+
+@query("v3_approximate_knn")
+def approximate_knn(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings")
+    q = _query_vector(spark, d)
+    return knn.nearest_indexed(knn.sign_index(rows, len(q)), q, 10, flips=3)
 
 
 @query("f5_hash_embed")
@@ -114,6 +165,13 @@ def lexical_eval(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.lexical_ranks(*_eval_tables(spark, d))
 
 
+@query("f6_project_search")
+def project_search(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("rowid")
+    decided = F.when(i % 2 == 0, F.concat(F.lit("project:p"), (i % 3).cast("string"), F.lit(":decision:1")))
+    return retrieval.project_search(model.episodes(spark, d).withColumn("source_id", decided), _vectors(spark, d), "error k 69", _query_vector(spark, d), "p0", 10, NOW)
+
+
 def _eval_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     c = table(spark, d, "conversations")
     cases = c.where("turn = 0").select(F.col("conv_id").alias("case_id"), F.col("text").alias("query"))
@@ -158,18 +216,21 @@ def entity_refs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q11_contradiction_candidates", sql.Q11)
 def contradiction_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return facts.contradiction_candidates(model.triples(spark, d).where("predicate = 'has_order_priority'"))
+    return facts.contradiction_candidates(model.triples(spark, d))
 
 
 def _contradictions(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").where("o_orderkey % 100 = 0")
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
     text = lambda c: F.concat(F.lit("p:"), c.cast("string"))
-    return o.select(text(F.col("o_orderkey")).alias("a_triple_id"), text(F.col("o_orderkey") * 7 + 1).alias("b_triple_id"), F.lit("temporal").alias("kind"), model.millis(F.col("o_orderdate")).alias("detected_at_ms"), F.lit("unresolved").alias("status"))
+    return o.select(
+        text(k).alias("a_triple_id"), text(k * 7 + 1).alias("b_triple_id"), F.lit("temporal").alias("kind"), model.millis(F.col("o_orderdate")).alias("detected_at_ms"),
+        F.when(k % 3 == 0, "resolved").otherwise("unresolved").alias("status"), F.when(k % 3 == 0, k + 777).alias("resolved_at_ms"),
+    )
 
 
 @query("g4_contradictions_list", sql.G4)
 def contradictions(spark: SparkSession, d: str) -> DataFrame:
-    return facts.contradictions(_contradictions(spark, d), model.triples(spark, d).where("predicate = 'has_order_priority'"), 30)
+    return facts.contradictions(_contradictions(spark, d), model.triples(spark, d), 30)
 
 
 @query("q15_contradiction_settle", sql.Q15)
@@ -206,9 +267,25 @@ def _region_of_one(spark: SparkSession, d: str) -> str:
     return "region-" + (r.select(F.lower("r_name")).first() or [""])[0]
 
 
-@query("g6_paths_as_of", sql.paths("customer-1", "region", 2, 700_000_000_000))
+def _segments(spark: SparkSession, d: str) -> DataFrame:
+    """Edges from nations to customers, from customers to market segments, and from some nations straight to a segment."""
+    c, k = table(spark, d, "customer"), F.col("c_custkey")
+    text = lambda prefix, x: F.concat(F.lit(prefix), x.cast("string"))
+    begin, end = k * DAY, F.when(k % 3 == 0, (k + 400) * DAY)
+    one = c.select(text("h:", k).alias("edge_id"), text("nation-", F.col("c_nationkey")).alias("subject_id"), text("customer-", k).alias("object_id"), begin.alias("valid_from_ms"), end.alias("valid_to_ms"), (F.lit(0.5) + k % 50 / 100).alias("confidence"), (F.lit(0.3) + k % 7 / 10).alias("strength"))
+    two = c.select(text("s:", k), text("customer-", k), text("segment-", F.lower("c_mktsegment")), begin, end, (F.lit(0.6) + k % 40 / 100), (F.lit(0.2) + k % 8 / 10))
+    three = c.select(text("d:", k), text("nation-", F.col("c_nationkey")), text("segment-", F.lower("c_mktsegment")), begin, end, k % 10 / 10, F.lit(0.4))
+    return one.unionByName(two.toDF(*one.columns)).unionByName(three.toDF(*one.columns))
+
+
+@query("g6_paths_many", sql.many_paths(None))
+def paths_many(spark: SparkSession, d: str) -> DataFrame:
+    return graph.paths(_segments(spark, d), "nation-7", "segment-building", hops=2)
+
+
+@query("g6_paths_as_of", sql.many_paths(100 * DAY))
 def paths_as_of(spark: SparkSession, d: str) -> DataFrame:
-    return graph.paths(model.edges(model.triples(spark, d)), "customer-1", _region_of_one(spark, d), hops=2, t=700_000_000_000)
+    return graph.paths(_segments(spark, d), "nation-7", "segment-building", hops=2, t=100 * DAY)
 
 
 def _evidence(spark: SparkSession, d: str) -> DataFrame:
@@ -216,19 +293,18 @@ def _evidence(spark: SparkSession, d: str) -> DataFrame:
     order = F.col("l_orderkey").cast("string")
     return line.select(
         F.concat_ws(":", F.lit("v"), order, F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")).alias("evidence_id"), F.concat(F.lit("b:"), order).alias("edge_id"), F.concat(F.lit("ev:"), F.col("l_partkey").cast("string")).alias("memory_id"),
-        F.when(F.col("l_linenumber") % 2 == 0, F.col("l_orderkey") % 500).alias("source_episode_id"), (F.col("l_discount") * 10 % 1).alias("extraction_confidence"), model.millis(F.col("l_shipdate")).alias("created_at_ms"),
+        F.when(F.col("l_linenumber") % 2 == 0, F.col("l_orderkey") % 500).alias("source_episode_id"), F.col("l_discount").alias("extraction_confidence"), model.millis(F.col("l_shipdate")).alias("created_at_ms"),
     )
 
 
 @query("g7_best_evidence", sql.G7)
 def best_evidence(spark: SparkSession, d: str) -> DataFrame:
-    e = model.edges(model.triples(spark, d).where("predicate = 'placed'"))
-    return graph.best_evidence(e.select("edge_id", "subject_id"), _evidence(spark, d).withColumn("extraction_confidence", F.lit(0.5)))
+    return graph.best_evidence(model.edges(model.triples(spark, d)).select("edge_id", "subject_id"), _evidence(spark, d))
 
 
 @query("g7_provenance", sql.G7P)
 def provenance(spark: SparkSession, d: str) -> DataFrame:
-    return graph.provenance("b:3", _evidence(spark, d).withColumn("extraction_confidence", F.lit(0.5)), model.episodes(spark, d))
+    return graph.provenance("b:3", _evidence(spark, d), model.episodes(spark, d))
 
 
 @query("g8_graph_context", sql.G8)
@@ -238,7 +314,7 @@ def graph_context(spark: SparkSession, d: str) -> DataFrame:
 
 @query("g9_edge_score", sql.G9)
 def edge_score(spark: SparkSession, d: str) -> DataFrame:
-    e = model.edges(model.triples(spark, d).where("predicate = 'contains'")).withColumn("evidence_count", F.length("edge_id"))
+    e = model.edges(model.triples(spark, d)).withColumn("evidence_count", F.length("edge_id"))
     return e.select("edge_id", F.round(graph.edge_score(), 6).alias("score"))
 
 
@@ -248,6 +324,45 @@ def graph_catalog(spark: SparkSession, d: str) -> DataFrame:
     return graph.catalogue(nodes, ("document", "5"), 200)
 
 
+def _graph_facts(spark: SparkSession, d: str) -> DataFrame:
+    live = model.triples(spark, d).where("status = 'active'")
+    return live.select(F.col("triple_id").alias("edge_id"), "subject_id", "predicate", "object_id", "object_kind", "confidence", F.col("confidence").alias("strength"), F.lit(1).alias("evidence_count"))
+
+
+@query("g8_graph_facts", sql.G8F)
+def graph_facts(spark: SparkSession, d: str) -> DataFrame:
+    return graph.context_facts(_graph_facts(spark, d), ["customer-1", "order-3", "nation-france"], 50).withColumn("reason_codes", F.array_join("reason_codes", ","))
+
+
+@query("g8_aliases", sql.G8A)
+def graph_aliases(spark: SparkSession, d: str) -> DataFrame:
+    return graph.context_aliases(model.aliases(spark, d), [f"customer-{i}" for i in range(1, 9)], 50)
+
+
+@query("g8_review_warnings", sql.G8W)
+def graph_warnings(spark: SparkSession, d: str) -> DataFrame:
+    return graph.review_warnings(model.fact_reviews(spark, d), [f"customer-{i}" for i in range(1, 9)], 50)
+
+
+def _graph_edges(spark: SparkSession, d: str) -> DataFrame:
+    return graph.graph_edges(model.triples(spark, d), model.members(spark, d), model.turns_as_chunks(spark, d))
+
+
+@query("g14_graph_edges", sql.G14E)
+def graph_edges(spark: SparkSession, d: str) -> DataFrame:
+    return graph.edge_page(_graph_edges(spark, d), ("document_chunk", "5"), 300)
+
+
+@query("g14_neighbours", sql.G14N)
+def graph_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return graph.neighbours(_graph_edges(spark, d), "customer-2", 100)
+
+
+@query("g14_inspect", sql.G14I)
+def graph_inspect(spark: SparkSession, d: str) -> DataFrame:
+    return graph.inspect_node(_graph_edges(spark, d), "order-3")
+
+
 @query("g15_chunk_fold", None)
 def chunk_fold(spark: SparkSession, d: str) -> DataFrame:
     return documents.chunks(table(spark, d, "documents")).groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.max("end_offset").alias("bytes"))
@@ -257,7 +372,8 @@ def chunk_fold(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _reviews(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").where("event_id % 4 = 0").select(F.concat(F.lit("ev:"), F.col("event_id").cast("string")).alias("memory_id"), F.when(F.col("event_id") % 8 == 0, "approved").otherwise("dismissed").alias("review"))
+    """Reviews of memories: a row for each label, which names a memory by its number."""
+    return table(spark, d, "labels").select(F.concat(F.lit("ev:"), F.col("doc_id").cast("string")).alias("memory_id"), F.when(F.col("quality") == 1, "approved").otherwise("dismissed").alias("review"))
 
 
 @query("g13_inbox", sql.G13)
@@ -277,13 +393,57 @@ def audit_purge(spark: SparkSession, d: str) -> DataFrame:
 
 @query("g18_erase", sql.G18)
 def erase(spark: SparkSession, d: str) -> DataFrame:
-    left, kept = audit.erase("user-8", model.episodes(spark, d), model.triples(spark, d))
-    return left.agg(F.count("*").alias("n")).withColumn("what", F.lit("episodes")).unionByName(kept.groupBy("predicate").agg(F.count("*").alias("n")).withColumnRenamed("predicate", "what"))
+    left = audit.erase("user-8", *_erasable(spark, d))
+    out = left["facts"].groupBy(F.col("predicate").alias("what")).agg(F.count("*").alias("n"))
+    for name in ("episodes", "members", "chunks"):
+        out = out.unionByName(left[name].agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n"))
+    return out
+
+
+def _erasable(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
+    return model.episodes(spark, d), model.triples(spark, d), model.members(spark, d), model.turns_as_chunks(spark, d)
 
 
 @query("g19_erase_estimate", sql.G19)
 def erase_estimate(spark: SparkSession, d: str) -> DataFrame:
-    return audit.erasure_estimate("user-8", model.episodes(spark, d), model.triples(spark, d))
+    return audit.erasure_estimate("user-8", *_erasable(spark, d))
+
+
+@query("w4_clear_source", sql.W4C)
+def clear_source(spark: SparkSession, d: str) -> DataFrame:
+    """Facts that outlive their source episode."""
+    gone = model.episodes(spark, d).where(F.col("principal") == "user-8").select(F.col("rowid").alias("source_episode_id"))
+    return audit.clear_source(model.triples(spark, d), gone).groupBy("predicate").agg(F.count("source_episode_id").alias("with_source"), F.count("*").alias("n"))
+
+
+@query("w5_reset_derived", sql.W5)
+def reset_derived(spark: SparkSession, d: str) -> DataFrame:
+    tables = audit.reset_derived({"clusters": model.clusters(spark, d), "facts": model.triples(spark, d), "abstractions": model.abstractions(spark, d)}) | {"episodes": model.episodes(spark, d)}
+    out = None
+    for name, df in tables.items():
+        n = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n")
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+@query("w6_outbox_purge", sql.W6)
+def outbox_purge(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("event_id")
+    outbox = table(spark, d, "events").select(i.alias("entry_id"), F.when(i % 2 == 0, "episode").otherwise("chunk").alias("kind"), F.when(i % 2 == 0, i).otherwise(i * 500).alias("target_id"))
+    return audit.purge_outbox(outbox, outbox.where("entry_id % 5 = 0"), model.episodes(spark, d), model.turns_as_chunks(spark, d))
+
+
+@query("q16_latest_reviews", sql.Q16)
+def latest_reviews(spark: SparkSession, d: str) -> DataFrame:
+    """Every line of an order is a review of it; the newest stands."""
+    line = table(spark, d, "lineitem")
+    ops = line.select(F.col("l_orderkey").alias("memory_id"), F.concat_ws(":", F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), F.col("l_quantity").cast("int").cast("string")).alias("op_id"), model.millis(F.col("l_shipdate")).alias("created_at_ms"))
+    return audit.latest(ops, ["memory_id"]).select("memory_id", "op_id", "created_at_ms")
+
+
+@query("m7_retention", sql.M7)
+def retention(spark: SparkSession, d: str) -> DataFrame:
+    return audit.retention(model.episodes(spark, d), NOW, 20).groupBy("source_type").agg(F.count("*").alias("n"))
 
 
 @query("a4_tier_status", sql.A4)
@@ -306,6 +466,61 @@ def upsert_entities(spark: SparkSession, d: str) -> DataFrame:
     return quality_gate.upsert_entities(old, new)
 
 
+@query("w1_upsert_aliases", sql.W1A)
+def upsert_aliases(spark: SparkSession, d: str) -> DataFrame:
+    old = model.aliases(spark, d).where(F.col("created_at_ms") % 3 != 0)
+    new = model.aliases(spark, d).where(F.col("created_at_ms") % 4 != 0).select("alias", F.concat(F.lit("new-"), "canonical_id").alias("canonical_id"), "display_label", F.lit("gate").alias("source"), F.lit(0.45).alias("confidence"), F.lit(NOW).alias("created_at_ms"), F.lit(NOW).alias("updated_at_ms"))
+    return quality_gate.upsert_aliases(old, new)
+
+
+def _claims(spark: SparkSession, d: str, new: bool) -> DataFrame:
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    rows = o.where(k % 4 != 0) if new else o.where(k % 3 != 0)
+    tag = "n" if new else "o"
+    status = F.when(k % 5 == 0, "active").otherwise("needs_review") if new else F.when(k % 7 == 0, "rejected").otherwise("quarantined")
+    return rows.select(
+        F.concat(F.lit("f"), k.cast("string")).alias("fingerprint"), F.concat(F.lit(tag), k.cast("string")).alias("claim_id"), F.when(k % 2 == 0, F.concat(F.lit(tag + "r"), k.cast("string"))).alias("review_id"), (k % (10 if new else 7) / 10).alias("quality_score"),
+        status.alias("status"), (F.lit(1 if new else 2)).cast("long").alias("evidence_count"), (F.lit(False) if new else k % 7 == 0).alias("user_approved"), F.lit(2 if new else 1).cast("long").alias("created_at_ms"), F.when(status == "active", F.lit(2).cast("long")).alias("activated_at_ms"),
+    )
+
+
+@query("w1_upsert_claims", sql.W1C)
+def upsert_claims(spark: SparkSession, d: str) -> DataFrame:
+    return quality_gate.upsert_claims(_claims(spark, d, False), _claims(spark, d, True))
+
+
+@query("w1_upsert_reviews", sql.W1R)
+def upsert_reviews(spark: SparkSession, d: str) -> DataFrame:
+    rows = model.fact_reviews(spark, d).select("fingerprint", "review_id", "cluster_id", "confidence", "reason_code", "status", "created_at_ms")
+    key = F.substring("fingerprint", 2, 20).cast("long")
+    new = rows.where(key % 4 != 0).select("fingerprint", F.concat(F.lit("new-"), "review_id").alias("review_id"), F.lit("cl:new").alias("cluster_id"), (F.col("confidence") / 2).alias("confidence"), F.lit("again").alias("reason_code"), F.lit("needs_review").alias("status"), F.lit(NOW).alias("created_at_ms"))
+    return quality_gate.upsert_reviews(rows.where(key % 3 != 0), new)
+
+
+@query("w1_upsert_edges", sql.W1E)
+def upsert_edges(spark: SparkSession, d: str) -> DataFrame:
+    every = model.edges(model.triples(spark, d)).select("edge_id", "subject_id", "object_id", "confidence", "evidence_count", F.lit("active").alias("status"), "valid_from_ms")
+    e = audit.latest(every, ["edge_id"], "valid_from_ms", "object_id")
+    old = e.select("edge_id", "subject_id", F.lit("old").alias("object_id"), F.lit(0.1).alias("confidence"), F.lit(9).cast("long").alias("evidence_count"), F.lit("superseded").alias("status"), F.lit(1).cast("long").alias("created_at_ms")).where(F.length("edge_id") % 2 == 0)
+    new = e.where(F.length("subject_id") % 2 == 0).select(*e.columns[:6], F.lit(2).cast("long").alias("created_at_ms")).withColumn("confidence", F.round("confidence", 6))
+    return quality_gate.upsert_edges(old, new)
+
+
+@query("w1_upsert_evidence", sql.W1V)
+def upsert_evidence(spark: SparkSession, d: str) -> DataFrame:
+    t = audit.latest(model.triples(spark, d).where("status = 'active'"), ["triple_id"], "valid_from_ms", "object_id")
+    old = t.select("triple_id", F.concat(F.lit("v-"), "triple_id").alias("evidence_id"), F.lit(1).cast("long").alias("source_episode_id"), F.lit(1).cast("long").alias("created_at_ms")).where(F.length("triple_id") % 2 == 0)
+    new = t.where("object_kind = 'entity'").select("triple_id", F.col("triple_id").alias("evidence_id"), "source_episode_id", F.lit(2).cast("long").alias("created_at_ms"))
+    return quality_gate.upsert_evidence(old, new)
+
+
+@query("w1_entity_status", sql.W1S)
+def entity_status(spark: SparkSession, d: str) -> DataFrame:
+    c, k = table(spark, d, "customer"), F.col("c_custkey")
+    key = F.concat(F.lit("customer-"), k.cast("string")).alias("entity_id")
+    return quality_gate.entity_states(c.where(k % 3 != 0).select(key, F.when(k % 2 == 0, "candidate").otherwise("merged").alias("status")), c.where(k % 4 != 0).select(key))
+
+
 @query("w2_insert_absent", sql.W2)
 def insert_absent(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation").select("n_nationkey", "n_name")
@@ -325,7 +540,7 @@ def delete_where(spark: SparkSession, d: str) -> DataFrame:
 
 @query("w7_evidence_counts", sql.W7)
 def evidence_counts(spark: SparkSession, d: str) -> DataFrame:
-    e = model.edges(model.triples(spark, d).where("predicate = 'placed'")).select("edge_id", "evidence_count")
+    e = model.edges(model.triples(spark, d)).select("edge_id", "evidence_count")
     return audit.evidence_counts(e, _evidence(spark, d)).select("edge_id", "evidence_count")
 
 
@@ -357,6 +572,31 @@ def quality(spark: SparkSession, d: str) -> DataFrame:
     return quality_gate.judge(_extracted(spark, d)).withColumn("confidence", F.round("confidence", 6))
 
 
+@query("q2_weak_facts", sql.Q2)
+def weak_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Extracted facts, some of them about the model itself, with the reason to drop them at once."""
+    rows = _extracted(spark, d)
+    k = F.substring("triple_id", 3, 20).cast("long")
+    pick = lambda *v: F.element_at(F.array(*[F.lit(x) for x in v]), (k % len(v)).cast("int") + 1)
+    said = rows.select("triple_id", F.when(k % 2 == 0, pick(*sql.ROLES)).otherwise(F.col("subject_id")).alias("s"), F.when(k % 3 == 0, pick(*sql.CLAIMS)).otherwise(F.col("predicate")).alias("p"), F.when(k % 5 == 0, pick(*sql.ANSWERS)).otherwise(F.col("object_id")).alias("o"), "object_kind")
+    return said.select("triple_id", X.extraction_reason(F.col("s"), F.col("p"), F.col("o"), F.col("object_kind")).alias("reason"))
+
+
+@query("c15_times", sql.C15)
+def times(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    ms = model.millis(F.col("ts"))
+    told = X.rfc3339_of_millis(ms)
+    shifted = F.concat(F.substring(told, 1, 23), F.lit("+02:30"))
+    return e.select("event_id", told.alias("told"), X.millis_of_rfc3339(told).alias("back"), X.millis_of_rfc3339(shifted).alias("shifted"), X.millis_of_rfc3339(F.col("event_type")).alias("none"), X.seconds_of_duration(F.concat((F.col("event_id") % 90).cast("string"), F.element_at(F.array(F.lit("s"), F.lit("m"), F.lit("h"), F.lit("d"), F.lit("y")), (F.col("event_id") % 5 + 1).cast("int")))).alias("seconds"))
+
+
+@query("c20_salience", sql.C20)
+def salience(spark: SparkSession, d: str) -> DataFrame:
+    value = F.when(F.col("event_id") % 11 == 0, F.lit(float("nan"))).when(F.col("event_id") % 7 != 0, F.col("value") / 100)
+    return table(spark, d, "events").select("event_id", X.valid_salience(value).alias("valid"))
+
+
 @query("q6_claim_scores", sql.Q6)
 def claim_scores(spark: SparkSession, d: str) -> DataFrame:
     return quality_gate.claims(quality_gate.judge(_extracted(spark, d))).select("triple_id", "claim_status", "quality_score")
@@ -404,7 +644,11 @@ def coverage(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q18_quality_audit", sql.Q18)
 def quality_audit(spark: SparkSession, d: str) -> DataFrame:
-    return quality_gate.audit(model.episodes(spark, d), model.clusters(spark, d), model.members(spark, d), model.abstractions(spark, d), model.triples(spark, d))
+    return quality_gate.audit(*_audited(spark, d)).withColumn("samples", F.array_join("samples", "\n"))
+
+
+def _audited(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
+    return model.episodes(spark, d), model.clusters(spark, d), model.members(spark, d), model.abstractions(spark, d), model.triples(spark, d), _contradictions(spark, d), model.fact_reviews(spark, d)
 
 
 @query("q18_health", sql.Q18H)
@@ -412,6 +656,11 @@ def quality_health(spark: SparkSession, d: str) -> DataFrame:
     return quality_gate.health(quality_audit(spark, d))
 
 
+@query("q18_totals", sql.Q18T)
+def quality_totals(spark: SparkSession, d: str) -> DataFrame:
+    return quality_gate.totals(*_audited(spark, d))
+
+
 @query("a13_alias_groups", sql.A13)
 def aliases(spark: SparkSession, d: str) -> DataFrame:
     return facts.alias_groups(table(spark, d, "part").select(F.col("p_name").alias("entity_id")).unionByName(table(spark, d, "part").select(F.upper("p_name").alias("entity_id"))))
@@ -466,7 +715,7 @@ def coherence(spark: SparkSession, d: str) -> DataFrame:
     return cluster.coherence(_label_members(spark, d), _days(spark, d))
 
 
-@query("k3_merge_plan")
+@query("k3_merge_plan", sql.K3)
 def merge_plan(spark: SparkSession, d: str) -> DataFrame:
     members = components(spark, d)
     return cluster.merge_plan(cluster.centroids(members, _days(spark, d)), 0.3)
@@ -478,12 +727,48 @@ def absorb(spark: SparkSession, d: str) -> DataFrame:
     return cluster.absorb(spark, c.where("cluster_id % 2 = 1"), c.where("cluster_id % 2 = 0"), 0.3)
 
 
-@query("k5_merge_candidates")
+@query("k5_merge_candidates", sql.K5)
 def merge_candidates(spark: SparkSession, d: str) -> DataFrame:
     return merge_plan(spark, d).agg(F.count("*").alias("losers"), F.countDistinct("survivor").alias("groups"))
 
 
-@query("k6_unclustered")
+def _embedded(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of two embedders."""
+    return table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("rowid"), F.when(F.col("vec_id") % 4 == 0, "old").otherwise("now").alias("embedder"), "embedding")
+
+
+@query("k6_scope", sql.K6S)
+def scope(spark: SparkSession, d: str) -> DataFrame:
+    return cluster.in_scope(model.episodes(spark, d), _embedded(spark, d), "now", NOW, 30).select("id", "ts_ms")
+
+
+@query("k6_consolidate")
+def consolidate(spark: SparkSession, d: str) -> DataFrame:
+    """A run over all rows, with the clusters of a run over some of them."""
+    rows = _days(spark, d)
+    return cluster.consolidate(spark, rows, cluster.cluster_days(rows.where("id % 3 <> 0"), 0.3), 0.3)
+
+
+@query("k7_stale_vectors", sql.K7)
+def stale_vectors(spark: SparkSession, d: str) -> DataFrame:
+    both = _embedded(spark, d).unionByName(_embedded(spark, d).where("rowid % 8 = 0").withColumn("embedder", F.lit("now")))
+    return cluster.stale_vectors(both, model.episodes(spark, d), "now")
+
+
+@query("k7_re_embed", sql.K7E)
+def re_embed(spark: SparkSession, d: str) -> DataFrame:
+    return cluster.re_embed(_embedded(spark, d), model.episodes(spark, d), "now", hash_embedder(4)).groupBy("embedder").agg(F.count("*").alias("n"))
+
+
+@query("a10_merged_clusters", sql.A10M)
+def merged_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Every label's cluster merged into that of the next even label."""
+    c = cluster.centroids(_label_members(spark, d), _days(spark, d)).join(coherence(spark, d), "cluster_id")
+    plan = c.where("cluster_id % 2 = 1").select((F.col("cluster_id") - 1).alias("survivor"), F.col("cluster_id").alias("loser"))
+    return cluster.merge_summary(c, plan).select("cluster_id", "n", "coherence", F.round(F.get("centroid", F.lit(0)), 6).alias("first"))
+
+
+@query("k6_unclustered", sql.K6)
 def unclustered(spark: SparkSession, d: str) -> DataFrame:
     return cluster.unclustered(_days(spark, d), components(spark, d)).select("id")
 
@@ -514,9 +799,28 @@ def list_documents(spark: SparkSession, d: str) -> DataFrame:
     return documents.listing(table(spark, d, "documents"), runs, 50, 10)
 
 
-@query("s6_csv_text")
+@query("d2_ingest", sql.D2I)
+def ingest(spark: SparkSession, d: str) -> DataFrame:
+    """All documents, of which those of some sizes are known already."""
+    rows = table(spark, d, "documents").select("doc_id", "text")
+    known = rows.where(F.octet_length("text") % 7 == 0).select(F.sha2("text", 256).alias("content_hash"))
+    return documents.ingest(rows, known)[0].drop("chunk_count")
+
+
+@query("d5_inspect_document", sql.D5I)
+def inspect_document(spark: SparkSession, d: str) -> DataFrame:
+    runs = table(spark, d, "labels").select("doc_id", F.col("doc_id").alias("extraction_id"), F.lit(1).alias("created_at_ms"), F.when(F.col("quality") == 1, "done").otherwise("failed").alias("status"), F.when(F.col("quality") != 1, "no text").alias("error"))
+    parts = model.turns_as_chunks(spark, d).select("doc_id", "chunk_index", F.col("text").alias("content"))
+    found = documents.inspect_document(3, model.turn_documents(spark, d), parts, runs, _assets(spark, d)[1])
+    return found.withColumn("previews", F.array_join("previews", "\n")).withColumn("asset_ids", F.array_join(F.transform("asset_ids", lambda x: x.cast("string")), ","))
+
+
+@query("s6_csv_text", sql.S6)
 def csv_text(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "nation").select(F.concat_ws("", F.lit("n"), F.col("n_nationkey").cast("string"), F.lit(".csv")).alias("path"), F.encode(F.concat_ws(",", F.col("n_nationkey").cast("string"), F.concat(F.lit('" '), "n_name", F.lit('"'))), "utf-8").alias("content"))
+    """A file a region: a line a nation, with blank lines between."""
+    line = F.concat_ws(",", F.col("n_nationkey").cast("string"), F.concat(F.lit('" '), "n_name", F.lit('"')))
+    files = table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", line.alias("line")))).alias("lines"))
+    rows = files.select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string"), F.lit(".csv")).alias("path"), F.encode(F.array_join(F.transform("lines", lambda x: x["line"]), "\n\n"), "utf-8").alias("content"))
     return documents.extract_files(rows)
 
 
@@ -525,7 +829,7 @@ def html_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", documents.html_text(F.col("html")).alias("text"))
 
 
-@query("s13_chat_import")
+@query("s13_chat_import", sql.S13)
 def chat_import(spark: SparkSession, d: str) -> DataFrame:
     turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     told = F.to_json(F.struct(F.col("conv_id").cast("string").alias("id"), F.lit("  A  chat ").alias("title"), F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("messages")))
@@ -542,19 +846,20 @@ def bookmarks_html(spark: SparkSession, d: str) -> DataFrame:
     return documents.bookmarks(table(spark, d, "pages"))
 
 
-@query("s22_document_text", None)
+@query("s22_document_text", sql.S22)
 def document_text(spark: SparkSession, d: str) -> DataFrame:
-    return documents.document_text(documents.chunks(table(spark, d, "documents").where("doc_id = 3"), overlap=0), 3)
+    """Every document, cut into overlapping chunks and put together again."""
+    return documents.document_texts(documents.chunks(table(spark, d, "documents")))
 
 
 # Assets, resources, logs, external models
 
 
 def _assets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """An asset for each page, linked to the document of its id."""
+    """An asset for each page; every page's number is a document that links the asset of twice that number."""
     p = table(spark, d, "pages")
     own = p.select(F.col("page_id").alias("asset_id"), F.sha2("html", 256).alias("sha256"), F.octet_length("html").cast("long").alias("byte_size"))
-    return own, p.where("page_id % 2 = 0").select(F.col("page_id").alias("doc_id"), F.col("page_id").alias("asset_id"))
+    return own, p.select(F.col("page_id").alias("doc_id"), (F.col("page_id") * 2).alias("asset_id"))
 
 
 @query("d6_linked_assets", sql.D6)
@@ -567,7 +872,7 @@ def linked_assets(spark: SparkSession, d: str) -> DataFrame:
 def attachments(spark: SparkSession, d: str) -> DataFrame:
     own, _ = _assets(spark, d)
     i = F.col("event_id")
-    rows = table(spark, d, "events").where("event_id % 10 = 0").select(F.concat(F.lit("at:"), i.cast("string")).alias("attachment_id"), F.concat(F.lit("ev:"), i.cast("string")).alias("memory_id"), F.when(i % 20 == 0, i).alias("doc_id"), F.when(i % 20 != 0, i).alias("asset_id"))
+    rows = table(spark, d, "events").select(F.concat(F.lit("at:"), i.cast("string")).alias("attachment_id"), F.concat(F.lit("ev:"), i.cast("string")).alias("memory_id"), F.when(i % 20 == 0, i).alias("doc_id"), F.when(i % 20 != 0, i).alias("asset_id"))
     return assets.attachments(rows, model.episodes(spark, d), table(spark, d, "documents"), own)
 
 
@@ -590,21 +895,35 @@ def log_lines(spark: SparkSession, d: str) -> DataFrame:
 @query("q1_abstraction_stub")
 def abstraction_stub(spark: SparkSession, d: str) -> DataFrame:
     told = model.members(spark, d).join(model.episodes(spark, d), "memory_id").groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts_ms", "content"))), lambda x: x["content"]).alias("texts"))
-    wanted = extraction.pending(model.clusters(spark, d), model.abstractions(spark, d), 10).select("cluster_id")
+    wanted = extraction.pending(model.clusters(spark, d), model.abstractions(spark, d), 1000).select("cluster_id")
     return extraction.abstract(told.join(wanted, "cluster_id"), lambda: extraction.stub_client, NOW)
 
 
 @query("q13_pending_clusters", sql.Q13)
 def pending_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return extraction.pending(model.clusters(spark, d), model.abstractions(spark, d), 10).select("cluster_id")
+    return extraction.pending(model.clusters(spark, d), model.abstractions(spark, d), 1000).select("cluster_id")
 
 
-@query("g10_context_bundle")
+@query("g10_context_bundle", sql.G10)
 def context_bundle(spark: SparkSession, d: str) -> DataFrame:
-    """Sections of a context bundle with their health and row counts."""
-    from tidewell.operators import context
-
-    t = model.triples(spark, d)
-    sections = {"facts": lambda: facts.facts_about(t, "customer-7"), "entities": lambda: facts.entities(t, "customer-7"), "themes": lambda: themes(spark, d), "graph": lambda: graph.context_paths(model.edges(t), ["customer-7"])}
-    found, health = context.bundle(sections, {"facts": t, "entities": t, "themes": model.clusters(spark, d), "graph": t})
-    return spark.createDataFrame([(k, v, found[k].count() if k in found else None) for k, v in health.items()], "section string, state string, n long")
+    """Sections of a context bundle with their states and row counts, and why it holds what it holds."""
+    t, subject = storage.keep(model.triples(spark, d), "context-facts"), "CUSTOMER-7"
+    first = context.bundle({"entities": lambda: facts.entities(t, subject.lower(), 20)})
+    known = context.resolved_subject(subject, first["entities"])
+    starts = context.seeds(known, first["entities"], 20)
+    rows = t.where("status = 'active'").select(F.col("triple_id").alias("edge_id"), "subject_id", "predicate", "object_id", "object_kind", "confidence", F.col("confidence").alias("strength"), F.lit(1).alias("evidence_count"))
+    found = context.bundle({
+        "recall": lambda: retrieval.recall(model.episodes(spark, d), _vectors(spark, d), "error k 69", _query_vector(spark, d), 20, NOW),
+        "themes": lambda: themes(spark, d),
+        "facts": lambda: facts.facts_about(t, known, as_object=True, limit=20),
+        "contradictions": lambda: facts.contradictions(_contradictions(spark, d), t, 20),
+        "graph": lambda: graph.context_facts(rows, starts, 20),
+        "paths": lambda: graph.context_paths(model.edges(t), starts, 20),
+        "warnings": lambda: graph.review_warnings(model.fact_reviews(spark, d), starts, 20),
+    }) | first
+    counts = {k: None if v is None else v.count() for k, v in found.items()}
+    graph_rows = None if any(counts[k] is None for k in ("graph", "paths", "warnings")) else counts["graph"] + counts["paths"] + counts["warnings"]
+    sections = {k: counts[k] for k in ("recall", "themes", "entities", "facts", "contradictions")} | {"graph": graph_rows}
+    states = context.section_states(sections, coverage(spark, d).first().asDict(), has_model=False, subject=True)
+    log = context.retrieval_log(spark, "error k 69", NOW, context.recalled_ids(found), context.reason_codes(found)).first()
+    return spark.createDataFrame([*((k, states[k], n) for k, n in sections.items()), ("log", ",".join(log["reason_codes"]), len(log["memory_ids"]))], "section string, state string, n long")

@@ -18,7 +18,7 @@ REASONS = ("assistant_or_tool_chatter", "long_machine_blob", "metadata_subject",
 EPISODES = """episodes AS (
   SELECT event_id AS rowid_, 'ev:' || event_id AS memory_id, (epoch_us(ts) // 1000) AS ts_ms, event_type AS source_type, event_type || ' ' || props AS content,
          greatest(0.0, least(1.0, value / 100)) AS salience, (event_id % 10) / 10 AS strength, CASE event_id % 3 WHEN 0 THEN 'hot' WHEN 1 THEN 'warm' ELSE 'cold' END AS tier,
-         CASE WHEN event_id % 17 = 0 THEN 'forgotten' ELSE 'active' END AS status, 'user-' || user_id AS principal, props AS context_json FROM events)"""
+         CASE WHEN event_id % 17 = 0 THEN 'forgotten' ELSE 'active' END AS status, CASE WHEN event_id % 19 <> 0 THEN 'user-' || user_id END AS principal, props AS context_json FROM events)"""
 
 TRIPLES = f"""triples AS (
   SELECT 'p:' || o_orderkey AS triple_id, 'customer-' || o_custkey AS subject_id, 'has_order_priority' AS predicate, o_orderpriority AS object_id, 'literal' AS object_kind, (epoch_us(o_orderdate) // 1000) AS valid_from_ms,
@@ -52,7 +52,7 @@ def bm25(rows: str, terms: tuple[str, ...]) -> str:
     tf = ", ".join(f"len(list_filter(w, lambda x: x = '{t}'))::DOUBLE AS t{i}" for i, t in enumerate(terms))
     df = ", ".join(f"count(*) FILTER (t{i} > 0) AS d{i}" for i in n)
     score = " + ".join(f"ln(1 + (n - d{i} + 0.5) / (d{i} + 0.5)) * t{i} * 2.2 / (t{i} + 1.2 * (0.25 + 0.75 * size / average))" for i in n)
-    return rf"""said AS (SELECT id, list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM ({rows})),
+    return rf"""said AS (SELECT id, list_filter(string_split_regex(strip_accents(lower(text)), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM ({rows})),
   tf AS (SELECT id, len(w)::DOUBLE AS size, {tf} FROM said), totals AS (SELECT count(*)::DOUBLE AS n, avg(size) AS average, {df} FROM tf),
   scored AS (SELECT id, round(-({score}), 6) AS score FROM tf, totals WHERE {" + ".join(f"t{i}" for i in n)} > 0)"""
 
@@ -76,9 +76,13 @@ SELECT rowid_ AS rowid, memory_id, coalesce(distance, 1.0) AS distance, score,
          + CASE WHEN {NOW} - ts_ms <= 7 * {DAY}::BIGINT THEN 0.006 WHEN {NOW} - ts_ms <= 30 * {DAY}::BIGINT THEN 0.003 ELSE 0 END
          + CASE WHEN contains(lower(context_json), 'error') OR contains(lower(context_json), 'k') OR contains(lower(context_json), '69') THEN 0.006 ELSE 0 END, 6) AS fused_score
 FROM episodes JOIN found ON rowid_ = id WHERE status = 'active' ORDER BY fused_score DESC, distance, rowid LIMIT 20"""
-F4 = f"""WITH {fused(DOCS, TERMS, 80, "WHERE id % 5 = 4")}
-SELECT d.doc_id AS id, d.doc_id, 0::BIGINT AS chunk_index, coalesce(distance, 1.0) AS distance, score, round(rrf, 6) AS fused_score
-FROM documents d JOIN found f ON d.doc_id = f.id ORDER BY fused_score DESC, distance, chunk_index, id LIMIT 20"""
+CHUNKS = "chunks AS (SELECT conv_id * 1000 + turn AS chunk_id, conv_id AS doc_id, turn AS chunk_index, text, 'user-' || (conv_id % 20) AS ingested_by FROM conversations)"
+_LIVE = "SELECT chunk_id AS id, text FROM chunks WHERE doc_id % 9 <> 8"
+F4 = f"""WITH {CHUNKS}, {fused(_LIVE, ("report", "on", "market", "history"), 80, "WHERE (id // 1000) % 5 <> 4").replace("vec_id::BIGINT AS id", "vec_id::BIGINT * 1000 AS id")}
+SELECT chunk_id AS id, doc_id, chunk_index, coalesce(distance, 1.0) AS distance, score, round(rrf, 6) AS fused_score
+FROM chunks JOIN found ON chunk_id = found.id WHERE doc_id % 9 <> 8 ORDER BY fused_score DESC, distance, chunk_index, id LIMIT 20"""
+J1 = f"WITH {CHUNKS} SELECT chunk_id, doc_id, chunk_index, 'chat ' || doc_id AS source FROM chunks WHERE doc_id % 9 <> 8"
+V4 = "SELECT count(*) FILTER (doc_id % 10 = 3 AND doc_id <> 0 AND (has OR NOT has)) AS missing, count(*) FILTER (doc_id % 10 = 3 AND has) AS stale FROM (SELECT doc_id, regexp_matches(text, '[\\p{L}\\p{N}]') AS has FROM documents)"
 F6 = """SELECT event_id, CASE WHEN event_id % 4 = 0 AND event_id % 3 = 0 THEN true WHEN event_id % 5 = 0 AND event_id % 2 = 0 THEN true
   WHEN event_id % 4 = 0 OR event_id % 5 = 0 THEN false ELSE event_id % 3 = 0 END AS inside FROM events"""
 
@@ -109,14 +113,16 @@ SELECT entity_id, sum(s)::BIGINT AS subject_count, sum(o)::BIGINT AS object_coun
        min(CASE WHEN lower(entity_id) = 'customer-1' THEN 0 WHEN lower(entity_id) LIKE 'customer-1%' THEN 1 ELSE 2 END)::BIGINT AS match_score
 FROM refs WHERE lower(entity_id) LIKE '%customer-1%' GROUP BY entity_id ORDER BY match_score, fact_count DESC, entity_id LIMIT 50"""
 O5 = f"WITH {TRIPLES}, {REFS} SELECT entity_id, sum(s)::BIGINT AS subjects, sum(o)::BIGINT AS objects FROM refs GROUP BY entity_id"
-Q11 = f"""WITH {TRIPLES}, t AS (SELECT * FROM triples WHERE predicate = 'has_order_priority' AND status = 'active')
+Q11 = f"""WITH {TRIPLES}, t AS (SELECT * FROM triples WHERE status = 'active')
 SELECT a.subject_id, a.predicate, a.triple_id AS a_triple_id, b.triple_id AS b_triple_id, a.object_id AS a_object_id, b.object_id AS b_object_id
 FROM t a JOIN t b ON a.subject_id = b.subject_id AND a.predicate = b.predicate AND a.triple_id < b.triple_id AND a.object_id <> b.object_id
  AND a.valid_from_ms <= coalesce(b.valid_to_ms, 9223372036854775807) AND b.valid_from_ms <= coalesce(a.valid_to_ms, 9223372036854775807)"""
-_FOUND = "found AS (SELECT o_orderkey AS k, 'p:' || o_orderkey AS a_triple_id, 'p:' || (o_orderkey * 7 + 1) AS b_triple_id, 'temporal' AS kind, (epoch_us(o_orderdate) // 1000) AS detected_at_ms FROM orders WHERE o_orderkey % 100 = 0)"
-G4 = f"""WITH {TRIPLES}, {_FOUND}, t AS (SELECT triple_id, subject_id || ' ' || predicate || ' ' || object_id AS fact FROM triples WHERE predicate = 'has_order_priority')
+_FOUND = """found AS (SELECT o_orderkey AS k, 'p:' || o_orderkey AS a_triple_id, 'p:' || (o_orderkey * 7 + 1) AS b_triple_id, 'temporal' AS kind, (epoch_us(o_orderdate) // 1000) AS detected_at_ms,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'resolved' ELSE 'unresolved' END AS status, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey + 777 END AS resolved_at_ms FROM orders)"""
+G4 = f"""WITH {TRIPLES}, {_FOUND}, t AS (SELECT triple_id, subject_id || ' ' || predicate || ' ' || object_id AS fact FROM triples)
 SELECT a_triple_id, b_triple_id, kind, detected_at_ms, a.fact AS a_fact, b.fact AS b_fact FROM found LEFT JOIN t a ON a_triple_id = a.triple_id LEFT JOIN t b ON b_triple_id = b.triple_id ORDER BY detected_at_ms DESC, a_triple_id, b_triple_id LIMIT 30"""
-Q15 = f"WITH {_FOUND} SELECT a_triple_id, b_triple_id, CASE WHEN k % 400 = 0 THEN 'resolved' WHEN k % 200 = 0 THEN 'reopened' ELSE 'unresolved' END AS status, CASE WHEN k % 400 = 0 THEN {NOW} END AS resolved_at_ms FROM found"
+Q15 = f"""WITH {_FOUND} SELECT a_triple_id, b_triple_id, CASE WHEN k % 400 = 0 THEN 'resolved' WHEN k % 200 = 0 THEN 'reopened' ELSE status END AS status,
+ CASE WHEN k % 400 = 0 THEN {NOW} WHEN k % 200 = 0 THEN NULL ELSE resolved_at_ms END AS resolved_at_ms FROM found"""
 G5 = f"""WITH {EPISODES}, {CLUSTERS}, {MEMBERS}, {ABSTRACTIONS}, i AS (SELECT count(*) AS n, string_agg(e.memory_id, ',' ORDER BY ts_ms, e.memory_id) AS ids FROM members m JOIN episodes e ON m.memory_id = e.memory_id WHERE cluster_id = 'cl:2' AND status = 'active')
 SELECT c.cluster_id, a.abstraction_id, n::BIGINT AS n_episodes, ids AS memory_ids FROM clusters c LEFT JOIN abstractions a ON c.cluster_id = a.cluster_id, i WHERE c.cluster_id = 'cl:2'"""
 
@@ -134,32 +140,71 @@ SELECT hops, edge_ids, nodes, round(score, 6) AS score FROM (SELECT 1 AS hops, e
 ORDER BY round(score, 6) DESC, hops, edge_ids, nodes LIMIT 20"""
 
 
+def many_paths(t: int | None) -> str:
+    valid = "" if t is None else f"WHERE valid_from_ms <= {t} AND (valid_to_ms IS NULL OR valid_to_ms > {t})"
+    rows = f"""c_custkey * {DAY}::BIGINT AS valid_from_ms, CASE WHEN c_custkey % 3 = 0 THEN (c_custkey + 400) * {DAY}::BIGINT END AS valid_to_ms"""
+    return f"""WITH edges AS (
+  SELECT 'h:' || c_custkey AS edge_id, 'nation-' || c_nationkey AS subject_id, 'customer-' || c_custkey AS object_id, {rows}, (0.5::DOUBLE + (c_custkey % 50)::DOUBLE / 100) * (0.3::DOUBLE + (c_custkey % 7)::DOUBLE / 10) AS s FROM customer
+  UNION ALL SELECT 's:' || c_custkey, 'customer-' || c_custkey, 'segment-' || lower(c_mktsegment), {rows}, (0.6::DOUBLE + (c_custkey % 40)::DOUBLE / 100) * (0.2::DOUBLE + (c_custkey % 8)::DOUBLE / 10) FROM customer
+  UNION ALL SELECT 'd:' || c_custkey, 'nation-' || c_nationkey, 'segment-' || lower(c_mktsegment), {rows}, (c_custkey % 10)::DOUBLE / 10 * 0.4::DOUBLE FROM customer),
+e AS (SELECT * FROM edges {valid}), one AS (SELECT 1 AS hops, edge_id AS edge_ids, 'nation-7>segment-building' AS nodes, s AS score FROM e WHERE subject_id = 'nation-7' AND object_id = 'segment-building' ORDER BY s DESC, edge_id LIMIT 20),
+two AS (SELECT 2 AS hops, a.edge_id || ' ' || b.edge_id AS edge_ids, 'nation-7>' || a.object_id || '>segment-building' AS nodes, sqrt(a.s * b.s) AS score FROM e a JOIN e b ON b.subject_id = a.object_id
+  WHERE a.subject_id = 'nation-7' AND b.object_id = 'segment-building' AND a.object_id NOT IN ('nation-7', 'segment-building') ORDER BY a.s * b.s DESC, a.edge_id, b.edge_id LIMIT 20)
+SELECT hops, edge_ids, nodes, round(score, 6) AS score FROM (SELECT * FROM one UNION ALL SELECT * FROM two) ORDER BY round(score, 6) DESC, hops, edge_ids, nodes LIMIT 20"""
+
+
 _EVIDENCE = """evidence AS (SELECT 'v:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey AS evidence_id, 'b:' || l_orderkey AS edge_id, 'ev:' || l_partkey AS memory_id,
-  CASE WHEN l_linenumber % 2 = 0 THEN l_orderkey % 500 END AS source_episode_id, (epoch_us(l_shipdate) // 1000) AS created_at_ms FROM lineitem)"""
-G7 = f"""WITH {_EVIDENCE}, best AS (SELECT *, row_number() OVER (PARTITION BY edge_id ORDER BY created_at_ms DESC, evidence_id) AS r FROM evidence)
-SELECT 'b:' || o_orderkey AS edge_id, 'customer-' || o_custkey AS subject_id, evidence_id, memory_id FROM orders LEFT JOIN best ON edge_id = 'b:' || o_orderkey AND r = 1"""
-G7P = f"""WITH {EPISODES}, {_EVIDENCE} SELECT evidence_id, edge_id, coalesce(substr(a.content, 1, 240), substr(b.content, 1, 240)) AS preview, 0.5::DOUBLE AS extraction_confidence
-FROM evidence v LEFT JOIN episodes a ON a.rowid_ = v.source_episode_id LEFT JOIN episodes b ON b.memory_id = v.memory_id WHERE edge_id = 'b:3' ORDER BY evidence_id LIMIT 100"""
+  CASE WHEN l_linenumber % 2 = 0 THEN l_orderkey % 500 END AS source_episode_id, l_discount AS extraction_confidence, (epoch_us(l_shipdate) // 1000) AS created_at_ms FROM lineitem)"""
+G7 = f"""WITH {TRIPLES}, {EDGES}, {_EVIDENCE}, best AS (SELECT *, row_number() OVER (PARTITION BY edge_id ORDER BY extraction_confidence DESC, created_at_ms DESC, evidence_id, memory_id) AS r FROM evidence)
+SELECT e.edge_id, e.subject_id, evidence_id, memory_id FROM edges e LEFT JOIN best b ON b.edge_id = e.edge_id AND r = 1"""
+G7P = f"""WITH {EPISODES}, {_EVIDENCE} SELECT evidence_id, edge_id, coalesce(substr(a.content, 1, 240), substr(b.content, 1, 240)) AS preview, round(extraction_confidence, 6) AS extraction_confidence
+FROM evidence v LEFT JOIN episodes a ON a.rowid_ = v.source_episode_id LEFT JOIN episodes b ON b.memory_id = v.memory_id WHERE edge_id = 'b:3' ORDER BY round(extraction_confidence, 6) DESC, evidence_id LIMIT 100"""
 _SEEDS = "('customer-1', 'customer-2', 'order-3')"
 G8 = f"""WITH {TRIPLES}, {EDGES}, e AS (SELECT *, confidence * strength * (1 + 0.05 * ln(1 + least(evidence_count, 10))) AS s FROM edges)
 SELECT hops, edge_ids, nodes, score FROM (
   SELECT 1 AS hops, edge_id AS edge_ids, subject_id || '>' || object_id AS nodes, round(s, 6) AS score FROM e WHERE subject_id IN {_SEEDS} AND object_id NOT IN {_SEEDS}
   UNION ALL SELECT 2, a.edge_id || ' ' || b.edge_id, a.subject_id || '>' || a.object_id || '>' || b.object_id, round(sqrt(a.s * b.s), 6) FROM e a JOIN e b ON b.subject_id = a.object_id
   WHERE a.subject_id IN {_SEEDS} AND a.object_id NOT IN {_SEEDS} AND b.object_id NOT IN {_SEEDS}) ORDER BY score DESC, hops, edge_ids, nodes LIMIT 50"""
-G9 = f"WITH {TRIPLES}, {EDGES} SELECT edge_id, round(confidence * strength * (1 + 0.05 * ln(1 + least(length(edge_id), 10))), 6) AS score FROM edges WHERE predicate = 'contains'"
+G9 = f"WITH {TRIPLES}, {EDGES} SELECT edge_id, round(confidence * strength * (1 + 0.05 * ln(1 + least(length(edge_id), 10))), 6) AS score FROM edges"
 G14 = f"""WITH {EPISODES}, {CLUSTERS} SELECT kind, id FROM (SELECT 'cluster' AS kind, cluster_id AS id FROM clusters UNION ALL SELECT 'document', doc_id::VARCHAR FROM documents UNION ALL SELECT 'episode', memory_id FROM episodes)
 WHERE kind > 'document' OR (kind = 'document' AND id > '5') ORDER BY kind, id LIMIT 200"""
 
-_REVIEWS = "reviews AS (SELECT 'ev:' || event_id AS memory_id, CASE WHEN event_id % 8 = 0 THEN 'approved' ELSE 'dismissed' END AS review FROM events WHERE event_id % 4 = 0)"
+_SEEDS3 = "('customer-1', 'order-3', 'nation-france')"
+_WAY = f"CASE WHEN own AND other AND subject_id = object_id THEN 'self' WHEN own AND other THEN 'between_seed_entities' WHEN own THEN 'outgoing' WHEN other THEN 'incoming' ELSE 'related' END"
+G8F = f"""WITH {TRIPLES}, f AS (SELECT triple_id AS edge_id, *, subject_id IN {_SEEDS3} AS own, object_kind = 'entity' AND object_id IN {_SEEDS3} AS other FROM triples WHERE status = 'active')
+SELECT edge_id, subject_id, predicate, object_id, object_kind, {_WAY} AS direction, round(confidence * confidence * (1 + 0.05 * ln(2)), 6) AS score,
+ 'query_entity,' || {_WAY} || CASE WHEN object_kind = 'entity' THEN ',graph_neighbor' ELSE ',literal_fact' END || ',evidence_backed' AS reason_codes
+FROM f WHERE own OR other ORDER BY object_kind = 'entity' DESC, confidence DESC, edge_id LIMIT 50"""
+_EIGHT = "(" + ", ".join(f"'customer-{i}'" for i in range(1, 9)) + ")"
+G8A = f"SELECT c_name AS alias, 'customer-' || c_custkey AS canonical_id, upper(c_name) AS display_label, (c_custkey % 10)::DOUBLE / 10 AS confidence FROM customer WHERE 'customer-' || c_custkey IN {_EIGHT} ORDER BY confidence DESC, c_custkey DESC, alias LIMIT 50"
+FACT_REVIEWS = """fact_reviews AS (SELECT 'rv:' || o_orderkey AS review_id, 'f' || o_orderkey AS fingerprint, o_orderkey AS k, 'cl:' || o_orderstatus AS cluster_id, 'customer-' || o_custkey AS subject_id, 'placed' AS predicate, 'order-' || o_orderkey AS object_id, 'entity' AS object_kind,
+  (o_orderkey % 100)::DOUBLE / 100 AS confidence, CASE WHEN o_orderkey % 2 = 0 THEN 'low_confidence' ELSE 'weak_literal_claim' END AS reason_code, CASE o_orderkey % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'dismissed' ELSE 'needs_review' END AS status, epoch_us(o_orderdate) // 1000 AS created_at_ms FROM orders)"""
+G8W = f"WITH {FACT_REVIEWS} SELECT review_id, reason_code, subject_id, predicate, object_id, object_kind, confidence FROM fact_reviews WHERE status = 'needs_review' AND subject_id IN {_EIGHT} ORDER BY created_at_ms DESC, review_id LIMIT 50"
+_GRAPH = f"""{TRIPLES}, {CHUNKS}, {MEMBERS}, ge AS (SELECT 'triple' AS kind, triple_id AS edge_id, subject_id AS source, object_id AS target FROM triples WHERE status = 'active' AND object_kind = 'entity'
+  UNION ALL SELECT 'document_chunk', doc_id || ':' || chunk_index, doc_id::VARCHAR, doc_id || ':' || chunk_index FROM chunks UNION ALL SELECT 'cluster_member', cluster_id || ':' || memory_id, cluster_id, memory_id FROM members)"""
+G14E = f"WITH {_GRAPH} SELECT * FROM ge WHERE kind > 'document_chunk' OR (kind = 'document_chunk' AND edge_id > '5') ORDER BY kind, edge_id LIMIT 300"
+G14N = f"""WITH {_GRAPH} SELECT * FROM (SELECT 'out' AS direction, kind, edge_id, target AS node FROM ge WHERE source = 'customer-2' UNION ALL SELECT 'in', kind, edge_id, source FROM ge WHERE target = 'customer-2' AND source <> 'customer-2')
+ORDER BY direction, kind, edge_id, node LIMIT 100"""
+G14I = f"""WITH {_GRAPH} SELECT 'order-3' AS node, count(*) FILTER (source = 'order-3') AS n_out, count(*) FILTER (target = 'order-3') AS n_in, coalesce(string_agg(DISTINCT kind, ',' ORDER BY kind) FILTER (source = 'order-3'), '') AS out_kinds,
+ coalesce(string_agg(DISTINCT kind, ',' ORDER BY kind) FILTER (target = 'order-3'), '') AS in_kinds FROM ge WHERE source = 'order-3' OR target = 'order-3'"""
+_REVIEWS = "reviews AS (SELECT 'ev:' || doc_id AS memory_id, CASE WHEN quality = 1 THEN 'approved' ELSE 'dismissed' END AS review FROM labels)"
 G13 = f"""WITH {EPISODES}, {_REVIEWS} SELECT e.memory_id, ts_ms, source_type, CASE WHEN length(content) > 20 THEN substr(content, 1, 17) || '...' ELSE content END AS preview, coalesce(review, 'pending') AS review
 FROM (SELECT * FROM episodes WHERE status = 'active' ORDER BY ts_ms DESC, rowid_ DESC LIMIT 60) e LEFT JOIN reviews r ON e.memory_id = r.memory_id"""
 G16 = f"WITH {EPISODES} SELECT rowid_ AS rowid, ts_ms, principal, source_type AS operation FROM episodes WHERE source_type = 'error' AND ts_ms >= 1704153600000 ORDER BY ts_ms DESC, rowid_ DESC LIMIT 100"
 G17 = f"WITH {EPISODES} SELECT source_type, count(*) AS n FROM episodes WHERE ts_ms >= 1705000000000 GROUP BY source_type"
 _LOST = "SELECT rowid_ FROM episodes WHERE principal = 'user-8'"
-G18 = f"""WITH {EPISODES}, {TRIPLES} SELECT count(*) AS n, 'episodes' AS what FROM episodes WHERE principal <> 'user-8'
-UNION ALL SELECT count(*), predicate FROM triples WHERE source_episode_id IS NULL OR source_episode_id NOT IN ({_LOST}) GROUP BY predicate"""
-G19 = f"""WITH {EPISODES}, {TRIPLES}, lost AS (SELECT * FROM triples WHERE source_episode_id IN ({_LOST}))
-SELECT (SELECT count(*) FROM ({_LOST})) AS episodes, (SELECT count(*) FROM lost) AS facts, (SELECT count(*) FROM triples WHERE source_episode_id IS NULL AND cluster_id IN (SELECT cluster_id FROM lost WHERE cluster_id IS NOT NULL)) AS orphans"""
+G18 = f"""WITH {EPISODES}, {TRIPLES}, {MEMBERS}, {CHUNKS} SELECT count(*) AS n, 'episodes' AS what FROM episodes WHERE principal IS DISTINCT FROM 'user-8'
+UNION ALL SELECT count(*), predicate FROM triples WHERE source_episode_id IS NULL OR source_episode_id NOT IN ({_LOST}) GROUP BY predicate
+UNION ALL SELECT count(*), 'members' FROM members WHERE memory_id NOT IN (SELECT memory_id FROM episodes WHERE principal = 'user-8') UNION ALL SELECT count(*), 'chunks' FROM chunks WHERE ingested_by <> 'user-8'"""
+G19 = f"""WITH {EPISODES}, {TRIPLES}, {MEMBERS}, {CHUNKS}, lost AS (SELECT * FROM triples WHERE source_episode_id IN ({_LOST})), touched AS (SELECT cluster_id FROM members WHERE memory_id IN (SELECT memory_id FROM episodes WHERE principal = 'user-8'))
+SELECT (SELECT count(*) FROM ({_LOST})) AS episodes, (SELECT count(*) FROM lost) AS facts, (SELECT count(*) FROM chunks WHERE ingested_by = 'user-8') AS chunks, (SELECT count(*) FROM triples WHERE source_episode_id IS NULL AND cluster_id IN (SELECT cluster_id FROM touched)) AS orphans"""
+W4C = f"WITH {EPISODES}, {TRIPLES} SELECT predicate, count(*) FILTER (source_episode_id IS NOT NULL AND source_episode_id NOT IN ({_LOST})) AS with_source, count(*) AS n FROM triples GROUP BY predicate"
+W5 = "SELECT 'clusters' AS what, 0::BIGINT AS n UNION ALL SELECT 'facts', 0 UNION ALL SELECT 'abstractions', 0 UNION ALL SELECT 'episodes', count(*) FROM events"
+W6 = f"""WITH {EPISODES}, {CHUNKS}, outbox AS (SELECT event_id AS entry_id, CASE WHEN event_id % 2 = 0 THEN 'episode' ELSE 'chunk' END AS kind, CASE WHEN event_id % 2 = 0 THEN event_id ELSE event_id * 500 END AS target_id FROM events)
+SELECT * FROM outbox WHERE entry_id % 5 <> 0 AND CASE kind WHEN 'episode' THEN target_id IN (SELECT rowid_ FROM episodes WHERE status = 'active') ELSE target_id IN (SELECT chunk_id FROM chunks) END"""
+Q16 = """SELECT l_orderkey AS memory_id, op_id, created_at_ms FROM (SELECT l_orderkey, l_linenumber || ':' || l_partkey || ':' || l_suppkey || ':' || l_quantity::INT AS op_id, epoch_us(l_shipdate) // 1000 AS created_at_ms FROM lineitem)
+QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY created_at_ms DESC, op_id DESC) = 1"""
+M7 = f"WITH {EPISODES} SELECT source_type, count(*) AS n FROM episodes WHERE ts_ms >= {NOW} - 20 * {DAY}::BIGINT GROUP BY source_type"
 A4 = f"WITH {EPISODES} SELECT tier, status, count(*) AS n FROM episodes GROUP BY tier, status"
 S2 = f"WITH {EPISODES} SELECT memory_id, ts_ms, content, tier, status FROM episodes WHERE memory_id = 'ev:17'"
 W1 = f"""WITH b AS (
@@ -168,8 +213,23 @@ W1 = f"""WITH b AS (
 SELECT entity_id, max(confidence) AS confidence, min(a) AS first_seen_ms, max(z) AS last_seen_ms, coalesce(arg_min(name, age) FILTER (name <> entity_id), entity_id) AS name FROM b GROUP BY entity_id"""
 W2 = "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'new ' || n_name END AS n_name FROM nation"
 W3 = "SELECT o_orderkey, event_id AS source_episode_id FROM orders LEFT JOIN events ON event_id = o_orderkey"
-W4 = f"WITH {EPISODES} SELECT tier, count(*) AS n FROM episodes WHERE rowid_ % 4 <> 0 OR rowid_ % 8 = 0 GROUP BY tier"
-W7 = "SELECT 'b:' || o_orderkey AS edge_id, count(*) AS evidence_count FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey"
+W4 = f"WITH {EPISODES}, {_REVIEWS} SELECT tier, count(*) AS n FROM episodes WHERE memory_id NOT IN (SELECT memory_id FROM reviews WHERE review = 'dismissed') GROUP BY tier"
+W7 = f"WITH {TRIPLES}, {EDGES}, {_EVIDENCE} SELECT e.edge_id, count(*) AS evidence_count FROM edges e JOIN evidence v ON e.edge_id = v.edge_id GROUP BY e.edge_id"
+W1A = f"""WITH o AS (SELECT * FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT * FROM customer WHERE c_custkey % 4 <> 0)
+SELECT c.c_name AS alias, CASE WHEN n.c_custkey IS NULL THEN '' ELSE 'new-' END || 'customer-' || c.c_custkey AS canonical_id, upper(c.c_name) AS display_label, CASE WHEN o.c_custkey IS NULL THEN 'gate' ELSE 'names' END AS source,
+ CASE WHEN n.c_custkey IS NULL THEN (c.c_custkey % 10)::DOUBLE / 10 WHEN o.c_custkey IS NULL THEN 0.45::DOUBLE ELSE greatest((c.c_custkey % 10)::DOUBLE / 10, 0.45::DOUBLE) END AS confidence, CASE WHEN o.c_custkey IS NULL THEN {NOW} ELSE c.c_custkey END AS created_at_ms,
+ CASE WHEN n.c_custkey IS NULL THEN c.c_custkey ELSE {NOW} END AS updated_at_ms FROM customer c LEFT JOIN o ON o.c_custkey = c.c_custkey LEFT JOIN n ON n.c_custkey = c.c_custkey WHERE o.c_custkey IS NOT NULL OR n.c_custkey IS NOT NULL"""
+W1C = """WITH k AS (SELECT o_orderkey AS k, o_orderkey % 3 <> 0 AS old, o_orderkey % 4 <> 0 AS new, o_orderkey % 5 = 0 AS act FROM orders)
+SELECT 'f' || k AS fingerprint, CASE WHEN old THEN 'o' ELSE 'n' END || k AS claim_id, CASE WHEN k % 2 = 0 THEN CASE WHEN NOT new THEN 'or' || k WHEN act AND old THEN NULL ELSE 'nr' || k END END AS review_id, CASE WHEN new THEN (k % 10)::DOUBLE / 10 ELSE (k % 7)::DOUBLE / 10 END AS quality_score,
+ CASE WHEN new AND act THEN 'active' WHEN old AND (NOT new OR k % 7 = 0) THEN CASE WHEN k % 7 = 0 THEN 'rejected' ELSE 'quarantined' END ELSE 'needs_review' END AS status, (CASE WHEN old AND NOT (new AND act) THEN 2 ELSE 1 END)::BIGINT AS evidence_count,
+ old AND k % 7 = 0 AS user_approved, (CASE WHEN old THEN 1 ELSE 2 END)::BIGINT AS created_at_ms, (CASE WHEN new AND act THEN 2 END)::BIGINT AS activated_at_ms FROM k WHERE old OR new"""
+W1R = f"""WITH {FACT_REVIEWS} SELECT fingerprint, CASE WHEN k % 3 = 0 THEN 'new-' ELSE '' END || review_id AS review_id, CASE WHEN k % 3 = 0 THEN 'cl:new' ELSE cluster_id END AS cluster_id, CASE WHEN k % 4 <> 0 THEN confidence / 2 ELSE confidence END AS confidence, CASE WHEN k % 4 <> 0 THEN 'again' ELSE reason_code END AS reason_code,
+ CASE WHEN k % 3 = 0 THEN 'needs_review' ELSE status END AS status, CASE WHEN k % 3 = 0 THEN {NOW} ELSE created_at_ms END AS created_at_ms FROM fact_reviews WHERE k % 3 <> 0 OR k % 4 <> 0"""
+W1E = f"""WITH {TRIPLES}, {EDGES}, e AS (SELECT *, length(edge_id) % 2 = 0 AS old, length(subject_id) % 2 = 0 AS new FROM edges QUALIFY row_number() OVER (PARTITION BY edge_id ORDER BY valid_from_ms DESC, object_id DESC) = 1)
+SELECT edge_id, subject_id, CASE WHEN new THEN object_id ELSE 'old' END AS object_id, CASE WHEN new THEN round(confidence, 6) ELSE 0.1::DOUBLE END AS confidence, (CASE WHEN old THEN 9 ELSE 1 END)::BIGINT AS evidence_count, CASE WHEN new THEN 'active' ELSE 'superseded' END AS status, (CASE WHEN old THEN 1 ELSE 2 END)::BIGINT AS created_at_ms FROM e WHERE old OR new"""
+W1V = f"""WITH {TRIPLES}, e AS (SELECT *, length(triple_id) % 2 = 0 AS old, object_kind = 'entity' AS new FROM triples WHERE status = 'active' QUALIFY row_number() OVER (PARTITION BY triple_id ORDER BY valid_from_ms DESC, object_id DESC) = 1)
+SELECT triple_id, CASE WHEN old THEN 'v-' ELSE '' END || triple_id AS evidence_id, CASE WHEN new THEN source_episode_id ELSE 1 END AS source_episode_id, (CASE WHEN new THEN 2 ELSE 1 END)::BIGINT AS created_at_ms FROM e WHERE old OR new"""
+W1S = "SELECT 'customer-' || c_custkey AS entity_id, CASE WHEN c_custkey % 3 = 0 THEN 'active' WHEN c_custkey % 2 = 1 THEN 'merged' WHEN c_custkey % 4 <> 0 THEN 'active' ELSE 'candidate' END AS status FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 4 <> 0"
 W8 = f"WITH {EPISODES} SELECT CASE WHEN rowid_ IN (1, 2, 17) THEN 'forgotten' ELSE status END AS status, count(*) AS n FROM episodes GROUP BY 1"
 
 
@@ -259,6 +319,18 @@ JUDGED = f"""raw AS (SELECT triple_id, {clean('subject_id')} AS s, {clean('predi
     CASE {_start('s', 'p', 'o')} WHEN NOT {_USEFUL_P('np')} THEN 'weak_predicate' WHEN ns = '' THEN 'weak_subject' WHEN nk <> 'literal' AND no = '' THEN 'weak_object' WHEN nk = 'literal' AND NOT {_USEFUL_L('no')} THEN 'weak_literal'
       WHEN nk = 'literal' THEN {_literal('ns', 'np', 'no', 'false')} END AS reason_code FROM made)"""
 Q3 = f"WITH {EXTRACTED}, {JUDGED} SELECT * FROM judged"
+ROLES = ("assistant", "AI Assistant", "chat-assistant", "System", "model", "LLM", "Bob", "", "  ")
+CLAIMS = ("can assist", "has_access", "based on", "likes", "Cannot Assist", "", "provider")
+ANSWERS = ("true", "False", "I can't do that, sorry", "no access", "unable to", "42", " ")
+_COMPACT = lambda e: f"regexp_replace(substr(regexp_replace(regexp_replace(lower({e}), '[^a-z0-9]+', '_', 'g'), '^_', ''), 1, 120), '_$', '')"
+_SAID = f"""said AS (SELECT triple_id, CASE WHEN k % 2 = 0 THEN ([{', '.join(map(_q, ROLES))}])[(k % {len(ROLES)})::INT + 1] ELSE subject_id END AS s, CASE WHEN k % 3 = 0 THEN ([{', '.join(map(_q, CLAIMS))}])[(k % {len(CLAIMS)})::INT + 1] ELSE predicate END AS p,
+  CASE WHEN k % 5 = 0 THEN ([{', '.join(map(_q, ANSWERS))}])[(k % {len(ANSWERS)})::INT + 1] ELSE object_id END AS o, object_kind FROM (SELECT *, substr(triple_id, 3)::BIGINT AS k FROM extracted))"""
+Q2 = f"""WITH {EXTRACTED}, {_SAID}, c AS (SELECT *, {_COMPACT('s')} AS cs, {_COMPACT('p')} AS cp, {_COMPACT('o')} AS co FROM said)
+SELECT triple_id, CASE WHEN trim(o) = '' THEN 'empty object_id' WHEN trim(s) = '' THEN 'empty subject_id' WHEN trim(p) = '' THEN 'empty predicate' WHEN cs IN ({', '.join(map(_q, X.RUNTIME_ROLES))}) AND cp IN ({', '.join(map(_q, X.RUNTIME_PREDICATES))}) THEN 'runtime metadata'
+ WHEN cs IN ({', '.join(map(_q, X.RUNTIME_ROLES))}) AND object_kind = 'literal' AND (co IN ('true', 'false') OR {_any(f"contains(co, {_q(r)})" for r in X.REFUSALS)}) THEN 'refusal or capability literal' END AS reason FROM c"""
+C15 = """SELECT event_id, strftime(make_timestamp(ms * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS told, ms AS back, ms - 9000000 AS shifted, NULL::BIGINT AS none,
+ CASE event_id % 5 WHEN 0 THEN event_id % 90 WHEN 1 THEN event_id % 90 * 60 WHEN 2 THEN event_id % 90 * 3600 WHEN 3 THEN event_id % 90 * 86400 END AS seconds FROM (SELECT event_id, epoch_us(ts) // 1000 AS ms FROM events)"""
+C20 = "SELECT event_id, event_id % 11 <> 0 AND (event_id % 7 = 0 OR value / 100 BETWEEN 0 AND 1) AS valid FROM events"
 _STATUS = "WHEN reason_code IN ('assistant_or_tool_chatter', 'long_machine_blob') THEN 'quarantined' WHEN reason_code IN ('metadata_subject', 'incomplete_shape', 'invalid_object_kind') THEN 'rejected' ELSE 'needs_review' END"
 
 
@@ -296,28 +368,38 @@ Q17 = f"""WITH {EPISODES}, {TRIPLES}, {CLUSTERS}, {MEMBERS}, {ABSTRACTIONS}, r A
 SELECT *, {_PERCENT('clustered_episodes', 'active_episodes')} AS cluster_percent, {_PERCENT('abstraction_covered', 'clusters')} AS abstraction_percent, {_PERCENT('graph_covered', 'clusters')} AS graph_percent FROM r"""
 
 _KEY = "lower(regexp_replace(entity_id, '[^A-Za-z0-9]', '', 'g'))"
-_ISSUES = f"""{EPISODES}, {TRIPLES}, {CLUSTERS}, {MEMBERS}, {ABSTRACTIONS}, {_COUNTED}, live AS (SELECT * FROM triples WHERE status = 'active'), {REFS}, labels AS (SELECT DISTINCT entity_id FROM refs),
-  linked AS (SELECT subject_id AS id FROM live WHERE object_kind = 'entity' UNION SELECT object_id FROM live WHERE object_kind = 'entity'),
-  ca AS (SELECT c.*, k.n, a.content FROM clusters c LEFT JOIN counted k ON c.cluster_id = k.cluster_id LEFT JOIN abstractions a ON c.cluster_id = a.cluster_id),
-  v AS (SELECT (SELECT count(*) FROM episodes WHERE status = 'active') AS episodes, (SELECT count(*) FROM clusters) AS clusters, (SELECT sum(n) FROM counted) AS clustered, (SELECT count(*) FROM live) AS facts,
-    (SELECT count(*) FROM live WHERE object_kind = 'literal') AS literals),
-  issues AS (SELECT severity, code, n::BIGINT AS n FROM (
-    SELECT 'warning' AS severity, 'no_clusters' AS code, episodes AS n, episodes > 0 AND clusters = 0 AS found FROM v
-    UNION ALL SELECT 'info', 'no_active_triples', 0, facts = 0 FROM v
-    UNION ALL SELECT 'info', 'unclustered_episodes', episodes - clustered, episodes > clustered FROM v
-    UNION ALL SELECT 'warning', 'literal_fact_dominance', literals, facts >= 10 AND literals >= 0.7 * facts FROM v
-    UNION ALL SELECT 'warning', 'long_literal_objects', count(*), count(*) > 0 FROM live WHERE object_kind = 'literal' AND length(object_id) > 160
-    UNION ALL SELECT 'warning', 'low_confidence_facts', count(*), count(*) > 0 FROM live WHERE confidence < 0.85
-    UNION ALL SELECT 'warning', 'entity_triples_without_source_episode', count(*), count(*) > 0 FROM live WHERE object_kind = 'entity' AND source_episode_id IS NULL
-    UNION ALL SELECT 'warning', 'literal_only_entities', count(*), count(*) > 0 FROM labels WHERE entity_id NOT IN (SELECT id FROM linked)
-    UNION ALL SELECT 'warning', 'possible_entity_aliases', count(*), count(*) > 0 FROM (SELECT {_KEY} FROM labels WHERE {_KEY} <> '' GROUP BY 1 HAVING count(*) > 1)
-    UNION ALL SELECT 'warning', 'path_like_entities', count(*), count(*) > 0 FROM labels WHERE contains(entity_id, '/') OR contains(entity_id, '\\')
-    UNION ALL SELECT 'warning', 'commit_like_entities', count(*), count(*) > 0 FROM labels WHERE regexp_matches(lower(entity_id), '^(commit[_-])?[0-9a-f]{{6,40}}$')
-    UNION ALL SELECT 'info', 'machine_identifier_entities', count(*), count(*) > 0 FROM labels WHERE {_machine_id('entity_id')}
-    UNION ALL SELECT 'warning', 'low_coherence_clusters', count(*), count(*) > 0 FROM ca WHERE coherence < 0.72
-    UNION ALL SELECT 'warning', 'clusters_missing_abstractions', count(*), count(*) > 0 FROM ca WHERE n > 0 AND content IS NULL
-    UNION ALL SELECT 'critical', 'low_signal_abstractions', count(*), count(*) > 0 FROM ca WHERE contains(lower(content), 'unable to provide assistance')) WHERE found)"""
+_CUT = lambda e, n: f"(CASE WHEN length({e}) > {n} THEN substr({e}, 1, {n}) || '...' ELSE {e} END)"
+_FACT_SAMPLE = f"subject_id || ' --' || predicate || '--> ' || {_CUT('object_id', 120)} || ' [' || object_kind || ' ' || printf('%.2f', confidence) || '] (' || triple_id || ')'"
+_CLUSTER_SAMPLE = f"cluster_id || ' coherence=' || printf('%.3f', coherence) || ' episodes=' || n || ' ' || coalesce({_CUT('content', 140)}, 'no abstraction')"
+_LOW = _any(f"contains(lower(content), {_q(p)})" for p in X.LOW_SIGNAL)
+_TOTALS = f"""live AS (SELECT * FROM triples WHERE status = 'active'), {REFS}, totals AS (SELECT (SELECT count(*) FROM episodes WHERE status = 'active') AS active_episodes, (SELECT count(DISTINCT m.memory_id) FROM members m JOIN episodes e ON m.memory_id = e.memory_id WHERE status = 'active') AS clustered_episodes,
+  (SELECT count(*) FROM clusters) AS clusters, (SELECT count(*) FROM abstractions) AS abstractions, (SELECT count(*) FROM live) AS active_triples, (SELECT count(*) FROM live WHERE object_kind = 'entity') AS entity_triples, (SELECT count(*) FROM live WHERE object_kind = 'literal') AS literal_triples,
+  (SELECT count(*) FROM fact_reviews WHERE status = 'needs_review') AS triple_reviews_needs_review, (SELECT count(DISTINCT entity_id) FROM refs) AS distinct_entities, (SELECT count(*) FROM orders) AS contradictions)"""
+
+
+def _hits(code: str, table: str, test: str, sample: str, order: str) -> str:
+    return f"SELECT '{code}' AS code, {sample} AS sample, row_number() OVER (ORDER BY {order}) AS place FROM {table} WHERE {test}"
+
+
+_BY_FACT = [("literal_fact_dominance", "object_kind = 'literal'"), ("long_literal_objects", "object_kind = 'literal' AND length(object_id) > 160"), ("low_confidence_facts", "confidence < 0.85"), ("entity_triples_without_source_episode", "object_kind = 'entity' AND source_episode_id IS NULL")]
+_BY_LABEL = [("path_like_entities", "contains(entity_id, '/') OR contains(entity_id, '\\')"), ("commit_like_entities", "regexp_matches(lower(entity_id), '^(commit[_-])?[0-9a-f]{6,40}$')"), ("machine_identifier_entities", _machine_id("entity_id"))]
+_BY_CLUSTER = [("low_coherence_clusters", "coherence < 0.72"), ("clusters_missing_abstractions", "n > 0 AND content IS NULL"), ("low_signal_abstractions", _LOW)]
+_HITS = " UNION ALL ".join([
+    *(_hits(c, "live", t, _FACT_SAMPLE, "valid_from_ms DESC, triple_id") for c, t in _BY_FACT), *(_hits(c, "labels", t, "entity_id", "entity_id") for c, t in _BY_LABEL),
+    _hits("literal_only_entities", "labels", "NOT linked", "entity_id || ' (' || refs || ' fact refs)'", "entity_id"), _hits("possible_entity_aliases", "aliased", "true", "l", "k"),
+    *(_hits(c, "ca", t, _CLUSTER_SAMPLE, "created_at_ms DESC, cluster_id") for c, t in _BY_CLUSTER), _hits("triple_review_queue", "fact_reviews", "status = 'needs_review'", "reason_code || ': ' || subject_id || ' ' || predicate || ' ' || object_id", "created_at_ms DESC, review_id"),
+])
+_SEVERITY = "CASE code " + " ".join(f"WHEN '{c}' THEN '{v}'" for c, v in quality_gate.SEVERITIES.items()) + " END"
+_ISSUES = f"""{EPISODES}, {TRIPLES}, {CLUSTERS}, {MEMBERS}, {ABSTRACTIONS}, {FACT_REVIEWS}, {_COUNTED}, {_TOTALS},
+  named AS (SELECT subject_id AS entity_id, object_kind = 'entity' AS edge FROM live UNION ALL SELECT object_id, true FROM live WHERE object_kind = 'entity'), labels AS (SELECT entity_id, count(*) AS refs, bool_or(edge) AS linked FROM named GROUP BY entity_id),
+  aliased AS (SELECT {_KEY} AS k, string_agg(entity_id, ' | ' ORDER BY entity_id) AS l FROM labels WHERE {_KEY} <> '' GROUP BY 1 HAVING count(*) > 1),
+  ca AS (SELECT c.*, coalesce(k.n, 0) AS n, a.content FROM clusters c LEFT JOIN counted k ON c.cluster_id = k.cluster_id LEFT JOIN abstractions a ON c.cluster_id = a.cluster_id), hits AS ({_HITS}),
+  found AS (SELECT code, count(*) AS n, string_agg(sample, chr(10) ORDER BY place) FILTER (place <= 8) AS samples FROM hits GROUP BY code
+    UNION ALL SELECT 'no_clusters', active_episodes, '' FROM totals WHERE active_episodes > 0 AND clusters = 0 UNION ALL SELECT 'no_active_triples', 0, '' FROM totals WHERE active_triples = 0
+    UNION ALL SELECT 'unclustered_episodes', active_episodes - clustered_episodes, '' FROM totals WHERE active_episodes > clustered_episodes),
+  issues AS (SELECT {_SEVERITY} AS severity, code, n, samples FROM found, totals WHERE code <> 'literal_fact_dominance' OR (active_triples >= 10 AND literal_triples >= 0.7 * active_triples))"""
 Q18 = f"WITH {_ISSUES} SELECT * FROM issues"
+Q18T = f"WITH {EPISODES}, {TRIPLES}, {CLUSTERS}, {MEMBERS}, {ABSTRACTIONS}, {FACT_REVIEWS}, {_TOTALS} SELECT * FROM totals"
 Q18H = f"""WITH {_ISSUES}, k AS (SELECT count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'info') AS infos FROM issues),
   s AS (SELECT *, greatest(0, least(100, 100 - critical * 20 - warnings * 7 - infos * 2))::BIGINT AS score FROM k)
 SELECT *, CASE WHEN score >= 90 THEN 'excellent' WHEN score >= 75 THEN 'good' WHEN score >= 60 THEN 'needs_review' ELSE 'weak' END AS grade FROM s"""
@@ -333,12 +415,38 @@ K1 = f"WITH {_PAIRS} SELECT * FROM pairs"
 K2 = f"""WITH RECURSIVE {_PAIRS}, both_ AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach AS (SELECT DISTINCT a AS id, a AS other FROM both_ UNION SELECT r.id, e.b FROM reach r JOIN both_ e ON r.other = e.a),
   comp AS (SELECT id, min(other) AS component FROM reach GROUP BY id), cut AS (SELECT component, id, (row_number() OVER (PARTITION BY component ORDER BY id) - 1) // 48 AS part FROM comp)
 SELECT min(id) OVER (PARTITION BY component, part) AS cluster_id, id FROM cut QUALIFY count(*) OVER (PARTITION BY component, part) >= 2"""
+_MADE = f"""{_PAIRS}, both_ AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach AS (SELECT DISTINCT a AS id, a AS other FROM both_ UNION SELECT r.id, e.b FROM reach r JOIN both_ e ON r.other = e.a),
+  comp AS (SELECT id, min(other) AS component FROM reach GROUP BY id), cut AS (SELECT component, id, (row_number() OVER (PARTITION BY component ORDER BY id) - 1) // 48 AS part FROM comp),
+  made AS (SELECT min(id) OVER (PARTITION BY component, part) AS cluster_id, id FROM cut QUALIFY count(*) OVER (PARTITION BY component, part) >= 2)"""
+K6 = f"WITH RECURSIVE {_MADE} SELECT id FROM days WHERE id NOT IN (SELECT id FROM made)"
+_PLAN = f"""{_MADE}, pos AS (SELECT cluster_id, p, avg(v[p] / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS x, count(*) AS n FROM made JOIN days ON made.id = days.id, LATERAL (SELECT unnest(range(1, len(v) + 1)) AS p) q GROUP BY ALL),
+  cents AS (SELECT cluster_id, max(n) AS n, list(x ORDER BY p) AS v FROM pos GROUP BY cluster_id), near AS (SELECT a.cluster_id AS a, b.cluster_id AS b FROM cents a JOIN cents b ON a.cluster_id <> b.cluster_id WHERE round(list_cosine_similarity(a.v, b.v), 6) >= 0.3),
+  grown AS (SELECT DISTINCT a AS id, a AS other FROM near UNION SELECT g.id, n.b FROM grown g JOIN near n ON g.other = n.a), grp AS (SELECT id, min(other) AS component FROM grown GROUP BY id),
+  best AS (SELECT component, sum(n) AS total, arg_min(id, (-n, id)) AS survivor FROM grp JOIN cents ON id = cluster_id GROUP BY component),
+  plan AS (SELECT survivor, id AS loser FROM grp JOIN best ON grp.component = best.component WHERE total <= 48 AND id <> survivor)"""
+K3 = f"WITH RECURSIVE {_PLAN} SELECT * FROM plan"
+K5 = f"WITH RECURSIVE {_PLAN} SELECT count(*) AS losers, count(DISTINCT survivor) AS groups FROM plan"
+_EMBEDDED = "embedded AS (SELECT vec_id::BIGINT AS rowid_, CASE WHEN vec_id % 4 = 0 THEN 'old' ELSE 'now' END AS embedder FROM embeddings)"
+K6S = f"WITH {EPISODES}, {_EMBEDDED} SELECT e.rowid_ AS id, ts_ms FROM episodes e JOIN embedded v ON e.rowid_ = v.rowid_ WHERE tier = 'hot' AND status = 'active' AND embedder = 'now' AND ts_ms >= {NOW} - 30 * {DAY}::BIGINT"
+K7 = f"""WITH {EPISODES}, {_EMBEDDED}, b AS (SELECT * FROM embedded UNION ALL SELECT rowid_, 'now' FROM embedded WHERE rowid_ % 8 = 0), live AS (SELECT rowid_ FROM episodes WHERE status = 'active')
+SELECT rowid_ AS rowid, embedder FROM b WHERE rowid_ NOT IN (SELECT rowid_ FROM live) UNION ALL SELECT rowid_, embedder FROM b WHERE embedder <> 'now' AND rowid_ IN (SELECT rowid_ FROM live) AND rowid_ IN (SELECT rowid_ FROM b WHERE embedder = 'now')"""
+K7E = f"WITH {EPISODES}, {_EMBEDDED} SELECT embedder, count(*) AS n FROM (SELECT embedder FROM embedded UNION ALL SELECT 'now' FROM episodes WHERE status = 'active' AND rowid_ NOT IN (SELECT rowid_ FROM embedded WHERE embedder = 'now')) GROUP BY embedder"
 _UNIT = """u AS (SELECT label::BIGINT AS cluster_id, pos::BIGINT AS pos, e[pos + 1] / sqrt(list_sum(list_transform(e, lambda y: y * y))) AS x FROM (SELECT label, embedding::DOUBLE[] AS e, unnest(range(len(embedding))) AS pos FROM embeddings))"""
 A10 = f"""WITH {_UNIT}, m AS (SELECT cluster_id, pos, avg(x) AS x, count(*) AS n FROM u GROUP BY ALL)
 SELECT cluster_id, n, pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY cluster_id)), 6) AS x FROM m"""
 A11 = """SELECT a.label::BIGINT AS cluster_id, round(avg(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS coherence FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY a.label
 UNION ALL SELECT label, 1.0 FROM embeddings GROUP BY label HAVING count(*) = 1"""
 
+A10M = f"""WITH {_UNIT}, m AS (SELECT cluster_id, pos, avg(x) AS x, count(*) AS n FROM u GROUP BY ALL), c AS (SELECT cluster_id, pos, n, x / sqrt(sum(x * x) OVER (PARTITION BY cluster_id)) AS x FROM m), h AS ({A11}),
+  j AS (SELECT c.cluster_id - c.cluster_id % 2 AS g, pos, sum(x * n) AS x, sum(n) AS n, sum(coherence * n) AS s FROM c JOIN h ON c.cluster_id = h.cluster_id GROUP BY ALL), f AS (SELECT *, x / sqrt(sum(x * x) OVER (PARTITION BY g)) AS y FROM j)
+SELECT g AS cluster_id, n::BIGINT AS n, round(s / n, 6) AS coherence, round(y, 6) AS first FROM f WHERE pos = 0"""
+D2I = """WITH h AS (SELECT doc_id, text, sha256(text) AS content_hash FROM documents), known AS (SELECT content_hash FROM h WHERE octet_length(encode(text)) % 7 = 0), m AS (SELECT content_hash, min(doc_id) AS doc_id FROM h GROUP BY content_hash)
+SELECT doc_id, content_hash, octet_length(encode(text)) AS byte_size FROM h JOIN m USING (doc_id, content_hash) WHERE content_hash NOT IN (SELECT content_hash FROM known)"""
+D5I = f"""WITH {CHUNKS} SELECT 3::BIGINT AS doc_id, 'chat 3' AS source, (SELECT coalesce(string_agg(substr(text, 1, 200), chr(10) ORDER BY chunk_index), '') FROM chunks WHERE doc_id = 3) AS previews, (SELECT CASE WHEN quality = 1 THEN 'done' ELSE 'failed' END FROM labels WHERE doc_id = 3) AS extraction_status,
+ (SELECT CASE WHEN quality <> 1 THEN 'no text' END FROM labels WHERE doc_id = 3) AS extraction_error, (SELECT string_agg(page_id * 2, ',') FROM pages WHERE page_id = 3) AS asset_ids WHERE EXISTS (SELECT 1 FROM conversations WHERE conv_id = 3)"""
+S6 = "SELECT 'r' || n_regionkey || '.csv' AS path, string_agg('row ' || (2 * place - 1) || ': ' || n_nationkey || ' | ' || trim(n_name), chr(10) ORDER BY place) AS text, NULL::VARCHAR AS error FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS place FROM nation) GROUP BY n_regionkey"
+S13 = "SELECT conv_id::VARCHAR AS conv_id, 'A chat' AS title, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, CASE role WHEN 'human' THEN 'user' ELSE coalesce(role, 'unknown') END AS role, text FROM conversations WHERE trim(text) <> ''"
+S22 = "SELECT doc_id, text FROM documents WHERE text <> ''"
 D2 = "SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY 1"
 
 
@@ -376,11 +484,26 @@ S15 = f"""WITH a AS (SELECT page_id, unnest(range(len(l))) AS place, unnest(l) A
   h AS (SELECT page_id, place, regexp_extract(a, '(?is)href\\s*=\\s*"([^"]*)"', 1) AS href, {_unescape("trim(regexp_replace(regexp_replace(a, '(?is)^<a" + chr(92) + "s+[^>]*>|</a>$', '', 'g'), '(?is)<[^>]+>', '', 'g'))")} AS title FROM a)
 SELECT page_id, place, {_unescape('href')} AS url, CASE WHEN title = '' THEN href ELSE title END AS title FROM h WHERE trim(href) <> ''"""
 
-D6 = "SELECT doc_id, source, page_id AS asset_id, sha256(html) AS sha256, octet_length(encode(html))::BIGINT AS byte_size FROM pages JOIN documents ON doc_id = page_id WHERE page_id % 2 = 0"
+D6 = "SELECT doc_id, source, a.page_id AS asset_id, sha256(a.html) AS sha256, octet_length(encode(a.html))::BIGINT AS byte_size FROM pages p JOIN documents ON doc_id = p.page_id JOIN pages a ON a.page_id = p.page_id * 2"
 J15 = """SELECT 'at:' || event_id AS attachment_id, 'ev:' || event_id AS memory_id, epoch_us(ts) // 1000 AS ts_ms, CASE WHEN event_id % 20 = 0 THEN event_id END AS doc_id, source, CASE WHEN event_id % 20 <> 0 THEN event_id END AS asset_id, sha256(html) AS sha256
-FROM events LEFT JOIN documents ON event_id % 20 = 0 AND doc_id = event_id LEFT JOIN pages ON event_id % 20 <> 0 AND page_id = event_id WHERE event_id % 10 = 0"""
-J12 = "SELECT page_id AS asset_id FROM pages WHERE page_id % 2 = 0"
+FROM events LEFT JOIN documents ON event_id % 20 = 0 AND doc_id = event_id LEFT JOIN pages ON event_id % 20 <> 0 AND page_id = event_id"""
+J12 = "SELECT page_id AS asset_id FROM pages WHERE page_id IN (SELECT page_id * 2 FROM pages)"
 G22 = f"""WITH {EPISODES} SELECT * FROM (SELECT 'episode' AS kind, memory_id AS id FROM episodes WHERE status = 'active' ORDER BY ts_ms DESC, rowid_ DESC LIMIT 50)
 UNION ALL SELECT * FROM (SELECT 'document', doc_id::VARCHAR FROM documents ORDER BY doc_id DESC LIMIT 100) UNION ALL SELECT * FROM (SELECT 'asset', page_id::VARCHAR FROM pages ORDER BY page_id DESC LIMIT 100)"""
 C22 = "SELECT event_id, 'WARN token=[redacted] ' || props || ' Bearer [redacted] --password [redacted]' AS line, 'warn' AS level FROM events"
-Q13 = f"WITH {CLUSTERS}, {ABSTRACTIONS} SELECT cluster_id FROM clusters WHERE cluster_id NOT IN (SELECT cluster_id FROM abstractions WHERE NOT contains(lower(content), 'unable to provide assistance')) ORDER BY cluster_id LIMIT 10"
+Q13 = f"WITH {CLUSTERS}, {ABSTRACTIONS} SELECT cluster_id FROM clusters WHERE cluster_id NOT IN (SELECT cluster_id FROM abstractions WHERE NOT {_LOW}) ORDER BY cluster_id LIMIT 1000"
+G10 = f"""WITH {TRIPLES}, {EDGES}, {REFS}, {FACT_REVIEWS}, live AS (SELECT * FROM triples WHERE status = 'active'),
+  ents AS (SELECT entity_id FROM (SELECT entity_id, min(CASE WHEN lower(entity_id) = 'customer-7' THEN 0 WHEN lower(entity_id) LIKE 'customer-7%' THEN 1 ELSE 2 END) AS l, count(*) AS n FROM refs WHERE lower(entity_id) LIKE '%customer-7%' GROUP BY entity_id) ORDER BY l, n DESC, entity_id LIMIT 20),
+  seeds AS (SELECT entity_id AS id FROM (SELECT entity_id, min(CASE WHEN lower(entity_id) = 'customer-7' THEN 0 WHEN lower(entity_id) LIKE 'customer-7%' THEN 1 ELSE 2 END) AS l, count(*) AS n FROM refs WHERE lower(entity_id) LIKE '%customer-7%' GROUP BY entity_id) ORDER BY l, n DESC, entity_id LIMIT 8),
+  themes AS (SELECT count(*) AS n FROM ({G1})), recalled AS (SELECT memory_id FROM ({F3})),
+  facts AS (SELECT least(20, count(*)) AS n FROM (SELECT DISTINCT * FROM live WHERE subject_id = 'customer-7' OR object_id = 'customer-7')), disputes AS (SELECT least(20, count(*)) AS n FROM orders),
+  graph AS (SELECT triple_id FROM live WHERE subject_id IN (FROM seeds) OR (object_kind = 'entity' AND object_id IN (FROM seeds)) ORDER BY object_kind = 'entity' DESC, confidence DESC, triple_id LIMIT 20),
+  e AS (SELECT *, confidence * strength * (1 + 0.05 * ln(1 + least(evidence_count, 10))) AS s FROM edges),
+  paths AS (SELECT * FROM (SELECT 1 AS hops, edge_id AS edge_ids, subject_id || '>' || object_id AS nodes, round(s, 6) AS score FROM e WHERE subject_id IN (FROM seeds) AND object_id NOT IN (FROM seeds)
+    UNION ALL SELECT 2, a.edge_id || ' ' || b.edge_id, a.subject_id || '>' || a.object_id || '>' || b.object_id, round(sqrt(a.s * b.s), 6) FROM e a JOIN e b ON b.subject_id = a.object_id WHERE a.subject_id IN (FROM seeds) AND a.object_id NOT IN (FROM seeds) AND b.object_id NOT IN (FROM seeds))
+    ORDER BY score DESC, hops, edge_ids, nodes LIMIT 20),
+  warns AS (SELECT least(20, count(*)) AS n FROM fact_reviews WHERE status = 'needs_review' AND (subject_id IN (FROM seeds) OR object_id IN (FROM seeds))),
+  ids AS (SELECT memory_id AS id FROM recalled UNION SELECT triple_id FROM graph UNION SELECT unnest(string_split(edge_ids, ' ')) FROM paths),
+  t AS (SELECT 'recall' AS section, (SELECT count(*) FROM recalled) AS n UNION ALL SELECT 'themes', (SELECT n FROM themes) UNION ALL SELECT 'entities', (SELECT count(*) FROM ents) UNION ALL SELECT 'facts', (SELECT n FROM facts) UNION ALL SELECT 'contradictions', (SELECT n FROM disputes)
+    UNION ALL SELECT 'graph', (SELECT count(*) FROM graph) + (SELECT count(*) FROM paths) + (SELECT n FROM warns))
+SELECT section, CASE WHEN n > 0 THEN 'ready' ELSE 'empty' END AS state, n FROM t UNION ALL SELECT 'log', 'memory_context,semantic_match,lexical_match,graph_neighbor,subject_fact,recent_theme,contradiction_warning', count(*) FROM ids"""

@@ -30,7 +30,7 @@ def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("event_id") % 10 / 10).alias("strength"),
         F.when(F.col("event_id") % 3 == 0, "hot").when(F.col("event_id") % 3 == 1, "warm").otherwise("cold").alias("tier"),
         F.when(F.col("event_id") % 17 == 0, "forgotten").otherwise("active").alias("status"),
-        F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("principal"),
+        F.when(F.col("event_id") % 19 != 0, F.concat(F.lit("user-"), F.col("user_id").cast("string"))).alias("principal"),
         F.col("props").alias("context_json"),
     )
 
@@ -92,7 +92,30 @@ def abstractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.concat(F.lit("ab:"), label).alias("abstraction_id"), F.concat(F.lit("cl:"), label).alias("cluster_id"), F.when(F.col("label") == 4, F.lit("I'm unable to provide assistance with that.")).otherwise(F.concat(F.lit("Theme "), label)).alias("content"))
 
 
-def chunked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as rows of the document table."""
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", "source", "text", F.sha2("text", 256).alias("content_hash"), F.octet_length("text").cast("long").alias("byte_size"))
+def turns_as_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored chunk table: each conversation is a document, each turn a chunk of it."""
+    c = table(spark, sf_dir, "conversations")
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("chunk_id"), F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_index"), "text", F.concat(F.lit("user-"), (F.col("conv_id") % 20).cast("string")).alias("ingested_by"))
+
+
+def turn_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of turns_as_chunks; one in nine is forgotten."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id")).distinct()
+    return c.select("doc_id", F.concat(F.lit("chat "), F.col("doc_id").cast("string")).alias("source"), F.when(F.col("doc_id") % 9 == 8, "forgotten").otherwise("active").alias("status"))
+
+
+def fact_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews of extracted facts, one an order."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    text = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    status = F.when(k % 4 == 0, "approved").when(k % 4 == 1, "dismissed").otherwise("needs_review")
+    return o.select(
+        text("rv:", "o_orderkey").alias("review_id"), text("f", "o_orderkey").alias("fingerprint"), text("cl:", "o_orderstatus").alias("cluster_id"), text("customer-", "o_custkey").alias("subject_id"), F.lit("placed").alias("predicate"), text("order-", "o_orderkey").alias("object_id"),
+        F.lit("entity").alias("object_kind"), (k % 100 / 100).alias("confidence"), F.when(k % 2 == 0, "low_confidence").otherwise("weak_literal_claim").alias("reason_code"), status.alias("status"), millis(F.col("o_orderdate")).alias("created_at_ms"),
+    )
+
+
+def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    key = F.concat(F.lit("customer-"), F.col("c_custkey").cast("string"))
+    return c.select(F.col("c_name").alias("alias"), key.alias("canonical_id"), F.upper("c_name").alias("display_label"), F.lit("names").alias("source"), (F.col("c_custkey") % 10 / 10).alias("confidence"), F.col("c_custkey").alias("created_at_ms"), F.col("c_custkey").alias("updated_at_ms"))

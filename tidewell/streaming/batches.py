@@ -1,7 +1,12 @@
-"""Streaming: triggered batches, audit appends, incremental clustering."""
+"""Streaming: triggered batches, audit appends, outbox replay, incremental clustering, timers and signals.
+
+State that must outlive a restart lies in the shared folder beside the stream's checkpoint, under the number
+of the batch that wrote it, so that a replayed batch writes the same again.
+"""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,46 +20,124 @@ def episodes_stream(spark: SparkSession, path: str, schema, files_per_batch: int
 
 
 class CountOrTime:
-    """Runs work once enough rows came, or enough time passed since the last run; whichever is first."""
+    """Runs work once enough rows came, or enough time passed since the last run; whichever is first.
+
+    Rows seen and the time of the last run are a small table in `folder`, a row a batch: a restart goes on from it.
+    Without a folder they are kept in memory. tick() looks at the time alone, for a timer between batches.
+    """
 
-    def __init__(self, work: Callable[[int], None], rows: int = 50, seconds: float = 3600, clock: Callable[[], float] | None = None):
-        import time
+    def __init__(self, work: Callable[[int], None], rows: int = 50, seconds: float = 3600, clock: Callable[[], float] = time.time, folder: str | None = None, spark: SparkSession | None = None):
+        self.work, self.rows, self.seconds, self.clock, self.folder, self.spark = work, rows, seconds, clock, folder, spark
+        self.seen, self.last, self.batch = 0, clock(), -1
+        if folder is not None and self._exists():
+            state = spark.read.parquet(folder).orderBy(F.desc("batch"), F.desc("last")).first()
+            self.seen, self.last, self.batch = state["seen"], state["last"], state["batch"]
 
-        self.work, self.rows, self.seconds, self.clock = work, rows, seconds, clock or time.monotonic
-        self.seen, self.last = 0, self.clock()
+    def _exists(self) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
+    def _save(self) -> None:
+        if self.folder is not None:
+            self.spark.createDataFrame([(self.batch, self.seen, self.last)], "batch long, seen long, last double").coalesce(1).write.mode("append").parquet(self.folder)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        if batch_id <= self.batch:
+            return  # counted before a restart
+        self.batch = batch_id
         self.note(batch.count())
 
     def note(self, n: int) -> bool:
         """Adds n rows; whether that ran the work. rows = 0 leaves only the time."""
         self.seen += n
         late = self.clock() - self.last >= self.seconds
-        if (self.rows and self.seen >= self.rows) or (late and self.seen):
+        due = bool(self.rows and self.seen >= self.rows) or (late and self.seen > 0)
+        if due:
             self.work(self.seen)
             self.seen, self.last = 0, self.clock()
-            return True
-        return False
+        self._save()
+        return due
+
+    def tick(self) -> bool:
+        return self.note(0)
 
 
-def append_batches(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
-    """Writes each micro-batch once, under its own number, so that a replay overwrites what it wrote before."""
+def append_batches(stream: DataFrame, path: str, checkpoint: str, keys: list[str], every: str | None = None) -> StreamingQuery:
+    """Writes each micro-batch once, under its own number, so that a replay overwrites what it wrote before.
+
+    Rows whose keys an earlier batch has written are left out, so a source that sends twice adds nothing. every: flush
+    at this interval ("50 milliseconds"); none takes what is there and ends.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.dropDuplicates(keys).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        spark = batch.sparkSession
+        rows = batch.dropDuplicates(keys)
+        if batch_id:
+            known = spark.read.schema(batch.schema.add("batch_id", "long")).parquet(path).where(F.col("batch_id") < batch_id)
+            rows = rows.join(known.select(*keys), keys, "left_anti")
+        rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    out = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
+def audit_writer(stream: DataFrame, path: str, checkpoint: str, every: str | None = "50 milliseconds") -> StreamingQuery:
+    """Audit rows in small batches, each id once. A batch takes 64 rows or what came within the interval, as far as its source bounds it (maxFilesPerTrigger, maxOffsetsPerTrigger)."""
+    return append_batches(stream, path, checkpoint, ["event_id"], every)
 
-def triggered(stream: DataFrame, checkpoint: str, trigger: CountOrTime) -> StreamingQuery:
+
+def triggered(stream: DataFrame, checkpoint: str, trigger: Callable[[DataFrame, int], None]) -> StreamingQuery:
     return stream.writeStream.foreachBatch(trigger).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def periodic(stream: DataFrame, checkpoint: str, work: Callable[[DataFrame, int], None], interval: str) -> StreamingQuery:
+    """Work at every interval, over what came since."""
+    return stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
+
+
+def replay(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Outbox entries applied once each, by entry id, however often they are sent."""
+    return append_batches(stream, path, checkpoint, ["entry_id"])
+
+
+def incremental_clusters(stream: DataFrame, folder: str, checkpoint: str, threshold: float, min_size: int = 2, max_size: int = 48) -> StreamingQuery:
+    """Clusters rows (id, ts_ms, embedding) as they come: each batch joins the rows so far that no cluster holds yet, and what clusters then is added as (cluster_id, id).
+
+    Rows and members lie under the number of their batch, so a replay writes the same again. A batch reads the rows of its own days only.
+    """
+    from tidewell.functions.text import day_bucket
+    from tidewell.operators import cluster
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows, members = f"{folder}/rows", f"{folder}/members"
+        placed = batch.withColumn("day", day_bucket(F.col("ts_ms")))
+        placed.write.mode("overwrite").parquet(f"{rows}/batch_id={batch_id}")
+        every = spark.read.schema(placed.schema.add("batch_id", "long")).parquet(rows).where(F.col("batch_id") <= batch_id)
+        days = [r[0] for r in placed.select("day").distinct().collect()]  # a batch's days
+        own = every.where(F.col("day").isin(days)).select("id", "ts_ms", "embedding")
+        if batch_id:
+            known = spark.read.schema("cluster_id long, id long, batch_id long").parquet(members).where(F.col("batch_id") < batch_id)
+            own = cluster.unclustered(own, known)
+        cluster.cluster_days(own, threshold, min_size, max_size).write.mode("overwrite").parquet(f"{members}/batch_id={batch_id}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def invalidations(batch: DataFrame, kind: str, now_ms: int) -> DataFrame:
     """What a batch makes stale, a row a tenant: a signal without payload."""
     return batch.groupBy("tenant_id").agg(F.count("*").alias("n")).select("tenant_id", F.lit(kind).alias("kind"), F.lit(now_ms).alias("ts_ms"))
 
 
+def broadcast_invalidations(stream: DataFrame, path: str, checkpoint: str, kind: str, clock: Callable[[], float] = time.time) -> StreamingQuery:
+    """Signals of each committed batch, written for whoever watches the folder."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        invalidations(batch, kind, int(clock() * 1000)).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def daily_counts(stream: DataFrame, lateness: str = "1 day") -> DataFrame:
     """Rows a day and type, with late rows counted up to a bound."""
     return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"))
