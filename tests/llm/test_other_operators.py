@@ -321,6 +321,74 @@ def test_pipeline(spark, data):
         assert r["decoded_sha256"] == hashlib.sha256((texts[r["doc_id"]] or "").encode()).hexdigest()
 
 
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """All five stages, each on all that the one before kept, against plain Python on a small corpus with planted cases."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    import tiktoken
+
+    from tests.llm import test_text_operators as T
+
+    r = random.Random(31)
+    say = lambda n: " ".join(r.choice(T.WORDS) for _ in range(n))
+    shared, passage = say(12), say(30)
+    rows = []
+    for i in range(260):
+        text = "\n".join(say(r.randint(6, 40)) for _ in range(r.randint(1, 5)))
+        rows.append([i, text, "en" if i % 3 else "de", f"s{i % 2}"])
+    for i in range(5, 60, 5):
+        rows[i][1] += f"\n  {shared.upper()} \nlast"
+    for i in range(100, 112):
+        rows[i][1] = " | ".join(r.choice(T.WORDS) for _ in range(70))
+    for i in range(120, 130):
+        rows[i][1] = rows[119][1] if i % 2 else T.near(rows[118][1] + " " + say(60), 0)
+    base = say(120)
+    for i in range(140, 150):
+        rows[i][1] = T.near(base, 1)
+    for i in range(160, 170):
+        rows[i][1] = f"{say(20)} {passage} {say(20)}"
+    rows[171][1], rows[172][1], rows[173][1] = None, "", "too short"
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(*x, None if x[1] is None else len(x[1])) for x in rows], kind)
+    docs.repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, passage), (2, None), (3, "zz yy xx")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    left = [x for x, (kept, _) in zip(rows, T.brute_verdicts([x[1:] for x in rows]), strict=True) if kept]
+    assert not any(100 <= x[0] < 112 for x in left) and len(left) > 200
+    holders = {}
+    for i, text, *_ in left:
+        for line in (text or "").split("\n"):
+            if len(T.line_key(line)) >= 20:
+                holders.setdefault(T.line_key(line), set()).add(i)
+    keeper = {k: max(v) for k, v in holders.items() if len(v) >= 3}
+    assert keeper
+    left = [[i, None if t is None else "\n".join(x for x in t.split("\n") if keeper.get(T.line_key(x), i) == i), *more] for i, t, *more in left]
+    classes = T.brute_near([(i, t) for i, t, *_ in left])
+    assert sum(c != i for i, (c, _) in classes.items()) >= 8
+    left = [x for x in left if classes[x[0]][0] == x[0]]
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+
+    def contaminated(text):
+        w, hit = words(text), set()
+        for item in (passage, "zz yy xx"):
+            own = words(item)
+            n = min(13, len(own))
+            for k in range(len(own) - n + 1):
+                for at in range(len(w) - n + 1):
+                    if w[at : at + n] == own[k : k + n]:
+                        hit.update(range(at, at + n))
+        return bool(hit) and 20 * len(hit) >= len(w)
+
+    clean = [x for x in left if not contaminated(x[1])]
+    assert len(left) - len(clean) >= 8
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.load_ranks(path), special_tokens={})
+    got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert set(got) == {x[0] for x in clean}
+    for i, text, lang, source in clean:
+        assert np.frombuffer(got[i]["ids"], "<u4").tolist() == library.encode_ordinary(text or "") and (got[i]["lang"], got[i]["source"]) == (lang, source)
+        assert got[i]["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest() and got[i]["n_tokens"] == len(got[i]["ids"]) // 4
+
+
 def test_pipeline_stages_take_odd_rows(spark, data):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     kind = "doc_id long, text string, lang string, source string, n_chars long, keys string, c0 int"
