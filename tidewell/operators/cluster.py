@@ -207,4 +207,4 @@ def absorb(spark: SparkSession, new: DataFrame, existing: DataFrame, threshold:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 3, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["new_id", "existing_id", "sim"])
 
     both = existing.select(F.lit(0).alias("side"), "cluster_id", "n", "centroid").unionByName(new.select(F.lit(1).alias("side"), "cluster_id", "n", "centroid"))
-    return both.coalesce(1).mapInArrow(run, "new_id long, existing_id long, sim double")
+    return both.repartition(1).mapInArrow(run, "new_id long, existing_id long, sim double")

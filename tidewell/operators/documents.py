@@ -105,6 +105,12 @@ REDACTIONS = {
 }
 
 
+#: What every match of a pattern holds, as a cheap test: most texts have no match and are not searched.
+GUARDS = {
+    "email": "@", "ssn": "[0-9]{3}-[0-9]{2}-[0-9]{4}", "us_phone": "[0-9]{3}-[0-9]{4}", "credit_card": r"[0-9][ \-]?[0-9][ \-]?[0-9][ \-]?[0-9][ \-]?[0-9][ \-]?[0-9]", "aws_access_key": "AKIA", "github_pat": "gh[pousr]_",
+}
+
+
 def redact(docs: DataFrame, text_col: str = "text", excluded: tuple[str, ...] = (), extra: dict[str, str] | None = None) -> DataFrame:
     """docs with each match replaced by [REDACTED:name] and n_<name> counts; each pattern sees what the ones before left.
 
@@ -113,16 +119,17 @@ def redact(docs: DataFrame, text_col: str = "text", excluded: tuple[str, ...] =
     rules = {k: v for k, v in REDACTIONS.items() if k not in excluded} | (extra or {})
     for name, pattern in rules.items():
         text = F.col(text_col)
+        may = text.rlike(GUARDS.get(name, pattern))
         mark = f"[REDACTED:{name}]"
         if name == "credit_card":
             found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.struct(m.alias("old"), luhn_valid(F.regexp_replace(m, "[^0-9]", "")).alias("ok")))
-            docs = docs.withColumn("__found", F.when(text.rlike(pattern), found))
+            docs = docs.withColumn("__found", F.when(may, found))
             told = F.concat(F.transform("__found", lambda x: F.when(x["ok"], F.lit(mark)).otherwise(x["old"])), F.array(F.lit("")))
             joined = F.array_join(F.zip_with(F.split(text, pattern, -1), told, lambda g, v: F.concat(g, v)), "")
             docs = docs.withColumn(f"n_{name}", F.coalesce(F.size(F.filter("__found", lambda x: x["ok"])), F.lit(0)).cast("long")).withColumn(text_col, F.when(F.col("__found").isNotNull(), joined).otherwise(text))
             docs = docs.withColumn(f"n_{name}", F.when(F.col("__found").isNull(), F.lit(0).cast("long")).otherwise(F.col(f"n_{name}"))).drop("__found")
         else:
-            docs = docs.withColumn(f"n_{name}", F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).cast("long")).withColumn(text_col, F.regexp_replace(text, pattern, mark))
+            docs = docs.withColumn(f"n_{name}", F.when(may, F.regexp_count(text, F.lit(pattern))).otherwise(0).cast("long")).withColumn(text_col, F.when(may, F.regexp_replace(text, pattern, mark)).otherwise(text))
     return docs
 
 
