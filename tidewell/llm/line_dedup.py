@@ -7,7 +7,8 @@
    MOST_BITS and then stays: a fuller filter only lets more lines pass to the next step.
 3. Only keys that hit it are suspected. Their 16-byte digests and document ids shuffle,
    are counted exactly by key (with map-side combine), and the document that keeps a
-   key is chosen. Ordinary lines never shuffle.
+   key is chosen. Ordinary lines never shuffle. Where confirmed keys are too many to broadcast,
+   a line that very many documents share is spread over tasks.
 
 A key is the line without `[\\x20\\x09-\\x0D]` at both ends, A-Z lower-cased. A key of at
 least MIN_CHARS code points in at least MIN_DOCS documents loses all its lines but those in
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import LOWER, bounded_broadcast, discard, keep, need_free, sliced
+from tidewell.llm.common import LOWER, bounded_broadcast, discard, keep, need_free, sliced, spread_join
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -146,9 +147,10 @@ def dropped_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(keys, pa.binary())], names=["id", "key"])
 
     kind = docs.schema[id_col].dataType
-    pairs = keep(docs.select(F.col(id_col), F.col(text_col)).mapInArrow(suspects, T.StructType([T.StructField("id", kind), T.StructField("key", T.BinaryType())])), "line-suspects")
-    confirmed = keep(pairs.distinct().groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs).select("key", "keeper"), "line-confirmed")
-    lost = pairs.distinct().join(bounded_broadcast(confirmed, confirmed.count(), MOST_ROWS), "key").where("id <> keeper")
+    found = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(suspects, T.StructType([T.StructField("id", kind), T.StructField("key", T.BinaryType())]))
+    pairs = keep(found.distinct(), "line-suspects")  # repeated rows of one id say the same
+    confirmed = keep(pairs.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs).select("key", "keeper"), "line-confirmed")
+    lost = spread_join(pairs, confirmed, "key", confirmed.count(), MOST_ROWS).where("id <> keeper")
     drops = keep(lost.groupBy("id").agg(F.collect_list("key").alias("keys")), "line-drops")
     discard(pairs)
     discard(confirmed)
