@@ -129,6 +129,25 @@ def test_decontamination_in_blocks(spark, docs, monkeypatch):
     assert sorted(map(tuple, decontamination.occurrences(own, bench).fillna(-1).collect())) == whole
 
 
+def test_decontamination_passes_leave_one_table_at_a_time(spark, docs, monkeypatch):
+    plans = []
+    real = decontamination.keep
+    monkeypatch.setattr(decontamination, "keep", lambda df, name: plans.append(df._jdf.queryExecution().toString().count("MapInArrow (")) or real(df, name))
+    monkeypatch.setattr(decontamination, "MOST_BYTES", 10)
+    bench = spark.createDataFrame([(1, PASSAGE), (2, BASE), (3, "one two three four"), (4, "ab")], "item_id long, text string")
+    blocks = list(decontamination.item_blocks(bench, "item_id", "text", most=10))
+    monkeypatch.setattr(decontamination, "item_blocks", lambda *a: iter(blocks))
+    left = decontamination.decontaminate(docs, bench)
+    assert left.columns == docs.columns and len(plans) == 3 and len(set(plans)) == 1
+    assert left.count() < docs.count()
+
+
+def test_line_dedup_beyond_the_broadcast(docs, monkeypatch):
+    few = sorted(map(repr, line_dedup.dedup_lines(docs, counts=True).collect()))
+    monkeypatch.setattr(line_dedup, "MOST_ROWS", 0)
+    assert sorted(map(repr, line_dedup.dedup_lines(docs, counts=True).collect())) == few
+
+
 def brute_stats(text):
     words = re.findall(f"[^{SPACE[1:-1]}]+", text or "")
     lines = [x for x in (text or "").split("\n") if re.search(f"[^{SPACE[1:-1]}]", x)]

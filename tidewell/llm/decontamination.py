@@ -8,8 +8,9 @@ the bucket of that suffix block lists the strings that end so, and a direct comp
 of all words confirms each occurrence.
 
 Documents are never shuffled: every task scans whole texts against the tables. The
-benchmark is searched in blocks of items of bounded size; each block is one broadcast, and
-its occurrences are merged per document.
+benchmark is searched in blocks of items of bounded size. Each block is one broadcast and one
+pass; what a pass found is written to the shared folder with the texts before the next begins, so
+no task holds the tables of two blocks, and occurrences are merged per document.
 
 Nulls: a null text has no words; a null item id or an item without words gives no
 string. Repeated rows are judged alike, one output row each. Empty tables give an
@@ -25,13 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import need_free, sliced
+from tidewell.llm.common import discard, keep, need_free, sliced
 
 WINDOW = 13
 #: Words of a block of the shift table.
 BLOCK = 3
 #: UTF-8 bytes of item texts that one broadcast of search tables may hold.
-MOST_BYTES = 8 << 20
+MOST_BYTES = 4 << 20
 
 #: Word bytes keep their value in lower case; all others become spaces.
 _WORDS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -145,7 +146,11 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
                 else:
                     yield pa.RecordBatch.from_arrays([*batch.columns[: at + 1], pa.array(spans, pa.list_(pa.int32())), found], names=batch.schema.names)
 
-        kept = kept.mapInArrow(scan, out if last else schema)
+        past, kept = kept, kept.mapInArrow(scan, out if last else schema)
+        if not last:
+            kept = keep(kept, "decontamination-pass")
+            discard(past)
+            shared.destroy()
         block = after
     return kept
 
