@@ -501,6 +501,36 @@ def test_session_settings_stay(spark, docs, empty):
     assert late == [rows(make()) for make in makers] and dict(spark.conf.getAll) == before
 
 
+def test_batch_limits_nest_and_end(spark):
+    import threading
+
+    from tidewell.llm.common import _LIMIT, batches_of
+
+    limit = lambda: spark.conf.getAll.get(_LIMIT)
+    before = limit()
+    with batches_of(spark, 7):
+        with batches_of(spark, 9):
+            assert limit() == "7"
+        assert limit() == "7"
+    assert limit() == before
+    spark.conf.set(_LIMIT, "123")
+    try:
+        with pytest.raises(RuntimeError), batches_of(spark, 5):
+            raise RuntimeError
+        assert limit() == "123"
+        inside, out = threading.Event(), threading.Event()
+        other = threading.Thread(target=lambda: [x.__enter__() or inside.set() or out.wait(10) or x.__exit__(None, None, None) for x in [batches_of(spark, 3)]])
+        with batches_of(spark, 5):
+            other.start()
+            inside.wait(10)
+        assert limit() == "5"
+        out.set()
+        other.join(10)
+        assert limit() == "123"
+    finally:
+        spark.conf.unset(_LIMIT)
+
+
 def test_shared_folder_is_needed_on_a_cluster():
     from tidewell.llm import common
 

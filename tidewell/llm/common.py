@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -33,8 +35,39 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or _own_dir()).rstrip("/")
 
 
+_LIMIT = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_lock, _held = threading.Lock(), {}
+
+
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within, Spark sends Python at most so many rows at a time; behind, the session is as it was.
+
+    Only for actions that are over within it: a frame that is returned runs under its caller's settings. Where
+    several threads are inside, the first one's limit holds, and the last one out puts the session's own back.
+    """
+    key = id(spark)
+    with _lock:
+        depth, before = _held.get(key, (0, None))
+        if not depth:
+            before = spark.conf.get(_LIMIT) if _LIMIT in spark.conf.getAll else None
+            spark.conf.set(_LIMIT, str(rows))
+        _held[key] = (depth + 1, before)
+    try:
+        yield
+    finally:
+        with _lock:
+            depth, before = _held.pop(key)
+            if depth > 1:
+                _held[key] = (depth - 1, before)
+            elif before is None:
+                spark.conf.unset(_LIMIT)
+            else:
+                spark.conf.set(_LIMIT, before)
+
+
 def sliced(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
-    """Batches of at most so many rows, as documents may be very long. Spark bounds what it sends at a time in bytes; the session's settings stay as they are."""
+    """Batches of at most so many rows, as documents may be very long. Spark bounds what it sends at a time in bytes."""
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
@@ -46,11 +79,12 @@ def need_free(df: DataFrame, names: Iterable[str]) -> None:
         raise ValueError(f"columns {taken} exist already")
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes df to the shared folder and reads it back, so a lost executor costs no recomputation."""
+def keep(df: DataFrame, name: str, rows: int = BATCH_ROWS) -> DataFrame:
+    """Cuts lineage: writes df to the shared folder and reads it back, so a lost executor costs no recomputation. rows: as many go to Python at a time."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with batches_of(spark, rows):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.kept_path = path
     return out

@@ -311,7 +311,7 @@ def train(table: DataFrame, answered: DataFrame, n: int, v: int, ends: int, stat
                     at += k
                 yield _batch(rows, _SENT_KINDS, _SENT_NAMES)
 
-        sent = keep(_with_splits(table, splits).mapInArrow(run, _SENT), "hmm-expected")
+        sent = keep(_with_splits(table, splits).mapInArrow(run, _SENT), "hmm-expected", 16)
         if splits is not answered:
             discard(splits)
         totals = sum(np.frombuffer(r["sums"], np.float64) for r in sorted(sent.where("bucket < 0").select("block", "sums").collect()))  # a short row a block
@@ -354,7 +354,7 @@ def train(table: DataFrame, answered: DataFrame, n: int, v: int, ends: int, stat
 
         blank = lambda c: F.lit(None).cast("binary").alias(c)
         both = answered.where("block is not null").select("block", "bucket", "places", blank("split"), blank("counts")).unionByName(sent.where("bucket >= 0").select("block", "bucket", blank("places"), "split", "counts"))
-        splits = keep(both.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(summed, _SENT), "hmm-splits")
+        splits = keep(both.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(summed, _SENT), "hmm-splits", 16)
         discard(sent)
         end = (ends + 0.1) * (end_counts + SHRINK * share) / (ends + SHRINK)
         mass = sum((np.frombuffer(r["sums"], np.float64) for r in sorted(splits.where("block is null").select("bucket", "sums").collect())), np.zeros(states)) + end + 0.1 * share  # a short row a bucket
@@ -368,9 +368,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state
     made = keep(blocks(named, max(12, -(-size // BUCKET_BYTES))), "hmm-blocks")
     told = made.where("bucket < 0").agg(F.sum("train").alias("n"), F.sum(F.expr("octet_length(replace(hex(held), '01', ''))") / 2).alias("ends")).first()
     n, ends = int(told["n"] or 0), int(told["ends"] or 0)
-    answered = keep(answers(made.where("bucket >= 0"), states), "hmm-answers")
+    answered = keep(answers(made.where("bucket >= 0"), states), "hmm-answers", 16)
     v = int(answered.agg(F.sum("distinct")).first()[0] or 0) + (ends > 0)
-    table = keep(coded(made, answered, ends, n, v), "hmm-coded")
+    table = keep(coded(made, answered, ends, n, v), "hmm-coded", 16)
     discard(made)
     splits, model = train(table, answered, n, v, ends, states, steps)
     if splits is not answered:

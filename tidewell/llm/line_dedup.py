@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import LOWER, bounded_broadcast, discard, keep, need_free, sliced, spread_join
+from tidewell.llm.common import BATCH_ROWS, LOWER, batches_of, bounded_broadcast, discard, keep, need_free, sliced, spread_join
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -127,7 +127,9 @@ def dropped_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lines = docs.agg(F.sum(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
     bits = filter_bits(lines)
     bitmap = bytearray(bits // 8)
-    for segment, packed in twice_filter(docs, id_col, text_col, bits, min_chars).collect():  # bounded by MOST_BITS
+    with batches_of(spark, BATCH_ROWS):
+        segments = twice_filter(docs, id_col, text_col, bits, min_chars).collect()  # bounded by MOST_BITS
+    for segment, packed in segments:
         at = segment * (SEGMENT_BITS // 8)
         bitmap[at : at + SEGMENT_BITS // 8] = zlib.decompress(packed)
     shared = spark.sparkContext.broadcast(bytes(bitmap))

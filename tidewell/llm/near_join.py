@@ -252,7 +252,7 @@ def candidates(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # The low byte of each value is enough to compare by.
     low = F.unhex(F.regexp_replace(F.hex("sig"), "..(..)", "$1"))
     rows = nodes.select("node", low.alias("sig"), F.explode(trees).alias("t")).select("t.tree", "t.label", "node", "sig")
-    met = keep(rows.repartitionByRange("tree", "label", "node").sortWithinPartitions("tree", "label", "node").mapInArrow(_runs(False, depth, threshold), schema), "near-met")
+    met = keep(rows.repartitionByRange("tree", "label", "node").sortWithinPartitions("tree", "label", "node").mapInArrow(_runs(False, depth, threshold), schema), "near-met", 4096)
     # Leaders of a prefix that lies in several tasks: each two of their blocks meet once.
     edge = met.where("tree is not null").select("tree", "label", F.col("b").alias("node"), "sig")
     counts = edge.groupBy("tree", "label").agg(F.ceil(F.count("*") / EDGE_BLOCK).cast("int").alias("blocks"))
@@ -261,7 +261,7 @@ def candidates(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     four = lambda c: F.unhex(F.lpad(F.hex(c), 8, "0"))
     dealt = other.select("tree", F.concat("label", four(F.least("block", "other")), four(F.greatest("block", "other"))).alias("label"), "node", "sig")
     more = dealt.repartition("tree", "label").sortWithinPartitions("tree", "label", "node").mapInArrow(_runs(True, depth, threshold), schema)
-    links = keep(met.where("tree is null").unionByName(more).select("a", "b").where("a <> b").distinct(), "near-links")
+    links = keep(met.where("tree is null").unionByName(more).select("a", "b").where("a <> b").distinct(), "near-links", 4096)
     discard(met)
     return links
 

@@ -85,7 +85,7 @@ def _in_ranges(rows: DataFrame, keys: list[str], step, name: str, schema: str) -
         if kinds:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([json.dumps(work.end())]), *[pa.nulls(1, k) for k in kinds]], names=["part", "summary", *names])
 
-    kept = keep(rows.repartitionByRange(*keys, "d", "i").sortWithinPartitions(*keys, "d", "i").mapInArrow(run, f"part int, summary string, {schema}"), name)
+    kept = keep(rows.repartitionByRange(*keys, "d", "i").sortWithinPartitions(*keys, "d", "i").mapInArrow(run, f"part int, summary string, {schema}"), name, 65536)
     ends = [(r["part"], json.loads(r["summary"])) for r in kept.where("summary is not null").select("part", "summary").orderBy("part").collect()]  # a short row a range
     return kept.where("summary is null").drop("summary"), ends
 
