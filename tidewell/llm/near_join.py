@@ -255,8 +255,9 @@ def candidates(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     met = keep(rows.repartitionByRange("tree", "label", "node").sortWithinPartitions("tree", "label", "node").mapInArrow(_runs(False, depth, threshold), schema), "near-met", 4096)
     # Leaders of a prefix that lies in several tasks: each two of their blocks meet once.
     edge = met.where("tree is not null").select("tree", "label", F.col("b").alias("node"), "sig")
+    # Two prefixes a task at most have leaders at its edges, so their counts are few.
     counts = edge.groupBy("tree", "label").agg(F.ceil(F.count("*") / EDGE_BLOCK).cast("int").alias("blocks"))
-    block = edge.join(counts, ["tree", "label"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    block = edge.join(F.broadcast(counts), ["tree", "label"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = block.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     four = lambda c: F.unhex(F.lpad(F.hex(c), 8, "0"))
     dealt = other.select("tree", F.concat("label", four(F.least("block", "other")), four(F.greatest("block", "other"))).alias("label"), "node", "sig")
