@@ -296,7 +296,7 @@ def test_bpe_forgets_and_still_agrees():
     assert big.decode(big.encode([text])[0]) == text.encode()
 
 
-@pytest.mark.parametrize("name", ["op2_near_join", "op6_line_dedup", "op7_chat", "op8_warc", "op10_decontamination"])
+@pytest.mark.parametrize("name", ["op2_near_join", "op5_suffix_dedup", "op6_line_dedup", "op7_chat", "op8_warc", "op10_decontamination"])
 def test_sql_twins(spark, data, name):
     from tests.compare import connect, same
     from tidewell.llm import registry

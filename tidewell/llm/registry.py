@@ -158,7 +158,34 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_
 FROM dw d LEFT JOIN words h ON d.doc_id = h.doc_id LEFT JOIN items i ON d.doc_id = i.doc_id
 """
 
-_SQL: dict[str, str] = {"op2_near_join": _OP2, "op7_chat": _OP7, "op8_warc": _OP8, "op6_line_dedup": _OP6, "op10_decontamination": _OP10}
+_OP5 = r"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents
+), blocks AS (
+  SELECT doc_id, p, least(512, n - 99 - p) AS most, substr(h, 2 * p + 1, 1222) AS b
+  FROM (SELECT doc_id, h, n, unnest(range(0, n - 99, 512)) AS p FROM d)
+), grams AS (
+  SELECT doc_id, p + i AS i, md5_number(substr(b, 2 * i::BIGINT + 1, 200)) AS g FROM (SELECT doc_id, p, b, unnest(range(0, most)) AS i FROM blocks)
+), firsts AS (
+  SELECT g, min(doc_id::HUGEINT * 4294967296 + i) AS first FROM grams GROUP BY g HAVING count(*) > 1
+), later AS (
+  SELECT doc_id, i FROM grams JOIN firsts USING (g) WHERE doc_id::HUGEINT * 4294967296 + i > first
+), spans AS (
+  SELECT doc_id, min(i) AS a, max(i) + 100 AS b
+  FROM (SELECT doc_id, i, count(*) FILTER (fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run
+        FROM (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, true) AS fresh FROM later))
+  GROUP BY doc_id, run
+), cuts AS (
+  SELECT doc_id, a, b FROM spans UNION ALL SELECT doc_id, n, n FROM d
+), kept AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a, b), 0) AS since FROM cuts
+)
+SELECT d.doc_id, d.n AS n_bytes, sum(k.b - k.a)::BIGINT AS n_removed, (count(*) - 1)::BIGINT AS n_spans,
+       sha256(unhex(string_agg(substr(d.h, 2 * k.since + 1, 2 * (k.a - k.since)), '' ORDER BY k.a, k.b))) AS kept_sha256
+FROM d JOIN kept k ON d.doc_id = k.doc_id GROUP BY d.doc_id, d.n
+"""
+
+_SQL: dict[str, str] = {"op2_near_join": _OP2, "op5_suffix_dedup": _OP5, "op7_chat": _OP7, "op8_warc": _OP8, "op6_line_dedup": _OP6, "op10_decontamination": _OP10}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
