@@ -3,7 +3,9 @@
 import pytest
 
 from tests.compare import connect, same
-from tidewell.plans import registry
+from tidewell.functions.text import query_terms
+from tidewell.operators import documents
+from tidewell.plans import registry, sql
 
 
 @pytest.fixture(scope="module")
@@ -36,3 +38,18 @@ def test_plans(spark, data):
     assert "TakeOrderedAndProject" in plan("v2_knn_exact") and "ReadSchema: struct<vec_id:" in plan("v2_knn_exact")
     assert "CartesianProduct" not in plan("q11_contradiction_candidates") and "NestedLoop" not in plan("q11_contradiction_candidates")
     assert "Python" not in plan("q3_quality_gate")
+
+
+def test_chunk_search(spark, data):
+    """f4_chunk_search against SQL over the chunks, which SQL can't cut itself."""
+    cut = documents.chunks(spark.read.parquet(f"{data}/documents.parquet")).toPandas()
+    duck = connect(data)
+    duck.register("cut", cut)
+    rows = "SELECT doc_id * 100000 + chunk_index AS id, content AS text FROM cut"
+    told = duck.sql(f"""WITH {sql.bm25(rows, tuple(query_terms(registry.WORDS)))}, l AS (
+      SELECT id, score, row_number() OVER (ORDER BY score, id) AS place FROM (SELECT * FROM scored ORDER BY score, id LIMIT 80))
+      SELECT id, id // 100000 AS doc_id, id % 100000 AS chunk_index, 1.0::DOUBLE AS distance, score, round(1.0::DOUBLE / (60 + place), 6) AS fused_score
+      FROM l ORDER BY fused_score DESC, chunk_index, id LIMIT 20""").df()
+    found = registry.queries()["f4_chunk_search"](spark, data).toPandas()
+    assert len(found) == 20
+    same(found, told)

@@ -165,7 +165,7 @@ def lexical_eval(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.lexical_ranks(*_eval_tables(spark, d))
 
 
-@query("f6_project_search")
+@query("f6_project_search", sql.F6S)
 def project_search(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("rowid")
     decided = F.when(i % 2 == 0, F.concat(F.lit("project:p"), (i % 3).cast("string"), F.lit(":decision:1")))
@@ -672,7 +672,7 @@ def canonical_ids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", X.canonical_entity_id(raw).alias("entity_id"), X.normalize_predicate(F.col("p_type")).alias("predicate"))
 
 
-@query("c11_fingerprints")
+@query("c11_fingerprints", sql.C11)
 def fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", fnv1a64("p_name").alias("fingerprint"))
 

@@ -70,12 +70,20 @@ def fused(rows: str, terms: tuple[str, ...], budget: int, kind: str = "") -> str
 
 F1 = f"WITH {fused(DOCS, TERMS, 40)} SELECT id, vector_rank, lexical_rank, round(rrf, 6) AS rrf_score FROM found"
 _ACTIVE = "SELECT rowid_ AS id, content AS text FROM episodes WHERE status = 'active'"
-F3 = f"""WITH {EPISODES}, {fused(_ACTIVE, ("error", "k", "69"), 80, "WHERE id % 5 <> 4")}
+
+
+def recalled(budget: int, limit: int) -> str:
+    words = ("error", "k", "69")
+    return f"""WITH {EPISODES}, {fused(_ACTIVE, words, budget, "WHERE id % 5 <> 4")}
 SELECT rowid_ AS rowid, memory_id, coalesce(distance, 1.0) AS distance, score,
        round(rrf + least(1, greatest(0, salience)) * 0.012 + least(1, greatest(0, strength)) * 0.008 + CASE tier WHEN 'hot' THEN 0.006 WHEN 'warm' THEN 0.003 ELSE 0 END
          + CASE WHEN {NOW} - ts_ms <= 7 * {DAY}::BIGINT THEN 0.006 WHEN {NOW} - ts_ms <= 30 * {DAY}::BIGINT THEN 0.003 ELSE 0 END
          + CASE WHEN contains(lower(context_json), 'error') OR contains(lower(context_json), 'k') OR contains(lower(context_json), '69') THEN 0.006 ELSE 0 END, 6) AS fused_score
-FROM episodes JOIN found ON rowid_ = id WHERE status = 'active' ORDER BY fused_score DESC, distance, rowid LIMIT 20"""
+FROM episodes JOIN found ON rowid_ = id WHERE status = 'active' ORDER BY fused_score DESC, distance, rowid LIMIT {limit}"""
+
+
+F3 = recalled(80, 20)
+F6S = f"SELECT * FROM ({recalled(200, 50)}) WHERE rowid % 6 = 0 ORDER BY fused_score DESC, distance, rowid LIMIT 10"
 CHUNKS = "chunks AS (SELECT conv_id * 1000 + turn AS chunk_id, conv_id AS doc_id, turn AS chunk_index, text, 'user-' || (conv_id % 20) AS ingested_by FROM conversations)"
 _LIVE = "SELECT chunk_id AS id, text FROM chunks WHERE doc_id % 9 <> 8"
 F4 = f"""WITH {CHUNKS}, {fused(_LIVE, ("report", "on", "market", "history"), 80, "WHERE (id // 1000) % 5 <> 4").replace("vec_id::BIGINT AS id", "vec_id::BIGINT * 1000 AS id")}
@@ -407,6 +415,8 @@ A13 = """WITH l AS (SELECT p_name AS n FROM part UNION SELECT upper(p_name) FROM
 SELECT canonical_key, string_agg(n, '|' ORDER BY n) AS labels, count(*) AS n_labels FROM k WHERE canonical_key <> '' GROUP BY canonical_key HAVING count(*) > 1"""
 _RAW = "' [ent:' || p_name || '/' || p_type || ']'"
 C2 = f"SELECT p_partkey, {canonical(_RAW)} AS entity_id, {predicate_id('p_type')} AS predicate FROM part"
+C11 = """SELECT p_partkey, printf('%016x', list_reduce(list_transform(range(1, octet_length(encode(p_name)) + 1), lambda i: ('0x' || substr(hex(encode(p_name)), 2 * i - 1, 2))::UTINYINT::HUGEINT),
+  lambda h, b: xor(h, b) * 1099511628211 % 18446744073709551616, 14695981039346656037::HUGEINT)::UBIGINT) AS fingerprint FROM part"""
 C13 = "SELECT doc_id, length(text) // 4 AS tokens, ceil(octet_length(encode(text)) / 2000)::BIGINT AS chunks FROM documents"
 
 _DAYS = "days AS (SELECT vec_id::BIGINT AS id, vec_id % 10 AS day, embedding::DOUBLE[] AS v FROM embeddings)"
