@@ -74,9 +74,10 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
     n = len(symbols)
     s = np.zeros(n + 3, np.int32)
     s[:n] = symbols
-    at = np.arange(n + (n % 3 == 1), dtype=np.int32)  # a sampled suffix at the end, so that every third one has a neighbour
-    sample = np.concatenate([at[at % 3 == 1], at[at % 3 == 2]])
-    named = _names(s[sample], s[sample + 1], s[sample + 2])
+    end = n + (n % 3 == 1)  # a sampled suffix at the end, so that every third one has a neighbour
+    sampled = lambda x, k: np.concatenate([x[1 + k : end + k : 3], x[2 + k : end + k : 3]])
+    sample = sampled(np.arange(n + 3), 0)
+    named = _names(sampled(s, 0), sampled(s, 1), sampled(s, 2))
     if len(named) and named.max() < len(named):
         ranks = np.empty(len(named), np.int32)
         ranks[suffix_order(named)] = np.arange(1, len(named) + 1, dtype=np.int32)
@@ -85,22 +86,24 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
     rank[sample] = named
     # Suffixes between the sampled ones, then all merged: against either class of samples, keys compare as the suffixes do.
     width, wide = int(rank.max()).bit_length(), int(s.max(initial=0)).bit_length()
-    pair = lambda p: (s[p].astype(np.uint64) << np.uint64(width)) | rank[p + 1].astype(np.uint64)
-    rest = np.arange(0, n, 3, dtype=np.int32)
-    rest = rest[np.argsort(pair(rest))]
-    by_rank = np.zeros(int(rank.max()) + 1, np.int32)
+    pair = lambda first, second: (first.astype(np.uint64) << np.uint64(width)) | second.astype(np.uint64)
+    pairs = pair(s[:n:3], rank[1 : n + 1 : 3])
+    sorted_pairs = np.argsort(pairs)
+    rest, pairs = 3 * sorted_pairs, pairs[sorted_pairs]
+    by_rank = np.zeros(int(rank.max()) + 1, np.int64)
     by_rank[named] = sample
     sample = by_rank[1:]
     sample = sample[sample < n]
-    ones, twos = sample[sample % 3 == 1], sample[sample % 3 == 2]
+    is_one = sample % 3 == 1
+    ones, twos = sample[is_one], sample[~is_one]
     if 2 * wide + width <= 64:
-        triple = lambda p: (((s[p].astype(np.uint64) << np.uint64(wide)) | s[p + 1].astype(np.uint64)) << np.uint64(width)) | rank[p + 2].astype(np.uint64)
+        triple = lambda p: (s[p].astype(np.uint64) << np.uint64(wide + width)) | pair(s[p + 1], rank[p + 2])
         two_keys, rest_keys = triple(twos), triple(rest)
     else:
         both = _names(*[np.concatenate([x, y]) for x, y in ((s[twos], s[rest]), (s[twos + 1], s[rest + 1]), (rank[twos + 2], rank[rest + 2]))])
         two_keys, rest_keys = both[: len(twos)], both[len(twos) :]
-    slots = np.arange(len(rest)) + np.searchsorted(pair(ones), pair(rest)) + np.searchsorted(two_keys, rest_keys)
-    order, free = np.empty(n, np.int32), np.ones(n, bool)
+    slots = np.arange(len(rest)) + np.searchsorted(pair(s[ones], rank[ones + 1]), pairs) + np.searchsorted(two_keys, rest_keys)
+    order, free = np.empty(n, np.int64), np.ones(n, bool)
     order[slots] = rest
     free[slots] = False
     order[free] = sample
@@ -260,12 +263,12 @@ def by_block(made: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
         steps, runs = np.frombuffer(zstandard.decompress(body[3]), np.int32).reshape(2, -1).astype(np.int64)
         places = np.cumsum(steps)
         pieces = hashes_at(text, places)
-        starts, at, values = starts_of(lengths), np.repeat(places, runs), np.repeat(pieces, runs)
         own, counts = np.unique(pieces, return_counts=True)
         wanted = np.union1d(abroad, own[counts > 1])
         known = lambda table, v: table[np.minimum(np.searchsorted(table, v), len(table) - 1)] == v if len(table) else np.zeros(len(v), bool)
-        keep_it = known(wanted, values)
-        starts, at, values = starts[keep_it], at[keep_it], values[keep_it]
+        again, travels = known(wanted, pieces), known(abroad, pieces)
+        starts = starts_of(lengths)[np.repeat(again, runs)]
+        at, values, sent = (np.repeat(x[again], runs[again]) for x in (places, pieces, travels))
         begins, ends = _regions(starts)
         sizes = ends - begins
         shift = np.cumsum(sizes + 1) - (sizes + 1)
@@ -280,7 +283,7 @@ def by_block(made: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
         age = (order[doc].astype(np.int64) << 40) | (starts - firsts[doc])
         gone = repeated(pool, starts - begins[region] + shift[region], age)
         yield _batch([(block, -1, zstandard.compress(np.diff(starts[gone], prepend=0).astype(np.uint32).tobytes(), 1), None, None, None, None, None)], kinds, names)
-        left = ~gone & known(abroad, values)
+        left = ~gone & sent
         starts, at, values, doc = starts[left], at[left], values[left], doc[left]
         if not len(starts):
             return
