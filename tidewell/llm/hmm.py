@@ -22,6 +22,7 @@ as often as they occur. An empty table gives an empty result. Other columns are
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,6 +64,13 @@ _SENT_KINDS, _SENT_NAMES = (pa.int64(), pa.int32(), *[pa.binary()] * 3), [x.spli
 _NULL_ID = np.iinfo(np.int64).min
 
 
+def numbering() -> defaultdict[bytes, int]:
+    """A table that gives each new key the next number from 0 on."""
+    numbers: defaultdict[bytes, int] = defaultdict()
+    numbers.default_factory = numbers.__len__
+    return numbers
+
+
 def blocks(docs: DataFrame, buckets: int) -> DataFrame:
     """Of rows (doc_id, text): a row a block with its sequences of local word numbers, and a row a block and bucket with words and training counts."""
 
@@ -88,18 +96,16 @@ def blocks(docs: DataFrame, buckets: int) -> DataFrame:
                 rows.append((block, b, None, None, None, zlib.compress(b"\n".join([words[k] for k in order[i:j].tolist()]), 1), counts[i:j].tobytes(), None, None))
             yield _batch(rows, _BLOCK_KINDS, _BLOCK_NAMES)
 
-        ids, seqs, vocab, size = [], [], {}, 0
+        ids, seqs, vocab, size = [], [], numbering(), 0
         for batch in sliced(batches):
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 words = text.translate(LOWER).split() if text else []
-                for w in set(words).difference(vocab):
-                    vocab[w] = len(vocab)
                 seqs.append(np.fromiter(map(vocab.__getitem__, words), np.int32, len(words)))
                 ids.append(i)
                 size += len(text or b"")
                 if size >= BLOCK_BYTES:
                     yield from close()
-                    ids, seqs, vocab, size = [], [], {}, 0
+                    ids, seqs, vocab, size = [], [], numbering(), 0
         if ids:
             yield from close()
 
@@ -115,12 +121,9 @@ def answers(sent: DataFrame, states: int) -> DataFrame:
         bucket, held = None, []
 
         def close():
-            number, places = {}, []
+            number, places = numbering(), []
             for _, packed, _ in held:
                 words = zlib.decompress(packed).split(b"\n")
-                for w in words:
-                    if w not in number:
-                        number[w] = len(number)
                 places.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
             totals = np.zeros(len(number), np.int64)
             for place, (_, _, counts) in zip(places, held, strict=True):
