@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import byte_bpe, chat, decontamination, hmm, line_dedup, near_join, pii, quality, suffix_dedup, warc
+from tidewell.llm import byte_bpe, chat, decontamination, hmm, licenses, line_dedup, near_join, pii, quality, schema_drift, suffix_dedup, wand, warc
 
 
 #: Key of the pseudonyms that the query shows; a deployment passes its own.
@@ -71,7 +72,36 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hmm_scoring, op2_near_join, op3_pii, op4_quality_rules, op5_suffix_dedup, op6_line_dedup, op7_chat, op8_warc, op9_byte_bpe, op10_decontamination)}
+#: What files of clients shall look like.
+CLIENTS = schema_drift.Evolved(
+    (
+        ("client_id", pa.int64()), ("master_id", pa.int64()), ("source", pa.string()), ("updated_at", pa.timestamp("us")), ("name", pa.string()),
+        ("email", pa.string()), ("city", pa.string()), ("nation_id", pa.int64()), ("segment", pa.string()), ("balance", pa.float64()),
+    ),
+    {8: -1, 9: "none"},
+)
+CLIENTS_DRIFT = {"missing": (8, 9), "narrow": {8: pa.int32(), 10: pa.float32()}, "swapped": (5, 6)}
+
+
+def op11_drift_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = [F.crc32(F.col("client_id").cast("string")), F.col("client_id")]
+    files = schema_drift.write_drifted(_table(spark, sf_dir, "clients"), CLIENTS, order, 250, "19", **CLIENTS_DRIFT)
+    found = schema_drift.digests(schema_drift.rewrite(files, CLIENTS))
+    return found.select(
+        F.col("file_no").cast("long").alias("file_no"), F.col("drift").cast("long").alias("version"), "n_rows", "n_nulls", "ids_sha256", "rows_sha256", "start_columns", "columns", "path", "rewritten"
+    )
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wand.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hmm_scoring, op2_near_join, op3_pii, op4_quality_rules, op5_suffix_dedup, op6_line_dedup, op7_chat, op8_warc, op9_byte_bpe, op10_decontamination, op11_drift_rewrite, op12_license_scan, op13_lexical_search)}
 
 _OP2 = r"""
 WITH RECURSIVE w AS (
@@ -185,7 +215,30 @@ SELECT d.doc_id, d.n AS n_bytes, sum(k.b - k.a)::BIGINT AS n_removed, (count(*)
 FROM d JOIN kept k ON d.doc_id = k.doc_id GROUP BY d.doc_id, d.n
 """
 
-_SQL: dict[str, str] = {"op2_near_join": _OP2, "op5_suffix_dedup": _OP5, "op7_chat": _OP7, "op8_warc": _OP8, "op6_line_dedup": _OP6, "op10_decontamination": _OP10}
+_OP13 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), totals AS (
+  SELECT count(*)::BIGINT AS n, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0
+), tf AS (
+  SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY r, term
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM tf, totals GROUP BY term, n
+), asked AS (
+  SELECT q, item_id, term, count(*)::BIGINT AS times
+  FROM (SELECT q, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term
+        FROM (SELECT *, row_number() OVER () AS q FROM benchmark)) GROUP BY ALL
+), impacts AS (
+  SELECT tf.r, tf.term, (1000000000 * tf.tf) // (1000 * tf.tf + 12 * (100 - 25 + (25 * len(d.w)::BIGINT * n) // l)) AS impact FROM tf JOIN d ON tf.r = d.r, totals
+), scored AS (
+  SELECT q, item_id, r, sum(times * weight * impact)::BIGINT AS score FROM asked JOIN weights USING (term) JOIN impacts USING (term) GROUP BY ALL
+), ranked AS (
+  SELECT s.*, d.doc_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, d.doc_id, s.r) AS rank FROM scored s JOIN d ON s.r = d.r WHERE score > 0
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+_SQL: dict[str, str] = {"op2_near_join": _OP2, "op5_suffix_dedup": _OP5, "op7_chat": _OP7, "op8_warc": _OP8, "op6_line_dedup": _OP6, "op10_decontamination": _OP10, "op13_lexical_search": _OP13}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
