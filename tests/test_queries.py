@@ -20,8 +20,9 @@ def test_twin(spark, data, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_runs(spark, data, name):
-    df = registry.queries()[name](spark, data)
-    assert df.count() >= 0 and df.columns
+    """Queries without a twin have tests of their own; here every row and column of them is made, and there are some."""
+    rows = registry.queries()[name](spark, data).collect()
+    assert rows and any(x is not None for x in rows[0])
 
 
 def test_entry(spark):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -21,11 +21,23 @@ def purge(events: DataFrame, before: int) -> DataFrame:
     return events.where(F.col("ts_ms") >= before)
 
 
+#: Code points of an inbox row's label and preview.
+LABEL_CHARS, PREVIEW_CHARS, MOST_INBOX = 80, 200, 200
+
+
+def shortened(text: Column, most: int) -> Column:
+    """text, or its beginning and three dots within `most` code points."""
+    return F.when(F.char_length(text) > most, F.concat(F.substring(text, 1, most - 3), F.lit("..."))).otherwise(text)
+
+
 def inbox(episodes: DataFrame, reviews: DataFrame, limit: int = 50) -> DataFrame:
-    """Newest active episodes with a preview and their review."""
-    rows = episodes.where("status = 'active'").orderBy(F.desc("ts_ms"), F.desc("rowid")).limit(max(1, min(limit, 200)))
-    preview = F.when(F.char_length("content") > 20, F.concat(F.substring("content", 1, 17), F.lit("..."))).otherwise(F.col("content"))
-    return rows.join(reviews, "memory_id", "left").select("memory_id", "ts_ms", "source_type", preview.alias("preview"), F.coalesce("review", F.lit("pending")).alias("review"))
+    """Newest active episodes, ties by memory id, with a label (their first line), a preview and their review (memory_id, state, reviewed_at_ms, note), if any."""
+    rows = episodes.where("status = 'active'").orderBy(F.desc("ts_ms"), "memory_id").limit(max(1, min(limit, MOST_INBOX)))
+    first_line = F.regexp_replace(F.substring_index("content", "\n", 1), "\r$", "")
+    told = reviews.select("memory_id", F.col("state").alias("review_state"), "reviewed_at_ms", F.col("note").alias("review_note"))
+    return rows.join(told, "memory_id", "left").select(
+        "memory_id", shortened(first_line, LABEL_CHARS).alias("label"), shortened(F.col("content"), PREVIEW_CHARS).alias("preview"), "ts_ms", "source_type", "salience", "status", "review_state", "reviewed_at_ms", "review_note"
+    )
 
 
 def tiers(episodes: DataFrame) -> DataFrame:

@@ -138,12 +138,17 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.select(F.sha2(text_col, 256).alias("content_hash"), id_col).groupBy("content_hash").agg(F.min(id_col).alias(id_col), F.count("*").alias("n"))
 
 
-def listing(docs: DataFrame, extractions: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
-    """Documents by id with a preview and the newest extraction's status."""
-    newest = extractions.groupBy("doc_id").agg(F.max_by("status", F.struct("created_at_ms", "extraction_id")).alias("extraction_status"))
-    title = F.trim(F.substring(F.substring_index("text", "\n", 1), 1, 80))
-    rows = docs.orderBy("doc_id").offset(offset).limit(max(1, min(limit, 100)))
-    return rows.join(newest, "doc_id", "left").select("doc_id", "source", title.alias("title"), F.substring("text", 1, 200).alias("preview"), "extraction_status")
+def listing(docs: DataFrame, extractions: DataFrame, limit: int = 20, offset: int = 0, forgotten: bool = False) -> DataFrame:
+    """Active documents, newest first, ties by doc_id, with their newest extraction's status and error; forgotten: all documents.
+
+    docs: (doc_id, title, source, mime_type, ingested_at_ms, chunk_count, status). Only the rows shown meet extractions.
+    """
+    rows = (docs if forgotten else docs.where("status = 'active'")).orderBy(F.desc("ingested_at_ms"), "doc_id").offset(offset).limit(max(1, min(limit, 100)))
+    own = extractions.join(F.broadcast(rows.select("doc_id")), "doc_id", "left_semi")  # at most 100 rows
+    newest = own.groupBy("doc_id").agg(F.max_by(F.struct("status", "error"), F.struct("created_at_ms", "extraction_id")).alias("e"))
+    return rows.join(newest, "doc_id", "left").select(
+        "doc_id", "title", "source", "mime_type", "ingested_at_ms", F.col("chunk_count").cast("long").alias("chunk_count"), "status", F.col("e.status").alias("extraction_status"), F.col("e.error").alias("extraction_error")
+    )
 
 
 def document_texts(parts: DataFrame) -> DataFrame:

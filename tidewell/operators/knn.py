@@ -1,4 +1,4 @@
-"""Exact nearest neighbours by cosine distance."""
+"""Exact nearest neighbours by cosine distance; vector_index has the approximate ones."""
 
 from __future__ import annotations
 
@@ -21,39 +21,6 @@ def nearest(rows: DataFrame, query: list[float], k: int, id_col: str = "vec_id",
     return scored.orderBy("distance", id_col).limit(k)
 
 
-def planes(dim: int, bits: int, tables: int, seed: int = 7) -> np.ndarray:
-    """Random directions of a sign hash: tables times bits of them."""
-    return np.random.default_rng(seed).standard_normal((tables, bits, dim))
-
-
-def sign_index(rows: DataFrame, dim: int, bits: int = 6, tables: int = 12, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(tbl, bucket, id, vector): each row once a table, under the signs of its products with that table's directions. Written sorted by table and bucket it is an approximate index of all rows."""
-    p = planes(dim, bits, tables)
-
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            v = np.array(batch.column(1).to_pylist(), np.float64)
-            code = ((v @ p.reshape(-1, dim).T).reshape(len(v), tables, bits) > 0) @ (1 << np.arange(bits))
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(tables), len(v)), pa.int32()), pa.array(code.ravel(), pa.int32()), pa.array(np.repeat(batch.column(0).to_numpy(), tables)), batch.column(1).take(pa.array(np.repeat(np.arange(len(v)), tables)))], names=["tbl", "bucket", "id", "vector"])
-
-    return rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("v")).mapInArrow(run, "tbl int, bucket int, id long, vector array<float>")
-
-
-def nearest_indexed(index: DataFrame, query: list[float], k: int, bits: int = 6, tables: int = 12, flips: int = 1) -> DataFrame:
-    """(id, distance) of the k nearest among rows that share a bucket with the query, or one whose code differs in up to `flips` of its least certain signs; distances are exact."""
-    products = planes(len(query), bits, tables) @ np.array(query, np.float64)
-    wanted = []
-    for t, own in enumerate(products):
-        code = int((own > 0) @ (1 << np.arange(bits)))
-        wanted += [(t, code), *((t, code ^ 1 << int(j)) for j in np.argsort(np.abs(own))[:flips])]
-    probes = index.sparkSession.createDataFrame(wanted, "tbl int, bucket int")
-    met = index.join(F.broadcast(probes), ["tbl", "bucket"])  # some probes a table
-    vector = F.array(*[F.lit(float(x)) for x in query])
-    return met.select("id", F.round(1 - cosine(F.col("vector"), vector), 6).alias("distance")).distinct().orderBy("distance", "id").limit(k)
-
-
 def nearest_each(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, neighbour_id, distance, rank): the k nearest other rows of each query row.
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.stemmer import stem, stem_udf
 from tidewell.functions.text import query_terms, words
+from tidewell.sources.segments import Store, pending
+from tidewell.sources.segments import drift as segments_drift
 from tidewell.sources.storage import keep
 
 K1, B = 1.2, 0.75
@@ -22,29 +24,96 @@ def postings(docs: DataFrame, id_col: str, text_col: str, stemmed: bool = False)
     return counts.join(stems, "term").groupBy("id", "size", "stem").agg(F.sum("tf").alias("tf")).select(F.col("stem").alias("term"), "id", "tf", "size")
 
 
-def save_index(docs: DataFrame, path: str, id_col: str, text_col: str, stemmed: bool = False, buckets: int = 64) -> None:
-    """Writes postings in files by bucket of terms, sorted by term, and the totals: a query then reads few row groups of few folders."""
+def _postings_segment(docs: DataFrame, id_col: str, text_col: str, stemmed: bool, buckets: int, seq: int, parts: int) -> DataFrame:
     found = postings(docs, id_col, text_col, stemmed).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    found.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    size = F.coalesce(F.size(words(F.col(text_col))), F.lit(0))  # a null text is an empty one
-    docs.agg(F.count("*").alias("n"), F.avg(size).alias("average"), F.lit(stemmed).alias("stemmed"), F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/totals")
+    return found.withColumn("seq", F.lit(seq).cast("long")).repartition(parts, "bucket").sortWithinPartitions("bucket", "term", "id")
+
+
+def _sizes(docs: DataFrame, id_col: str, text_col: str, seq: int) -> DataFrame:
+    """(id, size, seq); a null text is an empty one."""
+    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.size(words(F.col(text_col))), F.lit(0)).cast("long").alias("size"), F.lit(seq).cast("long").alias("seq"))
+
+
+def save_index(docs: DataFrame, path: str, id_col: str, text_col: str, stemmed: bool = False, buckets: int = 64) -> dict:
+    """Writes postings of all docs (distinct ids) as a new base: files by bucket of terms, sorted by term, so that a query reads few row groups of few folders; then publishes it. A base that was there before stays until vacuum()."""
+    store = Store(docs.sparkSession, path)
+    before = store.latest()
+    seq = before["seq"] + 1 if before else 0
+    held = store.write(_postings_segment(docs, id_col, text_col, stemmed, buckets, seq, buckets), "postings", "bucket")
+    sizes = store.write(_sizes(docs, id_col, text_col, seq), "docs")
+    manifest = {"seq": seq, "stemmed": stemmed, "buckets": buckets, "applied": before["applied"] if before else -1, "n_dead": 0, "segments": {"postings": [held], "docs": [sizes]}}
+    n, total = store.table(manifest, "docs").agg(F.count("*"), F.sum("size")).first()
+    return store.publish({**manifest, "n": n, "words": total or 0}, before)
+
+
+def update_index(spark: SparkSession, path: str, changed: DataFrame, gone: DataFrame, id_col: str, text_col: str, applied: int | None = None) -> dict:
+    """Adds a delta: `changed` rows (new ones too, distinct ids) replace those of their ids, and ids of `gone` go. Reads the sizes of documents, no other postings."""
+    store = Store(spark, path)
+    before = store.latest()
+    if before is None:
+        raise LookupError(f"no index in {path}")
+    seq = before["seq"] + 1
+    ids = changed.select(F.col(id_col).alias("id")).unionByName(gone.select(F.col(id_col).alias("id"))).distinct()
+    dead = store.write(ids.withColumn("seq", F.lit(seq).cast("long")), "dead")
+    held = store.write(_postings_segment(changed, id_col, text_col, before["stemmed"], before["buckets"], seq, 1 if changed.isEmpty() else min(before["buckets"], 8)), "postings", "bucket")
+    sizes = store.write(_sizes(changed, id_col, text_col, seq), "docs")
+    lost = store.alive(store.table(before, "docs"), before).join(spark.read.parquet(f"{path}/{dead}").select("id"), "id", "left_semi").agg(F.count("*"), F.sum("size")).first()
+    new = spark.read.parquet(f"{path}/{sizes}").agg(F.count("*"), F.sum("size")).first()
+    segments = {kind: [*before["segments"].get(kind, []), own] for kind, own in (("postings", held), ("docs", sizes), ("dead", dead))}
+    n_dead = before["n_dead"] + spark.read.parquet(f"{path}/{dead}").count()
+    told = {**before, "seq": seq, "segments": segments, "n_dead": n_dead, "n": before["n"] - lost[0] + new[0], "words": before["words"] - (lost[1] or 0) + (new[1] or 0), "applied": before["applied"] if applied is None else applied}
+    return store.publish(told, before)
+
+
+def replay_outbox(spark: SparkSession, path: str, outbox: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> int:
+    """Applies outbox entries (entry_id, op: upsert or delete, id) that no version has applied yet, as one delta; how many ids changed.
+
+    The last entry of an id counts; an upsert whose document is gone meanwhile is a deletion. The number applied is part of
+    the version, so a replay after a crash applies each entry once.
+    """
+    before = Store(spark, path).latest()
+    last, applied, n = pending(outbox, before["applied"])
+    if not n:
+        return 0
+    changed = docs.join(last.where("op = 'upsert'").select(F.col("id").alias(id_col)), id_col, "left_semi")
+    gone = last.select(F.col("id").alias(id_col)).join(changed.select(id_col), id_col, "left_anti")
+    update_index(spark, path, changed, gone, id_col, text_col, applied)
+    return n
+
+
+def compact_index(spark: SparkSession, path: str) -> dict:
+    """All live rows as one new base; the version before stays readable until vacuum()."""
+    store = Store(spark, path)
+    before = store.latest()
+    live = store.alive(store.table(before, "postings"), before)
+    held = store.write(live.repartition(before["buckets"], "bucket").sortWithinPartitions("bucket", "term", "id"), "postings", "bucket")
+    sizes = store.write(store.alive(store.table(before, "docs"), before), "docs")
+    return store.publish({**before, "segments": {"postings": [held], "docs": [sizes]}, "n_dead": 0}, before)
 
 
 def search_index(spark: SparkSession, path: str, query: str, limit: int) -> DataFrame:
-    """(id, score) of the best documents of a saved index; only the query's terms are read."""
-    totals = spark.read.parquet(f"{path}/totals").first()
+    """(id, score) of the best documents of a saved index; of all segments only the query's terms are read."""
+    store = Store(spark, path)
+    manifest = store.latest()
+    if manifest is None:
+        raise LookupError(f"no index in {path}")
     terms = query_terms(query)
-    terms = list(dict.fromkeys(stem(t) for t in terms)) if totals["stemmed"] else list(dict.fromkeys(terms))
-    places = [r[0] for r in spark.createDataFrame([(t,) for t in terms] or [("",)], "term string").select(F.pmod(F.xxhash64("term"), F.lit(totals["buckets"])).cast("int")).distinct().collect()]  # at most eight terms
-    held = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(places) & F.col("term").isin(terms))
-    return _scored(held, terms, totals["n"], totals["average"]).orderBy("score", "id").limit(limit)
+    terms = list(dict.fromkeys(stem(t) for t in terms)) if manifest["stemmed"] else list(dict.fromkeys(terms))
+    places = [r[0] for r in spark.createDataFrame([(t,) for t in terms] or [("",)], "term string").select(F.pmod(F.xxhash64("term"), F.lit(manifest["buckets"])).cast("int")).distinct().collect()]  # at most eight terms
+    held = store.table(manifest, "postings").where(F.col("bucket").isin(places) & F.col("term").isin(terms))
+    return _scored(store.alive(held, manifest), terms, manifest["n"], manifest["words"] / manifest["n"] if manifest["n"] else None).orderBy("score", "id").limit(limit)
+
+
+def indexed_ids(spark: SparkSession, path: str) -> DataFrame:
+    """(id) of all live documents of an index, those without words too."""
+    store = Store(spark, path)
+    manifest = store.latest()
+    return store.alive(store.table(manifest, "docs"), manifest).select("id")
 
 
-def drift(docs: DataFrame, path: str, id_col: str) -> DataFrame:
-    """One row: documents that the index lacks, and indexed ones that are gone. Documents without words are in no index."""
-    held = docs.sparkSession.read.parquet(f"{path}/postings").select("id").distinct()
-    own = docs.select(F.col(id_col).alias("id"))
-    return own.join(held, "id", "left_anti").agg(F.count("*").alias("missing")).crossJoin(held.join(own, "id", "left_anti").agg(F.count("*").alias("stale")))  # one row each
+def drift(expected: DataFrame, path: str, kind: str = "document") -> DataFrame:
+    """Ids (kind, id) that should be indexed against the index, whose ids are of one kind."""
+    return segments_drift(expected, indexed_ids(expected.sparkSession, path).select(F.lit(kind).alias("kind"), "id"))
 
 
 def _scored(held: DataFrame, terms: list[str], n: float, average: float | None) -> DataFrame:

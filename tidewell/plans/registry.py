@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import text as X
 from tidewell.functions.hashing import fnv1a64, hash_embedder
-from tidewell.operators import assets, audit, cluster, context, documents, evaluate, extraction, facts, graph, knn, lexical, quality_gate, retrieval
+from tidewell.operators import assets, audit, cluster, context, documents, evaluate, extraction, facts, graph, knn, lexical, quality_gate, retrieval, vector_index
 from tidewell.plans import sql
-from tidewell.sources import model, storage
+from tidewell.sources import model, segments, storage
 from tidewell.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,18 +132,89 @@ def _index(spark: SparkSession, d: str) -> str:
     return path
 
 
+def _changed_index(spark: SparkSession, d: str) -> str:
+    """An index of all documents, then deltas from an outbox: a third gets another text, one in ten goes, some come back; and a part is new."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    path = f"{storage.shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    lexical.save_index(docs.where("doc_id % 8 <> 1"), path, "doc_id", "text")
+    n = F.col("doc_id")
+    first = docs.select((n * 2).alias("entry_id"), F.when(n % 10 == 3, "delete").otherwise("upsert").alias("op"), n.alias("id")).where("id % 10 = 3 or id % 8 = 1 or id % 3 = 0")
+    then = docs.where(n % 20 == 3).select((n * 2 + 1_000_000_001).alias("entry_id"), F.lit("upsert").alias("op"), n.alias("id"))
+    now = _changed_documents(spark, d)
+    for outbox in (first, first.unionByName(then), then):  # what was applied is sent again
+        lexical.replay_outbox(spark, path, outbox, now, "doc_id", "text")
+    return path
+
+
+def _changed_documents(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("doc_id")
+    return table(spark, d, "documents").select("doc_id", F.when(n % 3 == 0, F.concat(F.lit("The licensed Apache version. "), "text")).otherwise(F.col("text")).alias("text"))
+
+
+@query("s20_index_deltas", sql.S20D)
+def index_deltas(spark: SparkSession, d: str) -> DataFrame:
+    """Search over a base and its deltas, as of an index built anew from what the outbox left."""
+    return lexical.search_index(spark, _changed_index(spark, d), WORDS, 100)
+
+
+@query("s20_index_compacted", sql.S20D)
+def index_compacted(spark: SparkSession, d: str) -> DataFrame:
+    path = _changed_index(spark, d)
+    lexical.compact_index(spark, path)
+    return lexical.search_index(spark, path, WORDS, 100)
+
+
+@query("w7_index_sync", sql.W7S)
+def index_sync(spark: SparkSession, d: str) -> DataFrame:
+    """The ids that a synchronised index holds."""
+    return lexical.indexed_ids(spark, _changed_index(spark, d)).select(F.col("id").alias("doc_id"))
+
+
 @query("v4_index_drift", sql.V4)
 def index_drift(spark: SparkSession, d: str) -> DataFrame:
-    """An index of documents, against a table in which some ids have changed."""
-    now = table(spark, d, "documents").select(F.when(F.col("doc_id") % 10 == 3, -F.col("doc_id")).otherwise(F.col("doc_id")).alias("doc_id"))
-    return lexical.drift(now, _index(spark, d), "doc_id")
+    """By kind, what one index of episodes and chunks holds against what it should: hot active episodes and chunks of active documents; some rows changed since it was built."""
+    episodes = model.episodes(spark, d).where("tier = 'hot'")
+    chunks = model.turns_as_chunks(spark, d).join(model.turn_documents(spark, d).select("doc_id", "status"), "doc_id")
+    built = episodes.where("rowid % 7 <> 0").select(F.lit("episode").alias("kind"), F.col("rowid").alias("id")).unionByName(chunks.where("doc_id % 5 <> 0").select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("id")))
+    expected = episodes.where("status = 'active'").select(F.lit("episode").alias("kind"), F.col("rowid").alias("id")).unionByName(chunks.where("status = 'active'").select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("id")))
+    return segments.drift(expected, built)
+
+
+@query("v4_document_drift", sql.V4D)
+def document_drift(spark: SparkSession, d: str) -> DataFrame:
+    """An index with deltas against a table in which some ids have changed."""
+    n = F.col("doc_id")
+    now = table(spark, d, "documents").select(F.lit("document").alias("kind"), F.when(n % 10 == 4, -n).otherwise(n).alias("id"))
+    return lexical.drift(now, _changed_index(spark, d))
+
+
+def _vector_index(spark: SparkSession, d: str) -> str:
+    path = f"{storage.shared_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    vector_index.build(table(spark, d, "embeddings"), path)
+    return path
 
 
 @query("v3_approximate_knn")
 def approximate_knn(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "embeddings")
-    q = _query_vector(spark, d)
-    return knn.nearest_indexed(knn.sign_index(rows, len(q)), q, 10, flips=3)
+    """A saved index of all vectors, searched for every row whose id is divisible by 50."""
+    return vector_index.search(_vector_index(spark, d), table(spark, d, "embeddings").where("vec_id % 50 = 0"), 10)
+
+
+@query("v3_search_cost")
+def approximate_cost(spark: SparkSession, d: str) -> DataFrame:
+    """What such a search compares and reads."""
+    return vector_index.cost(_vector_index(spark, d), table(spark, d, "embeddings").where("vec_id % 50 = 0"), 10)
+
+
+@query("v2_index_tombstones", sql.V2T)
+def index_tombstones(spark: SparkSession, d: str) -> DataFrame:
+    """The ids of a vector index after deletions, replacements and compaction."""
+    path, rows = _vector_index(spark, d), table(spark, d, "embeddings")
+    n = F.col("vec_id")
+    vector_index.update(spark, path, rows.where(n % 10 == 1), rows.where(n % 5 == 0).select("vec_id"))
+    vector_index.update(spark, path, rows.where(n % 20 == 0), rows.where(n % 10 == 1).select("vec_id"))
+    vector_index.compact(spark, path)
+    return vector_index.indexed_ids(spark, path)
 
 
 @query("f5_hash_embed")
@@ -371,14 +442,26 @@ def chunk_fold(spark: SparkSession, d: str) -> DataFrame:
 # Audit, erasure and row changes
 
 
+def _memories(spark: SparkSession, d: str) -> DataFrame:
+    """Memories with texts of several lines, from documents and turns; a tenth comes in groups of the same time."""
+    rows = table(spark, d, "documents").select(F.concat(F.lit("m:"), F.col("doc_id").cast("string")).alias("memory_id"), F.col("doc_id").alias("n"), F.col("text").alias("content"), F.col("source").alias("source_type"))
+    turns = table(spark, d, "conversations").select(F.concat(F.lit("t:"), F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string")).alias("memory_id"), (F.col("conv_id") * 7 + F.col("turn")).alias("n"), F.col("text").alias("content"), F.col("role").alias("source_type"))
+    n = F.col("n")
+    ts = F.lit(NOW) - F.when(n % 10 == 0, n - n % 100).otherwise(n) * 1000
+    status = F.when(n % 17 == 0, "forgotten").otherwise("active")
+    return rows.unionByName(turns).select("memory_id", "n", "content", "source_type", ts.alias("ts_ms"), (n % 100 / 100).alias("salience"), status.alias("status"))
+
+
 def _reviews(spark: SparkSession, d: str) -> DataFrame:
     """Reviews of memories: a row for each label, which names a memory by its number."""
-    return table(spark, d, "labels").select(F.concat(F.lit("ev:"), F.col("doc_id").cast("string")).alias("memory_id"), F.when(F.col("quality") == 1, "approved").otherwise("dismissed").alias("review"))
+    n = F.col("doc_id")
+    state = F.when(F.col("quality") == 1, "approved").otherwise("dismissed")
+    return table(spark, d, "labels").select(F.concat(F.lit("m:"), n.cast("string")).alias("memory_id"), state.alias("state"), (F.lit(NOW) + n).alias("reviewed_at_ms"), F.when(n % 2 == 0, F.concat(F.lit("seen "), n.cast("string"))).alias("note"))
 
 
 @query("g13_inbox", sql.G13)
 def inbox(spark: SparkSession, d: str) -> DataFrame:
-    return audit.inbox(model.episodes(spark, d), _reviews(spark, d), 60)
+    return audit.inbox(_memories(spark, d), _reviews(spark, d), 200)
 
 
 @query("g16_audit_list", sql.G16)
@@ -388,15 +471,17 @@ def audit_list(spark: SparkSession, d: str) -> DataFrame:
 
 @query("g17_audit_purge", sql.G17)
 def audit_purge(spark: SparkSession, d: str) -> DataFrame:
-    return audit.purge(model.episodes(spark, d), 1_705_000_000_000).groupBy("source_type").agg(F.count("*").alias("n"))
+    return audit.purge(model.episodes(spark, d), 1_705_000_000_000).select("rowid", "ts_ms", "source_type", "principal")
 
 
 @query("g18_erase", sql.G18)
 def erase(spark: SparkSession, d: str) -> DataFrame:
     left = audit.erase("user-8", *_erasable(spark, d))
-    out = left["facts"].groupBy(F.col("predicate").alias("what")).agg(F.count("*").alias("n"))
-    for name in ("episodes", "members", "chunks"):
-        out = out.unionByName(left[name].agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n"))
+    keys = {"episodes": F.col("memory_id"), "facts": F.col("triple_id"), "members": F.concat_ws(" ", "cluster_id", "memory_id"), "chunks": F.col("chunk_id").cast("string")}
+    out = None
+    for name, key in keys.items():
+        rows = left[name].select(F.lit(name).alias("what"), key.alias("key"))
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 
@@ -413,7 +498,7 @@ def erase_estimate(spark: SparkSession, d: str) -> DataFrame:
 def clear_source(spark: SparkSession, d: str) -> DataFrame:
     """Facts that outlive their source episode."""
     gone = model.episodes(spark, d).where(F.col("principal") == "user-8").select(F.col("rowid").alias("source_episode_id"))
-    return audit.clear_source(model.triples(spark, d), gone).groupBy("predicate").agg(F.count("source_episode_id").alias("with_source"), F.count("*").alias("n"))
+    return audit.clear_source(model.triples(spark, d), gone).select("triple_id", "predicate", "source_episode_id")
 
 
 @query("w5_reset_derived", sql.W5)
@@ -443,7 +528,7 @@ def latest_reviews(spark: SparkSession, d: str) -> DataFrame:
 
 @query("m7_retention", sql.M7)
 def retention(spark: SparkSession, d: str) -> DataFrame:
-    return audit.retention(model.episodes(spark, d), NOW, 20).groupBy("source_type").agg(F.count("*").alias("n"))
+    return audit.retention(model.episodes(spark, d), NOW, 20).select("rowid", "ts_ms", "source_type")
 
 
 @query("a4_tier_status", sql.A4)
@@ -535,7 +620,8 @@ def source_backfill(spark: SparkSession, d: str) -> DataFrame:
 
 @query("w4_delete_where", sql.W4)
 def delete_where(spark: SparkSession, d: str) -> DataFrame:
-    return audit.delete_where(model.episodes(spark, d), _reviews(spark, d).where("review = 'dismissed'"), ["memory_id"]).groupBy("tier").agg(F.count("*").alias("n"))
+    gone = table(spark, d, "labels").where("quality <> 1").select(F.concat(F.lit("ev:"), F.col("doc_id").cast("string")).alias("memory_id"))
+    return audit.delete_where(model.episodes(spark, d), gone, ["memory_id"]).select("memory_id", "tier", "status")
 
 
 @query("w7_evidence_counts", sql.W7)
@@ -546,7 +632,7 @@ def evidence_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("w8_forget", sql.W8)
 def forget(spark: SparkSession, d: str) -> DataFrame:
-    return audit.forget(model.episodes(spark, d), ["ev:1", "ev:2", "ev:17"]).groupBy("status").agg(F.count("*").alias("n"))
+    return audit.forget(model.episodes(spark, d), ["ev:1", "ev:2", "ev:17"]).select("memory_id", "status", "tier")
 
 
 # Quality
@@ -792,11 +878,31 @@ def redact_counts(spark: SparkSession, d: str) -> DataFrame:
     return done.select("doc_id", *[f"n_{k}" for k in documents.REDACTIONS])
 
 
+def _stored_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as a listing has them: several a moment of ingest, some forgotten, some without a title."""
+    n = F.col("doc_id")
+    title = F.when(n % 6 != 0, F.concat(F.lit("Document "), n.cast("string")))
+    kind = F.when(n % 3 == 0, "text/html").otherwise("text/plain")
+    return table(spark, d, "documents").select(
+        "doc_id", title.alias("title"), "source", kind.alias("mime_type"), (F.lit(NOW) - (n - n % 5) % 1000 * 1000).alias("ingested_at_ms"), F.ceil(F.col("n_chars") / 2000).alias("chunk_count"), F.when(n % 9 == 8, "forgotten").otherwise("active").alias("status")
+    )
+
+
+def _extractions(spark: SparkSession, d: str) -> DataFrame:
+    """Two extractions of each labelled document: a failed one, then the one that counts."""
+    rows = table(spark, d, "labels").select("doc_id", "quality", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    good = (F.col("k") == 1) & (F.col("quality") == 1)
+    return rows.select("doc_id", (F.col("doc_id") * 2 + F.col("k")).alias("extraction_id"), F.col("k").cast("long").alias("created_at_ms"), F.when(good, "done").otherwise("failed").alias("status"), F.when(~good, F.concat(F.lit("no text in try "), F.col("k").cast("string"))).alias("error"))
+
+
 @query("d5_list_documents", sql.D5)
 def list_documents(spark: SparkSession, d: str) -> DataFrame:
-    labels = table(spark, d, "labels")
-    runs = labels.select("doc_id", F.col("doc_id").alias("extraction_id"), F.lit(1).alias("created_at_ms"), F.when(F.col("quality") == 1, "done").otherwise("failed").alias("status"))
-    return documents.listing(table(spark, d, "documents"), runs, 50, 10)
+    return documents.listing(_stored_documents(spark, d), _extractions(spark, d), 100, 10)
+
+
+@query("d5_list_forgotten_too", sql.D5A)
+def list_all_documents(spark: SparkSession, d: str) -> DataFrame:
+    return documents.listing(_stored_documents(spark, d), _extractions(spark, d), 100, 0, forgotten=True)
 
 
 @query("d2_ingest", sql.D2I)

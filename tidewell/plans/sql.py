@@ -40,6 +40,7 @@ REFS = """refs AS (
 Q0 = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)"
 NEAR = f"SELECT vec_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], {Q0}), 6) AS distance FROM embeddings"
 V2 = f"{NEAR} ORDER BY distance, vec_id LIMIT 10"
+V2T = "SELECT vec_id::BIGINT AS id FROM embeddings WHERE vec_id % 10 <> 1 AND (vec_id % 5 <> 0 OR vec_id % 20 = 0)"
 V5 = """SELECT query_id, neighbour_id, distance, rank FROM (
   SELECT q.vec_id AS query_id, e.vec_id AS neighbour_id, round(1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS distance,
          row_number() OVER (PARTITION BY q.vec_id ORDER BY round(1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6), e.vec_id) AS rank
@@ -90,7 +91,15 @@ F4 = f"""WITH {CHUNKS}, {fused(_LIVE, ("report", "on", "market", "history"), 80,
 SELECT chunk_id AS id, doc_id, chunk_index, coalesce(distance, 1.0) AS distance, score, round(rrf, 6) AS fused_score
 FROM chunks JOIN found ON chunk_id = found.id WHERE doc_id % 9 <> 8 ORDER BY fused_score DESC, distance, chunk_index, id LIMIT 20"""
 J1 = f"WITH {CHUNKS} SELECT chunk_id, doc_id, chunk_index, 'chat ' || doc_id AS source FROM chunks WHERE doc_id % 9 <> 8"
-V4 = "SELECT count(*) FILTER (doc_id % 10 = 3 AND doc_id <> 0 AND (has OR NOT has)) AS missing, count(*) FILTER (doc_id % 10 = 3 AND has) AS stale FROM (SELECT doc_id, regexp_matches(text, '[\\p{L}\\p{N}]') AS has FROM documents)"
+V4 = f"""WITH {EPISODES}, c AS (SELECT conv_id * 1000 + turn AS id, conv_id % 9 <> 8 AS live, conv_id % 5 <> 0 AS held FROM conversations), e AS (SELECT rowid_ AS id, status = 'active' AS live, rowid_ % 7 <> 0 AS held FROM episodes WHERE tier = 'hot'),
+  b AS (SELECT 'chunk' AS kind, * FROM c UNION ALL SELECT 'episode', * FROM e)
+SELECT kind, count(*) FILTER (live) AS expected, count(*) FILTER (held) AS indexed, count(*) FILTER (live) - count(*) FILTER (held) AS diff, count(*) FILTER (live AND NOT held) AS missing, count(*) FILTER (held AND NOT live) AS stale FROM b WHERE live OR held GROUP BY kind"""
+# What the outbox leaves: every document but those of ids ending in 3, of which every second comes back; a third has new texts.
+_LEFT = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'The licensed Apache version. ' ELSE '' END || text AS text FROM documents WHERE doc_id % 10 <> 3 OR doc_id % 20 = 3"
+S20D = f"WITH {bm25(f'SELECT doc_id AS id, text FROM ({_LEFT})', TERMS)} SELECT id, score FROM scored ORDER BY score, id LIMIT 100"
+W7S = f"SELECT doc_id FROM ({_LEFT})"
+V4D = f"""WITH i AS (SELECT doc_id AS id FROM ({_LEFT})), e AS (SELECT CASE WHEN doc_id % 10 = 4 THEN -doc_id ELSE doc_id END AS id FROM documents)
+SELECT 'document' AS kind, (SELECT count(*) FROM e) AS expected, (SELECT count(*) FROM i) AS indexed, (SELECT count(*) FROM e) - (SELECT count(*) FROM i) AS diff, (SELECT count(*) FROM e WHERE id NOT IN (SELECT id FROM i)) AS missing, (SELECT count(*) FROM i WHERE id NOT IN (SELECT id FROM e)) AS stale"""
 F6 = """SELECT event_id, CASE WHEN event_id % 4 = 0 AND event_id % 3 = 0 THEN true WHEN event_id % 5 = 0 AND event_id % 2 = 0 THEN true
   WHEN event_id % 4 = 0 OR event_id % 5 = 0 THEN false ELSE event_id % 3 = 0 END AS inside FROM events"""
 
@@ -195,24 +204,29 @@ G14N = f"""WITH {_GRAPH} SELECT * FROM (SELECT 'out' AS direction, kind, edge_id
 ORDER BY direction, kind, edge_id, node LIMIT 100"""
 G14I = f"""WITH {_GRAPH} SELECT 'order-3' AS node, count(*) FILTER (source = 'order-3') AS n_out, count(*) FILTER (target = 'order-3') AS n_in, coalesce(string_agg(DISTINCT kind, ',' ORDER BY kind) FILTER (source = 'order-3'), '') AS out_kinds,
  coalesce(string_agg(DISTINCT kind, ',' ORDER BY kind) FILTER (target = 'order-3'), '') AS in_kinds FROM ge WHERE source = 'order-3' OR target = 'order-3'"""
-_REVIEWS = "reviews AS (SELECT 'ev:' || doc_id AS memory_id, CASE WHEN quality = 1 THEN 'approved' ELSE 'dismissed' END AS review FROM labels)"
-G13 = f"""WITH {EPISODES}, {_REVIEWS} SELECT e.memory_id, ts_ms, source_type, CASE WHEN length(content) > 20 THEN substr(content, 1, 17) || '...' ELSE content END AS preview, coalesce(review, 'pending') AS review
-FROM (SELECT * FROM episodes WHERE status = 'active' ORDER BY ts_ms DESC, rowid_ DESC LIMIT 60) e LEFT JOIN reviews r ON e.memory_id = r.memory_id"""
+# Twins of the inbox and of the document listing follow the rules of the interface, not the operator.
+_MEMORIES = f"""raw AS (SELECT 'm:' || doc_id AS memory_id, doc_id AS n, text AS content, source AS source_type FROM documents UNION ALL SELECT 't:' || conv_id || ':' || turn, conv_id * 7 + turn, text, role FROM conversations),
+  memories AS (SELECT *, {NOW} - (CASE WHEN n % 10 = 0 THEN n - n % 100 ELSE n END) * 1000 AS ts_ms, (n % 100)::DOUBLE / 100 AS salience, CASE WHEN n % 17 = 0 THEN 'forgotten' ELSE 'active' END AS status FROM raw)"""
+_SHORT = lambda text, most: f"CASE WHEN length({text}) <= {most} THEN {text} ELSE substr({text}, 1, {most - 3}) || '...' END"
+G13 = f"""WITH {_MEMORIES}, lines AS (SELECT *, rtrim(split_part(content, chr(10), 1), chr(13)) AS line FROM memories)
+SELECT m.memory_id, {_SHORT("line", 80)} AS label, {_SHORT("content", 200)} AS preview, ts_ms, source_type, salience, status, CASE quality WHEN 1 THEN 'approved' WHEN 0 THEN 'dismissed' END AS review_state,
+  {NOW} + doc_id AS reviewed_at_ms, CASE WHEN doc_id % 2 = 0 THEN 'seen ' || doc_id END AS review_note
+FROM lines m LEFT JOIN labels ON m.memory_id = 'm:' || doc_id WHERE status = 'active' ORDER BY ts_ms DESC, m.memory_id ASC LIMIT 200"""
 G16 = f"WITH {EPISODES} SELECT rowid_ AS rowid, ts_ms, principal, source_type AS operation FROM episodes WHERE source_type = 'error' AND ts_ms >= 1704153600000 ORDER BY ts_ms DESC, rowid_ DESC LIMIT 100"
-G17 = f"WITH {EPISODES} SELECT source_type, count(*) AS n FROM episodes WHERE ts_ms >= 1705000000000 GROUP BY source_type"
+G17 = f"WITH {EPISODES} SELECT rowid_ AS rowid, ts_ms, source_type, principal FROM episodes WHERE ts_ms >= 1705000000000"
 _LOST = "SELECT rowid_ FROM episodes WHERE principal = 'user-8'"
-G18 = f"""WITH {EPISODES}, {TRIPLES}, {MEMBERS}, {CHUNKS} SELECT count(*) AS n, 'episodes' AS what FROM episodes WHERE principal IS DISTINCT FROM 'user-8'
-UNION ALL SELECT count(*), predicate FROM triples WHERE source_episode_id IS NULL OR source_episode_id NOT IN ({_LOST}) GROUP BY predicate
-UNION ALL SELECT count(*), 'members' FROM members WHERE memory_id NOT IN (SELECT memory_id FROM episodes WHERE principal = 'user-8') UNION ALL SELECT count(*), 'chunks' FROM chunks WHERE ingested_by <> 'user-8'"""
+G18 = f"""WITH {EPISODES}, {TRIPLES}, {MEMBERS}, {CHUNKS} SELECT 'episodes' AS what, memory_id AS key FROM episodes WHERE principal IS DISTINCT FROM 'user-8'
+UNION ALL SELECT 'facts', triple_id FROM triples WHERE source_episode_id IS NULL OR source_episode_id NOT IN ({_LOST})
+UNION ALL SELECT 'members', cluster_id || ' ' || memory_id FROM members WHERE memory_id NOT IN (SELECT memory_id FROM episodes WHERE principal = 'user-8') UNION ALL SELECT 'chunks', chunk_id::VARCHAR FROM chunks WHERE ingested_by <> 'user-8'"""
 G19 = f"""WITH {EPISODES}, {TRIPLES}, {MEMBERS}, {CHUNKS}, lost AS (SELECT * FROM triples WHERE source_episode_id IN ({_LOST})), touched AS (SELECT cluster_id FROM members WHERE memory_id IN (SELECT memory_id FROM episodes WHERE principal = 'user-8'))
 SELECT (SELECT count(*) FROM ({_LOST})) AS episodes, (SELECT count(*) FROM lost) AS facts, (SELECT count(*) FROM chunks WHERE ingested_by = 'user-8') AS chunks, (SELECT count(*) FROM triples WHERE source_episode_id IS NULL AND cluster_id IN (SELECT cluster_id FROM touched)) AS orphans"""
-W4C = f"WITH {EPISODES}, {TRIPLES} SELECT predicate, count(*) FILTER (source_episode_id IS NOT NULL AND source_episode_id NOT IN ({_LOST})) AS with_source, count(*) AS n FROM triples GROUP BY predicate"
+W4C = f"WITH {EPISODES}, {TRIPLES} SELECT triple_id, predicate, CASE WHEN source_episode_id NOT IN ({_LOST}) THEN source_episode_id END AS source_episode_id FROM triples"
 W5 = "SELECT 'clusters' AS what, 0::BIGINT AS n UNION ALL SELECT 'facts', 0 UNION ALL SELECT 'abstractions', 0 UNION ALL SELECT 'episodes', count(*) FROM events"
 W6 = f"""WITH {EPISODES}, {CHUNKS}, outbox AS (SELECT event_id AS entry_id, CASE WHEN event_id % 2 = 0 THEN 'episode' ELSE 'chunk' END AS kind, CASE WHEN event_id % 2 = 0 THEN event_id ELSE event_id * 500 END AS target_id FROM events)
 SELECT * FROM outbox WHERE entry_id % 5 <> 0 AND CASE kind WHEN 'episode' THEN target_id IN (SELECT rowid_ FROM episodes WHERE status = 'active') ELSE target_id IN (SELECT chunk_id FROM chunks) END"""
 Q16 = """SELECT l_orderkey AS memory_id, op_id, created_at_ms FROM (SELECT l_orderkey, l_linenumber || ':' || l_partkey || ':' || l_suppkey || ':' || l_quantity::INT AS op_id, epoch_us(l_shipdate) // 1000 AS created_at_ms FROM lineitem)
 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY created_at_ms DESC, op_id DESC) = 1"""
-M7 = f"WITH {EPISODES} SELECT source_type, count(*) AS n FROM episodes WHERE ts_ms >= {NOW} - 20 * {DAY}::BIGINT GROUP BY source_type"
+M7 = f"WITH {EPISODES} SELECT rowid_ AS rowid, ts_ms, source_type FROM episodes WHERE ts_ms >= {NOW} - 20 * {DAY}::BIGINT"
 A4 = f"WITH {EPISODES} SELECT tier, status, count(*) AS n FROM episodes GROUP BY tier, status"
 S2 = f"WITH {EPISODES} SELECT memory_id, ts_ms, content, tier, status FROM episodes WHERE memory_id = 'ev:17'"
 W1 = f"""WITH b AS (
@@ -221,7 +235,7 @@ W1 = f"""WITH b AS (
 SELECT entity_id, max(confidence) AS confidence, min(a) AS first_seen_ms, max(z) AS last_seen_ms, coalesce(arg_min(name, age) FILTER (name <> entity_id), entity_id) AS name FROM b GROUP BY entity_id"""
 W2 = "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'new ' || n_name END AS n_name FROM nation"
 W3 = "SELECT o_orderkey, event_id AS source_episode_id FROM orders LEFT JOIN events ON event_id = o_orderkey"
-W4 = f"WITH {EPISODES}, {_REVIEWS} SELECT tier, count(*) AS n FROM episodes WHERE memory_id NOT IN (SELECT memory_id FROM reviews WHERE review = 'dismissed') GROUP BY tier"
+W4 = f"WITH {EPISODES} SELECT memory_id, tier, status FROM episodes WHERE memory_id NOT IN (SELECT 'ev:' || doc_id FROM labels WHERE quality <> 1)"
 W7 = f"WITH {TRIPLES}, {EDGES}, {_EVIDENCE} SELECT e.edge_id, count(*) AS evidence_count FROM edges e JOIN evidence v ON e.edge_id = v.edge_id GROUP BY e.edge_id"
 W1A = f"""WITH o AS (SELECT * FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT * FROM customer WHERE c_custkey % 4 <> 0)
 SELECT c.c_name AS alias, CASE WHEN n.c_custkey IS NULL THEN '' ELSE 'new-' END || 'customer-' || c.c_custkey AS canonical_id, upper(c.c_name) AS display_label, CASE WHEN o.c_custkey IS NULL THEN 'gate' ELSE 'names' END AS source,
@@ -238,7 +252,7 @@ SELECT edge_id, subject_id, CASE WHEN new THEN object_id ELSE 'old' END AS objec
 W1V = f"""WITH {TRIPLES}, e AS (SELECT *, length(triple_id) % 2 = 0 AS old, object_kind = 'entity' AS new FROM triples WHERE status = 'active' QUALIFY row_number() OVER (PARTITION BY triple_id ORDER BY valid_from_ms DESC, object_id DESC) = 1)
 SELECT triple_id, CASE WHEN old THEN 'v-' ELSE '' END || triple_id AS evidence_id, CASE WHEN new THEN source_episode_id ELSE 1 END AS source_episode_id, (CASE WHEN new THEN 2 ELSE 1 END)::BIGINT AS created_at_ms FROM e WHERE old OR new"""
 W1S = "SELECT 'customer-' || c_custkey AS entity_id, CASE WHEN c_custkey % 3 = 0 THEN 'active' WHEN c_custkey % 2 = 1 THEN 'merged' WHEN c_custkey % 4 <> 0 THEN 'active' ELSE 'candidate' END AS status FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 4 <> 0"
-W8 = f"WITH {EPISODES} SELECT CASE WHEN rowid_ IN (1, 2, 17) THEN 'forgotten' ELSE status END AS status, count(*) AS n FROM episodes GROUP BY 1"
+W8 = f"WITH {EPISODES} SELECT memory_id, CASE WHEN rowid_ IN (1, 2, 17) THEN 'forgotten' ELSE status END AS status, tier FROM episodes"
 
 
 # The quality rules as SQL expressions
@@ -476,8 +490,12 @@ def redactions() -> str:
 
 
 D3 = redactions()
-D5 = """SELECT d.doc_id, source, trim(substr(string_split(text, chr(10))[1], 1, 80)) AS title, substr(text, 1, 200) AS preview, CASE WHEN quality = 1 THEN 'done' WHEN quality = 0 THEN 'failed' END AS extraction_status
-FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 50 OFFSET 10) d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
+_LISTED = f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 6 <> 0 THEN 'Document ' || doc_id END AS title, source, CASE WHEN doc_id % 3 = 0 THEN 'text/html' ELSE 'text/plain' END AS mime_type, {NOW} - (doc_id - doc_id % 5) % 1000 * 1000 AS ingested_at_ms,
+    ceil(n_chars::DOUBLE / 2000)::BIGINT AS chunk_count, CASE WHEN doc_id % 9 = 8 THEN 'forgotten' ELSE 'active' END AS status FROM documents),
+  e AS (SELECT doc_id, k, CASE WHEN k = 1 AND quality = 1 THEN 'done' ELSE 'failed' END AS status, CASE WHEN k <> 1 OR quality <> 1 THEN 'no text in try ' || k END AS error FROM labels, (VALUES (0), (1)) v(k))
+SELECT d.doc_id, title, source, mime_type, ingested_at_ms, chunk_count, d.status, (SELECT e.status FROM e WHERE e.doc_id = d.doc_id AND e.k = 1) AS extraction_status, (SELECT e.error FROM e WHERE e.doc_id = d.doc_id AND e.k = 1) AS extraction_error FROM d"""
+D5 = f"{_LISTED} WHERE status = 'active' ORDER BY ingested_at_ms DESC, doc_id ASC LIMIT 100 OFFSET 10"
+D5A = f"{_LISTED} ORDER BY ingested_at_ms DESC, doc_id ASC LIMIT 100"
 
 
 def _unescape(e: str) -> str:
