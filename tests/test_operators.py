@@ -12,8 +12,6 @@ from tidewell.functions.hashing import fnv1a64_hex, hash_embedding
 from tidewell.functions.stemmer import stem
 from tidewell.functions.vectors import cosine, unit
 from tidewell.operators import assets, audit, cluster, context, documents, evaluate, extraction, facts, graph, knn, lexical, quality_gate, retrieval
-from tidewell.streaming import batches
-from tidewell.streaming.batches import CountOrTime, append_batches, daily_counts, episodes_stream, triggered
 
 
 def one(spark, column, **values):
@@ -430,68 +428,6 @@ def test_graph_facts_and_nodes(spark):
     assert spark.range(1).select(graph.path_reasons(F.lit(2), F.lit(False))).first()[0] == ["query_entity", "two_hop_relationship_path", "graph_neighbor"]
 
 
-def test_streaming(spark, data, tmp_path):
-    schema = spark.read.parquet(f"{data}/events.parquet").schema
-    spark.read.parquet(f"{data}/events.parquet").repartition(3).write.parquet(str(tmp_path / "in"))
-    source = lambda: episodes_stream(spark, str(tmp_path / "in"), schema)
-    runs = []
-    triggered(source(), str(tmp_path / "c1"), CountOrTime(runs.append, rows=500)).awaitTermination(120)
-    assert sum(runs) <= 1000 and runs and all(n >= 500 for n in runs)
-    append_batches(source(), str(tmp_path / "out"), str(tmp_path / "c2"), ["event_id"]).awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 1000
-    assert daily_counts(source()).isStreaming
-    now = [0.0]
-    timed = CountOrTime(runs.append, rows=0, seconds=10, clock=lambda: now[0])
-    assert not timed.note(5)
-    now[0] = 11
-    assert timed.tick() and timed.seen == 0 and not timed.tick()
-
-
-def test_stream_state_survives_a_restart(spark, data, tmp_path):
-    runs, folder = [], f"file:{tmp_path}/state"
-    first = CountOrTime(runs.append, rows=10, clock=lambda: 5.0, folder=folder, spark=spark)
-    first(spark.range(7), 0)
-    second = CountOrTime(runs.append, rows=10, clock=lambda: 6.0, folder=folder, spark=spark)
-    assert (second.seen, second.last) == (7, 5.0)
-    second(spark.range(7), 0)  # a replay of what was counted
-    assert second.seen == 7 and not runs
-    second(spark.range(4), 1)
-    assert runs == [11] and CountOrTime(runs.append, folder=folder, spark=spark).seen == 0
-
-
-def test_stream_appends_each_key_once(spark, tmp_path):
-    rows = spark.createDataFrame([(i, "x") for i in range(30)], "entry_id long, kind string")
-    for k in range(3):  # every file brings rows of the one before again
-        rows.where(f"entry_id between {k * 10 - 5} and {k * 10 + 9}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    source = lambda: episodes_stream(spark, str(tmp_path / "in"), rows.schema)
-    batches.replay(source(), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(120)
-    got = [r[0] for r in spark.read.parquet(str(tmp_path / "out")).select("entry_id").collect()]
-    assert sorted(got) == list(range(30))
-    batches.broadcast_invalidations(source().withColumn("tenant_id", F.col("kind")), str(tmp_path / "sig"), str(tmp_path / "c3"), "episode", clock=lambda: 2.0).awaitTermination(120)
-    assert [(r["tenant_id"], r["ts_ms"]) for r in spark.read.parquet(str(tmp_path / "sig")).collect()] == [("x", 2000)] * 3
-    q = batches.periodic(source(), str(tmp_path / "c4"), lambda b, i: b.write.mode("overwrite").parquet(f"{tmp_path}/p/batch_id={i}"), "100 milliseconds")
-    q.processAllAvailable()
-    q.stop()
-    assert spark.read.parquet(str(tmp_path / "p")).count() == 40
-    q = batches.audit_writer(source().withColumn("event_id", F.col("entry_id")), str(tmp_path / "aud"), str(tmp_path / "c5"))
-    q.processAllAvailable()
-    q.stop()
-    assert spark.read.parquet(str(tmp_path / "aud")).count() == 30
-
-
-def test_incremental_clusters(spark, tmp_path):
-    day = 86_400_000
-    files = [[(1, 1, [1.0, 0.0]), (2, 2, [0.0, 1.0])], [(3, 3, [0.9, 0.1]), (4, day, [0.0, 1.0])], [(5, 5, [1.0, 0.1]), (6, day + 1, [0.1, 1.0])]]
-    kind = "id long, ts_ms long, embedding array<float>"
-    for k, rows in enumerate(files):
-        spark.createDataFrame(rows, kind).coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
-    source = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-    batches.incremental_clusters(source, str(tmp_path / "state"), str(tmp_path / "c"), 0.7).awaitTermination(120)
-    members = spark.read.parquet(str(tmp_path / "state" / "members"))
-    got = sorted((r["cluster_id"], r["id"]) for r in members.collect())
-    assert len(got) == len({i for _, i in got}) and {(1, 1), (1, 3), (4, 4), (4, 6)} <= set(got) and 2 not in {i for _, i in got}
-
-
 def test_extraction(spark):
     assert extraction.reply_json('x ```json\n{"a": 1}\n``` y') == {"a": 1} and extraction.reply_json("no") is None and extraction.reply_json('so {"a": {"b": 2}}') == {"a": {"b": 2}}
     assert extraction.facts_of({"triples": [{"subject": "a", "predicate": "b", "object": "c"}, {"subject": "a"}, 3]}) == [("a", "b", "c", "literal")]

@@ -12,23 +12,31 @@ from pyspark.sql import functions as F
 from tidewell.functions.text import day_bucket
 from tidewell.functions.vectors import unit
 from tidewell.operators.facts import cutoff
-from tidewell.sources.storage import keep
+from tidewell.sources.storage import discard, keep, spread_join
 
 THRESHOLD, MIN_SIZE, MAX_SIZE = 0.55, 2, 48
 #: Vectors of a day that are compared with as many others at a time.
 BLOCK = 2048
 
 
-def similar_pairs(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b, day, sim) of pairs of one day at or over the threshold; rows: id, day, embedding.
+def similar_pairs(rows: DataFrame, threshold: float = THRESHOLD, held: DataFrame | None = None) -> DataFrame:
+    """(a, b, day, sim) of pairs of one day at or over the threshold, a < b; rows: id, day, embedding.
 
     A day's vectors meet block by block: a row goes to as many tasks as its day has blocks, and each
     compares two blocks by a matrix product, so a large day is spread and no pair below the threshold
-    leaves a task.
+    leaves a task. held: rows that were compared with each other before; they meet rows only, not one another.
     """
     sizes = rows.groupBy("day").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = rows.join(sizes, "day").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    placed = rows.join(sizes, "day").withColumn("block", own(F.col("blocks"))).withColumn("other", every(F.col("blocks")))
+    columns = ["day", "b1", "b2", "block", "id", "embedding"]
     dealt = placed.select("day", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "id", "embedding")
+    if held is not None:  # blocks of held rows are numbered below 0
+        both = sizes.join(held.groupBy("day").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("held_blocks")), "day")
+        fresh = rows.join(both, "day").withColumn("b2", own(F.col("blocks"))).withColumn("b1", F.explode(F.sequence(-F.col("held_blocks"), F.lit(-1))))
+        known = held.join(both, "day").withColumn("b1", -1 - own(F.col("held_blocks"))).withColumn("b2", every(F.col("blocks")))
+        dealt = dealt.unionByName(fresh.withColumn("block", F.col("b2")).select(*columns)).unionByName(known.withColumn("block", F.col("b1")).select(*columns))
 
     def run(batches):
         key, held = None, []
@@ -58,17 +66,29 @@ def similar_pairs(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return dealt.repartition("day", "b1", "b2").sortWithinPartitions("day", "b1", "b2", "id").mapInArrow(run, "a long, b long, day long, sim double")
 
 
+#: Nodes up to which components() broadcasts their labels (16 bytes each).
+MOST_NODES = 1_000_000
+
+
 def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, component) of the nodes of pairs (a, b): smallest id of the connected component, by label passing with pointer jumping."""
+    """(id, component) of the nodes of pairs (a, b): smallest id of the connected component, by label passing with pointer jumping.
+
+    A node or label of very many rows is spread over tasks. Each round is a table in the shared folder, deleted once the next one is there.
+    """
     both = keep(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "pairs")
     labels = keep(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    n = labels.count()
     for _ in range(rounds):
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        stepped = labels.join(near, "id", "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("component"))
+        near = spread_join(both, labels.withColumnRenamed("id", "b"), "b", n, MOST_NODES).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
+        stepped = keep(labels.join(near, "id", "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("component")), "step")
         up = stepped.select(F.col("id").alias("component"), F.col("component").alias("up"))
-        jumped = keep(stepped.join(up, "component", "left").select("id", "old", F.least("component", F.coalesce("up", "component")).alias("component")), "labels")
+        jumped = keep(spread_join(stepped, up, "component", n, MOST_NODES).select("id", "old", F.least("component", F.coalesce("up", "component")).alias("component")), "labels")
+        discard(stepped)
+        discard(labels)
         labels = jumped.select("id", "component")
+        labels.kept_path = jumped.kept_path
         if not jumped.where("old <> component").limit(1).count():
+            discard(both)
             return labels
     raise RuntimeError("components did not settle")
 
@@ -81,13 +101,32 @@ def cluster_days(rows: DataFrame, threshold: float = THRESHOLD, min_size: int =
     """
     days = rows.withColumn("day", day_bucket(F.col("ts_ms")))
     labels = components(similar_pairs(days.select("id", "day", "embedding"), threshold))
+    return cut_components(labels.join(rows.select("id", "ts_ms"), "id"), min_size, max_size)
+
+
+def cut_components(labels: DataFrame, min_size: int = MIN_SIZE, max_size: int = MAX_SIZE) -> DataFrame:
+    """(cluster_id, id) of labels (id, component, ts_ms): blocks of components in time order, named by their first member."""
     order = Window.partitionBy("component").orderBy("ts_ms", "id")
-    cut = labels.join(rows.select("id", "ts_ms"), "id").withColumn("part", F.floor((F.row_number().over(order) - 1) / max(max_size, min_size)))
+    cut = labels.withColumn("part", F.floor((F.row_number().over(order) - 1) / max(max_size, min_size)))
     whole = Window.partitionBy("component", "part")
     named = cut.withColumn("n", F.count("*").over(whole)).withColumn("cluster_id", F.min_by("id", F.struct("ts_ms", "id")).over(whole))
     return named.where(F.col("n") >= min_size).select("cluster_id", "id")
 
 
+def grow(fresh: DataFrame, held: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(id, component, day) of held and fresh rows (id, day, embedding) together; labels: those of held (id, component, day).
+
+    Only pairs with a fresh row are formed. Each links two components so far (a fresh row is its own), so what
+    has to be joined is a graph of components, not of rows.
+    """
+    pairs = keep(similar_pairs(fresh, threshold, held), "grow-pairs")
+    own = labels.select("id", "component", "day").unionByName(fresh.select("id", F.col("id").alias("component"), "day"))
+    of = lambda side: own.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
+    links = pairs.join(of("a"), "a").join(of("b"), "b").where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
+    merged = components(links).select(F.col("id").alias("component"), F.col("component").alias("into"))
+    return own.join(merged, "component", "left").select("id", F.coalesce("into", "component").alias("component"), "day")
+
+
 def centroids(members: DataFrame, rows: DataFrame) -> DataFrame:
     """(cluster_id, n, centroid): the mean of the members' unit vectors, brought to length 1 again."""
     placed = members.join(rows.select("id", "embedding"), "id").select("cluster_id", F.posexplode(unit(F.col("embedding"))).alias("pos", "x"))

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @functools.cache
@@ -27,4 +28,44 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage by a table in the shared folder, so that what reads it twice computes it once and a lost executor costs no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_path = path
+    return out
+
+
+def _at(spark: SparkSession, path: str):
+    made = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return made.getFileSystem(spark._jsc.hadoopConfiguration()), made
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none if there is no such folder."""
+    system, at = _at(spark, path)
+    return sorted(s.getPath().getName() for s in system.listStatus(at)) if system.exists(at) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    system, at = _at(spark, path)
+    system.delete(at, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what keep() wrote, once nothing reads it any more."""
+    if path := getattr(df, "kept_path", None):
+        delete(df.sparkSession, path)
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, rows: int, limit: int, salts: int = 16) -> DataFrame:
+    """left with the columns of right (distinct keys, none null), or nulls. Up to `limit` counted rows right is broadcast.
+
+    Beyond, right goes to `salts` places a key and rows of left are dealt over them, so that no key of left stays in one task;
+    rows of a null key meet nothing and stay where they are.
+    """
+    if rows <= limit:
+        return left.join(F.broadcast(right), key, "left")
+    others = [c for c in left.columns if c != key]
+    dealt = left.withColumn("salt", F.pmod(F.xxhash64(*(others or [key])), F.lit(salts)).cast("int"))
+    copies = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    met = dealt.where(F.col(key).isNotNull()).join(copies, [key, "salt"], "left").drop("salt")
+    blank = dealt.where(F.col(key).isNull()).drop("salt").select(*left.columns, *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in right.columns if c != key])
+    return met.unionByName(blank)
