@@ -58,14 +58,20 @@ def discard(df: DataFrame) -> None:
 def spread_join(left: DataFrame, right: DataFrame, key: str, rows: int, limit: int, salts: int = 16) -> DataFrame:
     """left with the columns of right (distinct keys, none null), or nulls. Up to `limit` counted rows right is broadcast.
 
-    Beyond, right goes to `salts` places a key and rows of left are dealt over them, so that no key of left stays in one task;
-    rows of a null key meet nothing and stay where they are.
+    Beyond, right goes to `salts` places a key and rows of left are dealt over them by their place in what was read, so that no
+    key of left stays in one task, even of rows equal in all; rows of a null key meet nothing and stay where they are. left comes from
+    tables by maps alone, so that a task that is run again deals its rows as before.
     """
     if rows <= limit:
         return left.join(F.broadcast(right), key, "left")
-    others = [c for c in left.columns if c != key]
-    dealt = left.withColumn("salt", F.pmod(F.xxhash64(*(others or [key])), F.lit(salts)).cast("int"))
+    dealt = left.withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int"))
     copies = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     met = dealt.where(F.col(key).isNotNull()).join(copies, [key, "salt"], "left").drop("salt")
     blank = dealt.where(F.col(key).isNull()).drop("salt").select(*left.columns, *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in right.columns if c != key])
     return met.unionByName(blank)
+
+
+def spread_anti(left: DataFrame, right: DataFrame, key: str, rows: int, limit: int) -> DataFrame:
+    """left without the rows whose key right (one column, distinct, none null) has, as spread_join() does it; rows of a null key stay."""
+    marked = right.toDF(key).withColumn("__lost", F.lit(True))
+    return spread_join(left, marked, key, rows, limit).where("__lost is null").select(*left.columns)
