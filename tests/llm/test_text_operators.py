@@ -132,16 +132,69 @@ def test_decontamination_in_blocks(spark, docs, monkeypatch):
 def test_decontamination_passes_leave_one_table_at_a_time(spark, docs, monkeypatch):
     plans = []
     real = decontamination.keep
-    monkeypatch.setattr(decontamination, "keep", lambda df, name: plans.append(df._jdf.queryExecution().toString().count("MapInArrow (")) or real(df, name))
+    monkeypatch.setattr(decontamination, "keep", lambda df, name: plans.append(df._jdf.queryExecution().analyzed().toString().count("MapInArrow")) or real(df, name))
     monkeypatch.setattr(decontamination, "MOST_BYTES", 10)
     bench = spark.createDataFrame([(1, PASSAGE), (2, BASE), (3, "one two three four"), (4, "ab")], "item_id long, text string")
     blocks = list(decontamination.item_blocks(bench, "item_id", "text", most=10))
     monkeypatch.setattr(decontamination, "item_blocks", lambda *a: iter(blocks))
     left = decontamination.decontaminate(docs, bench)
-    assert left.columns == docs.columns and len(plans) == 3 and len(set(plans)) == 1
+    # Each pass reads the texts as they came; the last table has the hits alone.
+    assert left.columns == docs.columns and plans == [1, 1, 1, 0]
     assert left.count() < docs.count()
 
 
+def test_decontamination_hits_beyond_the_broadcast(docs, monkeypatch, spark):
+    """What blocks before the last found is joined by digest; nine rows in ten have one text, and some have none."""
+    many = spark.range(300).select(F.when(F.col("id") % 10 > 0, F.lit("so " + PASSAGE)).when(F.col("id") % 20 == 0, F.lit(BASE)).alias("text"), F.col("id").alias("doc_id"))
+    bench = spark.createDataFrame([(1, PASSAGE), (2, BASE), (3, "one two three four")], "item_id long, text string")
+    blocks = list(decontamination.item_blocks(bench, "item_id", "text", most=10))
+    want = sorted(map(tuple, decontamination.occurrences(many, bench).collect()))
+    monkeypatch.setattr(decontamination, "item_blocks", lambda *a: iter(blocks))
+    for bound in (100_000, 0):
+        monkeypatch.setattr(decontamination, "MOST_HITS", bound)
+        assert sorted(map(tuple, decontamination.occurrences(many, bench).collect())) == want
+    searcher = decontamination.searcher_of("a", [("1", [b"x"])], 13)
+    assert decontamination.searcher_of("a", [], 13) is searcher and decontamination.searcher_of("b", [], 13) is not searcher
+
+
+def _largest_share(joined, spark):
+    """Largest part of the rows behind a join's shuffle, as a share."""
+    sizes = [r[1] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    return max(sizes) / sum(sizes)
+
+
+def test_hot_and_null_keys_are_spread(spark, monkeypatch):
+    """Nine rows in ten share a key, rows equal in all included, or have none: the same result beyond the bound, in many tasks."""
+    from tidewell.llm import common
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        for hot in (F.lit(1), F.lit(None)):
+            left = spark.range(0, 4000, 1, 8).select(F.when(F.col("id") % 10 > 0, hot).otherwise(F.col("id") % 7).cast("long").alias("k"), F.lit("t").alias("t"))
+            right = spark.range(7).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+            near, far = common.spread_join(left, right, "k", 7, 100), common.spread_join(left, right, "k", 7, 0)
+            assert sorted(map(str, near.select("k", "t", "v").collect())) == sorted(map(str, far.select("k", "t", "v").collect()))
+            assert _largest_share(far, spark) < 0.3
+            few = right.select("k").where("k < 3")
+            assert common.spread_anti(left, few, "k", 3, 0).count() == common.spread_anti(left, few, "k", 3, 9).count() == left.where("k is null or k >= 3").count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_bounds_of_zero_change_nothing(spark, monkeypatch):
+    """near_join, line_dedup and quality with every broadcast bound at 0, on rows of which nine in ten are one row or have no id."""
+    rows = [(i if i % 10 == 0 else (5 if i % 2 else None), BASE if i % 10 else TEXTS[i // 10 % len(TEXTS)], "en", "s") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    makers = [lambda: near_join.near_duplicates(docs), lambda: near_join.one_of_each(docs), lambda: line_dedup.dedup_lines(docs), lambda: quality.filter_docs(docs), lambda: quality.assess(docs).drop("key", "distance")]
+    want = [sorted(map(str, m().collect())) for m in makers]
+    for module, names in ((near_join, ["MOST_IDS"]), (line_dedup, ["MOST_ROWS"]), (quality, ["MOST_REJECTED", "MOST_GROUPS"])):
+        for name in names:
+            monkeypatch.setattr(module, name, 0)
+    assert [sorted(map(str, m().collect())) for m in makers] == want
+
+
 def test_line_dedup_beyond_the_broadcast(docs, monkeypatch):
     few = sorted(map(repr, line_dedup.dedup_lines(docs, counts=True).collect()))
     monkeypatch.setattr(line_dedup, "MOST_ROWS", 0)

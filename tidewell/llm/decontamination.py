@@ -7,10 +7,11 @@ jump; a block that no string holds lets it jump over nearly a whole window. At s
 the bucket of that suffix block lists the strings that end so, and a direct comparison
 of all words confirms each occurrence.
 
-Documents are never shuffled: every task scans whole texts against the tables. The
-benchmark is searched in blocks of items of bounded size. Each block is one broadcast and one
-pass; what a pass found is written to the shared folder with the texts before the next begins, so
-no task holds the tables of two blocks, and occurrences are merged per document.
+Documents are never shuffled or rewritten: every task scans whole texts against the tables. The
+benchmark is searched in blocks of items of bounded size, each one broadcast and one pass over the texts
+as they came; a Python worker builds a block's tables once and keeps no other's. What a pass finds is
+kept by digest of the text (equal texts have equal occurrences), for texts with occurrences only; the last
+pass takes up what the ones before found and counts.
 
 Nulls: a null text has no words; a null item id or an item without words gives no
 string. Repeated rows are judged alike, one output row each. Empty tables give an
@@ -19,6 +20,7 @@ empty result or untouched documents. Other columns are never looked at by name.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,13 +28,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import discard, keep, need_free, sliced
+from tidewell.llm.common import keep, need_free, sliced, spread_join
 
 WINDOW = 13
 #: Words of a block of the shift table.
 BLOCK = 3
 #: UTF-8 bytes of item texts that one broadcast of search tables may hold.
 MOST_BYTES = 4 << 20
+#: Texts with occurrences in blocks before the last, up to which what was found is broadcast.
+MOST_HITS = 100_000
 
 #: Word bytes keep their value in lower case; all others become spaces.
 _WORDS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -108,6 +112,18 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int =
     yield block
 
 
+_held: tuple[str, Searcher] | None = None
+
+
+def searcher_of(key: str, items: list[tuple[str, list[bytes]]], window: int) -> Searcher:
+    """The tables of a block, built once a Python worker; those of the block before go."""
+    global _held
+    if _held is None or _held[0] != key:
+        _held = None
+        _held = (key, Searcher(items, window))
+    return _held[1]
+
+
 def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: list[str] | None = None, window: int = WINDOW) -> DataFrame:
     """Per row of docs: its carried columns, n_words, n_hit and items (sorted array of item ids).
 
@@ -116,43 +132,58 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     """
     spark = docs.sparkSession
     carry = carry if carry is not None else [id_col]
-    need_free(docs.select(*carry), ["n_words", "n_hit", "items", "__text", "__spans", "__items"])
-    kept = docs.select(*[F.col(c) for c in carry], F.col(text_col).alias("__text"), F.array().cast("array<int>").alias("__spans"), F.array().cast("array<string>").alias("__items"))
-    schema = kept.schema
-    out = T.StructType([*schema.fields[:-3], T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType()))])
-    blocks = item_blocks(benchmark, item_col, item_text_col)
-    block = next(blocks)
-    while block is not None:
-        after = next(blocks, None)
-        shared, last = spark.sparkContext.broadcast(block), after is None
-
-        def scan(batches, shared=shared, last=last):
-            searcher = Searcher(shared.value, window)
-            for batch in sliced(batches):
-                at = batch.schema.get_field_index("__text")
-                texts, spans, items = batch.column(at).cast(pa.binary()).to_pylist(), batch.column(at + 1).to_pylist(), batch.column(at + 2).to_pylist()
-                sizes = []
-                for i, text in enumerate(texts):
-                    words = words_of(text)
-                    sizes.append(len(words))
-                    more, names = searcher.search(words)
-                    if more:
-                        spans[i] = spans[i] + [x for s in more for x in s]
-                        items[i] = sorted({*items[i], *names})
-                found = pa.array(items, pa.list_(pa.string()))
-                if last:  # the last block's pass also counts, so that one block is one pass
-                    hits = [covered(list(zip(s[::2], s[1::2], strict=True))) for s in spans]
-                    yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(sizes, pa.int64()), pa.array(hits, pa.int64()), found], names=[*batch.schema.names[:at], "n_words", "n_hit", "items"])
-                else:
-                    yield pa.RecordBatch.from_arrays([*batch.columns[: at + 1], pa.array(spans, pa.list_(pa.int32())), found], names=batch.schema.names)
-
-        past, kept = kept, kept.mapInArrow(scan, out if last else schema)
-        if not last:
-            kept = keep(kept, "decontamination-pass")
-            discard(past)
-            shared.destroy()
+    need_free(docs.select(*carry), ["n_words", "n_hit", "items", "__text", "__spans", "__items", "__digest"])
+    text, digest = F.col(text_col).alias("__text"), F.md5(text_col).alias("__digest")
+    kept = docs.select(*[F.col(c) for c in carry], digest, text)
+    found, block, blocks = None, None, item_blocks(benchmark, item_col, item_text_col)
+    for after in blocks:
+        if block is not None:
+            found = _pass(docs.select(digest, text), block, window, found)
         block = after
-    return kept
+    out = T.StructType([*kept.schema.fields[: len(carry)], T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType()))])
+    if found is None:
+        kept = kept.drop("__digest").withColumns({"__spans": F.array().cast("array<int>"), "__items": F.array().cast("array<string>")})
+    else:
+        merged = keep(found.groupBy("__digest").agg(F.flatten(F.collect_set("spans")).alias("__spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("__items")), "decontamination-hits")
+        kept = spread_join(kept, merged, "__digest", merged.count(), MOST_HITS).select(*carry, "__text", "__spans", "__items")
+    shared, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
+
+    def scan(batches):
+        searcher = searcher_of(key, shared.value, window)
+        for batch in sliced(batches):
+            at = len(carry)
+            texts, spans, items = batch.column(at).cast(pa.binary()).to_pylist(), batch.column(at + 1).to_pylist(), batch.column(at + 2).to_pylist()
+            sizes, hits = [], []
+            for i, raw in enumerate(texts):
+                words = words_of(raw)
+                before = spans[i] or []
+                more, names = searcher.search(words)
+                sizes.append(len(words))
+                hits.append(covered([*zip(before[::2], before[1::2], strict=True), *more]))
+                items[i] = sorted({*(items[i] or []), *names})
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(sizes, pa.int64()), pa.array(hits, pa.int64()), pa.array(items, pa.list_(pa.string()))], names=[*batch.schema.names[:at], "n_words", "n_hit", "items"])
+
+    return kept.mapInArrow(scan, out)
+
+
+def _pass(texts: DataFrame, block: list[tuple[str, list[bytes]]], window: int, before: DataFrame | None) -> DataFrame:
+    """(digest, spans, items) of the texts in which strings of a block occur, added to those of the blocks before."""
+    shared, key = texts.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
+
+    def scan(batches):
+        searcher = searcher_of(key, shared.value, window)
+        for batch in sliced(batches):
+            found = [[], [], []]
+            for digest, raw in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                more, names = searcher.search(words_of(raw))
+                if more:
+                    for column, x in zip(found, (digest, [x for s in more for x in s], sorted(names)), strict=True):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(found, (pa.string(), pa.list_(pa.int32()), pa.list_(pa.string())), strict=True)], names=["__digest", "spans", "items"])
+
+    own = keep(texts.mapInArrow(scan, "__digest string, spans array<int>, items array<string>"), "decontamination-pass")
+    shared.destroy()
+    return own if before is None else before.unionByName(own)
 
 
 def is_contaminated(n_words: Column, n_hit: Column) -> Column:
