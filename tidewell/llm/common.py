@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.sources.storage import spread_anti, spread_join  # noqa: F401  for the operators
+
 #: Rows that one Arrow batch may hold; texts may be long.
 BATCH_ROWS = 256
 #: Nodes up to which components() broadcasts their labels (16 bytes each).
@@ -104,21 +106,6 @@ def bounded_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, rows: int, limit: int, salts: int = 16) -> DataFrame:
-    """left with the columns of right (distinct keys, none null), or nulls. Beyond `limit` rows of right both sides are shuffled.
-
-    Then right goes to `salts` places a key and rows of left are dealt over them, so no key stays in one task; rows of a null key meet nothing and stay where they are.
-    """
-    if rows <= limit:
-        return left.join(F.broadcast(right), key, "left")
-    others = [c for c in left.columns if c != key]
-    dealt = left.withColumn("salt", F.pmod(F.xxhash64(*(others or [key])), F.lit(salts)).cast("int"))
-    copies = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    met = dealt.where(F.col(key).isNotNull()).join(copies, [key, "salt"], "left").drop("salt")
-    blank = dealt.where(F.col(key).isNull()).drop("salt").select(*left.columns, *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in right.columns if c != key])
-    return met.unionByName(blank)
-
-
 def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a long, b long) as (node, component), the smallest node naming each.
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import BATCH_ROWS, LOWER, batches_of, bounded_broadcast, discard, keep, need_free, sliced, spread_join
+from tidewell.llm.common import BATCH_ROWS, LOWER, batches_of, discard, keep, need_free, sliced, spread_join
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -168,7 +168,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     plain = docs.toDF(*[f"c{i}" for i in range(width)])
     at, of = names.index(id_col), names.index(text_col)
     drops, total = dropped_keys(plain, f"c{at}", f"c{of}", min_chars, min_docs)
-    joined = plain.join(bounded_broadcast(drops, total, MOST_ROWS), plain[f"c{at}"] == drops["id"], "left").select(*plain.columns, "keys")
+    joined = spread_join(plain, drops.withColumnRenamed("id", f"c{at}"), f"c{at}", total, MOST_ROWS).select(*plain.columns, "keys")
 
     fields = [*plain.columns, "n_lines", "n_dropped"]
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import LOWER, bounded_broadcast, components, discard, keep, sliced
+from tidewell.llm.common import LOWER, bounded_broadcast, components, discard, keep, sliced, spread_anti, spread_join
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -330,6 +330,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = keep(whole.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.count("*").alias("weight"), F.max("sig").alias("sig")), "near-nodes")
     links = candidates(nodes.select("node", "sig"), threshold)
     labels = components(links, "near-candidates")
+    discard(links)
     sizes = labels.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     active = keep(labels.join(sizes, "component").join(nodes.select("node", "doc", "weight"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "near-active")
 
@@ -356,7 +357,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = nodes.select("node", "doc", "weight").join(counts, "node", "left").join(final, "node", "left").where("links is not null or weight > 1")
     groups = known.groupBy(F.coalesce("component", "node").alias("g")).agg(F.min("doc").alias("class_id"))
     table = keep(known.join(groups, F.coalesce("component", "node") == F.col("g")).select("node", "class_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "near-table")
-    rows = whole.select("doc_id", "node").join(bounded_broadcast(table, table.count(), MOST_IDS), "node", "left")
+    for past in (labels, active, verified, final, nodes):
+        discard(past)
+    rows = spread_join(whole.select("doc_id", "node"), table, "node", table.count(), MOST_IDS)
     told = rows.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     blank = named.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return told.unionByName(blank)
@@ -368,4 +371,4 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     own = f"c{names.index(id_col)}"
     lost = keep(near_duplicates(plain, own, f"c{names.index(text_col)}", threshold).where("class_id <> doc_id").select("doc_id").distinct(), "near-lost")
-    return plain.join(bounded_broadcast(lost, lost.count(), MOST_IDS), plain[own] == lost["doc_id"], "left_anti").toDF(*names)
+    return spread_anti(plain, lost, own, lost.count(), MOST_IDS).toDF(*names)

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import bounded_broadcast, discard, keep, need_free, sliced
+from tidewell.llm.common import discard, keep, need_free, sliced, spread_anti
 
 MIN_WORDS = 10
 MOST_REPEATED = 20
@@ -349,4 +349,4 @@ def filter_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     own = [f"c{names.index(c)}" for c in (id_col, text_col, lang_col, source_col)]
     rejected = keep(assess(plain, *own).where("not kept").select("key").distinct(), "quality-rejected")
-    return plain.join(bounded_broadcast(rejected, rejected.count(), MOST_REJECTED), row_key(*own) == rejected["key"], "left_anti").toDF(*names)
+    return spread_anti(plain.withColumn("__key", row_key(*own)), rejected, "__key", rejected.count(), MOST_REJECTED).drop("__key").toDF(*names)
