@@ -39,6 +39,7 @@ def test_plans(spark, data):
     assert "TakeOrderedAndProject" in plan("v2_knn_exact") and "ReadSchema: struct<vec_id:" in plan("v2_knn_exact")
     assert "CartesianProduct" not in plan("q11_contradiction_candidates") and "NestedLoop" not in plan("q11_contradiction_candidates")
     assert "Python" not in plan("q3_quality_gate")
+    assert plan("q18_quality_audit").count("FileScan") < 25
 
 
 def test_chunk_search(spark, data):

@@ -214,8 +214,8 @@ def needs_catch_up(row: dict, least: int) -> bool:
 SAMPLES = 8
 
 
-def totals(episodes: DataFrame, clusters: DataFrame, members: DataFrame, abstractions: DataFrame, facts: DataFrame, contradictions: DataFrame, reviews: DataFrame) -> DataFrame:
-    """One row: the ten counters of the quality audit; each table is aggregated once."""
+def totals(episodes: DataFrame, clusters: DataFrame, members: DataFrame, abstractions: DataFrame, facts: DataFrame, contradictions: DataFrame, reviews: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """One row: the ten counters of the quality audit; each table is aggregated once. labels: a row an entity that active facts name, if there is such a table already."""
     live = active(episodes)
     count = lambda df, name: df.agg(F.count("*").alias(name))
     kind = lambda k, name: F.count_if(F.col("object_kind") == k).alias(name)
@@ -223,24 +223,25 @@ def totals(episodes: DataFrame, clusters: DataFrame, members: DataFrame, abstrac
     f = active(facts).agg(F.count("*").alias("active_triples"), kind("entity", "entity_triples"), kind("literal", "literal_triples"))
     row = count(live, "active_episodes").crossJoin(members.join(live.select("memory_id"), "memory_id").agg(F.countDistinct("memory_id").alias("clustered_episodes")))
     row = row.crossJoin(count(clusters, "clusters")).crossJoin(count(abstractions, "abstractions")).crossJoin(f).crossJoin(count(reviews.where("status = 'needs_review'"), "triple_reviews_needs_review"))
-    return row.crossJoin(count(active(facts).select(mentioned.alias("e")).distinct(), "distinct_entities")).crossJoin(count(contradictions, "contradictions"))  # one row each
+    named = active(facts).select(mentioned.alias("e")).distinct() if labels is None else labels
+    return row.crossJoin(count(named, "distinct_entities")).crossJoin(count(contradictions, "contradictions"))  # one row each
 
 
 def _fact_sample() -> Column:
     return F.concat(F.col("subject_id"), F.lit(" --"), F.col("predicate"), F.lit("--> "), X.ellipsis(F.col("object_id"), 120, "...", False), F.format_string(" [%s %.2f] (%s)", "object_kind", "confidence", "triple_id"))
 
 
-def _found(rows: DataFrame, codes: list[tuple[str, Column]], sample: Column, order: list[Column]) -> DataFrame:
-    """(code, sample, order) of rows, once for each code whose test holds."""
-    hit = F.explode(F.array_compact(F.array(*[F.when(test, F.lit(code)) for code, test in codes])))
-    return rows.select(hit.alias("code"), sample.alias("sample"), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]).alias("o"))
+def _found(rows: DataFrame, codes: list[tuple[str, Column, Column]], newest: Column, name: Column) -> DataFrame:
+    """(code, sample, newest, name) of rows, once for each (code, test, sample) whose test holds; the order is newest, name."""
+    hit = F.explode(F.array_compact(F.array(*[F.when(test, F.struct(F.lit(code).alias("code"), sample.alias("sample"))) for code, test, sample in codes])))
+    return rows.select(hit.alias("hit"), newest.cast("long").alias("newest"), name.cast("string").alias("name")).select("hit.code", "hit.sample", "newest", "name")
 
 
 def _counted(hits: DataFrame) -> DataFrame:
-    """(code, n, samples): the first SAMPLES in order. Ranks are limited before the shuffle, so a code of very many rows sends a few."""
-    first = F.row_number().over(Window.partitionBy("code").orderBy("o", "sample"))
+    """(code, n, samples): the first SAMPLES in order. Counts combine before the shuffle, and ranks are limited before it, so a code of very many rows sends a few."""
+    first = F.row_number().over(Window.partitionBy("code").orderBy(F.desc("newest"), "name", "sample"))
     few = hits.withColumn("place", first).where(F.col("place") <= SAMPLES).groupBy("code").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "sample"))), lambda x: x["sample"]).alias("samples"))
-    return hits.groupBy("code").agg(F.count("*").alias("n")).join(few, "code")
+    return hits.groupBy("code").agg(F.count("*").alias("n")).join(F.broadcast(few), "code")  # a row a code
 
 
 # Severities of the issue codes.
@@ -254,36 +255,35 @@ SEVERITIES = {
 def audit(episodes: DataFrame, clusters: DataFrame, members: DataFrame, abstractions: DataFrame, facts: DataFrame, contradictions: DataFrame, reviews: DataFrame, low_confidence: float = 0.85, low_coherence: float = 0.72, long_literal: int = 160) -> DataFrame:
     """Issues (severity, code, n, samples) that the stored memory has; codes without findings are left out.
 
-    Facts are read once for their own codes and once for the entities they name, which are kept as a table.
+    Active facts are kept once, narrow, and so are the entities they name, alias groups, clusters and the totals; what is found in all of
+    them is counted and sampled together.
     """
     long_literal = max(20, min(long_literal, 500))
-    live = active(facts)
+    live = keep(active(facts).select("triple_id", "subject_id", "predicate", "object_id", "object_kind", "confidence", "valid_from_ms", "source_episode_id", "status"), "audit-facts")
     literal, entity = F.col("object_kind") == "literal", F.col("object_kind") == "entity"
-    by_fact = _found(
-        live,
-        [("literal_fact_dominance", literal), ("long_literal_objects", literal & (F.char_length("object_id") > long_literal)), ("low_confidence_facts", F.col("confidence") < low_confidence), ("entity_triples_without_source_episode", entity & F.col("source_episode_id").isNull())],
-        _fact_sample(),
-        [-F.col("valid_from_ms"), F.col("triple_id")],
-    )
+    fact_codes = [("literal_fact_dominance", literal), ("long_literal_objects", literal & (F.char_length("object_id") > long_literal)), ("low_confidence_facts", F.col("confidence") < low_confidence), ("entity_triples_without_source_episode", entity & F.col("source_episode_id").isNull())]
+    by_fact = _found(live, [(code, test, _fact_sample()) for code, test in fact_codes], F.col("valid_from_ms"), F.col("triple_id"))
     named = F.explode(F.array_compact(F.array(F.struct(F.col("subject_id").alias("id"), entity.alias("edge")), F.when(entity, F.struct(F.col("object_id").alias("id"), F.lit(True).alias("edge"))))))
     labels = keep(live.select(named.alias("x")).groupBy(F.col("x.id").alias("entity_id")).agg(F.count("*").alias("refs"), F.max("x.edge").alias("linked")), "audit-labels")
-    e = F.col("entity_id")
-    by_label = _found(labels, [("path_like_entities", X.audit_path_or_url(e)), ("commit_like_entities", X.audit_commit(e)), ("machine_identifier_entities", X.machine_identifier(e))], e, [e])
-    alone = _found(labels, [("literal_only_entities", ~F.col("linked"))], F.format_string("%s (%d fact refs)", e, F.col("refs")), [e])
-    aliases = _found(alias_groups(labels), [("possible_entity_aliases", F.lit(True))], F.replace("labels", F.lit("|"), F.lit(" | ")), [F.col("canonical_key")])
+    e, none = F.col("entity_id"), F.lit(0)
+    label_codes = [("path_like_entities", X.audit_path_or_url(e), e), ("commit_like_entities", X.audit_commit(e), e), ("machine_identifier_entities", X.machine_identifier(e), e), ("literal_only_entities", ~F.col("linked"), F.format_string("%s (%d fact refs)", e, F.col("refs")))]
+    by_label = _found(labels, label_codes, none, e)
+    aliases = _found(keep(alias_groups(labels), "audit-aliases"), [("possible_entity_aliases", F.lit(True), F.replace("labels", F.lit("|"), F.lit(" | ")))], none, F.col("canonical_key"))
     counted = members.join(active(episodes).select("memory_id"), "memory_id").groupBy("cluster_id").agg(F.count("*").alias("n"))
     c = clusters.join(counted, "cluster_id", "left").join(abstractions.select("cluster_id", "content"), "cluster_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     told = F.concat(F.format_string("%s coherence=%.3f episodes=%d ", "cluster_id", "coherence", "n"), F.coalesce(X.ellipsis(F.col("content"), 140, "...", False), F.lit("no abstraction")))
-    by_cluster = _found(c, [("low_coherence_clusters", F.col("coherence") < low_coherence), ("clusters_missing_abstractions", (F.col("n") > 0) & F.col("content").isNull()), ("low_signal_abstractions", X.low_signal(F.col("content")))], told, [-F.col("created_at_ms"), F.col("cluster_id")])
-    queue = _found(reviews.where("status = 'needs_review'"), [("triple_review_queue", F.lit(True))], F.concat(F.col("reason_code"), F.lit(": "), F.concat_ws(" ", "subject_id", "predicate", "object_id")), [-F.col("created_at_ms"), F.col("review_id")])
-    parts = [_counted(x) for x in (by_fact, by_label, alone, aliases, by_cluster, queue)]
-    row = totals(episodes, clusters, members, abstractions, facts, contradictions, reviews)
+    cluster_codes = [("low_coherence_clusters", F.col("coherence") < low_coherence), ("clusters_missing_abstractions", (F.col("n") > 0) & F.col("content").isNull()), ("low_signal_abstractions", X.low_signal(F.col("content")))]
+    by_cluster = _found(keep(c, "audit-clusters"), [(code, test, told) for code, test in cluster_codes], F.col("created_at_ms"), F.col("cluster_id"))
+    waiting = F.concat(F.col("reason_code"), F.lit(": "), F.concat_ws(" ", "subject_id", "predicate", "object_id"))
+    queue = _found(reviews.where("status = 'needs_review'"), [("triple_review_queue", F.lit(True), waiting)], F.col("created_at_ms"), F.col("review_id"))
+    hits = by_fact
+    for more in (by_label, aliases, by_cluster, queue):
+        hits = hits.unionByName(more)
+    row = keep(totals(episodes, clusters, members, abstractions, live, contradictions, reviews, labels), "audit-totals")
     issue = lambda code, n, test: F.when(test, F.struct(F.lit(code).alias("code"), n.cast("long").alias("n"), F.array().cast("array<string>").alias("samples")))
     rest = F.col("active_episodes") - F.col("clustered_episodes")
     summary = F.array_compact(F.array(issue("no_clusters", F.col("active_episodes"), (F.col("active_episodes") > 0) & (F.col("clusters") == 0)), issue("no_active_triples", F.lit(0), F.col("active_triples") == 0), issue("unclustered_episodes", rest, rest > 0)))
-    out = row.select(F.explode(summary).alias("i")).select("i.*")
-    for p in parts:
-        out = out.unionByName(p)
+    out = row.select(F.explode(summary).alias("i")).select("i.*").unionByName(_counted(hits))
     dominant = (F.col("active_triples") >= 10) & (F.col("literal_triples") >= 0.7 * F.col("active_triples"))
     judged = out.join(F.broadcast(row.select(dominant.alias("dominant"))))  # one row
     severity = F.element_at(F.create_map(*[F.lit(x) for pair in SEVERITIES.items() for x in pair]), F.col("code"))
