@@ -53,6 +53,86 @@ def test_hmm_scores(spark):
     assert hmm.score(empty).count() == 0
 
 
+def dense_scores(texts, states, steps, buckets):
+    """log10 likelihoods by a plain Baum-Welch over one dense table, in double precision throughout."""
+    tokens = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    own = {i: tokens(t) for i, t in texts.items()}
+    train = {i: w for i, w in own.items() if zlib.crc32(str(i).encode()) % 10}
+    seen = Counter(w for x in train.values() for w in x)
+    split = {}
+    for b in range(buckets):
+        words = sorted({w for x in own.values() for w in x if zlib.crc32(w.encode()) % buckets == b})
+        split |= dict(zip(words, hmm._first_split(b, len(words), states).astype(float), strict=True))
+    ends, n, v = len(train), sum(seen.values()) + len(train), len(seen) + 1
+    start, move = np.full(states, 1 / states), np.full((states, states), 0.1 / (states - 1)) + np.eye(states) * (0.9 - 0.1 / (states - 1))
+    end, mass = np.full(states, (ends + 0.1) / states), np.full(states, (n + 0.1 * (v + 1)) / states)
+    emit = lambda w: end / mass if w is None else split[w] / split[w].sum() * (seen[w] + 0.1) / mass
+
+    def forward(words):
+        rows, logs, ahead = [], 0.0, start
+        for w in [*words, None]:
+            now = ahead * emit(w)
+            logs += math.log10(now.sum())
+            rows.append(now / now.sum())
+            ahead = rows[-1] @ move
+        return rows, logs
+
+    for _ in range(steps):
+        first, moves, emitted, at_end = np.zeros(states), np.zeros((states, states)), {w: np.zeros(states) for w in seen}, np.zeros(states)
+        for words in train.values():
+            alpha, _ = forward(words)
+            e = [emit(w) for w in [*words, None]]
+            beta = np.ones(states)
+            for t in range(len(e) - 1, -1, -1):
+                gamma = alpha[t] * beta
+                gamma /= gamma.sum()
+                if t == len(e) - 1:
+                    at_end += gamma
+                else:
+                    emitted[words[t]] += gamma
+                if t == 0:
+                    first += gamma
+                else:
+                    xi = alpha[t - 1][:, None] * move * (e[t] * beta)[None, :]
+                    moves += xi / xi.sum()
+                    beta = move @ (e[t] * beta)
+                    beta /= beta.sum()
+        every = sum(emitted.values()) + at_end
+        start = (first + 0.1) / (first.sum() + 0.1 * states)
+        move = (moves + 0.1) / (moves + 0.1).sum(1, keepdims=True)
+        share = (every + 0.1) / (every.sum() + 0.1 * states)
+        split = {w: (emitted.get(w, 0) + hmm.SHRINK * share) / (seen[w] + hmm.SHRINK) for w in split}
+        end = (ends + 0.1) * (at_end + hmm.SHRINK * share) / (ends + hmm.SHRINK)
+        mass = sum((seen[w] + 0.1) * split[w] / split[w].sum() for w in seen) + end + 0.1 * share
+    return {i: forward(w)[1] for i, w in own.items()}
+
+
+def test_hmm_training_equals_a_dense_one(spark, monkeypatch):
+    """A whole small training: in one block, in many, and by groups of blocks, where no task holds rows of more than a few."""
+    texts = {i: " ".join(["all", *(rng.choice(LANGS[i % 3]) for _ in range(rng.randint(0, 30)))]) for i in range(120)}
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    want = dense_scores(texts, 3, 3, 12)
+    most, real = [], hmm._batch
+    for block_bytes, group in ((16 << 20, 256), (400, 256), (400, 4)):
+        monkeypatch.setattr(hmm, "BLOCK_BYTES", block_bytes)
+        monkeypatch.setattr(hmm, "GROUP_BLOCKS", group)
+        got = {r["doc_id"]: r["score"] for r in hmm.score(docs.repartition(2), states=3, steps=3).collect()}
+        assert max(abs(got[i] / want[i] - 1) for i in want) < 0.01
+        most.append(got)
+    assert real is hmm._batch and max(abs(most[1][i] / most[2][i] - 1) for i in want) < 0.003
+
+
+def test_hmm_groups_bound_what_a_task_holds(spark, monkeypatch):
+    """A word of every block: rows of its bucket stay within a group's blocks a task, over how many there ever are."""
+    rows = [(b, 0, zlib.compress(f"all\nw{b}".encode(), 1), np.array([2, 1], np.int32).tobytes()) for b in range(200)]
+    sent = spark.createDataFrame(rows, "block long, bucket int, words binary, counts binary")
+    own = sent.select("block", "bucket", hmm._grouped(40), "words", "counts")
+    assert own.groupBy("bucket", "grp").count().agg(F.max("count")).first()[0] <= 20
+    near, far = (sorted((r["block"], np.frombuffer(zlib.decompress(r["counts"]), np.int64).tolist(), np.frombuffer(zlib.decompress(r["places"]), np.int32).tolist(), bytes(r["split"])) for r in hmm.answers(sent, 3, g).where("block is not null").collect()) for g in (1, 40))
+    assert near == far and near[5][1][0] == 400
+    assert {hmm.answers(sent, 3, g).agg(F.sum("distinct")).first()[0] for g in (1, 40)} == {201}
+
+
 def test_hmm_recursions_agree_with_enumeration():
     import itertools
 

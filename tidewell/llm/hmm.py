@@ -7,11 +7,14 @@ states' shares of all tokens by SHRINK occurrences.
 
 1. Tasks turn documents into blocks of local word numbers and send each block's distinct words to
    buckets; a bucket adds up the counts of its words over all blocks and answers each block.
+   Beyond GROUP_BLOCKS blocks, those are put into groups: a bucket's words are added up by group first, then over the
+   groups, and each group is answered by a task of its own, row by row. So no task holds rows of more than
+   GROUP_BLOCKS blocks, and a word of every block is no hot key.
 2. Blocks become sequences of local numbers, with the parts of the scores that need no states.
 3. Baum-Welch: a block runs the scaled forward-backward recursion over its whole training texts,
    CHUNK tokens at a time or a single longer text, and sends its words' expected counts by state to their buckets; a bucket adds
-   them up and answers each block with its words' new split. So no task holds the whole table, and
-   the driver only holds sums by state. Splits travel as half-precision numbers.
+   them up (by group first, as above) and answers each block with its words' new split. So no task holds the whole table, and
+   the driver only gets sums by state, added up by Spark in fixed point. Splits travel as half-precision numbers.
 4. Scoring runs the scaled forward recursion over whole texts: their exact likelihood.
 
 Training texts are those whose crc32 of the id as text, mod 10, isn't 0. Nulls: a null text is
@@ -21,6 +24,7 @@ as often as they occur. An empty table gives an empty result. Other columns are
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -40,6 +44,10 @@ CHUNK = 1 << 19
 #: Text bytes of a block, and of texts that share a bucket of words.
 BLOCK_BYTES = 16 << 20
 BUCKET_BYTES = 32 << 20
+#: Blocks whose rows of a bucket one task holds; more are combined in groups first.
+GROUP_BLOCKS = 256
+#: Units of 1 in sums of expected counts, so that their order doesn't matter.
+FIXED = 1 << 16
 #: Occurrences by which a word's split over the states is drawn towards that of all tokens.
 SHRINK = 1.0
 
@@ -112,10 +120,25 @@ def blocks(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, _BLOCK)
 
 
-def answers(sent: DataFrame, states: int) -> DataFrame:
+def _grouped(groups: int):
+    return F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int").alias("grp")
+
+
+def _first_split(bucket: int, words: int, states: int) -> np.ndarray:
+    """Where words of a bucket, in their order, begin; half precision."""
+    split = np.exp(0.7 * np.random.default_rng((7, bucket)).standard_normal((words, states)))
+    return (split / split.sum(1, keepdims=True)).astype(np.float16)
+
+
+_ANSWER_NAMES = ["block", "bucket", "counts", "places", "split", "distinct"]
+_ANSWER_KINDS = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
+_ANSWER = "block long, bucket int, counts binary, places binary, split binary, distinct long"
+
+
+def answers(sent: DataFrame, states: int, groups: int = 1) -> DataFrame:
     """Of the rows (block, bucket, words, counts): for each its words' total counts, places in the bucket and first split, and a row a bucket with its number of training words."""
-    names = ["block", "bucket", "counts", "places", "split", "distinct"]
-    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
+    if groups > 1:
+        return _answers_by_group(sent, states, groups)
 
     def run(batches):
         bucket, held = None, []
@@ -125,14 +148,16 @@ def answers(sent: DataFrame, states: int) -> DataFrame:
             for _, packed, _ in held:
                 words = zlib.decompress(packed).split(b"\n")
                 places.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+            rank = np.empty(len(number), np.int32)
+            rank[[number[w] for w in sorted(number)]] = np.arange(len(number), dtype=np.int32)
+            places = [rank[x] for x in places]
             totals = np.zeros(len(number), np.int64)
             for place, (_, _, counts) in zip(places, held, strict=True):
                 totals[place] += np.frombuffer(counts, np.int32)
-            split = np.exp(0.7 * np.random.default_rng((7, bucket)).standard_normal((len(number), states)))
-            split = (split / split.sum(1, keepdims=True)).astype(np.float16)
+            split = _first_split(bucket, len(number), states)
             rows = [(None, bucket, None, None, None, int((totals > 0).sum()))]
             rows += [(block, bucket, zlib.compress(totals[place].tobytes(), 1), zlib.compress(place.tobytes(), 1), split[place].tobytes(), None) for place, (block, _, _) in zip(places, held, strict=True)]
-            return _batch(rows, kinds, names)
+            return _batch(rows, _ANSWER_KINDS, _ANSWER_NAMES)
 
         for batch in sliced(batches):
             for block, b, words, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -145,7 +170,83 @@ def answers(sent: DataFrame, states: int) -> DataFrame:
             yield close()
 
     dealt = sent.select("block", "bucket", "words", "counts").repartition("bucket").sortWithinPartitions("bucket", "block")
-    return dealt.mapInArrow(run, "block long, bucket int, counts binary, places binary, split binary, distinct long")
+    return dealt.mapInArrow(run, _ANSWER)
+
+
+_WORDS = "bucket int, grp int, words binary, counts binary"
+
+
+def _word_counts(rows: DataFrame, kind: type, by: list[str]) -> DataFrame:
+    """(bucket, grp, words, counts: 64 bit) of rows of these columns added up by key, words sorted; a task holds one key's words."""
+    names, kinds = ["bucket", "grp", "words", "counts"], (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+
+    def run(batches):
+        key, number, totals = None, numbering(), np.zeros(0, np.int64)
+
+        def close():
+            words = sorted(number)
+            return _batch([(*key, zlib.compress(b"\n".join(words), 1), totals[[number[w] for w in words]].tobytes())], kinds, names)
+
+        for batch in sliced(batches):
+            for bucket, group, packed, counts in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                own = (bucket, group if "grp" in by else 0)
+                if own != key:
+                    if key is not None:
+                        yield close()
+                    key, number, totals = own, numbering(), np.zeros(0, np.int64)
+                words = zlib.decompress(packed).split(b"\n")
+                place = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+                if len(number) > len(totals):
+                    totals = np.concatenate([totals, np.zeros(2 * len(number) - len(totals), np.int64)])
+                totals[place] += np.frombuffer(counts, kind)
+        if key is not None:
+            yield close()
+
+    return rows.repartition(*by).sortWithinPartitions("bucket", "grp", *(["block"] if "block" in rows.columns else [])).mapInArrow(run, _WORDS)
+
+
+def _answers_by_group(sent: DataFrame, states: int, groups: int) -> DataFrame:
+    own = sent.select("block", "bucket", _grouped(groups), "words", "counts")
+    partial = keep(_word_counts(own, np.int32, ["bucket", "grp"]), "hmm-words", 16)
+    whole = keep(_word_counts(partial, np.int64, ["bucket"]), "hmm-words", 16).drop("grp")
+
+    def distinct(batches):
+        for batch in sliced(batches):
+            rows = [(None, b, None, None, None, int((np.frombuffer(c, np.int64) > 0).sum())) for b, c in zip(*(x.to_pylist() for x in batch.columns), strict=True)]
+            yield _batch(rows, _ANSWER_KINDS, _ANSWER_NAMES)
+
+    def run(batches):
+        place_of, totals, split = {}, None, None
+        for batch in sliced(batches, 16):
+            rows = []
+            for block, bucket, words, counts in zip(*(batch.column(c).to_pylist() for c in ("block", "bucket", "words", "counts")), strict=True):
+                words = zlib.decompress(words).split(b"\n")
+                if block is None:
+                    place_of, totals, split = {w: i for i, w in enumerate(words)}, np.frombuffer(counts, np.int64), _first_split(bucket, len(words), states)
+                    continue
+                place = np.fromiter(map(place_of.__getitem__, words), np.int32, len(words))
+                rows.append((block, bucket, zlib.compress(totals[place].tobytes(), 1), zlib.compress(place.tobytes(), 1), split[place].tobytes(), None))
+            yield _batch(rows, _ANSWER_KINDS, _ANSWER_NAMES)
+
+    heads = whole.join(partial.select("bucket", "grp"), "bucket").select(F.lit(None).cast("long").alias("block"), "bucket", "grp", "words", "counts")
+    dealt = heads.unionByName(own).repartition("bucket", "grp").sortWithinPartitions("bucket", "grp", F.col("block").asc_nulls_first())
+    return dealt.mapInArrow(run, _ANSWER).unionByName(whole.select("bucket", "counts").mapInArrow(distinct, _ANSWER))
+
+
+def added(rows: DataFrame, size: int) -> np.ndarray:
+    """The sum of the arrays (64-bit floats) in column `sums`: tasks add up their own in fixed point, Spark the tasks', and the driver gets `size` numbers."""
+
+    def run(batches):
+        total = np.zeros(size, np.int64)
+        for batch in sliced(batches):
+            for raw in batch.column(0).to_pylist():
+                total += np.rint(np.frombuffer(raw, np.float64) * FIXED).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size), pa.int32()), pa.array(total, pa.int64())], names=["place", "v"])
+
+    out = np.zeros(size)
+    for place, v in rows.select("sums").mapInArrow(run, "place int, v long").groupBy("place").agg(F.sum("v")).collect():
+        out[place] = v / FIXED
+    return out
 
 
 def coded(made: DataFrame, answered: DataFrame, end_count: int, n: int, v: int) -> DataFrame:
@@ -292,7 +393,117 @@ def likelihoods(classes: np.ndarray, lengths: np.ndarray, start: np.ndarray, mov
     return out
 
 
-def train(table: DataFrame, answered: DataFrame, n: int, v: int, ends: int, states: int = STATES, steps: int = STEPS) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _split_of(sums: np.ndarray, counts: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """Words' new split, and the smoothed counts by state of those that were seen."""
+    split = ((sums + SHRINK * share) / (counts + SHRINK)[:, None]).astype(np.float16)
+    exact = split.astype(np.float32)
+    exact /= exact.sum(1, keepdims=True)
+    return split, (((counts + 0.1) * (counts > 0)) @ exact.astype(np.float64)).tobytes()
+
+
+def _new_splits(both: DataFrame, share: np.ndarray, states: int) -> DataFrame:
+    """Of a block's places in a bucket, and its words' shares by state and counts: the new split of its words, and a row a bucket with its smoothed counts by state."""
+
+    def run(batches):
+        bucket, places, parts = None, {}, []
+
+        def close():
+            size = max(int(x.max()) + 1 for x in places.values())
+            sums, counts = np.zeros((size, states)), np.zeros(size, np.int64)
+            for block, split, own in parts:
+                own = np.frombuffer(own, np.int32)
+                sums[places[block]] += np.frombuffer(split, np.float16).reshape(-1, states) * own[:, None].astype(np.float64)
+                counts[places[block]] += own
+            split, mass = _split_of(sums, counts, share)
+            return _batch([(None, bucket, None, None, mass), *((block, bucket, split[x].tobytes(), None, None) for block, x in places.items())], _SENT_KINDS, _SENT_NAMES)
+
+        for batch in sliced(batches):
+            for block, b, place, split, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if b != bucket:
+                    if places:
+                        yield close()
+                    bucket, places, parts = b, {}, []
+                if place is not None:
+                    places[block] = np.frombuffer(zlib.decompress(place), np.int32)
+                else:
+                    parts.append((block, split, counts))
+        if places:
+            yield close()
+
+    return both.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, _SENT)
+
+
+_SUMS = "bucket int, grp int, sums binary, counts binary"
+
+
+def _splits_by_group(both: DataFrame, share: np.ndarray, states: int, groups: int) -> DataFrame:
+    """What _new_splits() does, by groups of blocks and then over these; a task holds one bucket's sums and one block's row."""
+    own = both.select("block", "bucket", _grouped(groups), "places", "split", "counts")
+    names, kinds = ["bucket", "grp", "sums", "counts"], (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+
+    def grown(held, size):
+        return held if len(held) >= size else np.concatenate([held, np.zeros((2 * size - len(held), *held.shape[1:]), held.dtype)])
+
+    def by_group(batches):
+        key, place, sums, counts, size = None, None, None, None, 0
+        close = lambda: _batch([(*key, sums[:size].tobytes(), counts[:size].tobytes())], kinds, names)
+        for batch in sliced(batches):
+            for bucket, group, packed, split, own_counts in zip(*(batch.column(c).to_pylist() for c in ("bucket", "grp", "places", "split", "counts")), strict=True):
+                if (bucket, group) != key:
+                    if key is not None:
+                        yield close()
+                    key, sums, counts, size = (bucket, group), np.zeros((0, states)), np.zeros(0, np.int64), 0
+                if packed is not None:
+                    place = np.frombuffer(zlib.decompress(packed), np.int32)
+                    size = max(size, int(place.max()) + 1)
+                    sums, counts = grown(sums, size), grown(counts, size)
+                else:
+                    n = np.frombuffer(own_counts, np.int32)
+                    sums[place] += np.frombuffer(split, np.float16).reshape(-1, states) * n[:, None].astype(np.float64)
+                    counts[place] += n
+        if key is not None:
+            yield close()
+
+    def over_groups(batches):
+        bucket, sums, counts, size = None, None, None, 0
+
+        def close():
+            split, mass = _split_of(sums[:size], counts[:size], share)
+            return _batch([(None, bucket, split.tobytes(), None, mass)], _SENT_KINDS, _SENT_NAMES)
+
+        for batch in sliced(batches):
+            for b, _, raw, own_counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if b != bucket:
+                    if bucket is not None:
+                        yield close()
+                    bucket, sums, counts, size = b, np.zeros((0, states)), np.zeros(0, np.int64), 0
+                n = np.frombuffer(own_counts, np.int64)
+                size = max(size, len(n))
+                sums, counts = grown(sums, size), grown(counts, size)
+                sums[: len(n)] += np.frombuffer(raw, np.float64).reshape(-1, states)
+                counts[: len(n)] += n
+        if bucket is not None:
+            yield close()
+
+    def answer(batches):
+        split = None
+        for batch in sliced(batches, 16):
+            rows = []
+            for block, bucket, packed, raw in zip(*(batch.column(c).to_pylist() for c in ("block", "bucket", "places", "split")), strict=True):
+                if block is None:
+                    split = np.frombuffer(raw, np.float16).reshape(-1, states)
+                else:
+                    rows.append((block, bucket, split[np.frombuffer(zlib.decompress(packed), np.int32)].tobytes(), None, None))
+            yield _batch(rows, _SENT_KINDS, _SENT_NAMES)
+
+    partial = keep(own.repartition("bucket", "grp").sortWithinPartitions("bucket", "grp", "block", F.col("places").isNull()).mapInArrow(by_group, _SUMS), "hmm-sums", 16)
+    whole = keep(partial.repartition("bucket").sortWithinPartitions("bucket", "grp").mapInArrow(over_groups, _SENT), "hmm-sums", 16)
+    heads = whole.select("block", "bucket", "split").join(partial.select("bucket", "grp"), "bucket").select("block", "bucket", "grp", F.lit(None).cast("binary").alias("places"), "split")
+    dealt = heads.unionByName(own.where("places is not null").select("block", "bucket", "grp", "places", "split")).repartition("bucket", "grp").sortWithinPartitions("bucket", "grp", F.col("block").asc_nulls_first())
+    return dealt.mapInArrow(answer, _SENT).unionByName(whole.withColumn("split", F.lit(None).cast("binary")))
+
+
+def train(table: DataFrame, answered: DataFrame, n: int, v: int, ends: int, states: int = STATES, steps: int = STEPS, groups: int = 1) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """After so many Baum-Welch steps over coded blocks: splits by block and bucket, and (starts, moves, the end's smoothed counts, all smoothed counts) by state."""
     start, move = np.full(states, 1 / states), np.full((states, states), 0.1 / (states - 1)) + np.eye(states) * (0.9 - 0.1 / (states - 1))
     end, mass = np.full(states, (ends + 0.1) / states), np.full(states, (n + 0.1 * (v + 1)) / states)
@@ -317,50 +528,19 @@ def train(table: DataFrame, answered: DataFrame, n: int, v: int, ends: int, stat
         sent = keep(_with_splits(table, splits).mapInArrow(run, _SENT), "hmm-expected", 16)
         if splits is not answered:
             discard(splits)
-        totals = sum(np.frombuffer(r["sums"], np.float64) for r in sorted(sent.where("bucket < 0").select("block", "sums").collect()))  # a short row a block
-        if not isinstance(totals, np.ndarray):
-            totals = np.zeros(states * (states + 3))
+        totals = added(sent.where("bucket < 0"), states * (states + 3))
         starts, moves, end_counts, all_counts = np.split(totals, np.cumsum([states, states * states, states]))
         start = (starts + 0.1) / (starts.sum() + 0.1 * states)
         move = moves.reshape(states, states) + 0.1
         move /= move.sum(1, keepdims=True)
         share = (all_counts + 0.1) / (all_counts.sum() + 0.1 * states)
 
-        def summed(batches, share=share):
-            bucket, places, parts = None, {}, []
-
-            def close():
-                size = max(int(x.max()) + 1 for x in places.values())
-                sums, counts = np.zeros((size, states)), np.zeros(size, np.int64)
-                for block, split, own in parts:
-                    own = np.frombuffer(own, np.int32)
-                    sums[places[block]] += np.frombuffer(split, np.float16).reshape(-1, states) * own[:, None].astype(np.float64)
-                    counts[places[block]] += own
-                split = ((sums + SHRINK * share) / (counts + SHRINK)[:, None]).astype(np.float16)
-                exact = split.astype(np.float32)
-                exact /= exact.sum(1, keepdims=True)
-                mass = ((counts + 0.1) * (counts > 0)) @ exact.astype(np.float64)
-                return _batch([(None, bucket, None, None, mass.tobytes()), *((block, bucket, split[x].tobytes(), None, None) for block, x in places.items())], _SENT_KINDS, _SENT_NAMES)
-
-            for batch in sliced(batches):
-                for block, b, place, split, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if b != bucket:
-                        if places:
-                            yield close()
-                        bucket, places, parts = b, {}, []
-                    if place is not None:
-                        places[block] = np.frombuffer(zlib.decompress(place), np.int32)
-                    else:
-                        parts.append((block, split, counts))
-            if places:
-                yield close()
-
         blank = lambda c: F.lit(None).cast("binary").alias(c)
         both = answered.where("block is not null").select("block", "bucket", "places", blank("split"), blank("counts")).unionByName(sent.where("bucket >= 0").select("block", "bucket", blank("places"), "split", "counts"))
-        splits = keep(both.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(summed, _SENT), "hmm-splits", 16)
+        splits = keep((_new_splits if groups == 1 else functools.partial(_splits_by_group, groups=groups))(both, share, states), "hmm-splits", 16)
         discard(sent)
         end = (ends + 0.1) * (end_counts + SHRINK * share) / (ends + SHRINK)
-        mass = sum((np.frombuffer(r["sums"], np.float64) for r in sorted(splits.where("block is null").select("bucket", "sums").collect())), np.zeros(states)) + end + 0.1 * share  # a short row a bucket
+        mass = added(splits.where("block is null"), states) + end + 0.1 * share
     return splits, (start, move, end, mass)
 
 
@@ -371,11 +551,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state
     made = keep(blocks(named, max(12, -(-size // BUCKET_BYTES))), "hmm-blocks")
     told = made.where("bucket < 0").agg(F.sum("train").alias("n"), F.sum(F.expr("octet_length(replace(hex(held), '01', ''))") / 2).alias("ends")).first()
     n, ends = int(told["n"] or 0), int(told["ends"] or 0)
-    answered = keep(answers(made.where("bucket >= 0"), states), "hmm-answers", 16)
+    groups = max(1, -(-made.where("bucket < 0").count() // GROUP_BLOCKS))
+    answered = keep(answers(made.where("bucket >= 0"), states, groups), "hmm-answers", 16)
     v = int(answered.agg(F.sum("distinct")).first()[0] or 0) + (ends > 0)
     table = keep(coded(made, answered, ends, n, v), "hmm-coded", 16)
     discard(made)
-    splits, model = train(table, answered, n, v, ends, states, steps)
+    splits, model = train(table, answered, n, v, ends, states, steps, groups)
     if splits is not answered:
         discard(answered)
 
