@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.operators import knn, lexical, vector_index
+from tidewell.operators import facts, knn, lexical, trigrams, vector_index
 from tidewell.plans import registry
 from tidewell.sources.segments import Store
 
@@ -188,3 +188,21 @@ def test_a_hot_list_is_spread(spark, tmp_path, monkeypatch):
     assert max(manifest["slices"].values()) >= 8
     found = vector_index.search(f"file://{tmp_path}/hot", rows.where("vec_id % 50 = 0"), 10)
     assert found.count() == 600 and found.where("query_id < 2000 and distance > 0.000001").count() == 0
+
+
+def test_trigrams_find_what_a_scan_finds(spark, tmp_path):
+    """Ids of any length and case, wildcards, queries with and without trigrams, prefixes; only the query's trigrams are read."""
+    ids = ["", "a", "ab", "Abc", "abcabc", "customer-1", "Customer-12", "xcustomer-1", "part_1", "part%2", "é-übc", *("".join(rng.choices("abcAB-1", k=rng.randint(1, 9))) for _ in range(150))]
+    rows = [(f"t{k}", i, "p" if k % 2 else "q", rng.choice(ids), rng.choice(["entity", "literal"]), "active" if k % 9 else "superseded") for k, i in enumerate(ids * 2)]
+    made = spark.createDataFrame(rows, "triple_id string, subject_id string, predicate string, object_id string, object_kind string, status string")
+    path = f"file://{tmp_path}/t"
+    trigrams.build(trigrams.summaries(made), path, buckets=5)
+    for q in ("abc", "customer-1", " CUSTOMER", "a_c", "ab%bc", "b", "", "%", "zzz", "-1", "c-1", "übc", "art_1", "abcabcabc"):
+        assert answers(trigrams.search(spark, path, q, 100).select("entity_id", "subject_count", "fact_count", "predicates", "match_score")) == answers(facts.entities(made, q, 100).select("entity_id", "subject_count", "fact_count", "predicates", "match_score")), q
+    live = {r["entity_id"] for r in trigrams.summaries(made).collect()}
+    for p in ("ab", "Cust", "c", "", "part_", "part%2x"):
+        assert {r["entity_id"] for r in trigrams.with_prefix(spark, path, p).collect()} == {i for i in live if i.startswith(p)}
+    store = Store(spark, path)
+    plan = trigrams._candidates(store, store.latest(), trigrams.grams("customer-1"))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket), ", "") and "In(gram" in plan
+    assert trigrams.grams("ab%cde_fghi") == ["cde", "fgh", "ghi"]

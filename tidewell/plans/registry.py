@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import text as X
 from tidewell.functions.hashing import fnv1a64, hash_embedder
-from tidewell.operators import assets, audit, cluster, context, documents, evaluate, extraction, facts, graph, knn, lexical, quality_gate, retrieval, vector_index
+from tidewell.operators import assets, audit, cluster, context, documents, evaluate, extraction, facts, graph, knn, lexical, quality_gate, retrieval, trigrams, vector_index
 from tidewell.plans import sql
 from tidewell.sources import model, segments, storage
 from tidewell.sources.tables import table
+from tidewell.streaming import batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -280,6 +281,29 @@ def entities(spark: SparkSession, d: str) -> DataFrame:
     return facts.entities(model.triples(spark, d), "customer-1", 50)
 
 
+def _entity_index(spark: SparkSession, d: str) -> str:
+    path = f"{storage.shared_dir(spark)}/entities-{uuid.uuid4().hex}"
+    trigrams.build(trigrams.summaries(model.triples(spark, d)), path)
+    return path
+
+
+@query("g3_entities_indexed", sql.G3)
+def entities_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """The same answer as g3_entities, from trigrams."""
+    return trigrams.search(spark, _entity_index(spark, d), "customer-1", 50)
+
+
+@query("p4_wildcards", sql.P4)
+def entity_wildcards(spark: SparkSession, d: str) -> DataFrame:
+    return trigrams.search(spark, _entity_index(spark, d), " ER-_2%5", 100)
+
+
+@query("s23_prefix", sql.S23)
+def entity_prefix(spark: SparkSession, d: str) -> DataFrame:
+    """All ids of a prefix; an id that is meant by its beginning is the only one of these."""
+    return trigrams.with_prefix(spark, _entity_index(spark, d), "part-1").select("entity_id")
+
+
 @query("o5_entity_refs", sql.O5)
 def entity_refs(spark: SparkSession, d: str) -> DataFrame:
     return facts.entity_refs(model.triples(spark, d)).groupBy("entity_id").agg(F.sum("as_subject").alias("subjects"), F.sum("as_object").alias("objects"))
@@ -781,6 +805,41 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
     return cluster.similar_pairs(_days(spark, d).withColumn("day", X.day_bucket(F.col("ts_ms"))).select("id", "day", "embedding"), 0.3)
 
 
+def _new_folder(spark: SparkSession, name: str) -> str:
+    return f"{storage.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("m5_replay_stream", sql.M5)
+def replay_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Clicks, of which many come twice, as outbox entries: streamed, restarted with all of them sent again, each applied once."""
+    folder = _new_folder(spark, "replay")
+    rows = table(spark, d, "clicks").select(F.col("click_id").alias("entry_id"), "client_id")
+    for part in ("entry_id % 3 <> 0", "true"):
+        rows.where(part).write.mode("append").parquet(f"{folder}/in")
+        batches.replay(batches.episodes_stream(spark, f"{folder}/in", rows.schema, 4), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("entry_id")
+
+
+@query("m6_incremental_clusters", sql.K2)
+def incremental_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """The same answer as k2_components, from rows that come in three batches."""
+    folder = _new_folder(spark, "clusters")
+    rows = _days(spark, d).select(F.col("id").cast("long").alias("id"), F.col("ts_ms").cast("long").alias("ts_ms"), F.col("embedding").cast("array<float>").alias("embedding"))
+    for k in range(3):
+        rows.where(F.pmod(F.xxhash64("id"), F.lit(3)) == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    batches.incremental_clusters(batches.episodes_stream(spark, f"{folder}/in", rows.schema), f"{folder}/state", f"{folder}/checkpoint", 0.3).awaitTermination()
+    return batches.current_members(spark, f"{folder}/state").select("cluster_id", "id")
+
+
+@query("s19_export", sql.S19)
+def export(spark: SparkSession, d: str) -> DataFrame:
+    """Audit rows written as JSON, newest first, and read back."""
+    folder = _new_folder(spark, "export")
+    events = model.episodes(spark, d).select("rowid", "ts_ms", "principal", "source_type")
+    audit.export(events, folder)
+    return spark.read.schema(events.schema).json(folder)
+
+
 @query("k2_components", sql.K2)
 def components(spark: SparkSession, d: str) -> DataFrame:
     return cluster.cluster_days(_days(spark, d), 0.3)
@@ -843,7 +902,7 @@ def stale_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 @query("k7_re_embed", sql.K7E)
 def re_embed(spark: SparkSession, d: str) -> DataFrame:
-    return cluster.re_embed(_embedded(spark, d), model.episodes(spark, d), "now", hash_embedder(4)).groupBy("embedder").agg(F.count("*").alias("n"))
+    return cluster.re_embed(_embedded(spark, d), model.episodes(spark, d), "now", hash_embedder(4)).select("rowid", "embedder")
 
 
 @query("a10_merged_clusters", sql.A10M)

@@ -129,6 +129,13 @@ G3 = f"""WITH {TRIPLES}, {REFS}
 SELECT entity_id, sum(s)::BIGINT AS subject_count, sum(o)::BIGINT AS object_count, count(*) AS fact_count, string_agg(DISTINCT predicate, ',' ORDER BY predicate) AS predicates,
        min(CASE WHEN lower(entity_id) = 'customer-1' THEN 0 WHEN lower(entity_id) LIKE 'customer-1%' THEN 1 ELSE 2 END)::BIGINT AS match_score
 FROM refs WHERE lower(entity_id) LIKE '%customer-1%' GROUP BY entity_id ORDER BY match_score, fact_count DESC, entity_id LIMIT 50"""
+P4 = f"""WITH {TRIPLES}, {REFS}
+SELECT entity_id, sum(s)::BIGINT AS subject_count, sum(o)::BIGINT AS object_count, count(*) AS fact_count, string_agg(DISTINCT predicate, ',' ORDER BY predicate) AS predicates,
+       min(CASE WHEN lower(entity_id) = 'er-_2%5' THEN 0 WHEN lower(entity_id) LIKE 'er-_2%5%' THEN 1 ELSE 2 END)::BIGINT AS match_score
+FROM refs WHERE lower(entity_id) LIKE '%er-_2%5%' GROUP BY entity_id ORDER BY match_score, fact_count DESC, entity_id LIMIT 100"""
+S23 = f"WITH {TRIPLES}, {REFS} SELECT DISTINCT entity_id FROM refs WHERE entity_id LIKE 'part-1%'"
+S19 = f"WITH {EPISODES} SELECT rowid_ AS rowid, ts_ms, principal, source_type FROM episodes"
+M5 = "SELECT DISTINCT click_id AS entry_id FROM clicks"
 O5 = f"WITH {TRIPLES}, {REFS} SELECT entity_id, sum(s)::BIGINT AS subjects, sum(o)::BIGINT AS objects FROM refs GROUP BY entity_id"
 Q11 = f"""WITH {TRIPLES}, t AS (SELECT * FROM triples WHERE status = 'active')
 SELECT a.subject_id, a.predicate, a.triple_id AS a_triple_id, b.triple_id AS b_triple_id, a.object_id AS a_object_id, b.object_id AS b_object_id
@@ -454,7 +461,7 @@ _EMBEDDED = "embedded AS (SELECT vec_id::BIGINT AS rowid_, CASE WHEN vec_id % 4
 K6S = f"WITH {EPISODES}, {_EMBEDDED} SELECT e.rowid_ AS id, ts_ms FROM episodes e JOIN embedded v ON e.rowid_ = v.rowid_ WHERE tier = 'hot' AND status = 'active' AND embedder = 'now' AND ts_ms >= {NOW} - 30 * {DAY}::BIGINT"
 K7 = f"""WITH {EPISODES}, {_EMBEDDED}, b AS (SELECT * FROM embedded UNION ALL SELECT rowid_, 'now' FROM embedded WHERE rowid_ % 8 = 0), live AS (SELECT rowid_ FROM episodes WHERE status = 'active')
 SELECT rowid_ AS rowid, embedder FROM b WHERE rowid_ NOT IN (SELECT rowid_ FROM live) UNION ALL SELECT rowid_, embedder FROM b WHERE embedder <> 'now' AND rowid_ IN (SELECT rowid_ FROM live) AND rowid_ IN (SELECT rowid_ FROM b WHERE embedder = 'now')"""
-K7E = f"WITH {EPISODES}, {_EMBEDDED} SELECT embedder, count(*) AS n FROM (SELECT embedder FROM embedded UNION ALL SELECT 'now' FROM episodes WHERE status = 'active' AND rowid_ NOT IN (SELECT rowid_ FROM embedded WHERE embedder = 'now')) GROUP BY embedder"
+K7E = f"WITH {EPISODES}, {_EMBEDDED} SELECT rowid_ AS rowid, embedder FROM embedded UNION ALL SELECT rowid_, 'now' FROM episodes WHERE status = 'active' AND rowid_ NOT IN (SELECT rowid_ FROM embedded WHERE embedder = 'now')"
 _UNIT = """u AS (SELECT label::BIGINT AS cluster_id, pos::BIGINT AS pos, e[pos + 1] / sqrt(list_sum(list_transform(e, lambda y: y * y))) AS x FROM (SELECT label, embedding::DOUBLE[] AS e, unnest(range(len(embedding))) AS pos FROM embeddings))"""
 A10 = f"""WITH {_UNIT}, m AS (SELECT cluster_id, pos, avg(x) AS x, count(*) AS n FROM u GROUP BY ALL)
 SELECT cluster_id, n, pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY cluster_id)), 6) AS x FROM m"""
