@@ -934,7 +934,7 @@ def dedup(spark: SparkSession, d: str) -> DataFrame:
 @query("d3_redact_counts", sql.D3)
 def redact_counts(spark: SparkSession, d: str) -> DataFrame:
     done = documents.redact(table(spark, d, "documents").select("doc_id", "text"))
-    return done.select("doc_id", *[f"n_{k}" for k in documents.REDACTIONS])
+    return done.select("doc_id", *[f"n_{k}" for k in documents.REDACTIONS], F.sha2("text", 256).alias("left_sha256"))
 
 
 def _stored_documents(spark: SparkSession, d: str) -> DataFrame:

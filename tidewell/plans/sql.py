@@ -491,9 +491,10 @@ def redactions() -> str:
             luhn = f"list_sum(list_transform({digits}, lambda d, j: CASE WHEN j % 2 = 1 THEN d::INT WHEN d::INT > 4 THEN 2 * d::INT - 9 ELSE 2 * d::INT END)) % 10 = 0"
             found = f"list_filter({found}, lambda m: {luhn})"
         keep = ", ".join(f"n_{k}" for k in list(documents.REDACTIONS)[:i])
-        steps.append(f"r{i} AS (SELECT doc_id, {keep + ', ' if keep else ''}len({found})::BIGINT AS n_{name}, regexp_replace(text, '{pattern}', '[REDACTED:{name}]', 'g') AS text FROM {before})")
+        left = f"list_reduce(list_prepend(text, {found}), lambda t, m: replace(t, m, '[REDACTED:{name}]'))" if name == "credit_card" else f"regexp_replace(text, '{pattern}', '[REDACTED:{name}]', 'g')"
+        steps.append(f"r{i} AS (SELECT doc_id, {keep + ', ' if keep else ''}len({found})::BIGINT AS n_{name}, {left} AS text FROM {before})")
         before = f"r{i}"
-    return f"WITH {', '.join(steps)} SELECT doc_id, {', '.join(f'n_{k}' for k in documents.REDACTIONS)} FROM {before}"
+    return f"WITH {', '.join(steps)} SELECT doc_id, {', '.join(f'n_{k}' for k in documents.REDACTIONS)}, sha256(text) AS left_sha256 FROM {before}"
 
 
 D3 = redactions()
