@@ -15,6 +15,32 @@ def linked(documents: DataFrame, assets: DataFrame, links: DataFrame) -> DataFra
     return links.join(documents.select("doc_id", "source"), "doc_id").join(assets.select("asset_id", "sha256", "byte_size"), "asset_id").select("doc_id", "source", "asset_id", "sha256", "byte_size")
 
 
+def listing(assets: DataFrame, limit: int = 20, offset: int = 0, deleted: bool = False) -> DataFrame:
+    """Active assets (asset_id, status, created_at_ms, other columns), newest first, ties by asset_id; deleted: all assets."""
+    rows = assets if deleted else assets.where("status = 'active'")
+    return rows.orderBy(F.desc("created_at_ms"), "asset_id").offset(offset).limit(max(1, min(limit, 100)))
+
+
+def inspect(asset_id, assets: DataFrame, extractions: DataFrame, links: DataFrame, attached: DataFrame) -> DataFrame:
+    """The asset of an id, whatever its status, with its extractions, document links and memory attachments as arrays, newest first; no row if there is none.
+
+    Each table is filtered by the id before it is grouped.
+    """
+    of = lambda df: df.where(F.col("asset_id") == asset_id)
+
+    def newest_first(df: DataFrame, name: str, ties: list[str]) -> DataFrame:
+        others = [c for c in df.columns if c not in ("asset_id", "created_at_ms", *ties)]
+        row = F.struct((-F.col("created_at_ms")).alias("age"), *ties, *others)
+        plain = lambda x: F.struct(*[x[c].alias(c) for c in (*ties, *others)], (-x["age"]).alias("created_at_ms"))
+        return of(df).groupBy("asset_id").agg(F.transform(F.array_sort(F.collect_list(row)), plain).alias(name))
+
+    out = of(assets)
+    for df, name, ties in ((extractions, "extractions", ["extractor_name", "extractor_version"]), (links, "document_links", ["link_id"]), (attached, "memory_attachments", ["attachment_id"])):
+        found = newest_first(df, name, ties)
+        out = out.join(found, "asset_id", "left").withColumn(name, F.coalesce(name, F.array().cast(found.schema[name].dataType)))
+    return out
+
+
 def attachments(rows: DataFrame, episodes: DataFrame, documents: DataFrame, assets: DataFrame) -> DataFrame:
     """Attachments of episodes: to a document or to an asset."""
     found = rows.join(episodes.select("memory_id", "ts_ms"), "memory_id").join(documents.select("doc_id", "source"), "doc_id", "left").join(assets.select("asset_id", "sha256"), "asset_id", "left")

@@ -34,3 +34,20 @@ def metrics(ranks: DataFrame, expected: DataFrame, k: int) -> DataFrame:
     hits = expected.join(ranks, ["case_id", "memory_id"], "left")
     by_case = hits.groupBy("case_id").agg((F.count_if(F.col("rank") <= k) / F.count("*")).alias("recall"), F.coalesce(1 / F.min("rank"), F.lit(0.0)).alias("mrr"), F.coalesce(F.min("rank") == 1, F.lit(False)).cast("int").alias("top"))
     return by_case.agg(F.round(F.avg("recall"), 6).alias("recall_at_k"), F.round(F.avg("mrr"), 6).alias("mrr"), F.round(F.avg("top"), 6).alias("top_1"))
+
+
+def support(hits: DataFrame, cases: DataFrame, expected: DataFrame, forbidden: DataFrame, k: int) -> DataFrame:
+    """One row: share of cases with an expected memory within k, mean reciprocal rank of the first one, how many of those first ones the vector and the lexical side found, and the share of cases without a forbidden memory on top.
+
+    hits: (case_id, memory_id, rank, vector_rank, lexical_rank), a side's rank null where it did not find the memory.
+    """
+    near = hits.where(F.col("rank") <= k)
+    side = F.struct("rank", F.col("vector_rank").isNotNull().cast("int").alias("v"), F.col("lexical_rank").isNotNull().cast("int").alias("l"))
+    first = near.join(expected, ["case_id", "memory_id"], "left_semi").groupBy("case_id").agg(F.min_by(side, "rank").alias("f"))
+    wrong = hits.where("rank = 1").join(forbidden, ["case_id", "memory_id"], "left_semi").groupBy("case_id").agg(F.count("*").alias("wrong"))
+    by_case = cases.select("case_id").join(first, "case_id", "left").join(wrong, "case_id", "left")
+    mean = lambda c: F.round(F.coalesce(F.avg(F.coalesce(c, F.lit(0.0))), F.lit(0.0)), 6)
+    count = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return by_case.agg(
+        mean(F.when(F.col("f").isNotNull(), F.lit(1.0))).alias("recall_at_k"), mean(1 / F.col("f.rank")).alias("mrr"), count("f.v").alias("vector_supported"), count("f.l").alias("lexical_supported"), F.round(1 - F.coalesce(F.avg(F.coalesce("wrong", F.lit(0))), F.lit(0.0)), 6).alias("top_1_safety")
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import text as X
@@ -258,6 +258,18 @@ def recall_mrr(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.metrics(evaluate.lexical_ranks(cases, memories), expected, 2)
 
 
+@query("a14_support", sql.A14S)
+def recall_support(spark: SparkSession, d: str) -> DataFrame:
+    """Both sides' lists of a case fused: the lexical one's first three, and memories of every second turn as the vector side's."""
+    cases, memories = _eval_tables(spark, d)
+    turn = F.substring_index("memory_id", ":", -1).cast("int")
+    both = evaluate.lexical_ranks(cases, memories).select("case_id", "memory_id", F.when(F.col("rank") <= 3, F.col("rank")).alias("lexical_rank"), F.when(turn % 2 == 1, turn + 1).alias("vector_rank")).where("lexical_rank is not null or vector_rank is not null")
+    fused = F.round(retrieval.reciprocal(F.col("vector_rank")) + retrieval.reciprocal(F.col("lexical_rank")), 9)
+    hits = both.withColumn("rank", F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc(fused), "memory_id")))
+    named = lambda t: memories.where(F.col("memory_id").endswith(f":{t}")).select("case_id", "memory_id")
+    return evaluate.support(hits, cases, named(1), named(2), 2)
+
+
 # Facts and the graph
 
 
@@ -1033,6 +1045,29 @@ def linked_assets(spark: SparkSession, d: str) -> DataFrame:
     return assets.linked(table(spark, d, "documents"), own, links)
 
 
+def _stored_assets(spark: SparkSession, d: str) -> DataFrame:
+    """Assets as a listing has them: several a moment, some deleted."""
+    n = F.col("asset_id")
+    return _assets(spark, d)[0].withColumn("status", F.when(n % 7 == 3, "deleted").otherwise("active")).withColumn("created_at_ms", F.lit(NOW) - (n - n % 4) % 500)
+
+
+@query("d6_list_assets", sql.D6L)
+def list_assets(spark: SparkSession, d: str) -> DataFrame:
+    return assets.listing(_stored_assets(spark, d), 100, 5)
+
+
+@query("d6_inspect_asset", sql.D6I)
+def inspect_asset(spark: SparkSession, d: str) -> DataFrame:
+    """Every page has three extractions, is linked by the document of its number, and attached to the events of its number's tens."""
+    p = table(spark, d, "pages").select(F.col("page_id").alias("asset_id"))
+    made = p.select("asset_id", F.explode(F.array(*[F.struct(F.lit(a).alias("extractor_name"), F.lit(v).alias("extractor_version"), F.lit(t).cast("long").alias("created_at_ms")) for a, v, t in (("html", "1", 5), ("html", "2", 5), ("text", "1", 9))])).alias("x")).select("asset_id", "x.*")
+    links = p.select("asset_id", F.concat(F.lit("l:"), F.col("asset_id").cast("string")).alias("link_id"), F.col("asset_id").alias("doc_id"), F.lit(3).cast("long").alias("created_at_ms"))
+    attached = table(spark, d, "events").select(F.floor(F.col("event_id") / 10).alias("asset_id"), F.col("event_id").alias("attachment_id"), (F.col("event_id") % 3).alias("created_at_ms"))
+    found = assets.inspect(7, _stored_assets(spark, d), made, links, attached)
+    line = lambda c, *names: F.array_join(F.transform(c, lambda x: F.concat_ws(" ", *[x[n].cast("string") for n in (*names, "created_at_ms")])), "\n").alias(c)
+    return found.select("asset_id", "sha256", "status", line("extractions", "extractor_name", "extractor_version"), line("document_links", "link_id", "doc_id"), line("memory_attachments", "attachment_id"))
+
+
 @query("j15_attachments", sql.J15)
 def attachments(spark: SparkSession, d: str) -> DataFrame:
     own, _ = _assets(spark, d)

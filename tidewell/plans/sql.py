@@ -113,6 +113,10 @@ _EVAL = f"""m AS (SELECT conv_id AS case_id, conv_id || ':' || turn AS memory_id
     SELECT m.case_id, m.memory_id, round(coalesce(overlap / total, 0) + coalesce(specificity, 0) + CASE tier WHEN 'decision' THEN 0.08 ELSE 0.05 END + least(1.0, importance) * 0.04, 6) AS score
     FROM m LEFT JOIN tot ON m.case_id = tot.case_id LEFT JOIN met ON m.case_id = met.case_id AND m.memory_id = met.memory_id WHERE NOT gone))"""
 F7 = f"WITH {_EVAL} SELECT case_id, memory_id, score, rank FROM ranks"
+A14S = f"""WITH {_EVAL}, b AS (SELECT case_id, memory_id, CASE WHEN rank <= 3 THEN rank END AS l, CASE WHEN split_part(memory_id, ':', 2)::INT % 2 = 1 THEN split_part(memory_id, ':', 2)::INT + 1 END AS v FROM ranks),
+  h AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY round(coalesce(1.0::DOUBLE / (60 + v), 0) + coalesce(1.0::DOUBLE / (60 + l), 0), 9) DESC, memory_id) AS rank FROM b WHERE l IS NOT NULL OR v IS NOT NULL),
+  f AS (SELECT case_id, rank, v, l FROM h WHERE rank <= 2 AND memory_id = case_id || ':1'), w AS (SELECT case_id FROM h WHERE rank = 1 AND memory_id = case_id || ':2'), n AS (SELECT count(*)::DOUBLE AS n FROM conversations WHERE turn = 0)
+SELECT round(count(rank) / any_value(n), 6) AS recall_at_k, round(coalesce(sum(1.0::DOUBLE / rank), 0) / any_value(n), 6) AS mrr, count(v)::BIGINT AS vector_supported, count(l)::BIGINT AS lexical_supported, round(1 - (SELECT count(*) FROM w) / any_value(n), 6) AS top_1_safety FROM n LEFT JOIN f ON true"""
 A14 = f"""WITH {_EVAL}, e AS (SELECT case_id, memory_id FROM m WHERE NOT gone AND memory_id LIKE '%:1'), c AS (
   SELECT e.case_id, count(*) FILTER (rank <= 2) / count(*) AS recall, coalesce(1.0::DOUBLE / min(rank), 0) AS mrr, CASE WHEN min(rank) = 1 THEN 1 ELSE 0 END AS top FROM e LEFT JOIN ranks r ON e.case_id = r.case_id AND e.memory_id = r.memory_id GROUP BY e.case_id)
 SELECT round(avg(recall), 6) AS recall_at_k, round(avg(mrr), 6) AS mrr, round(avg(top), 6) AS top_1 FROM c"""
@@ -520,6 +524,10 @@ S15 = f"""WITH a AS (SELECT page_id, unnest(range(len(l))) AS place, unnest(l) A
   h AS (SELECT page_id, place, regexp_extract(a, '(?is)href\\s*=\\s*"([^"]*)"', 1) AS href, {_unescape("trim(regexp_replace(regexp_replace(a, '(?is)^<a" + chr(92) + "s+[^>]*>|</a>$', '', 'g'), '(?is)<[^>]+>', '', 'g'))")} AS title FROM a)
 SELECT page_id, place, {_unescape('href')} AS url, CASE WHEN title = '' THEN href ELSE title END AS title FROM h WHERE trim(href) <> ''"""
 
+_ASSETS = f"assets AS (SELECT page_id AS asset_id, sha256(html) AS sha256, octet_length(encode(html))::BIGINT AS byte_size, CASE WHEN page_id % 7 = 3 THEN 'deleted' ELSE 'active' END AS status, {NOW} - (page_id - page_id % 4) % 500 AS created_at_ms FROM pages)"
+D6L = f"WITH {_ASSETS} SELECT * FROM assets WHERE status = 'active' ORDER BY created_at_ms DESC, asset_id ASC LIMIT 100 OFFSET 5"
+D6I = f"""WITH {_ASSETS} SELECT asset_id, sha256, status, 'text 1 9' || chr(10) || 'html 1 5' || chr(10) || 'html 2 5' AS extractions, 'l:7 7 3' AS document_links,
+  (SELECT string_agg(event_id || ' ' || event_id % 3, chr(10) ORDER BY event_id % 3 DESC, event_id) FROM events WHERE event_id // 10 = 7) AS memory_attachments FROM assets WHERE asset_id = 7"""
 D6 = "SELECT doc_id, source, a.page_id AS asset_id, sha256(a.html) AS sha256, octet_length(encode(a.html))::BIGINT AS byte_size FROM pages p JOIN documents ON doc_id = p.page_id JOIN pages a ON a.page_id = p.page_id * 2"
 J15 = """SELECT 'at:' || event_id AS attachment_id, 'ev:' || event_id AS memory_id, epoch_us(ts) // 1000 AS ts_ms, CASE WHEN event_id % 20 = 0 THEN event_id END AS doc_id, source, CASE WHEN event_id % 20 <> 0 THEN event_id END AS asset_id, sha256(html) AS sha256
 FROM events LEFT JOIN documents ON event_id % 20 = 0 AND doc_id = event_id LEFT JOIN pages ON event_id % 20 <> 0 AND page_id = event_id"""
