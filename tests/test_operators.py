@@ -448,3 +448,40 @@ def test_bookmarks_and_logs(spark):
     line = "\u001b[31mERROR\u001b[0m Bearer abc.def api_key: k1, --token t2 ok"
     assert one(spark, assets.log_line(F.col("v")), v=line) == "ERROR Bearer [redacted] api_key: [redacted], --token [redacted] ok"
     assert one(spark, assets.log_level(F.col("v")), v=line) == "error" and one(spark, assets.log_level(F.col("v")), v="x") == "info"
+
+
+def test_work_queue(spark, tmp_path):
+    """Leases keep drivers apart and run out; what a lost driver finished stays; slow and failing calls are retried up to a limit."""
+    import time
+
+    from tidewell.operators import work_queue as q
+
+    path, now = f"file://{tmp_path}/q", [1000.0]
+    items = spark.createDataFrame([(f"i{k}", "slow" if k == 3 else "bad" if k == 5 else str(k)) for k in range(10)], "item_id string, payload string")
+
+    def client():
+        def ask(p):
+            if p == "bad":
+                raise ValueError("bad")
+            if p == "slow":
+                time.sleep(5)
+            return p * 2
+
+        return ask
+
+    run = lambda owner, **more: q.work(spark, path, items, client, owner, seconds=0.5, lease_ms=60_000, chunk=4, clock=lambda: now[0], **more)
+    assert run("one", most_chunks=1) == 1 and sorted(r[0] for r in q.results(spark, path).collect()) == ["i0", "i1", "i2"]
+    held = q.claim(spark, path, items, "one", 1_000_001, 60_000, 4)  # then the driver is lost
+    assert sorted(r["item_id"] for r in held.collect()) == ["i4", "i5", "i6", "i7"]
+    now[0] += 1
+    run("two")
+    assert sorted(r[0] for r in q.results(spark, path).collect()) == ["i0", "i1", "i2", "i8", "i9"]
+    assert q.claim(spark, path, items, "two", 1_002_000, 60_000, 9).where("item_id between 'i4' and 'i7'").count() == 0
+    now[0] += 100
+    run("two")
+    assert {r[0]: r[1] for r in q.results(spark, path).collect()} == {f"i{k}": str(k) * 2 for k in range(10) if k not in (3, 5)}
+    for _ in range(3):
+        now[0] += 100
+        run("three")
+    assert sorted(tuple(r) for r in q.parked(spark, path).collect()) == [("i3", 3, "no answer within 0.5 s"), ("i5", 3, "ValueError: bad")]
+    assert run("three") == 0

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import text as X
 from tidewell.functions.hashing import fnv1a64, hash_embedder
-from tidewell.operators import assets, audit, cluster, context, documents, evaluate, extraction, facts, graph, knn, lexical, quality_gate, retrieval, trigrams, vector_index
+from tidewell.operators import assets, audit, cluster, context, documents, evaluate, extraction, facts, graph, knn, lexical, quality_gate, retrieval, trigrams, vector_index, work_queue
 from tidewell.plans import sql
 from tidewell.sources import model, segments, storage
 from tidewell.sources.tables import table
@@ -137,7 +137,7 @@ def _changed_index(spark: SparkSession, d: str) -> str:
     """An index of all documents, then deltas from an outbox: a third gets another text, one in ten goes, some come back; and a part is new."""
     docs = table(spark, d, "documents").select("doc_id", "text")
     path = f"{storage.shared_dir(spark)}/index-{uuid.uuid4().hex}"
-    lexical.save_index(docs.where("doc_id % 8 <> 1"), path, "doc_id", "text")
+    lexical.save_index(docs.where("doc_id % 8 <> 1"), path, "doc_id", "text", buckets=16)
     n = F.col("doc_id")
     first = docs.select((n * 2).alias("entry_id"), F.when(n % 10 == 3, "delete").otherwise("upsert").alias("op"), n.alias("id")).where("id % 10 = 3 or id % 8 = 1 or id % 3 = 0")
     then = docs.where(n % 20 == 3).select((n * 2 + 1_000_000_001).alias("entry_id"), F.lit("upsert").alias("op"), n.alias("id"))
@@ -295,7 +295,7 @@ def entities(spark: SparkSession, d: str) -> DataFrame:
 
 def _entity_index(spark: SparkSession, d: str) -> str:
     path = f"{storage.shared_dir(spark)}/entities-{uuid.uuid4().hex}"
-    trigrams.build(trigrams.summaries(model.triples(spark, d)), path)
+    trigrams.build(trigrams.summaries(model.triples(spark, d)), path, buckets=16)
     return path
 
 
@@ -1104,6 +1104,28 @@ def pending_clusters(spark: SparkSession, d: str) -> DataFrame:
     return extraction.pending(model.clusters(spark, d), model.abstractions(spark, d), 1000).select("cluster_id")
 
 
+@query("q13_work_queue", sql.Q13W)
+def queued_work(spark: SparkSession, d: str) -> DataFrame:
+    """Documents' lengths by a client that fails for some: a first driver that is lost after some chunks, a second one, and two more runs; then how each document stands."""
+    folder = _new_folder(spark, "queue")
+    items = table(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("item_id"), F.concat_ws(" ", F.col("doc_id").cast("string"), F.coalesce(F.length("text"), F.lit(0)).cast("string")).alias("payload"))
+
+    def client():
+        def ask(payload):
+            number, size = payload.split(" ")
+            if int(number) % 9 == 4:
+                raise ValueError("no")
+            return size
+
+        return ask
+
+    n = max(1, items.count() // 3)
+    work_queue.work(spark, folder, items, client, "one", chunk=n, most_chunks=1)
+    for owner in ("two", "two", "three"):
+        work_queue.work(spark, folder, items, client, owner, chunk=n)
+    return items.select("item_id").join(work_queue.results(spark, folder), "item_id", "left").join(work_queue.parked(spark, folder), "item_id", "left").select("item_id", "value", F.coalesce("attempts", F.lit(0)).cast("long").alias("attempts"))
+
+
 @query("g10_context_bundle", sql.G10)
 def context_bundle(spark: SparkSession, d: str) -> DataFrame:
     """Sections of a context bundle with their states and row counts, and why it holds what it holds."""

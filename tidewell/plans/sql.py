@@ -138,6 +138,7 @@ SELECT entity_id, sum(s)::BIGINT AS subject_count, sum(o)::BIGINT AS object_coun
        min(CASE WHEN lower(entity_id) = 'er-_2%5' THEN 0 WHEN lower(entity_id) LIKE 'er-_2%5%' THEN 1 ELSE 2 END)::BIGINT AS match_score
 FROM refs WHERE lower(entity_id) LIKE '%er-_2%5%' GROUP BY entity_id ORDER BY match_score, fact_count DESC, entity_id LIMIT 100"""
 S23 = f"WITH {TRIPLES}, {REFS} SELECT DISTINCT entity_id FROM refs WHERE entity_id LIKE 'part-1%'"
+Q13W = "SELECT 'd' || doc_id AS item_id, CASE WHEN doc_id % 9 <> 4 THEN length(coalesce(text, ''))::VARCHAR END AS value, CASE WHEN doc_id % 9 = 4 THEN 3 ELSE 0 END::BIGINT AS attempts FROM documents"
 S19 = f"WITH {EPISODES} SELECT rowid_ AS rowid, ts_ms, principal, source_type FROM episodes"
 M5 = "SELECT DISTINCT click_id AS entry_id FROM clicks"
 O5 = f"WITH {TRIPLES}, {REFS} SELECT entity_id, sum(s)::BIGINT AS subjects, sum(o)::BIGINT AS objects FROM refs GROUP BY entity_id"
