@@ -1,4 +1,12 @@
-"""A training corpus from raw documents: five stages, each over all that the one before kept."""
+"""A training corpus from raw documents: five stages, each over all that the one before kept.
+
+Every stage takes the odd rows as its operator does. Null texts have no words: quality rules reject them, as texts of
+fewer than ten words, and so empty ones. Null ids are ids of no other row: such rows pass line dedup and the near
+join untouched and are judged by their text elsewhere. Very long texts are read whole. Repeated rows are judged alike by
+quality rules, decontamination and encoding; the near join keeps one document of a group, with all rows of its id. Ties of
+a group go to the smallest id, of a line to the largest. Empty tables give empty results. Other columns of documents stay
+until the last stage, whatever their names.
+"""
 
 from __future__ import annotations
 
