@@ -583,20 +583,20 @@ def upsert_entities(spark: SparkSession, d: str) -> DataFrame:
     key = F.concat(F.lit("customer-"), F.col("c_custkey").cast("string"))
     seen = F.col("c_custkey") * DAY
     old = c.where("c_custkey % 3 <> 0").select(key.alias("entity_id"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise(key).alias("name"), F.lit(0.5).alias("confidence"), seen.alias("first_seen_ms"), seen.alias("last_seen_ms"))
-    new = c.where("c_custkey % 4 <> 0").select(key.alias("entity_id"), F.concat(F.lit("new "), "c_name").alias("name"), (F.col("c_custkey") % 10 / 10).alias("confidence"), (seen - 5).alias("first_seen_ms"), (seen + 5).alias("last_seen_ms"))
+    new = c.where("c_custkey % 3 <> 1").select(key.alias("entity_id"), F.concat(F.lit("new "), "c_name").alias("name"), (F.col("c_custkey") % 10 / 10).alias("confidence"), (seen - 5).alias("first_seen_ms"), (seen + 5).alias("last_seen_ms"))
     return quality_gate.upsert_entities(old, new)
 
 
 @query("w1_upsert_aliases", sql.W1A)
 def upsert_aliases(spark: SparkSession, d: str) -> DataFrame:
     old = model.aliases(spark, d).where(F.col("created_at_ms") % 3 != 0)
-    new = model.aliases(spark, d).where(F.col("created_at_ms") % 4 != 0).select("alias", F.concat(F.lit("new-"), "canonical_id").alias("canonical_id"), "display_label", F.lit("gate").alias("source"), F.lit(0.45).alias("confidence"), F.lit(NOW).alias("created_at_ms"), F.lit(NOW).alias("updated_at_ms"))
+    new = model.aliases(spark, d).where(F.col("created_at_ms") % 3 != 1).select("alias", F.concat(F.lit("new-"), "canonical_id").alias("canonical_id"), "display_label", F.lit("gate").alias("source"), F.lit(0.45).alias("confidence"), F.lit(NOW).alias("created_at_ms"), F.lit(NOW).alias("updated_at_ms"))
     return quality_gate.upsert_aliases(old, new)
 
 
 def _claims(spark: SparkSession, d: str, new: bool) -> DataFrame:
     o, k = table(spark, d, "orders"), F.col("o_orderkey")
-    rows = o.where(k % 4 != 0) if new else o.where(k % 3 != 0)
+    rows = o.where(k % 3 != 1) if new else o.where(k % 3 != 0)
     tag = "n" if new else "o"
     status = F.when(k % 5 == 0, "active").otherwise("needs_review") if new else F.when(k % 7 == 0, "rejected").otherwise("quarantined")
     return rows.select(
@@ -614,7 +614,7 @@ def upsert_claims(spark: SparkSession, d: str) -> DataFrame:
 def upsert_reviews(spark: SparkSession, d: str) -> DataFrame:
     rows = model.fact_reviews(spark, d).select("fingerprint", "review_id", "cluster_id", "confidence", "reason_code", "status", "created_at_ms")
     key = F.substring("fingerprint", 2, 20).cast("long")
-    new = rows.where(key % 4 != 0).select("fingerprint", F.concat(F.lit("new-"), "review_id").alias("review_id"), F.lit("cl:new").alias("cluster_id"), (F.col("confidence") / 2).alias("confidence"), F.lit("again").alias("reason_code"), F.lit("needs_review").alias("status"), F.lit(NOW).alias("created_at_ms"))
+    new = rows.where(key % 3 != 1).select("fingerprint", F.concat(F.lit("new-"), "review_id").alias("review_id"), F.lit("cl:new").alias("cluster_id"), (F.col("confidence") / 2).alias("confidence"), F.lit("again").alias("reason_code"), F.lit("needs_review").alias("status"), F.lit(NOW).alias("created_at_ms"))
     return quality_gate.upsert_reviews(rows.where(key % 3 != 0), new)
 
 
@@ -622,15 +622,15 @@ def upsert_reviews(spark: SparkSession, d: str) -> DataFrame:
 def upsert_edges(spark: SparkSession, d: str) -> DataFrame:
     every = model.edges(model.triples(spark, d)).select("edge_id", "subject_id", "object_id", "confidence", "evidence_count", F.lit("active").alias("status"), "valid_from_ms")
     e = audit.latest(every, ["edge_id"], "valid_from_ms", "object_id")
-    old = e.select("edge_id", "subject_id", F.lit("old").alias("object_id"), F.lit(0.1).alias("confidence"), F.lit(9).cast("long").alias("evidence_count"), F.lit("superseded").alias("status"), F.lit(1).cast("long").alias("created_at_ms")).where(F.length("edge_id") % 2 == 0)
-    new = e.where(F.length("subject_id") % 2 == 0).select(*e.columns[:6], F.lit(2).cast("long").alias("created_at_ms")).withColumn("confidence", F.round("confidence", 6))
+    old = e.select("edge_id", "subject_id", F.lit("old").alias("object_id"), F.lit(0.1).alias("confidence"), F.lit(9).cast("long").alias("evidence_count"), F.lit("superseded").alias("status"), F.lit(1).cast("long").alias("created_at_ms")).where(F.length("edge_id") % 3 != 0)
+    new = e.where(F.length("edge_id") % 3 != 1).select(*e.columns[:6], F.lit(2).cast("long").alias("created_at_ms")).withColumn("confidence", F.round("confidence", 6))
     return quality_gate.upsert_edges(old, new)
 
 
 @query("w1_upsert_evidence", sql.W1V)
 def upsert_evidence(spark: SparkSession, d: str) -> DataFrame:
     t = audit.latest(model.triples(spark, d).where("status = 'active'"), ["triple_id"], "valid_from_ms", "object_id")
-    old = t.select("triple_id", F.concat(F.lit("v-"), "triple_id").alias("evidence_id"), F.lit(1).cast("long").alias("source_episode_id"), F.lit(1).cast("long").alias("created_at_ms")).where(F.length("triple_id") % 2 == 0)
+    old = t.where("length(triple_id) % 2 = 0 or object_kind <> 'entity'").select("triple_id", F.concat(F.lit("v-"), "triple_id").alias("evidence_id"), F.lit(1).cast("long").alias("source_episode_id"), F.lit(1).cast("long").alias("created_at_ms"))
     new = t.where("object_kind = 'entity'").select("triple_id", F.col("triple_id").alias("evidence_id"), "source_episode_id", F.lit(2).cast("long").alias("created_at_ms"))
     return quality_gate.upsert_evidence(old, new)
 
@@ -639,7 +639,7 @@ def upsert_evidence(spark: SparkSession, d: str) -> DataFrame:
 def entity_status(spark: SparkSession, d: str) -> DataFrame:
     c, k = table(spark, d, "customer"), F.col("c_custkey")
     key = F.concat(F.lit("customer-"), k.cast("string")).alias("entity_id")
-    return quality_gate.entity_states(c.where(k % 3 != 0).select(key, F.when(k % 2 == 0, "candidate").otherwise("merged").alias("status")), c.where(k % 4 != 0).select(key))
+    return quality_gate.entity_states(c.where(k % 3 != 0).select(key, F.when(k % 2 == 0, "candidate").otherwise("merged").alias("status")), c.where(k % 3 != 1).select(key))
 
 
 @query("w2_insert_absent", sql.W2)

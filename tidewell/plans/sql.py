@@ -243,27 +243,27 @@ A4 = f"WITH {EPISODES} SELECT tier, status, count(*) AS n FROM episodes GROUP BY
 S2 = f"WITH {EPISODES} SELECT memory_id, ts_ms, content, tier, status FROM episodes WHERE memory_id = 'ev:17'"
 W1 = f"""WITH b AS (
   SELECT 0 AS age, 'customer-' || c_custkey AS entity_id, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'customer-' || c_custkey END AS name, 0.5::DOUBLE AS confidence, c_custkey * {DAY} AS a, c_custkey * {DAY} AS z FROM customer WHERE c_custkey % 3 <> 0
-  UNION ALL SELECT 1, 'customer-' || c_custkey, 'new ' || c_name, (c_custkey % 10) / 10, c_custkey * {DAY} - 5, c_custkey * {DAY} + 5 FROM customer WHERE c_custkey % 4 <> 0)
+  UNION ALL SELECT 1, 'customer-' || c_custkey, 'new ' || c_name, (c_custkey % 10) / 10, c_custkey * {DAY} - 5, c_custkey * {DAY} + 5 FROM customer WHERE c_custkey % 3 <> 1)
 SELECT entity_id, max(confidence) AS confidence, min(a) AS first_seen_ms, max(z) AS last_seen_ms, coalesce(arg_min(name, age) FILTER (name <> entity_id), entity_id) AS name FROM b GROUP BY entity_id"""
 W2 = "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'new ' || n_name END AS n_name FROM nation"
 W3 = "SELECT o_orderkey, event_id AS source_episode_id FROM orders LEFT JOIN events ON event_id = o_orderkey"
 W4 = f"WITH {EPISODES} SELECT memory_id, tier, status FROM episodes WHERE memory_id NOT IN (SELECT 'ev:' || doc_id FROM labels WHERE quality <> 1)"
 W7 = f"WITH {TRIPLES}, {EDGES}, {_EVIDENCE} SELECT e.edge_id, count(*) AS evidence_count FROM edges e JOIN evidence v ON e.edge_id = v.edge_id GROUP BY e.edge_id"
-W1A = f"""WITH o AS (SELECT * FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT * FROM customer WHERE c_custkey % 4 <> 0)
+W1A = f"""WITH o AS (SELECT * FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT * FROM customer WHERE c_custkey % 3 <> 1)
 SELECT c.c_name AS alias, CASE WHEN n.c_custkey IS NULL THEN '' ELSE 'new-' END || 'customer-' || c.c_custkey AS canonical_id, upper(c.c_name) AS display_label, CASE WHEN o.c_custkey IS NULL THEN 'gate' ELSE 'names' END AS source,
  CASE WHEN n.c_custkey IS NULL THEN (c.c_custkey % 10)::DOUBLE / 10 WHEN o.c_custkey IS NULL THEN 0.45::DOUBLE ELSE greatest((c.c_custkey % 10)::DOUBLE / 10, 0.45::DOUBLE) END AS confidence, CASE WHEN o.c_custkey IS NULL THEN {NOW} ELSE c.c_custkey END AS created_at_ms,
  CASE WHEN n.c_custkey IS NULL THEN c.c_custkey ELSE {NOW} END AS updated_at_ms FROM customer c LEFT JOIN o ON o.c_custkey = c.c_custkey LEFT JOIN n ON n.c_custkey = c.c_custkey WHERE o.c_custkey IS NOT NULL OR n.c_custkey IS NOT NULL"""
-W1C = """WITH k AS (SELECT o_orderkey AS k, o_orderkey % 3 <> 0 AS old, o_orderkey % 4 <> 0 AS new, o_orderkey % 5 = 0 AS act FROM orders)
+W1C = """WITH k AS (SELECT o_orderkey AS k, o_orderkey % 3 <> 0 AS old, o_orderkey % 3 <> 1 AS new, o_orderkey % 5 = 0 AS act FROM orders)
 SELECT 'f' || k AS fingerprint, CASE WHEN old THEN 'o' ELSE 'n' END || k AS claim_id, CASE WHEN k % 2 = 0 THEN CASE WHEN NOT new THEN 'or' || k WHEN act AND old THEN NULL ELSE 'nr' || k END END AS review_id, CASE WHEN new THEN (k % 10)::DOUBLE / 10 ELSE (k % 7)::DOUBLE / 10 END AS quality_score,
  CASE WHEN new AND act THEN 'active' WHEN old AND (NOT new OR k % 7 = 0) THEN CASE WHEN k % 7 = 0 THEN 'rejected' ELSE 'quarantined' END ELSE 'needs_review' END AS status, (CASE WHEN old AND NOT (new AND act) THEN 2 ELSE 1 END)::BIGINT AS evidence_count,
  old AND k % 7 = 0 AS user_approved, (CASE WHEN old THEN 1 ELSE 2 END)::BIGINT AS created_at_ms, (CASE WHEN new AND act THEN 2 END)::BIGINT AS activated_at_ms FROM k WHERE old OR new"""
-W1R = f"""WITH {FACT_REVIEWS} SELECT fingerprint, CASE WHEN k % 3 = 0 THEN 'new-' ELSE '' END || review_id AS review_id, CASE WHEN k % 3 = 0 THEN 'cl:new' ELSE cluster_id END AS cluster_id, CASE WHEN k % 4 <> 0 THEN confidence / 2 ELSE confidence END AS confidence, CASE WHEN k % 4 <> 0 THEN 'again' ELSE reason_code END AS reason_code,
- CASE WHEN k % 3 = 0 THEN 'needs_review' ELSE status END AS status, CASE WHEN k % 3 = 0 THEN {NOW} ELSE created_at_ms END AS created_at_ms FROM fact_reviews WHERE k % 3 <> 0 OR k % 4 <> 0"""
-W1E = f"""WITH {TRIPLES}, {EDGES}, e AS (SELECT *, length(edge_id) % 2 = 0 AS old, length(subject_id) % 2 = 0 AS new FROM edges QUALIFY row_number() OVER (PARTITION BY edge_id ORDER BY valid_from_ms DESC, object_id DESC) = 1)
+W1R = f"""WITH {FACT_REVIEWS} SELECT fingerprint, CASE WHEN k % 3 = 0 THEN 'new-' ELSE '' END || review_id AS review_id, CASE WHEN k % 3 = 0 THEN 'cl:new' ELSE cluster_id END AS cluster_id, CASE WHEN k % 3 <> 1 THEN confidence / 2 ELSE confidence END AS confidence, CASE WHEN k % 3 <> 1 THEN 'again' ELSE reason_code END AS reason_code,
+ CASE WHEN k % 3 = 0 THEN 'needs_review' ELSE status END AS status, CASE WHEN k % 3 = 0 THEN {NOW} ELSE created_at_ms END AS created_at_ms FROM fact_reviews WHERE k % 3 <> 0 OR k % 3 <> 1"""
+W1E = f"""WITH {TRIPLES}, {EDGES}, e AS (SELECT *, length(edge_id) % 3 <> 0 AS old, length(edge_id) % 3 <> 1 AS new FROM edges QUALIFY row_number() OVER (PARTITION BY edge_id ORDER BY valid_from_ms DESC, object_id DESC) = 1)
 SELECT edge_id, subject_id, CASE WHEN new THEN object_id ELSE 'old' END AS object_id, CASE WHEN new THEN round(confidence, 6) ELSE 0.1::DOUBLE END AS confidence, (CASE WHEN old THEN 9 ELSE 1 END)::BIGINT AS evidence_count, CASE WHEN new THEN 'active' ELSE 'superseded' END AS status, (CASE WHEN old THEN 1 ELSE 2 END)::BIGINT AS created_at_ms FROM e WHERE old OR new"""
-W1V = f"""WITH {TRIPLES}, e AS (SELECT *, length(triple_id) % 2 = 0 AS old, object_kind = 'entity' AS new FROM triples WHERE status = 'active' QUALIFY row_number() OVER (PARTITION BY triple_id ORDER BY valid_from_ms DESC, object_id DESC) = 1)
+W1V = f"""WITH {TRIPLES}, e AS (SELECT *, (length(triple_id) % 2 = 0 OR object_kind <> 'entity') AS old, object_kind = 'entity' AS new FROM triples WHERE status = 'active' QUALIFY row_number() OVER (PARTITION BY triple_id ORDER BY valid_from_ms DESC, object_id DESC) = 1)
 SELECT triple_id, CASE WHEN old THEN 'v-' ELSE '' END || triple_id AS evidence_id, CASE WHEN new THEN source_episode_id ELSE 1 END AS source_episode_id, (CASE WHEN new THEN 2 ELSE 1 END)::BIGINT AS created_at_ms FROM e WHERE old OR new"""
-W1S = "SELECT 'customer-' || c_custkey AS entity_id, CASE WHEN c_custkey % 3 = 0 THEN 'active' WHEN c_custkey % 2 = 1 THEN 'merged' WHEN c_custkey % 4 <> 0 THEN 'active' ELSE 'candidate' END AS status FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 4 <> 0"
+W1S = "SELECT 'customer-' || c_custkey AS entity_id, CASE WHEN c_custkey % 3 = 0 THEN 'active' WHEN c_custkey % 2 = 1 THEN 'merged' WHEN c_custkey % 3 <> 1 THEN 'active' ELSE 'candidate' END AS status FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 3 <> 1"
 W8 = f"WITH {EPISODES} SELECT memory_id, CASE WHEN rowid_ IN (1, 2, 17) THEN 'forgotten' ELSE status END AS status, tier FROM episodes"
 
 
