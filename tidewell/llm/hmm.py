@@ -347,48 +347,48 @@ def layouts(lengths: np.ndarray) -> Iterator[tuple[np.ndarray, Layout]]:
 
 
 def forward(seen: np.ndarray, at: Layout, start: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Scaled forward recursion over emissions by token and state: shares of the states, and the scale, of each token."""
-    alpha, scale, ones = np.empty_like(seen), np.empty(len(seen), seen.dtype), np.ones(len(start), seen.dtype)
-    ahead = np.broadcast_to(start, (int(at.live[0]) if len(at.live) else 0, len(start))).astype(seen.dtype)
+    """Scaled forward recursion over emissions by state and token: shares of the states, and the scale, of each token. A state's tokens lie together, so that each step runs along them."""
+    alpha, scale, ones, into = np.empty_like(seen), np.empty(seen.shape[1], seen.dtype), np.ones(len(start), seen.dtype), np.ascontiguousarray(move.T)
+    ahead = np.repeat(start.astype(seen.dtype)[:, None], int(at.live[0]) if len(at.live) else 0, axis=1)
     for b, k in at.slices:
-        now, total = alpha[b : b + k], scale[b : b + k]
-        np.multiply(ahead[:k], seen[b : b + k], out=now)
-        np.matmul(now, ones, out=total)
-        now /= total[:, None]
-        np.matmul(now, move, out=ahead[:k])
+        now, total = alpha[:, b : b + k], scale[b : b + k]
+        np.multiply(ahead[:, :k], seen[:, b : b + k], out=now)
+        np.matmul(ones, now, out=total)
+        now /= total
+        np.matmul(into, now, out=ahead[:, :k])
     return alpha, scale
 
 
 def expected(classes: np.ndarray, lengths: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected counts (starts, moves, emissions by class and state) of texts' sequences, one after another, by the scaled forward-backward recursion over each as a whole."""
     states = len(start)
-    starts, moves, emissions = np.zeros(states), np.zeros((states, states)), np.zeros((len(emit), states))
-    back = np.ascontiguousarray(move.T)
+    starts, moves, emissions = np.zeros(states), np.zeros((states, states)), np.zeros((states, len(emit)))
+    by_state = np.ascontiguousarray(emit.T)
     for _, at in layouts(lengths):
         own = classes[at.token]
-        seen = emit[own]
+        seen = by_state.take(own, axis=1)
         alpha, scale = forward(seen, at, start, move)
-        seen /= scale[:, None]
+        seen /= scale
         beta = np.ones_like(alpha)  # a text's last token keeps it
         for (b, k), (before, _) in zip(at.slices[:0:-1], at.slices[-2::-1], strict=True):
-            ahead = seen[b : b + k]
-            ahead *= beta[b : b + k]
-            np.matmul(ahead, back, out=beta[before : before + k])
+            ahead = seen[:, b : b + k]
+            ahead *= beta[:, b : b + k]
+            np.matmul(move, ahead, out=beta[:, before : before + k])
         first = int(at.live[0]) if len(at.live) else 0
         previous = at.begin[at.step[first:] - 1] + at.text[first:]
-        moves += move * (alpha[previous].T @ seen[first:])
+        moves += move * (alpha.take(previous, axis=1) @ seen[:, first:].T)
         alpha *= beta
-        starts += alpha[:first].sum(0, dtype=np.float64)
+        starts += alpha[:, :first].sum(1, dtype=np.float64)
         for k in range(states):
-            emissions[:, k] += np.bincount(own, weights=alpha[:, k], minlength=len(emit))
-    return starts, moves, emissions
+            emissions[k] += np.bincount(own, weights=alpha[k], minlength=len(emit))
+    return starts, moves, np.ascontiguousarray(emissions.T)
 
 
 def likelihoods(classes: np.ndarray, lengths: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> np.ndarray:
     """log10 likelihood of each sequence by the scaled forward recursion over its whole length."""
-    out = np.zeros(len(lengths))
+    out, by_state = np.zeros(len(lengths)), np.ascontiguousarray(emit.T)
     for texts, at in layouts(lengths):
-        _, scale = forward(emit[classes[at.token]], at, start, move)
+        _, scale = forward(by_state.take(classes[at.token], axis=1), at, start, move)
         out[texts] = np.bincount(at.text, weights=np.log10(scale), minlength=len(texts))
     return out
 
