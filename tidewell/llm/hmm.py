@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -97,7 +98,7 @@ def blocks(docs: DataFrame, buckets: int) -> DataFrame:
             held = np.array([is_held_out(i) for i in ids], bool)
             counts = np.bincount(tokens[~np.repeat(held, lengths)], minlength=len(words))[order].astype(np.int32)
             block, made = (part << 32) | made, made + 1
-            yield _batch([(block, -1, np.array([_NULL_ID if i is None else i for i in ids], np.int64).tobytes(), lengths.tobytes(), zlib.compress(renamed[tokens].tobytes() if len(words) else b"", 1), None, None, held.tobytes(), int(counts.sum()) + int((~held).sum()))], _BLOCK_KINDS, _BLOCK_NAMES)
+            yield _batch([(block, -1, np.array([_NULL_ID if i is None else i for i in ids], np.int64).tobytes(), lengths.tobytes(), zstandard.compress(renamed[tokens].tobytes() if len(words) else b"", 1), None, None, held.tobytes(), int(counts.sum()) + int((~held).sum()))], _BLOCK_KINDS, _BLOCK_NAMES)
             cuts = np.append(np.flatnonzero(np.diff(place[order], prepend=-1)), len(words))
             rows = []
             for b, i, j in zip(place[order][cuts[:-1]].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
@@ -260,7 +261,7 @@ def coded(made: DataFrame, answered: DataFrame, end_count: int, n: int, v: int)
             ids, lengths, tokens, held = body
             lengths = np.frombuffer(lengths, np.int32)
             counts = np.concatenate([np.frombuffer(zlib.decompress(c), np.int64) for c in parts]) if parts else np.empty(0, np.int64)
-            tokens = np.frombuffer(zlib.decompress(tokens), np.int32)
+            tokens = np.frombuffer(zstandard.decompress(tokens), np.int32)
             base = np.log10((counts + 0.1) / denominator)
             starts = np.concatenate([[0], np.cumsum(lengths)])
             by_text = lambda x: np.add.reduceat(np.append(x, 0.0), starts[:-1]) * (lengths > 0)
@@ -268,7 +269,7 @@ def coded(made: DataFrame, answered: DataFrame, end_count: int, n: int, v: int)
             full[np.arange(len(tokens)) + np.repeat(np.arange(len(lengths)), lengths)] = tokens
             known = np.rint(by_text((counts[tokens] > 0).astype(float))).astype(np.int64) + (end_count > 0)
             end = np.log10((end_count + 0.1) / denominator)
-            return (now, -1, ids, (lengths + 1).astype(np.int32).tobytes(), held, zlib.compress(full.tobytes(), 1), (by_text(base[tokens]) + end).tobytes(), known.tobytes(), zlib.compress(counts.tobytes(), 1), None)
+            return (now, -1, ids, (lengths + 1).astype(np.int32).tobytes(), held, zstandard.compress(full.tobytes(), 1), (by_text(base[tokens]) + end).tobytes(), known.tobytes(), zstandard.compress(counts.tobytes(), 1), None)
 
         for batch in sliced(batches, 16):
             rows = []
@@ -513,9 +514,9 @@ def train(table: DataFrame, answered: DataFrame, n: int, v: int, ends: int, stat
         def run(batches, model=(start, move, end, mass)):
             start, move = (x.astype(np.float32) for x in model[:2])
             for (block, _, _, lengths, held, tokens, _, _, totals, _), buckets, split in _read_blocks(batches, states):
-                emit = emissions_of(split, np.frombuffer(zlib.decompress(totals), np.int64), *model[2:]).astype(np.float32)
+                emit = emissions_of(split, np.frombuffer(zstandard.decompress(totals), np.int64), *model[2:]).astype(np.float32)
                 lengths, own = np.frombuffer(lengths, np.int32).astype(np.int64), ~np.frombuffer(held, bool)
-                starts, moves, emissions = expected(np.frombuffer(zlib.decompress(tokens), np.int32)[np.repeat(own, lengths)], lengths[own], start, move, emit)
+                starts, moves, emissions = expected(np.frombuffer(zstandard.decompress(tokens), np.int32)[np.repeat(own, lengths)], lengths[own], start, move, emit)
                 rows = [(block, -1, None, None, np.concatenate([starts, moves.ravel(), emissions[-1], emissions.sum(0)]).tobytes())]
                 counts = np.rint(emissions[:-1].sum(1)).astype(np.int32)
                 shares = (emissions[:-1] / np.maximum(counts, 1)[:, None]).astype(np.float16)
@@ -564,8 +565,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state
         start, move, end, mass = model
         for (_, _, ids, lengths, held, tokens, base, known, totals, _), _, split in _read_blocks(batches, states):
             ids, lengths = np.frombuffer(ids, np.int64), np.frombuffer(lengths, np.int32).astype(np.int64)
-            emit = emissions_of(split, np.frombuffer(zlib.decompress(totals), np.int64), end, mass)
-            found = likelihoods(np.frombuffer(zlib.decompress(tokens), np.int32), lengths, start, move, emit)
+            emit = emissions_of(split, np.frombuffer(zstandard.decompress(totals), np.int64), end, mass)
+            found = likelihoods(np.frombuffer(zstandard.decompress(tokens), np.int32), lengths, start, move, emit)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, mask=ids == _NULL_ID), pa.array(np.frombuffer(held, bool)), pa.array(lengths), pa.array(np.frombuffer(known, np.int64)), pa.array(np.full(len(ids), n, np.int64)), pa.array(np.frombuffer(base, np.float64)), pa.array(found)],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
