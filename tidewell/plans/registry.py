@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import text as X
 from tidewell.functions.hashing import fnv1a64, hash_embedder
-from tidewell.operators import assets, audit, cluster, context, documents, evaluate, extraction, facts, graph, knn, lexical, quality_gate, retrieval, trigrams, vector_index, work_queue
+from tidewell.operators import assets, audit, cluster, context, day_counts, documents, evaluate, extraction, facts, graph, knn, lexical, quality_gate, retrieval, trigrams, vector_index, work_queue
 from tidewell.plans import sql
 from tidewell.sources import model, segments, storage
 from tidewell.sources.tables import table
@@ -316,6 +316,34 @@ def entity_prefix(spark: SparkSession, d: str) -> DataFrame:
     return trigrams.with_prefix(spark, _entity_index(spark, d), "part-1").select("entity_id")
 
 
+def _day_counters(spark: SparkSession, d: str) -> tuple[str, DataFrame]:
+    """Sketches of all clicks by day and kind, from those that arrived on their day, then the late ones, twice; and the rows."""
+    clicks = table(spark, d, "clicks")
+    late = F.coalesce(F.col("arrived_at").cast("date") > F.col("ts").cast("date"), F.lit(False))
+    rows = clicks.select(day_counts.day_of(F.col("ts")).alias("day"), F.col("kind").alias("group"), F.col("client_id").alias("value"), late.alias("late"))
+    path = f"{storage.shared_dir(spark)}/day-counters-{uuid.uuid4().hex}"
+    day_counts.add(spark, path, "on time", rows.where(~F.col("late")))
+    for _ in range(2):
+        day_counts.add(spark, path, "late", rows.where("late"))
+    return path, rows
+
+
+@query("a2_distinct_by_kind", sql.A2K)
+def distinct_by_kind(spark: SparkSession, d: str) -> DataFrame:
+    """Clients by kind over all days from united sketches, beside exact counts."""
+    path, rows = _day_counters(spark, d)
+    exact = rows.groupBy("group").agg(F.countDistinct("value").alias("exact"))
+    return day_counts.held_to(day_counts.counted(day_counts.kept(spark, path), "group"), exact, "group")
+
+
+@query("q17_day_counters", sql.Q17D)
+def day_counters(spark: SparkSession, d: str) -> DataFrame:
+    """Clients by day and kind of two months; other days' sketches aren't read."""
+    path, rows = _day_counters(spark, d)
+    exact = rows.where("day between '2024-02-01' and '2024-03-31'").groupBy("day", "group").agg(F.countDistinct("value").alias("exact"))
+    return day_counts.held_to(day_counts.counted(day_counts.kept(spark, path, "2024-02-01", "2024-03-31"), "day", "group"), exact, "day", "group")
+
+
 @query("o5_entity_refs", sql.O5)
 def entity_refs(spark: SparkSession, d: str) -> DataFrame:
     return facts.entity_refs(model.triples(spark, d)).groupBy("entity_id").agg(F.sum("as_subject").alias("subjects"), F.sum("as_object").alias("objects"))

@@ -140,6 +140,9 @@ FROM refs WHERE lower(entity_id) LIKE '%er-_2%5%' GROUP BY entity_id ORDER BY ma
 S23 = f"WITH {TRIPLES}, {REFS} SELECT DISTINCT entity_id FROM refs WHERE entity_id LIKE 'part-1%'"
 Q13W = "SELECT 'd' || doc_id AS item_id, CASE WHEN doc_id % 9 <> 4 THEN length(coalesce(text, ''))::VARCHAR END AS value, CASE WHEN doc_id % 9 = 4 THEN 3 ELSE 0 END::BIGINT AS attempts FROM documents"
 S19 = f"WITH {EPISODES} SELECT rowid_ AS rowid, ts_ms, principal, source_type FROM episodes"
+A2K = 'SELECT kind AS "group", count(*) AS n, count(DISTINCT client_id) AS exact, true AS within FROM clicks GROUP BY kind'
+Q17D = """SELECT strftime(ts, '%Y-%m-%d') AS day, kind AS "group", count(*) AS n, count(DISTINCT client_id) AS exact, true AS within FROM clicks
+WHERE ts >= DATE '2024-02-01' AND ts < DATE '2024-04-01' GROUP BY ALL"""
 M5 = "SELECT DISTINCT click_id AS entry_id FROM clicks"
 O5 = f"WITH {TRIPLES}, {REFS} SELECT entity_id, sum(s)::BIGINT AS subjects, sum(o)::BIGINT AS objects FROM refs GROUP BY entity_id"
 Q11 = f"""WITH {TRIPLES}, t AS (SELECT * FROM triples WHERE status = 'active')
