@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import text as X
 from tidewell.functions.hashing import fnv1a64, hash_embedder
-from tidewell.operators import assets, audit, cluster, context, day_counts, documents, evaluate, extraction, facts, graph, knn, lexical, quality_gate, retrieval, trigrams, vector_index, work_queue
+from tidewell.operators import assets, audit, cluster, context, day_counts, documents, evaluate, extraction, facts, graph, knn, lexical, quality_gate, replies, retrieval, trigrams, vector_index, work_queue
 from tidewell.plans import sql
 from tidewell.sources import model, segments, storage
 from tidewell.sources.tables import table
@@ -1132,6 +1132,32 @@ def pending_clusters(spark: SparkSession, d: str) -> DataFrame:
     return extraction.pending(model.clusters(spark, d), model.abstractions(spark, d), 1000).select("cluster_id")
 
 
+def _replies(spark: SparkSession, d: str) -> DataFrame:
+    """A reply an order, in the shapes that models reply in, by key."""
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    shapes = [
+        ' {"content": " About order %1$d\\n", "confidence": 0.9, "triples": [{"subject_id": "customer-%2$d", "predicate": "placed", "object_id": "order-%1$d", "object_kind": " Entity "}]} ',
+        'Sure:\n```json\n{"summary": "Order %1$d", "triples": [{"subject": "customer-%2$d", "predicate": "has_priority", "object": "%3$s"}, {"subject": 5, "predicate": "p", "object": "o"}, 3]}\n```\nDone.',
+        '{"project": "Order %1$d", "tasks": ["Ship it", {"title": "Bill %3$s!"}, {"x": 1}, " "], "confidence": 7}',
+        '{"content": "Order %1$d", "triples": []}',
+        "I can't say much about order %1$d.",
+        '{"content": null, "summary": "Order %1$d", "confidence": "0.3", "triples": [{"subject_id": null, "subject": "a", "predicate": "p", "object": "o"}, {"subject": "b", "predicate": "p", "object": "%3$s"}]}',
+        '```\n{"project": "Order %1$d", "triples": [{"subject": "s", "predicate": "p", "object": "o"}, {"subject": "t", "predicate": "p", "object": "o"}]}\n```',
+        '{"tasks": ["Ask %2$d"], "content": 4, "confidence": -1, "triples": [{"subject": "s", "predicate": "p", "object": "o", "object_kind": 1}]}',
+    ]
+    reply = F.lit(None).cast("string")
+    for i, shape in enumerate(shapes):
+        reply = F.when(k % len(shapes) == i, F.format_string(shape, k, "o_custkey", "o_orderpriority")).otherwise(reply)
+    return o.select("o_orderkey", reply.alias("reply"))
+
+
+@query("c19_replies", sql.C19)
+def replies_read(spark: SparkSession, d: str) -> DataFrame:
+    """Content, confidence and facts of all replies; those that can't be read have one row of nulls."""
+    read = _replies(spark, d).select("o_orderkey", replies.coerced(F.col("reply")).alias("r"))
+    return read.select("o_orderkey", "r.content", "r.confidence", F.posexplode_outer("r.triples").alias("place", "t")).select("o_orderkey", "content", "confidence", F.col("place").cast("long").alias("place"), "t.*")
+
+
 @query("q13_work_queue", sql.Q13W)
 def queued_work(spark: SparkSession, d: str) -> DataFrame:
     """Documents' lengths by a client that fails for some: a first driver that is lost after some chunks, a second one, and two more runs; then how each document stands."""

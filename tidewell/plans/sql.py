@@ -140,6 +140,17 @@ FROM refs WHERE lower(entity_id) LIKE '%er-_2%5%' GROUP BY entity_id ORDER BY ma
 S23 = f"WITH {TRIPLES}, {REFS} SELECT DISTINCT entity_id FROM refs WHERE entity_id LIKE 'part-1%'"
 Q13W = "SELECT 'd' || doc_id AS item_id, CASE WHEN doc_id % 9 <> 4 THEN length(coalesce(text, ''))::VARCHAR END AS value, CASE WHEN doc_id % 9 = 4 THEN 3 ELSE 0 END::BIGINT AS attempts FROM documents"
 S19 = f"WITH {EPISODES} SELECT rowid_ AS rowid, ts_ms, principal, source_type FROM episodes"
+C19 = """WITH o AS (SELECT o_orderkey, o_orderkey % 8 AS shape, o_orderkey::VARCHAR AS k, o_custkey::VARCHAR AS c, o_orderpriority AS p FROM orders),
+f AS (SELECT 0 AS shape, 0 AS place UNION ALL SELECT 1, 0 UNION ALL SELECT 2, 0 UNION ALL SELECT 2, 1 UNION ALL SELECT 5, 0 UNION ALL SELECT 6, 0 UNION ALL SELECT 6, 1 UNION ALL SELECT 7, 0)
+SELECT o_orderkey,
+  CASE o.shape WHEN 0 THEN 'About order ' || k WHEN 2 THEN 'Order ' || k || ' has recent work items: Ship it; Bill ' || p || '!.' WHEN 6 THEN 'Recent memories discuss Order ' || k || '.'
+    WHEN 7 THEN 'Recent memories include work items: Ask ' || c || '.' WHEN 1 THEN 'Order ' || k WHEN 5 THEN 'Order ' || k END AS content,
+  CASE o.shape WHEN 0 THEN 0.9 WHEN 2 THEN 1.0 WHEN 7 THEN 0.0 WHEN 1 THEN 0.6 WHEN 5 THEN 0.6 WHEN 6 THEN 0.6 END::DOUBLE AS confidence, place::BIGINT AS place,
+  CASE o.shape WHEN 0 THEN 'customer-' || c WHEN 1 THEN 'customer-' || c WHEN 2 THEN 'order_' || k WHEN 5 THEN 'b' WHEN 6 THEN if(place = 0, 's', 't') WHEN 7 THEN 's' END AS subject_id,
+  CASE o.shape WHEN 0 THEN 'placed' WHEN 1 THEN 'has_priority' WHEN 2 THEN 'has_task' WHEN 5 THEN 'p' WHEN 6 THEN 'p' WHEN 7 THEN 'p' END AS predicate,
+  CASE o.shape WHEN 0 THEN 'order-' || k WHEN 1 THEN p WHEN 2 THEN if(place = 0, 'ship_it', trim(regexp_replace(lower('bill ' || p), '[^a-z0-9]+', '_', 'g'), '_')) WHEN 5 THEN p WHEN 6 THEN 'o' WHEN 7 THEN 'o' END AS object_id,
+  CASE WHEN o.shape = 0 THEN 'entity' WHEN place IS NOT NULL THEN 'literal' END AS object_kind
+FROM o LEFT JOIN f ON o.shape = f.shape"""
 A2K = 'SELECT kind AS "group", count(*) AS n, count(DISTINCT client_id) AS exact, true AS within FROM clicks GROUP BY kind'
 Q17D = """SELECT strftime(ts, '%Y-%m-%d') AS day, kind AS "group", count(*) AS n, count(DISTINCT client_id) AS exact, true AS within FROM clicks
 WHERE ts >= DATE '2024-02-01' AND ts < DATE '2024-04-01' GROUP BY ALL"""
