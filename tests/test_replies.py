@@ -3,7 +3,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from tidewell.operators import replies
 
@@ -35,11 +34,11 @@ def plain(r):
 @pytest.mark.parametrize("wrap", [str, "```json\n{}\n```".format])
 def test_coercion(spark, wrap):
     rows = spark.createDataFrame([(i, wrap(json.dumps(v))) for i, (v, _) in enumerate(CASES)], "id int, reply string")
-    found = {r["id"]: plain(r["r"]) for r in rows.select("id", replies.coerced(F.col("reply")).alias("r")).collect()}
+    found = {r["id"]: plain(r["r"]) for r in replies.coerced(rows, "reply", "r").collect()}
     assert found == {i: want for i, (_, want) in enumerate(CASES)}
 
 
 def test_fences_and_odd_replies(spark):
     rows = spark.createDataFrame([(i, v) for i, (v, _) in enumerate(RAW)], "id int, reply string")
-    found = {r["id"]: plain(r["r"]) for r in rows.select("id", replies.coerced(F.col("reply")).alias("r")).collect()}
+    found = {r["id"]: plain(r["r"]) for r in replies.coerced(rows, "reply", "r").collect()}
     assert found == {i: want for i, (_, want) in enumerate(RAW)}

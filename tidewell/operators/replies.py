@@ -1,4 +1,4 @@
-"""Replies of a model read leniently into content, confidence and facts, as one column expression over VARIANT values.
+"""Replies of a model read leniently into content, confidence and facts, over VARIANT values.
 
 A reply is one JSON object, bare or in a fenced block. Content is `content`, else `summary`, else a sentence from `project` and
 `tasks`; facts are the complete ones of `triples`, else the project's tasks. Only strings count as texts and only numbers as
@@ -7,7 +7,7 @@ confidence. A reply without content or facts is null, as are null and empty ones
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Confidence of a reply that has none, tasks named in a sentence, tasks made facts, and how long their ids may be.
@@ -73,6 +73,8 @@ def fenced(reply: Column) -> Column:
     return F.when(F.instr(body, "```") > 0, F.substring_index(body, "```", 1))
 
 
-def coerced(reply: Column) -> Column:
-    """(content, confidence, triples) of a reply, or null."""
-    return F.coalesce(_coerced(F.try_parse_json(reply)), _coerced(F.try_parse_json(fenced(reply))))
+def coerced(rows: DataFrame, reply: str, out: str) -> DataFrame:
+    """rows with (content, confidence, triples) of each reply, or null, in column `out`. A reply is parsed once: parsed values are columns, which Catalyst doesn't inline where they are used often."""
+    bare, block = f"__{out}_bare", f"__{out}_block"
+    parsed = rows.select("*", F.try_parse_json(reply).alias(bare), F.try_parse_json(fenced(F.col(reply))).alias(block))
+    return parsed.select(*[F.col(f"`{c}`") for c in rows.columns], F.coalesce(_coerced(F.col(bare)), _coerced(F.col(block))).alias(out))

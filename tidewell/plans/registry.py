@@ -1154,7 +1154,7 @@ def _replies(spark: SparkSession, d: str) -> DataFrame:
 @query("c19_replies", sql.C19)
 def replies_read(spark: SparkSession, d: str) -> DataFrame:
     """Content, confidence and facts of all replies; those that can't be read have one row of nulls."""
-    read = _replies(spark, d).select("o_orderkey", replies.coerced(F.col("reply")).alias("r"))
+    read = replies.coerced(_replies(spark, d), "reply", "r")
     return read.select("o_orderkey", "r.content", "r.confidence", F.posexplode_outer("r.triples").alias("place", "t")).select("o_orderkey", "content", "confidence", F.col("place").cast("long").alias("place"), "t.*")
 
 
