@@ -60,6 +60,29 @@ def test_knn_blocks(spark, monkeypatch):
     assert knn.nearest_each(rows, rows.limit(0), 4).count() == 0
 
 
+def test_nearest_rows_take_bounded_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    v = knn._unit(np.round(r.normal(size=(20_000, 8)), 1))
+    v[10_000:12_000] = v[:2000]  # equal distances, settled by id
+    ids = r.permutation(len(v)) * 3
+    best = knn.KNearest(ids[:2048], v[:2048], 3)
+    tracemalloc.start()
+    for a in range(0, len(v), 10_000):
+        best.add(ids[a : a + 10_000], v[a : a + 10_000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6, peak  # one batch against all queries at once takes 164 MB a matrix
+    for q in range(0, 2048, 97):
+        far = np.round(1 - np.clip(v[q] @ v.T, -1, 1), 6)
+        far[q] = np.inf
+        order = np.lexsort((ids, far))[:3]
+        assert best.id[best.at == q].tolist() == ids[order].tolist() and best.far[best.at == q].tolist() == far[order].tolist()
+
+
 def test_lexical(spark):
     docs = spark.createDataFrame([(1, "Cats and dogs"), (2, "cat cat CAT"), (3, None), (4, "nothing")], "id long, text string")
     assert [r["id"] for r in lexical.best(docs, "cat", "id", "text", 5).collect()] == [2]
@@ -135,6 +158,27 @@ def test_clusters(spark, monkeypatch):
     assert {r["id"] for r in cluster.unclustered(rows, m).collect()} == {5, 6}
 
 
+def test_similar_links_keep_components_in_bounded_memory(spark, monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+
+    r = np.random.default_rng(6)
+    v = [r.normal(size=3).tolist() for _ in range(60)]
+    rows = spark.createDataFrame([(i, i % 2, e) for i, e in enumerate(v)] + [(99, 0, None)], "id long, day long, embedding array<double>")
+    monkeypatch.setattr(cluster, "BLOCK", 7)
+    for threshold in (0.8, 0.95, 0.99):
+        pairs, links = cluster.similar_pairs(rows, threshold), cluster.similar_links(rows, threshold)
+        assert {tuple(x) for x in links.collect()} <= {tuple(x)[:2] for x in pairs.collect()}
+        assert sorted(map(tuple, cluster.components(links).collect())) == sorted(map(tuple, cluster.components(pairs).collect()))
+    near = np.ones((4096, 4)) / 2  # copies: all pairs are similar
+    tracemalloc.start()
+    a, _ = cluster._forest(4096, cluster._near(near, np.arange(4096), np.arange(4096) % 2, True, 0.5))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(a) == 4095 and peak < 60e6, peak  # a block's matrix alone takes 134 MB
+
+
 def test_chunks(spark):
     assert documents.chunk("") == [] and documents.chunk("x" * 3003) == [(0, 3003)]
     for text in ("wörter. " * 900, "a" * 9000, "\n\n".join("para graph. " * 40 for _ in range(20)), "x" * 2990 + "\n\n" + "y" * 9000):

@@ -12,6 +12,48 @@ from tidewell.functions.vectors import cosine
 
 #: Query vectors that one pass compares with all rows.
 QUERY_BLOCK = 2048
+#: Queries and rows whose distances a task holds at a time.
+TILE_QUERIES, TILE_ROWS = 256, 2048
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+
+class KNearest:
+    """The k nearest rows of each query (ids, unit vectors) so far, by distance, then id; memory grows with k and the queries, not with the rows."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int):
+        self.ids, self.q, self.k = ids, q, k
+        self.at, self.far, self.id = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
+        self.worst = np.full(len(ids), np.inf)  # of queries with k rows, the farthest of these
+
+    def add(self, own: np.ndarray, v: np.ndarray) -> None:
+        for r in range(0, len(own), TILE_ROWS):
+            rows, at, far, ids = own[r : r + TILE_ROWS], [self.at], [self.far], [self.id]
+            near = v[r : r + TILE_ROWS].T
+            for a in range(0, len(self.ids), TILE_QUERIES):
+                d = self.q[a : a + TILE_QUERIES] @ near
+                np.clip(d, -1, 1, out=d)
+                np.subtract(1, d, out=d)
+                np.round(d, 6, out=d)
+                d[self.ids[a : a + TILE_QUERIES, None] == rows[None, :]] = np.inf
+                bound = self.worst[a : a + TILE_QUERIES]
+                if d.shape[1] > self.k:
+                    bound = np.minimum(bound, np.partition(d, self.k - 1, axis=1)[:, self.k - 1])
+                i, j = np.nonzero((d <= bound[:, None]) & np.isfinite(d))
+                at.append(i + a), far.append(d[i, j]), ids.append(rows[j])
+            self._best(np.concatenate(at), np.concatenate(far), np.concatenate(ids))
+
+    def _best(self, at: np.ndarray, far: np.ndarray, ids: np.ndarray) -> None:
+        order = np.lexsort((ids, far, at))
+        at, far, ids = at[order], far[order], ids[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        last = place == self.k - 1
+        self.worst[at[last]] = far[last]
+        kept = place < self.k
+        self.at, self.far, self.id = at[kept], far[kept], ids[kept]
 
 
 def nearest(rows: DataFrame, query: list[float], k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -24,13 +66,13 @@ def nearest(rows: DataFrame, query: list[float], k: int, id_col: str = "vec_id",
 def nearest_each(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, neighbour_id, distance, rank): the k nearest other rows of each query row.
 
-    Queries come in blocks of QUERY_BLOCK; each task compares its rows with a block by matrix products and
+    Queries come in blocks of QUERY_BLOCK; each task compares its rows with a block by small matrix products and
     passes on k rows a query at most, which a second step merges. Rows out grow with the queries.
     """
     spark = rows.sparkSession
     kind = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("neighbour_id", T.LongType()), T.StructField("distance", T.DoubleType())])
     found: DataFrame | None = None
-    source = rows.select(F.col(id_col).cast("long"), F.col(vec_col))
+    source = rows.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(vec_col))
 
     def passes():
         block = []
@@ -42,27 +84,16 @@ def nearest_each(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec
         if block:
             yield block
 
-    def unit(m: np.ndarray) -> np.ndarray:
-        norm = np.linalg.norm(m, axis=1, keepdims=True)
-        return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-
     for block in passes():
         shared = spark.sparkContext.broadcast(([r[0] for r in block], np.array([r[1] for r in block], np.float64)))
 
         def run(batches, shared=shared):
-            ids, q = np.array(shared.value[0], np.int64), unit(shared.value[1])
-            best_id, best = np.empty((len(ids), 0), np.int64), np.empty((len(ids), 0))
+            best = KNearest(np.array(shared.value[0], np.int64), _unit(shared.value[1]), k)
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                own, v = batch.column(0).to_numpy(), unit(np.array(batch.column(1).to_pylist(), np.float64))
-                far = np.round(1 - np.clip(q @ v.T, -1, 1), 6)
-                far[ids[:, None] == own[None, :]] = np.inf
-                best, best_id = np.concatenate([best, far], 1), np.concatenate([best_id, np.broadcast_to(own, far.shape)], 1)
-                order = np.lexsort((best_id, best), axis=1)[:, :k]
-                best, best_id = np.take_along_axis(best, order, 1), np.take_along_axis(best_id, order, 1)
-            keep = np.isfinite(best)
-            yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], best.shape)[keep]), pa.array(best_id[keep]), pa.array(best[keep])], names=kind.names)
+                if batch.num_rows:
+                    own, v = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                    best.add(own, _unit(v.reshape(len(own), -1)))
+            yield pa.RecordBatch.from_arrays([pa.array(best.ids[best.at]), pa.array(best.id), pa.array(best.far)], names=kind.names)
 
         part = source.mapInArrow(run, kind)
         found = part if found is None else found.unionByName(part)
