@@ -179,6 +179,27 @@ def test_similar_links_keep_components_in_bounded_memory(spark, monkeypatch):
     assert len(a) == 4095 and peak < 60e6, peak  # a block's matrix alone takes 134 MB
 
 
+def test_rows_without_a_key_are_spread(spark):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    for k, v in zip(old, ("-1", "false"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        live = spark.range(4000).selectExpr("concat('t', id) triple_id", "'active' status", "if(id % 10 = 0, id % 30, null) source_episode_id", "'c' cluster_id", "0.5D confidence")
+        made = graph.backfill_evidence(live, spark.createDataFrame([(0, "ev:0"), (10, "ev:10"), (11, "ev:11")], "rowid long, memory_id string"))
+        assert "SortMergeJoin" not in made._jdf.queryExecution().executedPlan().toString()
+        assert {tuple(r): r["count"] for r in made.groupBy("memory_id", "source_episode_id").count().collect()} == {(None, None, 3600): 3600, ("ev:0", 0, 134): 134, ("ev:10", 10, 133): 133, (None, 20, 133): 133}
+        rows = spark.range(4000).selectExpr("concat('at:', id) attachment_id", "concat('ev:', id) memory_id", "if(id % 50 = 0, id, null) doc_id", "if(id % 50 <> 0, id, null) asset_id")
+        met = assets.attachments(rows, spark.range(4000).selectExpr("concat('ev:', id) memory_id", "id ts_ms"), spark.range(2000).selectExpr("id doc_id", "concat('s', id) source"), spark.range(3000).selectExpr("id asset_id", "concat('h', id) sha256"))
+        docs = rows.withColumn("asset_id", F.lit(None).cast("long")).withColumn("doc_id", F.lit(None).cast("long"))
+        bare = assets.attachments(docs, spark.range(4000).selectExpr("concat('ev:', id) memory_id", "id ts_ms"), spark.range(9).selectExpr("id doc_id", "'s' source"), spark.range(9).selectExpr("id asset_id", "'h' sha256"))
+        assert max(r["count"] for r in bare.groupBy(F.spark_partition_id()).count().collect()) < 2000 and bare.count() == 4000
+        told = {r["attachment_id"]: (r["doc_id"], r["source"], r["asset_id"], r["sha256"]) for r in met.collect()}
+        assert len(told) == 4000 and told["at:50"] == (50, "s50", None, None) and told["at:51"] == (None, None, 51, "h51") and told["at:2050"] == (2050, None, None, None) and told["at:3999"] == (None, None, 3999, None)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_chunks(spark):
     assert documents.chunk("") == [] and documents.chunk("x" * 3003) == [(0, 3003)]
     for text in ("wörter. " * 900, "a" * 9000, "\n\n".join("para graph. " * 40 for _ in range(20)), "x" * 2990 + "\n\n" + "y" * 9000):

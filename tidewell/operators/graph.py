@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.operators.facts import active, as_of, page
+from tidewell.sources.storage import keep, spread_join
 
 
 def edge_score() -> Column:
@@ -155,9 +156,19 @@ def backfill_edges(facts: DataFrame) -> DataFrame:
     )
 
 
+#: Episodes that facts name, up to which they are broadcast.
+MOST_NAMED = 1_000_000
+
+
 def backfill_evidence(facts: DataFrame, episodes: DataFrame) -> DataFrame:
-    """Evidence of every active fact, with the memory its source row names, if it is there."""
-    rows = active(facts).join(episodes.select(F.col("rowid").alias("source_episode_id"), "memory_id"), "source_episode_id", "left")
+    """Evidence of every active fact, with the memory its source row names, if it is there.
+
+    Facts move to no task by their source, as many have none or the same: the episodes that facts name go to them.
+    """
+    live = active(facts)
+    sources = live.where("source_episode_id is not null").select("source_episode_id").distinct()
+    named = keep(episodes.select(F.col("rowid").alias("source_episode_id"), "memory_id").join(sources, "source_episode_id", "left_semi"), "evidence-sources")
+    rows = spread_join(live, named, "source_episode_id", named.count(), MOST_NAMED)
     return rows.select(F.col("triple_id").alias("evidence_id"), F.col("triple_id").alias("edge_id"), "memory_id", "source_episode_id", "cluster_id", F.round("confidence", 6).alias("extraction_confidence"))
 
 
