@@ -41,9 +41,17 @@ def inspect(asset_id, assets: DataFrame, extractions: DataFrame, links: DataFram
     return out
 
 
+def _own_key(key: str, row: str) -> Column:
+    """key as text; where it is null, one of the row's own that no key equals, so that rows without a key don't meet in one task."""
+    return F.coalesce(F.col(key).cast("string"), F.concat(F.lit("none:"), F.xxhash64(row).cast("string")))
+
+
 def attachments(rows: DataFrame, episodes: DataFrame, documents: DataFrame, assets: DataFrame) -> DataFrame:
-    """Attachments of episodes: to a document or to an asset."""
-    found = rows.join(episodes.select("memory_id", "ts_ms"), "memory_id").join(documents.select("doc_id", "source"), "doc_id", "left").join(assets.select("asset_id", "sha256"), "asset_id", "left")
+    """Attachments of episodes: to a document or to an asset (ids are numbers)."""
+    found = rows.join(episodes.select("memory_id", "ts_ms"), "memory_id")
+    for key, own in (("doc_id", documents.select("doc_id", "source")), ("asset_id", assets.select("asset_id", "sha256"))):
+        keyed = own.where(F.col(key).isNotNull()).withColumn("__key", F.col(key).cast("string")).drop(key)
+        found = found.withColumn("__key", _own_key(key, "attachment_id")).join(keyed, "__key", "left").drop("__key")
     return found.select("attachment_id", "memory_id", "ts_ms", "doc_id", "source", "asset_id", "sha256")
 
 
