@@ -200,6 +200,13 @@ def test_rows_without_a_key_are_spread(spark):
             spark.conf.set(k, v)
 
 
+def test_latest_deals_rows_before_it_sorts_them(spark):
+    rows = spark.range(5000).selectExpr("if(id < 4000, 'hot', concat('k', id % 10)) k", "id created_at_ms", "concat('o', id) op_id")
+    made = audit.latest(rows, ["k"])
+    assert "REPARTITION_BY_COL" in made._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in made.collect()} == {("hot", 3999, "o3999")} | {(f"k{i}", 4990 + i, f"o{4990 + i}") for i in range(10)}
+
+
 def test_chunks(spark):
     assert documents.chunk("") == [] and documents.chunk("x" * 3003) == [(0, 3003)]
     for text in ("wörter. " * 900, "a" * 9000, "\n\n".join("para graph. " * 40 for _ in range(20)), "x" * 2990 + "\n\n" + "y" * 9000):

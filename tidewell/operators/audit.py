@@ -88,9 +88,13 @@ def purge_outbox(outbox: DataFrame, done: DataFrame, episodes: DataFrame, chunks
 
 
 def latest(rows: DataFrame, keys: list[str], time_col: str = "created_at_ms", id_col: str = "op_id") -> DataFrame:
-    """The newest row of each key, the largest id among those of one time."""
+    """The newest row of each key, the largest id among those of one time.
+
+    Rows are dealt by key before they are sorted by it, so that a task sorts its share of a shuffle, not all of a file's
+    part; a key of very many rows goes to several tasks.
+    """
     others = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct(time_col, id_col)).alias("v")).select(*keys, *[F.col(f"v.{c}").alias(c) for c in others])
+    return rows.repartition(*keys, F.pmod(F.xxhash64(*others), F.lit(4))).groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct(time_col, id_col)).alias("v")).select(*keys, *[F.col(f"v.{c}").alias(c) for c in others])
 
 
 def export(events: DataFrame, path: str, form: str = "json") -> int:
