@@ -237,8 +237,9 @@ _ACCENTED, _BARE = _accents()
 
 
 def folded(text: Column) -> Column:
-    """Lower case, Latin letters without diacritics."""
-    return F.translate(F.lower(text), _ACCENTED, _BARE)
+    """Lower case, Latin letters without diacritics. Only texts that aren't ASCII are translated, which takes an object a letter."""
+    lower = F.lower(text)
+    return F.when(F.octet_length(lower) == F.char_length(lower), lower).otherwise(F.translate(lower, _ACCENTED, _BARE))
 
 
 def query_terms(query: str, most: int = 8) -> list[str]:
@@ -254,7 +255,7 @@ def query_terms(query: str, most: int = 8) -> list[str]:
 
 def words(text: Column) -> Column:
     """Folded runs of letters and digits."""
-    return F.filter(F.split(folded(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(folded(text), r"[^\p{L}\p{N}]+"), "")
 
 
 def day_bucket(ms: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions.stemmer import stem, stem_udf
-from tidewell.functions.text import query_terms, words
+from tidewell.functions.text import any_of, query_terms, words
 from tidewell.sources.segments import Store, pending
 from tidewell.sources.segments import drift as segments_drift
 from tidewell.sources.storage import keep
@@ -146,14 +146,28 @@ def matches(docs: DataFrame, query: str, id_col: str, text_col: str, stemmed: bo
         return docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).limit(0)
     said = docs.select(F.col(id_col).alias("id"), F.explode_outer(words(F.col(text_col))).alias("word"))
     if stemmed:
-        distinct = said.select("word").distinct().withColumn("term", stem_udf("word")).where(F.col("term").isin(terms))
-        said = said.join(distinct, "word", "left").withColumn("word", F.when(F.col("word").isNotNull(), F.coalesce("term", F.lit(""))))
-    tf = keep(said.groupBy("id").agg(F.count("word").alias("size"), *[F.count_if(F.col("word") == t).alias(f"t{i}") for i, t in enumerate(terms)]), "lexical-counts")
+        tf = _stemmed_counts(said, terms)
+    else:
+        tf = said.groupBy("id").agg(F.count("word").alias("size"), *[F.count_if(F.col("word") == t).alias(f"t{i}") for i, t in enumerate(terms)])
+    tf = keep(tf, "lexical-counts")
     n = range(len(terms))
     totals = tf.agg(F.count("*").cast("double").alias("n"), F.avg("size").alias("average"), *[F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for i in n])
     held = tf.where(F.greatest(*[F.col(f"t{i}") for i in n], F.lit(0)) > 0).join(F.broadcast(totals))  # totals: one row
     return _bm25(held, len(terms))
 
 
+def _stemmed_counts(said: DataFrame, terms: list[str]) -> DataFrame:
+    """(id, size, t0..): of rows (id, word), how many words of an id have each stem.
+
+    A word begins as its stem does up to the last two letters, so only words that begin like a term leave a document by
+    themselves, the others as a number. What is left of them is stemmed once a distinct word; few words have one stem.
+    """
+    near = any_of([F.col("word").startswith(t[:-2]) for t in terms])
+    forms = keep(said.groupBy("id", F.when(near, F.col("word")).alias("form")).agg(F.count("word").alias("n")), "lexical-forms")
+    stems = keep(forms.where("form is not null").select("form").distinct().withColumn("term", stem_udf("form")), "lexical-stems")  # kept, as a filter would go below distinct() with the stemmer
+    met = forms.join(F.broadcast(stems.where(F.col("term").isin(terms))), "form", "left")
+    return met.groupBy("id").agg(F.sum("n").alias("size"), *[F.sum(F.when(F.col("term") == t, F.col("n")).otherwise(0)).alias(f"t{i}") for i, t in enumerate(terms)])
+
+
 def best(docs: DataFrame, query: str, id_col: str, text_col: str, limit: int, stemmed: bool = False) -> DataFrame:
     return matches(docs, query, id_col, text_col, stemmed).orderBy("score", "id").limit(limit)
