@@ -2,36 +2,112 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import functools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions.stemmer import stem, stem_udf
 from tidewell.functions.text import any_of, query_terms, words
-from tidewell.sources.segments import Store, pending
+from tidewell.sources.segments import MOST_DEAD, Store, pending
 from tidewell.sources.segments import drift as segments_drift
 from tidewell.sources.storage import keep
 
 K1, B = 1.2, 0.75
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str, stemmed: bool = False) -> DataFrame:
-    """(term, id, tf, size): how often each document holds each term, and its number of words. Stemming works on distinct words."""
+#: Words of which postings are made at a time in a task.
+BLOCK_WORDS = 2_000_000
+
+
+def _blocks(docs: DataFrame, id_col: str, text_col: str, stemmed: bool) -> DataFrame:
+    """Postings by block of neighbouring docs: a row (term, ids, tfs, sizes) for each term of a block, and one without term and tfs for all its docs.
+
+    Words are counted where their text is read, so that lists of numbers are shuffled, not words.
+    """
     said = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
-    counts = said.select("id", F.size("w").alias("size"), F.explode("w").alias("term")).groupBy("id", "size", "term").agg(F.count("*").alias("tf"))
-    if not stemmed:
-        return counts.select("term", "id", "tf", "size")
-    stems = counts.select("term").distinct().withColumn("stem", stem_udf("term"))
-    return counts.join(stems, "term").groupBy("id", "size", "stem").agg(F.sum("tf").alias("tf")).select(F.col("stem").alias("term"), "id", "tf", "size")
+    return said.mapInArrow(functools.partial(_block_rows, stemmed), f"term string, ids array<{_kind(docs, id_col)}>, tfs array<int>, sizes array<int>")
+
+
+def _kind(docs: DataFrame, id_col: str) -> str:
+    return docs.select(id_col).schema[0].dataType.simpleString()
+
+
+def _block_rows(stemmed: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes = pc.fill_null(pc.list_value_length(batch["w"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        place = (np.cumsum(sizes) - sizes) // BLOCK_WORDS
+        cuts = [0, *(np.flatnonzero(np.diff(place)) + 1), len(sizes)]
+        for begin, end in zip(cuts, cuts[1:], strict=False):
+            if end > begin:
+                yield from _block(batch["id"][begin:end], batch["w"][begin:end], sizes[begin:end], stemmed)
+
+
+def _block(ids: pa.Array, texts: pa.Array, sizes: np.ndarray, stemmed: bool) -> Iterator[pa.RecordBatch]:
+    """The rows of one block: occurrences sorted by term and doc, as numbers, and counted by runs."""
+    n, coded = len(ids), pc.list_flatten(texts).dictionary_encode()
+    terms, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    if stemmed:
+        stems = pa.array([stem(t) for t in terms.to_pylist()], pa.string()).dictionary_encode()
+        terms, code = stems.dictionary, stems.indices.to_numpy().astype(np.int64)[code]
+    key = np.sort(code * n + np.repeat(np.arange(n), sizes))
+    begins = np.flatnonzero(np.diff(key, prepend=-1))
+    code, at = np.divmod(key[begins], n)
+    offsets = np.searchsorted(code, np.arange(len(terms) + 1))
+    names = ["term", "ids", "tfs", "sizes"]
+    sizes = sizes.astype(np.int32)
+    lists = [_lists(offsets, ids.take(pa.array(at))), _lists(offsets, np.diff(begins, append=len(key)).astype(np.int32)), _lists(offsets, sizes[at])]
+    yield pa.RecordBatch.from_arrays([terms, *lists], names)
+    yield pa.RecordBatch.from_arrays([pa.nulls(1, terms.type), _lists([0, n], ids), pa.nulls(1, lists[1].type), _lists([0, n], sizes)], names)
+
+
+def _lists(offsets, values) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values) if isinstance(values, np.ndarray) else values)
 
 
-def _postings_segment(docs: DataFrame, id_col: str, text_col: str, stemmed: bool, buckets: int, seq: int, parts: int) -> DataFrame:
-    found = postings(docs, id_col, text_col, stemmed).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    return found.withColumn("seq", F.lit(seq).cast("long")).repartition(parts, "bucket").sortWithinPartitions("bucket", "term", "id")
+def _unpacked(blocks: DataFrame, *others: str) -> DataFrame:
+    """(others, id, tf, size): a row a posting."""
+    rows = blocks.select(*others, F.explode(F.arrays_zip("ids", "tfs", "sizes")).alias("p"))
+    return rows.select(*others, F.col("p.ids").alias("id"), F.col("p.tfs").alias("tf"), F.col("p.sizes").alias("size"))
 
 
-def _sizes(docs: DataFrame, id_col: str, text_col: str, seq: int) -> DataFrame:
-    """(id, size, seq); a null text is an empty one."""
-    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.size(words(F.col(text_col))), F.lit(0)).cast("long").alias("size"), F.lit(seq).cast("long").alias("seq"))
+def postings(docs: DataFrame, id_col: str, text_col: str, stemmed: bool = False) -> DataFrame:
+    """(term, id, tf, size): how often each document (distinct ids) holds each term, and its number of words. Stemming works on distinct words."""
+    return _unpacked(_blocks(docs, id_col, text_col, stemmed).where("term is not null"), "term")
+
+
+#: The bucket of rows without a term.
+NO_TERM = -1
+
+
+def _bucket(buckets: int) -> Column:
+    return F.when(F.col("term").isNull(), NO_TERM).otherwise(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+
+
+def _write_postings(store: Store, blocks: DataFrame) -> str:
+    """A segment of (bucket, term, ids, tfs, sizes, seq) in folders by bucket, files sorted by term. A bucket takes as many tasks as its size needs."""
+    return store.write(blocks.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term"), "postings", "bucket")
+
+
+def _write_docs(store: Store, docs: DataFrame, id_col: str, text_col: str, stemmed: bool, buckets: int, seq: int) -> tuple[str, str]:
+    """Segments of the docs' postings and of their sizes (id, size, seq); a null text is an empty one. Texts are read once: sizes come from the folder of NO_TERM."""
+    blocks = _blocks(docs, id_col, text_col, stemmed).select(_bucket(buckets).alias("bucket"), "term", "ids", "tfs", "sizes", F.lit(seq).cast("long").alias("seq"))
+    held = _write_postings(store, blocks)
+    each = store.table({"segments": {"postings": [held]}}, "postings", _columns(_kind(docs, id_col))).where(F.col("bucket") == NO_TERM).select(F.explode(F.arrays_zip("ids", "sizes")).alias("d"), "seq")
+    return held, store.write(each.select(F.col("d.ids").alias("id"), F.col("d.sizes").cast("long").alias("size"), "seq"), "docs")
+
+
+def _columns(kind: str) -> str:
+    return f"term string, ids array<{kind}>, tfs array<int>, sizes array<int>, seq long, bucket int"
+
+
+def _postings_of(store: Store, manifest: dict) -> DataFrame:
+    """Postings by block of all segments; one of no docs has no file to tell its columns."""
+    return store.table(manifest, "postings", _columns(manifest["id_type"])).where(F.col("bucket") != NO_TERM)
 
 
 def save_index(docs: DataFrame, path: str, id_col: str, text_col: str, stemmed: bool = False, buckets: int = 64) -> dict:
@@ -39,9 +115,8 @@ def save_index(docs: DataFrame, path: str, id_col: str, text_col: str, stemmed:
     store = Store(docs.sparkSession, path)
     before = store.latest()
     seq = before["seq"] + 1 if before else 0
-    held = store.write(_postings_segment(docs, id_col, text_col, stemmed, buckets, seq, buckets), "postings", "bucket")
-    sizes = store.write(_sizes(docs, id_col, text_col, seq), "docs")
-    manifest = {"seq": seq, "stemmed": stemmed, "buckets": buckets, "applied": before["applied"] if before else -1, "n_dead": 0, "segments": {"postings": [held], "docs": [sizes]}}
+    held, sizes = _write_docs(store, docs, id_col, text_col, stemmed, buckets, seq)
+    manifest = {"seq": seq, "stemmed": stemmed, "buckets": buckets, "id_type": _kind(docs, id_col), "applied": before["applied"] if before else -1, "n_dead": 0, "segments": {"postings": [held], "docs": [sizes]}}
     n, total = store.table(manifest, "docs").agg(F.count("*"), F.sum("size")).first()
     return store.publish({**manifest, "n": n, "words": total or 0}, before)
 
@@ -53,10 +128,9 @@ def update_index(spark: SparkSession, path: str, changed: DataFrame, gone: DataF
     if before is None:
         raise LookupError(f"no index in {path}")
     seq = before["seq"] + 1
-    ids = changed.select(F.col(id_col).alias("id")).unionByName(gone.select(F.col(id_col).alias("id"))).distinct()
+    held, sizes = _write_docs(store, changed, id_col, text_col, before["stemmed"], before["buckets"], seq)
+    ids = spark.read.parquet(f"{path}/{sizes}").select("id").unionByName(gone.select(F.col(id_col).alias("id"))).distinct()
     dead = store.write(ids.withColumn("seq", F.lit(seq).cast("long")), "dead")
-    held = store.write(_postings_segment(changed, id_col, text_col, before["stemmed"], before["buckets"], seq, 1 if changed.isEmpty() else min(before["buckets"], 8)), "postings", "bucket")
-    sizes = store.write(_sizes(changed, id_col, text_col, seq), "docs")
     lost = store.alive(store.table(before, "docs"), before).join(spark.read.parquet(f"{path}/{dead}").select("id"), "id", "left_semi").agg(F.count("*"), F.sum("size")).first()
     new = spark.read.parquet(f"{path}/{sizes}").agg(F.count("*"), F.sum("size")).first()
     segments = {kind: [*before["segments"].get(kind, []), own] for kind, own in (("postings", held), ("docs", sizes), ("dead", dead))}
@@ -75,18 +149,34 @@ def replay_outbox(spark: SparkSession, path: str, outbox: DataFrame, docs: DataF
     last, applied, n = pending(outbox, before["applied"])
     if not n:
         return 0
-    changed = docs.join(last.where("op = 'upsert'").select(F.col("id").alias(id_col)), id_col, "left_semi")
+    wanted = last.where("op = 'upsert'").select(F.col("id").alias(id_col))
+    changed = docs.join(F.broadcast(wanted) if n <= MOST_DEAD else wanted, id_col, "left_semi")  # texts stay where they are if they can
     gone = last.select(F.col("id").alias(id_col)).join(changed.select(id_col), id_col, "left_anti")
     update_index(spark, path, changed, gone, id_col, text_col, applied)
     return n
 
 
+def _packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Neighbouring postings of one term and change as lists."""
+    for batch in batches:
+        if n := batch.num_rows:
+            other = np.zeros(n - 1, bool)
+            for c in ("bucket", "term", "seq"):
+                other |= pc.not_equal(batch[c][1:], batch[c][:-1]).to_numpy(zero_copy_only=False)
+            begins = np.flatnonzero(np.concatenate(([True], other)))
+            offsets, first = np.append(begins, n), pa.array(begins)
+            yield pa.RecordBatch.from_arrays([*(batch[c].take(first) for c in ("bucket", "term", "seq")), *(_lists(offsets, batch[c]) for c in ("id", "tf", "size"))], ["bucket", "term", "seq", "ids", "tfs", "sizes"])
+
+
 def compact_index(spark: SparkSession, path: str) -> dict:
     """All live rows as one new base; the version before stays readable until vacuum()."""
     store = Store(spark, path)
     before = store.latest()
-    live = store.alive(store.table(before, "postings"), before)
-    held = store.write(live.repartition(before["buckets"], "bucket").sortWithinPartitions("bucket", "term", "id"), "postings", "bucket")
+    live = store.alive(_unpacked(_postings_of(store, before), "bucket", "term", "seq"), before)
+    if before["n_dead"] > MOST_DEAD:  # the join has dealt them by id
+        live = live.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "seq", "id")
+    packed = live.mapInArrow(_packed_rows, "bucket int, term string, seq long, ids array<{0}>, tfs array<int>, sizes array<int>".format(before["id_type"]))
+    held = _write_postings(store, packed)
     sizes = store.write(store.alive(store.table(before, "docs"), before), "docs")
     return store.publish({**before, "segments": {"postings": [held], "docs": [sizes]}, "n_dead": 0}, before)
 
@@ -100,8 +190,8 @@ def search_index(spark: SparkSession, path: str, query: str, limit: int) -> Data
     terms = query_terms(query)
     terms = list(dict.fromkeys(stem(t) for t in terms)) if manifest["stemmed"] else list(dict.fromkeys(terms))
     places = [r[0] for r in spark.createDataFrame([(t,) for t in terms] or [("",)], "term string").select(F.pmod(F.xxhash64("term"), F.lit(manifest["buckets"])).cast("int")).distinct().collect()]  # at most eight terms
-    held = store.table(manifest, "postings").where(F.col("bucket").isin(places) & F.col("term").isin(terms))
-    return _scored(store.alive(held, manifest), terms, manifest["n"], manifest["words"] / manifest["n"] if manifest["n"] else None).orderBy("score", "id").limit(limit)
+    held = _postings_of(store, manifest).where(F.col("bucket").isin(places) & F.col("term").isin(terms))
+    return _scored(store.alive(_unpacked(held, "term", "seq"), manifest), terms, manifest["n"], manifest["words"] / manifest["n"] if manifest["n"] else None).orderBy("score", "id").limit(limit)
 
 
 def indexed_ids(spark: SparkSession, path: str) -> DataFrame:

@@ -69,12 +69,12 @@ class Store:
         (out.partitionBy(by) if by else out).parquet(f"{self.path}/{name}")
         return name
 
-    def table(self, manifest: dict, kind: str) -> DataFrame | None:
-        """All rows of the segments of a kind; none if there are none."""
+    def table(self, manifest: dict, kind: str, schema: str | None = None) -> DataFrame | None:
+        """All rows of the segments of a kind; none if there are none. schema: for segments in folders, of which one of no rows has no file."""
         paths = manifest["segments"].get(kind, [])
         found = None
         for p in paths:  # each has partitions of its own
-            df = self.spark.read.parquet(f"{self.path}/{p}")
+            df = (self.spark.read.schema(schema) if schema else self.spark.read).parquet(f"{self.path}/{p}")
             found = df if found is None else found.unionByName(df)
         return found
 
