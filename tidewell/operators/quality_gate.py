@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -232,16 +233,19 @@ def _fact_sample() -> Column:
 
 
 def _found(rows: DataFrame, codes: list[tuple[str, Column, Column]], newest: Column, name: Column) -> DataFrame:
-    """(code, sample, newest, name) of rows, once for each (code, test, sample) whose test holds; the order is newest, name."""
-    hit = F.explode(F.array_compact(F.array(*[F.when(test, F.struct(F.lit(code).alias("code"), sample.alias("sample"))) for code, test, sample in codes])))
-    return rows.select(hit.alias("hit"), newest.cast("long").alias("newest"), name.cast("string").alias("name")).select("hit.code", "hit.sample", "newest", "name")
+    """(code, n, samples): how many rows pass each (code, test, sample), and the first SAMPLES of them in the order newest, name; codes that none passes are left out.
 
-
-def _counted(hits: DataFrame) -> DataFrame:
-    """(code, n, samples): the first SAMPLES in order. Counts combine before the shuffle, and ranks are limited before it, so a code of very many rows sends a few."""
-    first = F.row_number().over(Window.partitionBy("code").orderBy(F.desc("newest"), "name", "sample"))
-    few = hits.withColumn("place", first).where(F.col("place") <= SAMPLES).groupBy("code").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "sample"))), lambda x: x["sample"]).alias("samples"))
-    return hits.groupBy("code").agg(F.count("*").alias("n")).join(F.broadcast(few), "code")  # a row a code
+    Rows are counted for all codes at once. The first of a code are a bounded heap a task, so no task sorts what passes.
+    """
+    told = F.array(*[F.struct(F.lit(code).alias("code"), F.count_if(test).alias("n")) for code, test, _ in codes])
+    counts = rows.agg(told.alias("c")).select(F.explode("c").alias("c")).select("c.*").where("n > 0")
+    order = [F.desc("newest"), "name", "sample"]
+    parts = []
+    for code, test, sample in codes:
+        first = rows.where(test).select(newest.cast("long").alias("newest"), name.cast("string").alias("name"), sample.alias("sample")).orderBy(*order).limit(SAMPLES)
+        few = first.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(code)).orderBy(*order)))  # at most SAMPLES rows
+        parts.append(few.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "sample"))), lambda x: x["sample"]).alias("samples")).select(F.lit(code).alias("code"), "samples"))
+    return counts.join(F.broadcast(reduce(DataFrame.unionByName, parts)), "code")  # a row a code
 
 
 # Severities of the issue codes.
@@ -255,8 +259,8 @@ SEVERITIES = {
 def audit(episodes: DataFrame, clusters: DataFrame, members: DataFrame, abstractions: DataFrame, facts: DataFrame, contradictions: DataFrame, reviews: DataFrame, low_confidence: float = 0.85, low_coherence: float = 0.72, long_literal: int = 160) -> DataFrame:
     """Issues (severity, code, n, samples) that the stored memory has; codes without findings are left out.
 
-    Active facts are kept once, narrow, and so are the entities they name, alias groups, clusters and the totals; what is found in all of
-    them is counted and sampled together.
+    Active facts are kept once, narrow, and so are the entities they name, alias groups, clusters and the totals; what is found in
+    each of them is counted together, and sampled by code.
     """
     long_literal = max(20, min(long_literal, 500))
     live = keep(active(facts).select("triple_id", "subject_id", "predicate", "object_id", "object_kind", "confidence", "valid_from_ms", "source_episode_id", "status"), "audit-facts")
@@ -283,7 +287,7 @@ def audit(episodes: DataFrame, clusters: DataFrame, members: DataFrame, abstract
     issue = lambda code, n, test: F.when(test, F.struct(F.lit(code).alias("code"), n.cast("long").alias("n"), F.array().cast("array<string>").alias("samples")))
     rest = F.col("active_episodes") - F.col("clustered_episodes")
     summary = F.array_compact(F.array(issue("no_clusters", F.col("active_episodes"), (F.col("active_episodes") > 0) & (F.col("clusters") == 0)), issue("no_active_triples", F.lit(0), F.col("active_triples") == 0), issue("unclustered_episodes", rest, rest > 0)))
-    out = row.select(F.explode(summary).alias("i")).select("i.*").unionByName(_counted(hits))
+    out = row.select(F.explode(summary).alias("i")).select("i.*").unionByName(hits)
     dominant = (F.col("active_triples") >= 10) & (F.col("literal_triples") >= 0.7 * F.col("active_triples"))
     judged = out.join(F.broadcast(row.select(dominant.alias("dominant"))))  # one row
     severity = F.element_at(F.create_map(*[F.lit(x) for pair in SEVERITIES.items() for x in pair]), F.col("code"))
