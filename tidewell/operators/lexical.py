@@ -30,14 +30,15 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, stemmed: bool) -> DataF
     Words are counted where their text is read, so that lists of numbers are shuffled, not words.
     """
     said = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
-    return said.mapInArrow(functools.partial(_block_rows, stemmed), f"term string, ids array<{_kind(docs, id_col)}>, tfs array<int>, sizes array<int>")
+    return said.mapInArrow(functools.partial(block_rows, stemmed), f"term string, ids array<{_kind(docs, id_col)}>, tfs array<int>, sizes array<int>")
 
 
 def _kind(docs: DataFrame, id_col: str) -> str:
     return docs.select(id_col).schema[0].dataType.simpleString()
 
 
-def _block_rows(stemmed: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def block_rows(stemmed: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, w: its words) as lists by term: (term, ids, tfs, sizes) for each block, and one row without term and tfs of all its ids."""
     for batch in batches:
         sizes = pc.fill_null(pc.list_value_length(batch["w"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         place = (np.cumsum(sizes) - sizes) // BLOCK_WORDS

@@ -1,6 +1,6 @@
 """Search inside ids by trigrams: `%q%`, prefixes and wildcards without reading all ids.
 
-The index has, in folders by bucket, a row for each trigram of each id, how often each trigram occurs, and a summary
+The index has, in folders by bucket, lists of the ids that hold each trigram, how often each trigram occurs, and a summary
 row an id. A search takes the rarest trigrams of the query, reads their postings alone, meets them, tests the ids
 that are left against the query itself, and reads the summaries of those from their buckets. A query without
 three characters in a row between wildcards has no trigram and is tested against all summaries.
@@ -8,18 +8,21 @@ three characters in a row between wildcards has no trigram and is tested against
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.operators.facts import entity_refs, page
+from tidewell.operators.lexical import block_rows
 from tidewell.sources.segments import Store
 
 #: Stands before an id, so that prefixes have trigrams of their own.
 BEGIN = "\u0002"
 #: Trigrams whose postings a search reads.
 MOST_GRAMS = 4
+_GRAMS = "gram string, ids array<string>, bucket int"
 
 
 def grams(text: str) -> list[str]:
@@ -34,7 +37,8 @@ def _bucket(column: str, buckets: int) -> Column:
 
 def summaries(facts: DataFrame) -> DataFrame:
     """(entity_id, subject_count, object_count, fact_count, predicates) of the entities that active facts name."""
-    return entity_refs(facts).groupBy("entity_id").agg(F.sum("as_subject").alias("subject_count"), F.sum("as_object").alias("object_count"), F.count("*").alias("fact_count"), F.array_join(F.sort_array(F.collect_set("predicate")), ",").alias("predicates"))
+    said = entity_refs(facts).groupBy("entity_id", "predicate").agg(F.sum("as_subject").alias("s"), F.sum("as_object").alias("o"), F.count("*").alias("n"))  # before lists of predicates, for which rows are sorted
+    return said.groupBy("entity_id").agg(F.sum("s").alias("subject_count"), F.sum("o").alias("object_count"), F.sum("n").alias("fact_count"), F.array_join(F.sort_array(F.collect_list("predicate")), ",").alias("predicates"))
 
 
 def build(rows: DataFrame, path: str, id_col: str = "entity_id", buckets: int = 64) -> dict:
@@ -46,10 +50,12 @@ def build(rows: DataFrame, path: str, id_col: str = "entity_id", buckets: int =
     own = spark.read.parquet(f"{store.path}/{held}").select(F.col(id_col).alias("id")).where("id is not null")
     name = F.concat(F.lit(BEGIN), F.lower("id"))
     cut = F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(name) - 2), lambda i: F.substr(name, i, F.lit(3))))
-    found = own.where(F.char_length("id") >= 2).select("id", F.explode(cut).alias("gram")).withColumn("bucket", _bucket("gram", buckets))
-    # A trigram of most ids is dealt over four tasks.
-    postings = store.write(found.repartition(buckets, "bucket", F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions("bucket", "gram", "id"), "grams", "bucket")
-    counts = spark.read.parquet(f"{store.path}/{postings}").groupBy("bucket", "gram").agg(F.count("*").alias("n"))
+    said = own.where(F.char_length("id") >= 2).select("id", cut.alias("w"))
+    blocks = said.mapInArrow(functools.partial(block_rows, False), "term string, ids array<string>, tfs array<int>, sizes array<int>").where("term is not null")
+    found = blocks.select(F.col("term").alias("gram"), "ids").withColumn("bucket", _bucket("gram", buckets))
+    # Lists by block of ids travel, not a row a trigram; a trigram of most ids is dealt over several tasks.
+    postings = store.write(found.hint("rebalance", "bucket").sortWithinPartitions("bucket", "gram"), "grams", "bucket")
+    counts = store.table({"segments": {"grams": [postings]}}, "grams", _GRAMS).groupBy("bucket", "gram").agg(F.sum(F.size("ids")).alias("n"))
     told = store.write(counts.repartition(buckets, "bucket").sortWithinPartitions("bucket", "gram"), "counts", "bucket")
     return store.publish({"seq": 0, "n_dead": 0, "buckets": buckets, "id_col": id_col, "segments": {"rows": [held], "grams": [postings], "counts": [told]}}, before)
 
@@ -61,11 +67,11 @@ def _candidates(store: Store, manifest: dict, wanted: list[str]) -> DataFrame |
     spark = store.spark
     asked = spark.createDataFrame([(g,) for g in wanted], "gram string").withColumn("bucket", _bucket("gram", manifest["buckets"])).collect()
     of = lambda grams: F.col("bucket").isin(sorted({r["bucket"] for r in grams})) & F.col("gram").isin([r["gram"] for r in grams])
-    known = {r["gram"]: r["n"] for r in store.table(manifest, "counts").where(of(asked)).collect()}
+    known = {r["gram"]: r["n"] for r in store.table(manifest, "counts", "gram string, n long, bucket int").where(of(asked)).collect()}
     if len(known) < len(asked):
         return spark.createDataFrame([], "id string")  # one of them stands in no id
     rare = sorted(asked, key=lambda r: (known[r["gram"]], r["gram"]))[:MOST_GRAMS]
-    met = store.table(manifest, "grams").where(of(rare)).groupBy("id").agg(F.count("*").alias("n"))
+    met = store.table(manifest, "grams", _GRAMS).where(of(rare)).select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("n"))
     return met.where(F.col("n") == len(rare)).select("id")
 
 
