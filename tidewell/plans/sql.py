@@ -44,7 +44,7 @@ V2T = "SELECT vec_id::BIGINT AS id FROM embeddings WHERE vec_id % 10 <> 1 AND (v
 V5 = """SELECT query_id, neighbour_id, distance, rank FROM (
   SELECT q.vec_id AS query_id, e.vec_id AS neighbour_id, round(1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS distance,
          row_number() OVER (PARTITION BY q.vec_id ORDER BY round(1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6), e.vec_id) AS rank
-  FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0) WHERE rank <= 3"""
+  FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id) WHERE rank <= 3"""
 
 
 def bm25(rows: str, terms: tuple[str, ...]) -> str:
